@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import entities
-from pagemill.functions.text import bind, first_match, html_escape, strip
+from pagemill.functions.text import bind, first_match, html_escape, squeeze
 
 TOKEN = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -130,8 +130,17 @@ def canonical(tok: Column, kind: Column, name: Column) -> Column:
     )
 
 
-def text_length(toks: DataFrame, key: str = "page_id") -> DataFrame:
-    """Visible characters per page: white space collapsed inside each text run, scripts and styles left out."""
-    run = strip(entities.unescape(F.col("tok")))
-    size = F.when(F.col("kind") == "text", F.length(F.regexp_replace(run, r"\s+", " "))).otherwise(0)
-    return toks.groupBy(key).agg(F.sum(size.cast("bigint")).alias("text_len"))
+def visible_length(html: Column) -> Column:
+    """Visible characters of a page: white space collapsed inside each text run, scripts and styles left out.
+
+    A fold over the page's own pieces, so no page is taken apart into rows for it.
+    """
+    pieces = F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
+    runs = F.filter(pieces, lambda t: ~t.startswith("<") | (t == "<"))
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, t: n + F.length(squeeze(entities.unescape(t))))
+
+
+def without_raw(html: Column) -> Column:
+    """The page without comments and without script and style elements, in which tags are not tags."""
+    return F.regexp_replace(
+        html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
