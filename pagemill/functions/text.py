@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space and word characters with Unicode meaning (the JVM's \s and \w are ASCII only).
-WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = r"\p{IsWhite_Space}\x1c-\x1f"
+_WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
 
 
@@ -24,7 +25,12 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(_WS_CHARS))
+
+
+def is_filled(text: Column) -> Column:
+    """True when there is anything but white space."""
+    return text.rlike(rf"[^{WS}]")
 
 
 def squeeze(text: Column) -> Column:

@@ -30,7 +30,7 @@ def page_links(html: Column, base: Column, pattern: str | None = None, same_doma
     found = F.regexp_extract_all(tk.without_raw(html), F.lit(_ANCHOR), F.lit(0))
 
     def one(a: Column, i: Column) -> Column:
-        href = tk.attr(a, "href")
+        href = tk.attr(tk.attr_map(F.regexp_extract(a, r"""(?is)^(<a(?:[^>"']|"[^"]*"|'[^']*')*>)""", 1)), "href")
         inner = F.regexp_replace(F.regexp_replace(a, r"(?is)^<a[^>]*>|</a\s*>$", ""), r"<[A-Za-z/!][^>]*>", "")
         text = strip(entities.unescape(inner))
         return bind(href, lambda h: bind(urls.join_url(base, h), lambda u: F.struct(
@@ -81,13 +81,14 @@ def first_of_srcset(value: Column) -> Column:
     return blank_to_null(F.substring_index(strip(F.substring_index(value, ",", 1)), " ", 1))
 
 
-def image_source(tag: Column) -> Column:
+def image_source(attrs: Column) -> Column:
     """The URL an image really shows: lazy-loading attributes win over inline placeholders."""
     def usable(name: str) -> Column:
-        return bind(blank_to_null(tk.attr(tag, name)), lambda v: F.when(~F.lower(strip(v)).startswith("data:"), v))
+        value = blank_to_null(tk.attr(attrs, name))
+        return F.when(~F.lower(strip(value)).startswith("data:"), value)
     # Attribute order.
     return F.coalesce(*[usable(n) for n in ["src", "data-src", "data-original", "data-lazy-src"]],
-                      first_of_srcset(tk.attr(tag, "srcset")))
+                      first_of_srcset(tk.attr(attrs, "srcset")))
 
 
 def page_images(html: Column, base: Column) -> Column:
@@ -96,9 +97,9 @@ def page_images(html: Column, base: Column) -> Column:
 
     def of_unit(u: Column) -> Column:
         before = F.regexp_extract(u, r"(?is)^(<picture\b.*?)<img\b", 1)
-        source = first_of_srcset(tk.attr(F.regexp_extract(before, r"(?is)(<source\b[^>]*\bsrcset\b[^>]*>)", 1), "srcset"))
+        source = first_of_srcset(tk.attr(tk.attr_map(F.regexp_extract(before, r"(?is)(<source\b[^>]*\bsrcset\b[^>]*>)", 1)), "srcset"))
         tags = F.regexp_extract_all(u, img, F.lit(0))
-        return F.transform(tags, lambda t, i: F.coalesce(F.when(i == 0, source), image_source(t)))
+        return F.transform(tags, lambda t, i: F.coalesce(F.when(i == 0, source), bind(tk.attr_map(t), image_source)))
 
     raw = F.flatten(F.transform(F.regexp_extract_all(tk.without_raw(html), F.lit(_UNIT), F.lit(0)), of_unit))
     clean = F.filter(F.transform(raw, lambda r: strip(entities.unescape(r))),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import entities, markdown_text as mt, urls
-from pagemill.functions.text import bind, blank_to_null, first_match, html_escape, replace_all, splice, strip
+from pagemill.functions.text import WS, bind, blank_to_null, first_match, html_escape, is_filled, replace_all, splice, strip
 from pagemill.operators import links, tokens as tk
 
 # Element groups of the conversion.
@@ -31,9 +31,9 @@ ROW, ROW_END, CELL, CELL_END, LINK, LINK_URL, LINK_TEXT, LINK_END = (
     "\x11", "\x17", "\x12", "\x13", "\x14", "\x1d", "\x15", "\x16")
 
 
-def code_language(tag: Column) -> Column:
+def code_language(attrs: Column) -> Column:
     """Language of a code element from its attributes, '' when unknown or not a plain word."""
-    explicit = F.coalesce(*[blank_to_null(F.regexp_extract(strip(tk.attr(tag, a)), r"^(\S+)", 1))
+    explicit = F.coalesce(*[blank_to_null(F.regexp_extract(strip(tk.attr(attrs, a)), r"^(\S+)", 1))
                             for a in ["data-language", "data-lang", "lang"]])
 
     def from_classes(found: Column) -> Column:
@@ -42,7 +42,7 @@ def code_language(tag: Column) -> Column:
         known = F.filter(F.transform(found, F.lower), lambda c: c.isin(*CODE_LANGUAGES))
         return F.coalesce(F.get(marked, 0), F.get(known, 0))
 
-    chosen = F.coalesce(explicit, bind(tk.classes(tag), from_classes), F.lit(""))
+    chosen = F.coalesce(explicit, bind(tk.classes(attrs), from_classes), F.lit(""))
     return bind(chosen, lambda c: F.when(c.rlike(r"^[A-Za-z0-9_+.\-]+$"), c).otherwise(F.lit("")))
 
 
@@ -70,7 +70,7 @@ def safe_tag(tok: Column, kind: Column, name: Column) -> Column:
 
 # --- per-token columns ----------------------------------------------------------------------------------------
 
-def _cut(pages: DataFrame, html: str, base: str, key: str) -> DataFrame:
+def _cut(pages: DataFrame, html: str, base: str, key: str, keep_html: bool) -> DataFrame:
     """Tokens with everything that depends on one tag alone; page URL and HTML go no further."""
     spread = tk.spread(pages.select(key, F.col(html).alias("_html"), F.coalesce(F.col(base), F.lit("")).alias("_base")), key)
     pieces = F.regexp_extract_all(F.col("_html"), F.lit(tk.TOKEN), F.lit(0))
@@ -90,41 +90,49 @@ def _cut(pages: DataFrame, html: str, base: str, key: str) -> DataFrame:
         "name", F.when(F.col("kind").isin("start", "end", "raw"), name).otherwise(F.lit("")))
     cut = cut.where(~F.col("kind").isin("comment", "decl"))
 
+    # Attributes are read once, as a map, and only from tags the conversion looks at.
+    read = ["a", "img", "pre", "code", "script", "annotation", "ol", "td", "th"]
+    head = F.when(F.col("kind") == "raw", F.regexp_extract("tok", r"^(<[^>]*>)", 1)).otherwise(F.col("tok"))
+    wanted = F.col("kind").isin("start", "raw") & (F.col("name").isin(*read) | F.contains("tok", F.lit("class")))
+    cut = cut.withColumn("attrs", F.when(wanted, tk.attr_map(head)))
+    attrs = F.col("attrs")
     tok, start, tag = F.col("tok"), F.col("kind") == "start", F.col("name")
-    classed = start & F.contains("tok", F.lit("class"))
-    href = F.when(start & (tag == "a"), bind(tk.attr(tok, "href"), lambda h: F.when(~urls.is_unsafe_link(h), h)))
-    source = links.image_source(tok)
-    image_url = F.when(start & (tag == "img"), bind(source, lambda s: F.when(
+    classed = start & tk.has_attr(attrs, "class")
+    href = F.when(start & (tag == "a"), bind(tk.attr(attrs, "href"), lambda h: F.when(~urls.is_unsafe_link(h), h)))
+    image_url = F.when(start & (tag == "img"), bind(links.image_source(attrs), lambda s: F.when(
         s.isNotNull() & ~F.lower(strip(s)).startswith("data:"), urls.join_url(F.col("_base"), s))))
-    alt = replace_all(strip(F.coalesce(tk.attr(tok, "alt"), F.lit(""))), [("[", ""), ("]", "")])
-    image = bind(image_url, lambda u: F.when(u.isNotNull() & ~urls.is_icon(u), F.concat(
-        F.lit("!["), alt, F.lit("]("), urls.link_destination(u), F.lit(")"))))
-    math = F.lower(strip(F.coalesce(tk.attr(F.regexp_extract("tok", r"^(<[^>]*>)", 1), "type"), F.lit(""))))
-    tex = bind(math, lambda m: F.when(m.startswith("math/tex"), F.struct(
-        F.contains(m, F.lit("mode=display")).alias("display"),
-        strip(F.regexp_replace("tok", r"(?is)^<script[^>]*>|</script\s*>\z", "")).alias("tex"))))
-    list_start = F.coalesce(tk.attr(tok, "start").try_cast("int") - 1, F.lit(0))
-
-    return cut.select(
-        key, "pos", "kind", "name", "tok",
-        F.when(F.col("kind") == "text", entities.unescape(tok)).alias("txt"),
+    alt = replace_all(strip(F.coalesce(tk.attr(attrs, "alt"), F.lit(""))), [("[", ""), ("]", "")])
+    image = F.when(start & (tag == "img"), bind(image_url, lambda u: F.when(u.isNotNull() & ~urls.is_icon(u), F.concat(
+        F.lit("!["), alt, F.lit("]("), urls.link_destination(u), F.lit(")")))))
+    math = F.lower(strip(F.coalesce(tk.attr(attrs, "type"), F.lit(""))))
+    tex = F.when(math.startswith("math/tex"), F.struct(
+        F.contains(math, F.lit("mode=display")).alias("display"),
+        strip(F.regexp_replace("tok", r"(?is)^<script[^>]*>|</script\s*>\z", "")).alias("tex")))
+    list_start = F.coalesce(tk.attr(attrs, "start").try_cast("int") - 1, F.lit(0))
+
+    # One nested column that is NULL for most tokens: the windows below copy rows, and narrow rows copy fast.
+    info = F.struct(
         href.alias("href"),
-        bind(href, lambda h: F.when(F.coalesce(h, F.lit("")) != "", urls.join_url(F.col("_base"), h))).alias("href_full"),
+        F.when(start & (tag == "a"), bind(href, lambda h: F.when(F.coalesce(h, F.lit("")) != "", urls.join_url(F.col("_base"), h)))).alias("href_full"),
         F.when(start & (tag == "a"), F.concat("_base", F.lit("#"))).alias("own_page"),
         image.alias("image"),
-        F.when(start & tag.isin("pre", "code"), code_language(tok)).alias("lang"),
+        F.when(start & tag.isin("pre", "code"), code_language(attrs)).alias("lang"),
         F.when((F.col("kind") == "raw") & (tag == "script"), tex).alias("tex"),
-        F.when(classed & ~tag.isin("figure", "figcaption"), F.exists(tk.classes(tok), lambda c: c.rlike(
+        F.when(classed & ~tag.isin("figure", "figcaption"), F.exists(tk.classes(attrs), lambda c: c.rlike(
             "^kg-(?:video|audio|file)-|kg-video"))).otherwise(F.lit(False)).alias("card"),
-        F.when(classed & (tag == "span"), bind(tk.classes(tok), lambda c: F.when(
+        F.when(classed & (tag == "span"), bind(tk.classes(attrs), lambda c: F.when(
             F.array_contains(c, "katex-display"), 2).when(F.array_contains(c, "katex"), 1).otherwise(0))).otherwise(
                 F.lit(0)).alias("katex"),
-        F.when(start & (tag == "annotation"), F.lower(strip(F.coalesce(tk.attr(tok, "encoding"), F.lit("")))).isin(
+        F.when(start & (tag == "annotation"), F.lower(strip(F.coalesce(tk.attr(attrs, "encoding"), F.lit("")))).isin(
             "application/x-tex", "text/tex")).otherwise(F.lit(False)).alias("tex_note"),
         F.when(start & (tag == "ol"), list_start).otherwise(F.lit(0)).alias("list_start"),
-        F.when(start & tag.isin("td", "th"), F.coalesce(tk.attr(tok, "colspan"), F.lit("1")).isin("", "1")
-               & F.coalesce(tk.attr(tok, "rowspan"), F.lit("1")).isin("", "1")).otherwise(F.lit(True)).alias("plain_cell"),
+        F.when(start & tag.isin("td", "th"), F.coalesce(tk.attr(attrs, "colspan"), F.lit("1")).isin("", "1")
+               & F.coalesce(tk.attr(attrs, "rowspan"), F.lit("1")).isin("", "1")).otherwise(F.lit(True)).alias("plain_cell"),
     )
+    used = F.col("attrs").isNotNull() | (start & tag.isin("a", "td", "th", "pre", "code"))
+    kept = [F.col("tok")] if keep_html else []
+    return cut.select(key, "pos", "kind", "name", *kept, F.when(F.col("kind") == "text", entities.unescape(tok)).alias("txt"),
+                      F.when(used, info).alias("info"))
 
 
 def _step(opens: Column, closes: Column) -> Column:
@@ -136,7 +144,7 @@ def _clamped(total: str, low: str) -> Column:
     return F.col(total) - F.least(F.lit(0), F.col(low))
 
 
-def _context(cut: DataFrame, key: str) -> DataFrame:
+def _context(cut: DataFrame, key: str, keep_html: bool) -> DataFrame:
     w = tk.by_page(key)
     so_far = tk.running(w)
     start, end, tag = F.col("kind") == "start", F.col("kind") == "end", F.col("name")
@@ -146,18 +154,18 @@ def _context(cut: DataFrame, key: str) -> DataFrame:
 
     sums = cut.withColumns({
         "s_sum": F.sum(_step(start & tag.isin(*SKIPPED), end & tag.isin(*SKIPPED))).over(so_far),
-        "c_sum": F.sum(_step(start & F.col("card"), end & (tag == "div"))).over(so_far),
+        "c_sum": F.sum(_step(start & F.col("info.card"), end & (tag == "div"))).over(so_far),
         "span": F.sum(_step(start & (tag == "span"), end & (tag == "span"))).over(so_far),
     })
     lows = sums.withColumns({
         "s_min": F.min("s_sum").over(so_far),
         "c_min": F.min("c_sum").over(so_far),
-        "kx": F.last(F.when(F.col("katex") > 0, F.struct("pos", "span")), ignorenulls=True).over(so_far),
-        "kd": F.last(F.when(F.col("katex") > 1, F.struct("pos", "span")), ignorenulls=True).over(so_far),
+        "kx": F.last(F.when(F.col("info.katex") > 0, F.struct("pos", "span")), ignorenulls=True).over(so_far),
+        "kd": F.last(F.when(F.col("info.katex") > 1, F.struct("pos", "span")), ignorenulls=True).over(so_far),
         "block_pos": last_pos(start & tag.isin(*BLOCK_LEVEL)),
     })
     skip = (_clamped("s_sum", "s_min") > 0) | (_clamped("c_sum", "c_min") > 0) | (
-        (F.col("kind") == "raw") & F.col("tex").isNull()) | (tag.isin(*SKIPPED))
+        (F.col("kind") == "raw") & F.col("info.tex").isNull()) | (tag.isin(*SKIPPED))
     seen = lows.withColumn("skip", skip).withColumns({
         "kx_out": last_pos(F.col("span") < F.col("kx.span")),
         "kd_out": last_pos(F.col("span") < F.col("kd.span")),
@@ -167,8 +175,7 @@ def _context(cut: DataFrame, key: str) -> DataFrame:
     in_katex = F.col("kx").isNotNull() & since("kx.pos", "kx_out") & since("kx.pos", "block_pos")
     in_display = F.col("kd").isNotNull() & since("kd.pos", "kd_out") & since("kd.pos", "block_pos")
     inked = seen.select(
-        key, "pos", "kind", "name", "tok", "txt", "href", "href_full", "own_page", "image", "lang", "tex", "tex_note",
-        "list_start", "plain_cell", "t_sum", "skip", F.coalesce(in_katex, F.lit(False)).alias("in_katex"),
+        key, "pos", "kind", "name", *(["tok"] if keep_html else []), "txt", "info", "t_sum", "skip", F.coalesce(in_katex, F.lit(False)).alias("in_katex"),
         F.coalesce(in_display, F.lit(False)).alias("in_display"))
     live = inked.withColumn("t_min", F.min("t_sum").over(so_far)).where(~F.col("skip")).withColumn(
         "t", _clamped("t_sum", "t_min").cast("int"))
@@ -180,10 +187,10 @@ def _context(cut: DataFrame, key: str) -> DataFrame:
         "a_open": last_pos(start & is_a & free), "a_close": last_pos(end & is_a & free),
         "pre_open": last_pos(start & is_pre & free), "pre_close": last_pos(end & is_pre & free),
         "h_open": last_pos(start & heading & free), "h_close": last_pos(end & heading & free),
-        "note_open": last_pos(F.col("tex_note")), "note_close": last_pos(end & (tag == "annotation")),
+        "note_open": last_pos(F.col("info.tex_note")), "note_close": last_pos(end & (tag == "annotation")),
         "table_open": last_pos(start & (tag == "table") & (F.col("t") == 1)),
         "list_sum": F.sum(_step(start & tag.isin("ul", "ol") & free, end & tag.isin("ul", "ol") & free)).over(so_far),
-        "pictures": F.sum(F.when(F.col("image").isNotNull() & free, 1).otherwise(0)).over(so_far),
+        "pictures": F.sum(F.when(F.col("info.image").isNotNull() & free, 1).otherwise(0)).over(so_far),
     })
     is_open = lambda x: F.coalesce(F.col(f"{x}_open") > F.coalesce(F.col(f"{x}_close"), F.lit(-1)), F.lit(False))
     placed = flags.withColumns({
@@ -193,18 +200,20 @@ def _context(cut: DataFrame, key: str) -> DataFrame:
         "code_close": last_pos(end & is_code & free & ~F.col("in_pre")),
         "list_min": F.min("list_sum").over(so_far),
         "a_link": F.last(F.when(start & is_a & free, F.struct(
-            F.col("href").alias("href"), F.col("href_full").alias("url"), F.col("own_page").alias("page"),
+            F.col("info.href").alias("href"), F.col("info.href_full").alias("url"), F.col("info.own_page").alias("page"),
             F.col("pictures").alias("pictures"))), ignorenulls=True).over(so_far),
-        "pre_lang": F.last(F.when(start & is_pre & free, F.col("lang")), ignorenulls=True).over(so_far),
-        "code_lang": F.last(F.when(start & is_code & F.col("in_pre") & (F.col("lang") != ""), F.struct("pos", "lang")),
+        "pre_lang": F.last(F.when(start & is_pre & free, F.col("info.lang")), ignorenulls=True).over(so_far),
+        "code_lang": F.last(F.when(start & is_code & F.col("in_pre") & (F.col("info.lang") != ""), F.struct(F.col("pos"), F.col("info.lang").alias("lang"))),
                             ignorenulls=True).over(so_far),
-        "note_display": F.last(F.when(F.col("tex_note"), F.col("in_display")), ignorenulls=True).over(so_far),
-        "table_html": F.last(F.when(start & (tag == "table") & (F.col("t") == 1), F.col("tok")), ignorenulls=True).over(so_far),
-    }).withColumns({"in_code": is_open("code"), "depth": _clamped("list_sum", "list_min").cast("int")})
+        "note_display": F.last(F.when(F.col("info.tex_note"), F.col("in_display")), ignorenulls=True).over(so_far),
+        **({"table_html": F.last(F.when(start & (tag == "table") & (F.col("t") == 1), F.col("tok")),
+                                 ignorenulls=True).over(so_far)} if keep_html else {}),
+    }).drop("t_sum", "t_min", "skip", "in_display", "a_close", "a_open", "pre_close", "h_close", "h_open", "note_open",
+            "note_close", "table_open").withColumns({"in_code": is_open("code"), "depth": _clamped("list_sum", "list_min").cast("int")})
     text = F.col("txt")
-    filled = strip(text) != ""
+    filled = is_filled(text)
     plain = (F.col("kind") == "text") & free & ~F.col("in_katex") & ~F.col("in_pre") & ~F.col("in_note") & ~F.col("in_code")
-    titled = F.col("in_h") & plain & filled & ~(F.col("in_a") & strip(text).isin("#", "¶", "§"))
+    titled = F.col("in_h") & plain & filled & ~(F.col("in_a") & text.rlike(rf"^[{WS}]*[#¶§][{WS}]*$"))
     counted = placed.withColumns({
         "h_text": F.sum(F.when(titled, 1).otherwise(0)).over(so_far),
         "a_end": F.when(end & is_a & free, F.col("pos")), "pre_end": F.when(end & is_pre & free, F.col("pos")),
@@ -234,7 +243,7 @@ def _numbered(ctx: DataFrame, key: str) -> DataFrame:
     leveled = ctx.withColumn("_level", level).withColumn(
         "_items", F.sum(F.when(F.col("_level").isNotNull() & (tag == "li"), 1).otherwise(0)).over(so_far))
     opened = F.last(F.when(F.col("_level").isNotNull() & tag.isin("ul", "ol"), F.struct(
-        tag.alias("tag"), F.col("list_start").alias("first"), F.col("_items").alias("before"))), ignorenulls=True).over(so_far)
+        tag.alias("tag"), F.coalesce("info.list_start", F.lit(0)).alias("first"), F.col("_items").alias("before"))), ignorenulls=True).over(so_far)
     return leveled.withColumn("_list", opened).withColumn(
         "item", F.col("_items") - F.col("_list.before") + F.col("_list.first")).withColumn(
         "ordered", F.col("_list.tag") == "ol").drop("_level", "_items", "_list")
@@ -262,9 +271,9 @@ def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
         .when(start & (tag == "tr"), ROW).when(end & (tag == "tr"), ROW_END)
         .when(start & tag.isin("td", "th"), CELL).when(end & tag.isin("td", "th"), CELL_END)
         .when((start & tag.isin("br", "p", "div", "li")) | (end & tag.isin("p", "div", "li")), "<br>")
-        .when(start & (tag == "a"), F.concat(F.lit(LINK), F.coalesce("href", F.lit("")), F.lit(LINK_URL),
-                                             F.coalesce("href_full", F.lit("")), F.lit(LINK_TEXT)))
-        .when(end & (tag == "a"), LINK_END).when(F.col("image").isNotNull(), F.col("image")))
+        .when(start & (tag == "a"), F.concat(F.lit(LINK), F.coalesce("info.href", F.lit("")), F.lit(LINK_URL),
+                                             F.coalesce("info.href_full", F.lit("")), F.lit(LINK_TEXT)))
+        .when(end & (tag == "a"), LINK_END).when(F.col("info.image").isNotNull(), F.col("info.image")))
     gathered = (
         F.when(muted, F.lit(""))
         .when(in_note_text | in_pre, text)
@@ -286,7 +295,7 @@ def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
         .when(start & (tag == "blockquote"), "> ")
         .when(start & (tag == "li") & (F.col("depth") > 0), item)
         .when(end & tag.isin("ul", "ol", "li"), "\n")
-        .when(F.col("image").isNotNull(), F.when(F.col("in_a"), F.col("image")).otherwise(F.concat("image", F.lit("\n"))))
+        .when(F.col("info.image").isNotNull(), F.when(F.col("in_a"), F.col("info.image")).otherwise(F.concat("info.image", F.lit("\n"))))
     )
     asks = (
         F.when(in_table & ~(start & (tag == "table") & level_one), 0)
@@ -294,8 +303,8 @@ def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
         .when(start & tag.isin("hr", "pre", "blockquote", "table", *HEADINGS), 2)
         .when(start & tag.isin("ul", "ol"), F.when(F.col("depth") > 1, 1).otherwise(2))
         .when(start & (tag == "li") & (F.col("depth") > 0), 1)
-        .when(F.col("image").isNotNull() & ~F.col("in_a") & ~dropped, 2)
-        .when(F.col("tex.display") & (F.col("tex.tex") != ""), 2)
+        .when(F.col("info.image").isNotNull() & ~F.col("in_a") & ~dropped, 2)
+        .when(F.col("info.tex.display") & (F.col("info.tex.tex") != ""), 2)
         .otherwise(0)
     )
     closes = (F.when(F.col("a_end").isNotNull(), "a").when(F.col("pre_end").isNotNull(), "pre")
@@ -307,14 +316,14 @@ def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
         key, F.col("pos"), unit.alias("unit"), gathered.alias("gathered"),
         F.when(unit == F.col("pos"), asks).alias("asks"),
         F.when((unit == F.col("pos")) & free & ~is_text, own).alias("own"),
-        F.when(free_text & (strip(text) != "") & ~dropped, text).alias("words"),
+        F.when(free_text & is_filled(text) & ~dropped, text).alias("words"),
         closes.alias("closes"),
         F.when(closes == "a", F.struct(F.col("a_link.href").alias("href"), F.col("a_link.url").alias("url"),
                                        F.col("a_link.page").alias("page"), F.coalesce(picture_seen, F.lit(False)).alias("seen"))).alias("link"),
         F.when(closes == "pre", F.coalesce(blank_to_null(F.col("pre_lang")), F.when(
             F.col("code_lang.pos") > F.col("pre_open"), F.col("code_lang.lang")), F.lit(""))).alias("fence"),
         F.when(closes == "note", F.coalesce("note_display", F.lit(False))).alias("display"),
-        F.col("tex"), dropped.alias("dropped"),
+        F.col("info.tex").alias("tex"), dropped.alias("dropped"),
     ]
     if keep_html:
         piece = F.when(is_text, html_escape(text, quote=False)).otherwise(safe_tag(F.col("tok"), F.col("kind"), tag))
@@ -322,7 +331,7 @@ def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
         columns += [
             F.when((in_table | table_end) & ~(start & (tag == "table") & level_one) & ~void_end, piece).alias("html_part"),
             F.when(table_end, safe_tag(F.col("table_html"), F.lit("start"), F.lit("table"))).alias("html_head"),
-            F.when(in_table, (F.col("t") > 1) | ~F.col("plain_cell")).alias("complex"),
+            F.when(in_table, (F.col("t") > 1) | ~F.coalesce("info.plain_cell", F.lit(True))).alias("complex"),
         ]
     return ctx.select(*columns)
 
@@ -434,7 +443,7 @@ def _spaced(units: DataFrame, key: str) -> DataFrame:
     body = units.withColumn("out", out).withColumns({
         "solid": F.col("out").rlike(r"[^\n]"),
         "breaks": F.when(F.col("out").rlike(r"[^\n]"), 0).otherwise(F.length("out")),
-        "tail": F.length("out") - F.length(F.regexp_replace("out", r"\n+\z", "")),
+        "tail": F.when(F.col("out").endswith("\n"), F.length("out") - F.length(F.rtrim("out", F.lit("\n")))).otherwise(0),
         "last_char": F.when(F.col("out") != "", F.right(F.col("out"), F.lit(1))).when(F.col("asks") > 0, "\n"),
     })
     sums = body.withColumns({
@@ -471,7 +480,7 @@ def polish(md: Column) -> Column:
 def html_to_markdown(pages: DataFrame, html: str = "html", base: str = "url", key: str = "page_id",
                      keep_html: bool = False) -> DataFrame:
     """``key, md`` for every page that has any token."""
-    ctx = _numbered(_context(_cut(pages, html, base, key), key), key)
+    ctx = _numbered(_context(_cut(pages, html, base, key, keep_html), key, keep_html), key)
     spaced = _spaced(_units(_fragments(ctx, key, keep_html), key, keep_html), key)
     joined = spaced.groupBy(key).agg(F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY unit)").alias("md"))
     return joined.select(key, polish(F.coalesce("md", F.lit(""))).alias("md"))

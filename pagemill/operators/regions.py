@@ -42,8 +42,8 @@ def selector_list(nav: bool = False, toc: bool = False, custom: str = "") -> lis
 class Tag:
     """The columns of a start tag that selectors look at."""
 
-    tok: Column
     name: Column
+    attrs: Column
     classes: Column
 
     def matches(self, selector: str) -> Column:
@@ -51,15 +51,15 @@ class Tag:
         if s.startswith("."):
             return F.array_contains(self.classes, s[1:])
         if s.startswith("#"):
-            return F.coalesce(strip(tk.attr(self.tok, "id")) == s[1:], F.lit(False))
+            return F.coalesce(strip(tk.attr(self.attrs, "id")) == s[1:], F.lit(False))
         if s.startswith("[") and s.endswith("]"):
             label, sep, wanted = s[1:-1].partition("*=") if "*=" in s else s[1:-1].partition("=")
             label, wanted = label.strip().lower(), wanted.strip()
             if len(wanted) >= 2 and wanted[0] == wanted[-1] and wanted[0] in "\"'":
                 wanted = wanted[1:-1]
-            value = tk.attr(self.tok, label)
             if not sep:
-                return value.isNotNull()
+                return tk.attr(self.attrs, label).isNotNull()
+            value = tk.attr(self.attrs, label)
             hit = F.contains(value, F.lit(wanted)) if sep == "*=" else value == wanted
             return F.coalesce(hit, F.lit(False))
         return self.name == s.lower()
@@ -71,14 +71,16 @@ def first_rule(tag: Tag, selectors: list[str]) -> Column:
 
 
 def with_rule(toks: DataFrame, rule: Column) -> DataFrame:
-    """Add ``rule`` for start tags (``rule`` may use the column ``classes``)."""
+    """Add ``rule`` for start tags (``rule`` may use the columns ``attrs`` and ``classes``)."""
     opening = F.col("kind").isin("start", "selfclose", "raw")
-    listed = toks.withColumn("classes", F.when(opening & F.contains("tok", F.lit("class")), tk.classes(F.col("tok"))))
-    return listed.withColumn("rule", F.when(opening, rule)).drop("classes")
+    head = F.when(F.col("kind") == "raw", F.regexp_extract("tok", r"^(<[^>]*>)", 1)).otherwise(F.col("tok"))
+    read = toks.withColumn("attrs", F.when(opening, tk.attr_map(head)))
+    listed = read.withColumn("classes", F.when(F.col("attrs").isNotNull(), tk.classes(F.col("attrs"))))
+    return listed.withColumn("rule", F.when(opening, rule)).drop("classes", "attrs")
 
 
 def tag_columns() -> Tag:
-    return Tag(F.col("tok"), F.col("name"), F.coalesce(F.col("classes"), F.array().cast("array<string>")))
+    return Tag(F.col("name"), F.col("attrs"), F.coalesce(F.col("classes"), F.array().cast("array<string>")))
 
 
 def with_region_end(marked: DataFrame, key: str = "page_id") -> DataFrame:
@@ -131,16 +133,13 @@ def target_sections(pages: DataFrame, targets: list[tuple[str, str]], html: str
 
     Returns only pages with a hit: ``key, html, selector``.
     """
-    opening = F.col("kind").isin("start", "selfclose", "raw")
     toks = tk.with_depth(tk.tokens(pages, html, key), key, tk.VOID_TARGET)
-    tag = Tag(F.col("tok"), F.col("name"), tk.classes(F.col("tok")))
+    tag = tag_columns()
     rank = F.lit(None).cast("int")
     for i in range(len(targets) - 1, -1, -1):
         how, value = targets[i]
         rank = F.when(tag.matches(("#" if how == "id" else ".") + value), i).otherwise(rank)
-    prefilter = F.contains(F.lower("tok"), F.lit("class")) | F.contains(F.lower("tok"), F.lit("id"))
-    ranked = toks.withColumn("rule", F.when(opening & prefilter, rank))
-    ended = with_region_end(ranked, key)
+    ended = with_region_end(with_rule(toks, rank), key)
     whole = Window.partitionBy(key)
     best = F.min(F.when(F.col("rule").isNotNull(), F.struct("rule", "pos", "region_end"))).over(whole)
     kept = ended.withColumn("_best", best).where(F.col("pos").between(F.col("_best.pos"), F.col("_best.region_end")))

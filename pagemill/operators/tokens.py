@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import entities
-from pagemill.functions.text import bind, first_match, html_escape, squeeze
+from pagemill.functions.text import bind, html_escape, squeeze
 
 TOKEN = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -28,8 +28,14 @@ VOID_CONVERT = ["area", "base", "br", "col", "embed", "hr", "img", "input", "lin
 
 
 def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Distribute whole pages by key."""
-    return pages.repartition(F.col(key))
+    """Distribute whole pages by key.
+
+    The number of partitions is given, because pages grow many times over when they are cut up: left alone, the
+    adaptive planner would merge partitions by the size of the compressed pages and leave most cores idle.
+    """
+    spark = pages.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(wanted, spark.sparkContext.defaultParallelism), F.col(key))
 
 
 def kind_of(tok: Column) -> Column:
@@ -88,25 +94,33 @@ def join_tokens(toks: DataFrame, text: str = "tok", key: str = "page_id", out: s
 _ATTR = r"""[^\s/>"'=][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
-def raw_attr(tag: Column, name: str) -> Column:
-    """Attribute text as written, NULL when the tag does not have it ('' for an empty value)."""
-    pattern = (rf"(?is)^<[^\s/>]+(?:[\s/]+(?!{name}[\s=/>]){_ATTR})*+[\s/]+{name}\s*=\s*"
-               r"""("[^"]*"|'[^']*'|[^\s"'>]+)""")
-    bare = bind(first_match(tag, pattern), lambda v: F.when(
-        v.rlike("""^["']"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
-    return F.when(F.contains(F.lower(tag), F.lit(name)), bare)
+def attr_map(tag: Column) -> Column:
+    """MAP of attribute name to unescaped value (NULL for a bare attribute); the last one wins. '' tags give NULL."""
+    def pair(a: Column) -> Column:
+        value = F.regexp_replace(F.regexp_replace(a, r"(?s)^[^\s=]+\s*=?\s*", ""), r"""(?s)^(["'])(.*)\1\z""", "$2")
+        return F.struct(F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("key"),
+                        F.when(F.contains(a, F.lit("=")), entities.unescape(value)).alias("value"))
+
+    def last_wins(pairs: Column) -> Column:
+        return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(
+            F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])))
+
+    body = F.regexp_replace(tag, r"^<[^\s/>]+|[\s/]*>\z", "")
+    found = F.transform(F.regexp_extract_all(body, F.lit(_ATTR), F.lit(0)), pair)
+    return F.when(tag.rlike(r"^<[A-Za-z][^\s/>]*[\s/]+[^\s/>]"), bind(found, last_wins))
 
 
-def attr(tag: Column, name: str) -> Column:
-    return entities.unescape(raw_attr(tag, name))
+def attr(attrs: Column, name: str) -> Column:
+    return F.try_element_at(attrs, F.lit(name))
 
 
-def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?is)^<[^\s/>]+(?:[\s/]+(?!{name}[\s=/>]){_ATTR})*+[\s/]+{name}(?=[\s=/>])")
+def has_attr(attrs: Column, name: str) -> Column:
+    return F.coalesce(F.map_contains_key(attrs, name), F.lit(False))
 
 
-def classes(tag: Column) -> Column:
-    return F.filter(F.split(F.coalesce(attr(tag, "class"), F.lit("")), r"\s+"), lambda c: c != "")
+def classes(attrs: Column) -> Column:
+    """Class names of a tag, [] when it has none."""
+    return F.filter(F.split(F.coalesce(attr(attrs, "class"), F.lit("")), r"\s+"), lambda c: c != "")
 
 
 def canonical(tok: Column, kind: Column, name: Column) -> Column:
