@@ -111,9 +111,24 @@ def strip_regions(toks: DataFrame, selectors: list[str] | None = None, rule: Col
     )
 
 
-def strip_elements(pages: DataFrame, selectors: list[str], html: str = "html", key: str = "page_id") -> DataFrame:
-    """``key, html, elements_removed, chars_before, chars_after`` for every page."""
-    marked = strip_regions(tk.tokens(pages, html, key), selectors, key=key)
+def _by_route(route: str | None, options: dict, build) -> Column:
+    """One expression for all pages: ``build(option)`` of the route each page takes."""
+    if route is None:
+        return build(options)
+    out = F.lit(None)
+    for name, option in options.items():
+        out = F.when(F.col(route) == name, build(option)).otherwise(out)
+    return out
+
+
+def strip_elements(pages: DataFrame, selectors: list[str] | dict[str, list[str]], html: str = "html", key: str = "page_id",
+                   route: str | None = None) -> DataFrame:
+    """``key, html, elements_removed, chars_before, chars_after`` for every page.
+
+    With a ``route`` column, ``selectors`` maps each route to its own list; all routes share one pass.
+    """
+    rule = _by_route(route, selectors, lambda s: first_rule(tag_columns(), s))
+    marked = strip_regions(tk.tokens(pages, html, key, keep=[route] if route else None), rule=rule, key=key)
     written = F.when(~F.col("removed"), tk.canonical(F.col("tok"), F.col("kind"), F.col("name")))
     joined = tk.join_tokens(
         marked.withColumn("_out", written), "_out", key,
@@ -127,25 +142,25 @@ def rule_counts(pages: DataFrame, selectors: list[str], html: str = "html", key:
     return marked.where("hit").groupBy("rule").agg(F.count("*").alias("hits"))
 
 
-def target_sections(pages: DataFrame, targets: list[tuple[str, str]], html: str = "html",
-                    key: str = "page_id") -> DataFrame:
+def target_sections(pages: DataFrame, targets: list[tuple[str, str]] | dict[str, list[tuple[str, str]]], html: str = "html",
+                    key: str = "page_id", route: str | None = None) -> DataFrame:
     """Cut out the first element hit by the best target; ``targets`` are ("id"|"class", value) in priority order.
 
-    Returns only pages with a hit: ``key, html, selector``.
+    Returns only pages with a hit: ``key, html, selector``. With a ``route`` column, each route has its own targets.
     """
-    toks = tk.with_depth(tk.tokens(pages, html, key), key, tk.VOID_TARGET)
+    toks = tk.with_depth(tk.tokens(pages, html, key, keep=[route] if route else None), key, tk.VOID_TARGET)
     tag = tag_columns()
-    rank = F.lit(None).cast("int")
-    for i in range(len(targets) - 1, -1, -1):
-        how, value = targets[i]
-        rank = F.when(tag.matches(("#" if how == "id" else ".") + value), i).otherwise(rank)
-    ended = with_region_end(with_rule(toks, rank), key)
+
+    def best_target(options: list[tuple[str, str]]) -> Column:
+        found = [F.when(tag.matches(("#" if how == "id" else ".") + value), F.struct(
+            F.lit(i).alias("rank"), F.lit(f"{how}={value}").alias("label"))) for i, (how, value) in enumerate(options)]
+        return F.coalesce(*found) if found else F.lit(None)
+
+    ended = with_region_end(with_rule(toks, _by_route(route, targets, best_target)), key)
     whole = Window.partitionBy(key)
     best = F.min(F.when(F.col("rule").isNotNull(), F.struct("rule", "pos", "region_end"))).over(whole)
     kept = ended.withColumn("_best", best).where(F.col("pos").between(F.col("_best.pos"), F.col("_best.region_end")))
-    labels = F.array(*[F.lit(f"{how}={value}") for how, value in targets])
     joined = tk.join_tokens(
         kept.withColumn("_out", tk.canonical(F.col("tok"), F.col("kind"), F.col("name"))), "_out", key,
-        extra=[F.min("_best.rule").alias("_rank")])
-    return (joined.select(key, strip(F.col("html")).alias("html"), F.get(labels, F.col("_rank")).alias("selector"))
-            .where("html <> ''"))
+        extra=[F.min("_best.rule.label").alias("selector")])
+    return joined.select(key, strip(F.col("html")).alias("html"), "selector").where("html <> ''")

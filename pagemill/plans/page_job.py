@@ -33,26 +33,28 @@ def _names(text: str) -> list[str]:
     return [s.strip() for s in text.split(",") if s.strip()]
 
 
-def _article_html(pages: DataFrame, ids: list[str], classes: list[str]) -> DataFrame:
-    """Add ``article``: the target section if there is one, else the main content."""
-    targets = [("id", i) for i in ids] + [("class", c) for c in classes]
-    if not targets:
-        return pages.withColumn("article", titles.main_html(F.col("html")))
-    cut = regions.target_sections(pages, targets).select("page_id", F.col("html").alias("_target"))
-    return pages.join(cut, "page_id", "left").withColumn(
-        "article", F.coalesce("_target", titles.main_html(F.col("html")))).drop("_target")
-
-
-def _converted(pages: DataFrame, ids: list[str], classes: list[str], selectors: list[str], options: PageOptions,
-               threshold: int) -> DataFrame:
-    """HTML pages with one set of options to ``page_id, title, md, image_urls``."""
-    articles = _article_html(pages, ids, classes)
-    if selectors:
-        stripped = regions.strip_elements(articles, selectors, "article").select("page_id", F.col("html").alias("_kept"))
-        articles = articles.join(stripped, "page_id", "left").withColumn("article", F.coalesce("_kept", "article")).drop("_kept")
+def _articles(pages: DataFrame, targets: dict, selectors: dict) -> DataFrame:
+    """Add ``article``: the target section of the page's route or the main content, with the route's elements stripped."""
+    out = pages.withColumn("article", titles.main_html(F.col("html")))
+    aimed = [r for r, t in targets.items() if t]
+    if aimed:
+        cut = regions.target_sections(pages.where(F.col("route").isin(*aimed)), targets, route="route")
+        out = out.join(cut.select("page_id", F.col("html").alias("_target")), "page_id", "left").withColumn(
+            "article", F.coalesce("_target", "article")).drop("_target")
+    pruned = [r for r, s in selectors.items() if s]
+    if pruned:
+        kept = regions.strip_elements(out.where(F.col("route").isin(*pruned)), selectors, "article", route="route")
+        out = out.join(kept.select("page_id", F.col("html").alias("_kept")), "page_id", "left").withColumn(
+            "article", F.coalesce("_kept", "article")).drop("_kept")
+    return out
+
+
+def _converted(pages: DataFrame, targets: dict, selectors: dict, options: PageOptions) -> DataFrame:
+    """Pages with a ``route`` to ``page_id, title, md, image_urls``; all routes share one conversion."""
+    articles = _articles(pages, targets, selectors)
     md = markdown.html_to_markdown(articles, "article", "url", keep_html=options.keep_html)
     facts = articles.select(
-        "page_id", "is_messenger",
+        "page_id", "is_messenger", "route",
         titles.resolve(F.col("custom_title"), F.col("embedded_title"), F.col("is_messenger"), F.col("html"), F.col("article")).alias("title"),
         links.page_images(F.col("article"), F.col("url")).alias("image_urls"))
     body = bind(F.coalesce("md", F.lit("")), lambda m: mt.drop_duplicate_title(m, F.col("title")))
@@ -60,8 +62,12 @@ def _converted(pages: DataFrame, ids: list[str], classes: list[str], selectors:
     if options.wiki_noise:
         body = mt.drop_wiki_noise(body)
     done = facts.join(md, "page_id", "left").withColumn("md", body)
+    threshold = options.anchor_list_threshold
     if threshold > 0:
         done = done.withColumn("md", mt.drop_anchor_lists(F.col("md"), threshold)["md"])
+    elif options.auto_detect:
+        detected = ~F.col("route").isin("plain", "messenger")
+        done = done.withColumn("md", F.when(detected, mt.drop_anchor_lists(F.col("md"), 10)["md"]).otherwise(F.col("md")))
     return done.select("page_id", "title", "md", "image_urls")
 
 
@@ -105,22 +111,21 @@ def page_results(pages: DataFrame, options: PageOptions = PageOptions()) -> Data
     html_rows = rest.where(~drawn).drop("_async")
 
     ids, classes = _names(options.target_ids), _names(options.target_classes)
+    aim = lambda i, c: [("id", x) for x in i] + [("class", x) for x in c]
     own = regions.selector_list(options.strip_nav, options.strip_toc, options.exclude)
-    parts = []
-    messenger = F.col("is_messenger") if not ids and not classes else F.lit(False)
-    preset = classify.applied_preset(classify.framework(F.col("html"))) if options.auto_detect else F.lit(None).cast("string")
-    routed = html_rows.withColumn("_preset", preset)
-    parts.append(_converted(routed.where(F.col("_preset").isNull() & ~messenger), ids, classes, own, options, options.anchor_list_threshold))
-    parts.append(_converted(routed.where(F.col("_preset").isNull() & messenger), ids, ["rich_media_content"], own, options,
-                            options.anchor_list_threshold))
+    targets = {"plain": aim(ids, classes)}
+    selectors = {"plain": own}
+    route = F.lit("plain")
+    if not ids and not classes:
+        targets["messenger"], selectors["messenger"] = aim([], ["rich_media_content"]), own
+        route = F.when(F.col("is_messenger"), "messenger").otherwise(route)
     if options.auto_detect:
+        route = F.coalesce(classify.applied_preset(classify.framework(F.col("html"))), route)
         for p in classify.PRESETS:
-            selectors = regions.selector_list(True, True, ",".join([options.exclude, *p["exclude"]]))
-            parts.append(_converted(routed.where(F.col("_preset") == p["name"]), ids or p["target_ids"], classes or p["target_classes"],
-                                    selectors, options, options.anchor_list_threshold or 10))
-    done = ready.unionByName(async_rows)
-    for part in parts:
-        done = done.unionByName(part)
+            targets[p["name"]] = aim(ids or p["target_ids"], classes or p["target_classes"])
+            selectors[p["name"]] = regions.selector_list(True, True, ",".join([options.exclude, *p["exclude"]]))
+    converted = _converted(html_rows.withColumn("route", route), targets, selectors, options)
+    done = ready.unionByName(async_rows).unionByName(converted)
     empty = ~is_filled(F.col("md"))
     results = done.withColumn("error", F.when(empty, F.lit("empty body after conversion"))).withColumn(
         "md", F.when(empty, F.lit("")).otherwise(F.col("md"))).unionByName(failed)
