@@ -56,3 +56,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, value: str, row_id: Colu
                       F.concat(F.lit("\x00"), spread_id.cast("string"))).otherwise(F.col(key))
     joined = served.withColumn("_join", join_key).join(slim, F.col("_join") == F.col("_key"), "left")
     return joined.select(*left.columns, F.coalesce("_hot_value", "_value").alias(value))
+
+
+def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``keys, run, value, size``: maximal stretches of equal values inside one document."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    changed = df.withColumn("_new", (~F.col(value).eqNullSafe(F.lag(value, 1).over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    numbered = changed.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count("*").alias("size"))

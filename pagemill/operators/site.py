@@ -188,7 +188,7 @@ def outcome(results: DataFrame) -> DataFrame:
 def image_references(docs: DataFrame, md: str = "md", key: str = "page_id") -> DataFrame:
     """``key, ref, is_local`` of every Markdown image."""
     raw = F.explode(F.regexp_extract_all(md, F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)))
-    refs = docs.select(key, F.trim(raw).alias("ref"))
+    refs = docs.select(key, raw.alias("ref")).select(key, F.trim("ref").alias("ref"))
     bare = F.when(F.col("ref").rlike("^<.*>$"), F.trim(F.substring("ref", F.lit(2), F.length("ref") - 2))).otherwise(F.col("ref"))
     clean = F.trim(F.regexp_replace(bare, r"""\s+["'][^"']*["']\s*$""", ""))
     return refs.select(key, clean.alias("ref")).withColumn("is_local", ~F.col("ref").rlike("(?i)^[a-z]+://"))
@@ -218,8 +218,8 @@ def unused_assets(files: DataFrame, docs: DataFrame, md: str = "md") -> DataFram
     are at most a few hundred, because names are cut to the path limit.
     """
     lengths = files.agg(F.collect_set(F.length("file_name")).alias("n")).scalar()
-    runs = docs.select(F.explode(F.regexp_extract_all(md, F.lit(r"[\p{L}\p{N}_.\-]+"), F.lit(0))).alias("w")).distinct()
-    pieces = F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length("w")), lambda n: F.transform(
+    runs = docs.select(F.explode(F.regexp_extract_all(md, F.lit(r"[\p{L}\p{N}_.\-]+"), F.lit(0))).alias("w")).distinct().withColumn("lengths", lengths)
+    pieces = F.flatten(F.transform(F.filter(F.col("lengths"), lambda n: n <= F.length("w")), lambda n: F.transform(
         F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, n))))
     seen = runs.select(F.explode(F.array_distinct(pieces)).alias("file_name")).distinct()
     return files.join(seen, "file_name", "left_anti")
