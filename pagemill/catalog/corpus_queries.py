@@ -218,7 +218,7 @@ def _(spark, sf):
 
 
 STEM = r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim({0}), '[^\p{{L}}\p{{N}}_.\-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled')"
-FILE_SQL = f"""WITH base AS ({BASE_SQL}), f AS (SELECT *, substring(CASE WHEN regexp_matches(st, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^.]*)?$') THEN '_' || st ELSE st END, 1, 50) AS stem FROM (SELECT *, {STEM.format('title')} AS st FROM base WHERE success)),
+FILE_SQL = f"""WITH base AS ({BASE_SQL}), f AS (SELECT *, substring(CASE WHEN regexp_matches(st, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\\.[^.]*)?$') THEN '_' || st ELSE st END, 1, 50) AS stem FROM (SELECT *, {STEM.format('title')} AS st FROM base WHERE success)),
  n AS (SELECT *, row_number() OVER (PARTITION BY site, stem ORDER BY ord) - 1 AS k FROM f), names AS (SELECT *, stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.md' AS file_name FROM n)"""
 
 

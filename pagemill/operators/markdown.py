@@ -70,9 +70,11 @@ def safe_tag(tok: Column, kind: Column, name: Column) -> Column:
 
 # --- per-token columns ----------------------------------------------------------------------------------------
 
-def _cut(pages: DataFrame, html: str, base: str, key: str, keep_html: bool) -> DataFrame:
+def _cut(pages: DataFrame, html: str, base: str, key: str, keep_html: bool, carry: list[str], spread_first: bool) -> DataFrame:
     """Tokens with everything that depends on one tag alone; page URL and HTML go no further."""
-    spread = tk.spread(pages.select(key, F.col(html).alias("_html"), F.coalesce(F.col(base), F.lit("")).alias("_base")), key)
+    slim = pages.select(key, F.col(html).alias("_html"), F.coalesce(F.col(base), F.lit("")).alias("_base"),
+                        *([F.struct(*carry).alias("_carry")] if carry else []))
+    spread = tk.spread(slim, key) if spread_first else slim
     pieces = F.regexp_extract_all(F.col("_html"), F.lit(tk.TOKEN), F.lit(0))
     void = "|".join(tk.VOID_CONVERT)
 
@@ -83,7 +85,11 @@ def _cut(pages: DataFrame, html: str, base: str, key: str, keep_html: bool) -> D
                                      F.concat(F.lit("</"), name, F.lit(">")))).otherwise(F.array(t))
 
     paired = bind(pieces, lambda p: F.when(F.contains(F.col("_html"), F.lit("/>")), F.flatten(F.transform(p, opened))).otherwise(p))
-    cut = spread.select(key, "_base", F.posexplode(paired).alias("pos", "tok"))
+    if carry:  # page columns travel on an empty token in front of the page
+        paired = F.concat(F.array(F.lit("")), F.coalesce(paired, F.array().cast("array<string>")))
+    cut = spread.select(key, "_base", *(["_carry"] if carry else []), F.posexplode(paired).alias("pos", "tok"))
+    if carry:
+        cut = cut.withColumn("carry", F.when(F.col("pos") == 0, F.col("_carry"))).drop("_carry")
     kind = bind(tk.kind_of(F.col("tok")), lambda k: F.when(k == "selfclose", F.lit("start")).otherwise(k))
     name = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))
     cut = cut.withColumn("kind", kind).withColumn(
@@ -130,7 +136,7 @@ def _cut(pages: DataFrame, html: str, base: str, key: str, keep_html: bool) -> D
                & F.coalesce(tk.attr(attrs, "rowspan"), F.lit("1")).isin("", "1")).otherwise(F.lit(True)).alias("plain_cell"),
     )
     used = F.col("attrs").isNotNull() | (start & tag.isin("a", "td", "th", "pre", "code"))
-    kept = [F.col("tok")] if keep_html else []
+    kept = ([F.col("tok")] if keep_html else []) + ([F.col("carry")] if carry else [])
     return cut.select(key, "pos", "kind", "name", *kept, F.when(F.col("kind") == "text", entities.unescape(tok)).alias("txt"),
                       F.when(used, info).alias("info"))
 
@@ -144,7 +150,7 @@ def _clamped(total: str, low: str) -> Column:
     return F.col(total) - F.least(F.lit(0), F.col(low))
 
 
-def _context(cut: DataFrame, key: str, keep_html: bool) -> DataFrame:
+def _context(cut: DataFrame, key: str, keep_html: bool, carry: bool) -> DataFrame:
     w = tk.by_page(key)
     so_far = tk.running(w)
     start, end, tag = F.col("kind") == "start", F.col("kind") == "end", F.col("name")
@@ -175,7 +181,7 @@ def _context(cut: DataFrame, key: str, keep_html: bool) -> DataFrame:
     in_katex = F.col("kx").isNotNull() & since("kx.pos", "kx_out") & since("kx.pos", "block_pos")
     in_display = F.col("kd").isNotNull() & since("kd.pos", "kd_out") & since("kd.pos", "block_pos")
     inked = seen.select(
-        key, "pos", "kind", "name", *(["tok"] if keep_html else []), "txt", "info", "t_sum", "skip", F.coalesce(in_katex, F.lit(False)).alias("in_katex"),
+        key, "pos", "kind", "name", *(["tok"] if keep_html else []), *(["carry"] if carry else []), "txt", "info", "t_sum", "skip", F.coalesce(in_katex, F.lit(False)).alias("in_katex"),
         F.coalesce(in_display, F.lit(False)).alias("in_display"))
     live = inked.withColumn("t_min", F.min("t_sum").over(so_far)).where(~F.col("skip")).withColumn(
         "t", _clamped("t_sum", "t_min").cast("int"))
@@ -249,7 +255,7 @@ def _numbered(ctx: DataFrame, key: str) -> DataFrame:
         "ordered", F.col("_list.tag") == "ol").drop("_level", "_items", "_list")
 
 
-def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
+def _fragments(ctx: DataFrame, key: str, keep_html: bool, carry: bool) -> DataFrame:
     """One row per token: where its text goes (``unit``), what it adds (``part``) and the blank lines it asks for."""
     start, end, tag, text = F.col("kind") == "start", F.col("kind") == "end", F.col("name"), F.col("txt")
     is_text = F.col("kind") == "text"
@@ -325,6 +331,8 @@ def _fragments(ctx: DataFrame, key: str, keep_html: bool) -> DataFrame:
         F.when(closes == "note", F.coalesce("note_display", F.lit(False))).alias("display"),
         F.col("info.tex").alias("tex"), dropped.alias("dropped"),
     ]
+    if carry:
+        columns.append(F.col("carry"))
     if keep_html:
         piece = F.when(is_text, html_escape(text, quote=False)).otherwise(safe_tag(F.col("tok"), F.col("kind"), tag))
         void_end = end & tag.isin(*tk.VOID_CONVERT)
@@ -396,13 +404,15 @@ def _math(tex: Column, display: Column) -> Column:
         F.concat(F.lit("$"), F.replace(tex, F.lit("\n"), F.lit(" ")), F.lit("$")))
 
 
-def _units(parts: DataFrame, key: str, keep_html: bool) -> DataFrame:
+def _units(parts: DataFrame, key: str, keep_html: bool, carry: bool) -> DataFrame:
     """One row per output position: ``unit, asks, words, part``."""
     aggs = [
         F.expr("listagg(gathered, '') WITHIN GROUP (ORDER BY pos)").alias("gathered"),
         *[F.max(c).alias(c) for c in ["asks", "own", "words", "closes", "link", "fence", "display", "tex"]],
         F.max(F.when(F.col("pos") == F.col("unit"), F.col("dropped"))).alias("dropped"),
     ]
+    if carry:
+        aggs.append(F.first("carry", ignorenulls=True).alias("carry"))
     if keep_html:
         aggs += [F.expr("listagg(html_part, '') WITHIN GROUP (ORDER BY pos)").alias("html_part"),
                  F.max("html_head").alias("html_head"), F.max("complex").alias("complex")]
@@ -430,11 +440,11 @@ def _units(parts: DataFrame, key: str, keep_html: bool) -> DataFrame:
                                      F.when(inline_tex, _math(F.col("tex.tex"), F.lit(False)))))
     asks = F.when(F.col("closes").eqNullSafe("note") & F.col("display") & (note != ""), 2).otherwise(
         F.coalesce("asks", F.lit(0)))
-    return units.select(key, "unit", asks.alias("asks"), F.regexp_replace(words, r"[ \t\r\f\x0b]+", " ").alias("words"),
+    return units.select(key, "unit", *(["carry"] if carry else []), asks.alias("asks"), F.regexp_replace(words, r"[ \t\r\f\x0b]+", " ").alias("words"),
                         F.coalesce(part, F.lit("")).alias("part"))
 
 
-def _spaced(units: DataFrame, key: str) -> DataFrame:
+def _spaced(units: DataFrame, key: str, carry: bool) -> DataFrame:
     """Add the line breaks and blanks that depend on what the output ends with."""
     w = Window.partitionBy(key).orderBy("unit")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -466,7 +476,7 @@ def _spaced(units: DataFrame, key: str) -> DataFrame:
         return F.concat(F.when(gap, F.lit(" ")).otherwise(F.lit("")), t)
 
     text = F.when(F.col("words").isNotNull(), bind(trimmed, blank)).otherwise(F.col("part"))
-    return seen.select(key, "unit", F.concat(lines, text).alias("piece"))
+    return seen.select(key, "unit", *(["carry"] if carry else []), F.concat(lines, text).alias("piece"))
 
 
 def polish(md: Column) -> Column:
@@ -478,9 +488,14 @@ def polish(md: Column) -> Column:
 
 
 def html_to_markdown(pages: DataFrame, html: str = "html", base: str = "url", key: str = "page_id",
-                     keep_html: bool = False) -> DataFrame:
-    """``key, md`` for every page that has any token."""
-    ctx = _numbered(_context(_cut(pages, html, base, key, keep_html), key, keep_html), key)
-    spaced = _spaced(_units(_fragments(ctx, key, keep_html), key, keep_html), key)
-    joined = spaced.groupBy(key).agg(F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY unit)").alias("md"))
-    return joined.select(key, polish(F.coalesce("md", F.lit(""))).alias("md"))
+                     keep_html: bool = False, carry: list[str] | None = None, spread_first: bool = True) -> DataFrame:
+    """``key, md`` for every page that has any token; with ``carry``, those page columns for every page.
+
+    ``spread_first`` is False when the pages come from a step that already grouped them by key.
+    """
+    kept = carry or []
+    ctx = _numbered(_context(_cut(pages, html, base, key, keep_html, kept, spread_first), key, keep_html, bool(kept)), key)
+    spaced = _spaced(_units(_fragments(ctx, key, keep_html, bool(kept)), key, keep_html, bool(kept)), key, bool(kept))
+    joined = spaced.groupBy(key).agg(F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY unit)").alias("md"),
+                                     *([F.first("carry", ignorenulls=True).alias("carry")] if kept else []))
+    return joined.select(key, polish(F.coalesce("md", F.lit(""))).alias("md"), *(["carry.*"] if kept else []))

@@ -115,25 +115,28 @@ def _by_route(route: str | None, options: dict, build) -> Column:
     """One expression for all pages: ``build(option)`` of the route each page takes."""
     if route is None:
         return build(options)
-    out = F.lit(None)
+    out = F.lit(None)  # the branches give it its type
     for name, option in options.items():
         out = F.when(F.col(route) == name, build(option)).otherwise(out)
     return out
 
 
 def strip_elements(pages: DataFrame, selectors: list[str] | dict[str, list[str]], html: str = "html", key: str = "page_id",
-                   route: str | None = None) -> DataFrame:
-    """``key, html, elements_removed, chars_before, chars_after`` for every page.
+                   route: str | None = None, carry: list[str] | None = None, spread_first: bool = True) -> DataFrame:
+    """``key, html, elements_removed, chars_before, chars_after`` for every page, plus the carried columns.
 
     With a ``route`` column, ``selectors`` maps each route to its own list; all routes share one pass.
     """
     rule = _by_route(route, selectors, lambda s: first_rule(tag_columns(), s))
-    marked = strip_regions(tk.tokens(pages, html, key, keep=[route] if route else None), rule=rule, key=key)
+    toks = tk.tokens(pages, html, key, keep=[route] if route else None, carry=carry, spread_first=spread_first)
+    marked = strip_regions(toks, rule=rule, key=key)
     written = F.when(~F.col("removed"), tk.canonical(F.col("tok"), F.col("kind"), F.col("name")))
     joined = tk.join_tokens(
         marked.withColumn("_out", written), "_out", key,
-        extra=[F.count_if("hit").alias("elements_removed"), F.sum(F.length("tok")).alias("chars_before")])
-    return joined.withColumn("chars_after", F.length("html").cast("bigint"))
+        extra=[F.count_if("hit").alias("elements_removed"), F.sum(F.length("tok")).alias("chars_before"),
+               *([F.first("carry", ignorenulls=True).alias("carry")] if carry else [])])
+    done = joined.withColumn("chars_after", F.length("html").cast("bigint"))
+    return done.select(*[c for c in done.columns if c != "carry"], "carry.*") if carry else done
 
 
 def rule_counts(pages: DataFrame, selectors: list[str], html: str = "html", key: str = "page_id") -> DataFrame:
@@ -143,24 +146,31 @@ def rule_counts(pages: DataFrame, selectors: list[str], html: str = "html", key:
 
 
 def target_sections(pages: DataFrame, targets: list[tuple[str, str]] | dict[str, list[tuple[str, str]]], html: str = "html",
-                    key: str = "page_id", route: str | None = None) -> DataFrame:
+                    key: str = "page_id", route: str | None = None, carry: list[str] | None = None,
+                    spread_first: bool = True) -> DataFrame:
     """Cut out the first element hit by the best target; ``targets`` are ("id"|"class", value) in priority order.
 
-    Returns only pages with a hit: ``key, html, selector``. With a ``route`` column, each route has its own targets.
+    Returns ``key, html, selector`` of the pages with a hit, or of all pages (html NULL without a hit) together with the
+    carried columns. With a ``route`` column, each route has its own targets.
     """
-    toks = tk.with_depth(tk.tokens(pages, html, key, keep=[route] if route else None), key, tk.VOID_TARGET)
+    cut = tk.tokens(pages, html, key, keep=[route] if route else None, carry=carry, spread_first=spread_first)
+    toks = tk.with_depth(cut, key, tk.VOID_TARGET)
     tag = tag_columns()
 
     def best_target(options: list[tuple[str, str]]) -> Column:
         found = [F.when(tag.matches(("#" if how == "id" else ".") + value), F.struct(
             F.lit(i).alias("rank"), F.lit(f"{how}={value}").alias("label"))) for i, (how, value) in enumerate(options)]
-        return F.coalesce(*found) if found else F.lit(None)
+        return F.coalesce(*found) if found else F.lit(None).cast("struct<rank:int,label:string>")
 
     ended = with_region_end(with_rule(toks, _by_route(route, targets, best_target)), key)
     whole = Window.partitionBy(key)
     best = F.min(F.when(F.col("rule").isNotNull(), F.struct("rule", "pos", "region_end"))).over(whole)
-    kept = ended.withColumn("_best", best).where(F.col("pos").between(F.col("_best.pos"), F.col("_best.region_end")))
-    joined = tk.join_tokens(
-        kept.withColumn("_out", tk.canonical(F.col("tok"), F.col("kind"), F.col("name"))), "_out", key,
-        extra=[F.min("_best.rule.label").alias("selector")])
-    return joined.select(key, strip(F.col("html")).alias("html"), "selector").where("html <> ''")
+    inside = F.coalesce(F.col("pos").between(F.col("_best.pos"), F.col("_best.region_end")), F.lit(False))
+    kept = ended.withColumn("_best", best).where((inside | F.col("carry").isNotNull()) if carry else inside)
+    written = F.when(inside, tk.canonical(F.col("tok"), F.col("kind"), F.col("name")))
+    joined = tk.join_tokens(kept.withColumn("_out", written), "_out", key, extra=[
+        F.min("_best.rule.label").alias("selector"), *([F.first("carry", ignorenulls=True).alias("carry")] if carry else [])])
+    section = F.nullif(strip(F.col("html")), F.lit(""))
+    if carry:
+        return joined.select(key, section.alias("html"), "selector", "carry.*")
+    return joined.select(key, section.alias("html"), "selector").where("html IS NOT NULL")

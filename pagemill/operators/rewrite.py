@@ -13,7 +13,7 @@ from pagemill.functions import markdown_text as mt, urls
 from pagemill.operators import sequence
 
 _LINK = r"(?<!!)\[[^\]]+\]\([^)]+\)"
-_IMAGE = r"""!\[[^\]]*\]\([^)\s]+\)|<img\b[^>]*\bsrc=["'][^"']+["']"""
+_IMAGE = r"""!\[[^\]]*\]\([^)\s]+\)|(?i:<img\b[^>]*\bsrc=["'][^"']+["'])"""
 
 
 def pieces(docs: DataFrame, pattern: str, md: str, key: str, fences: bool) -> DataFrame:

@@ -51,14 +51,23 @@ def kind_of(tok: Column) -> Column:
 
 
 def tokens(pages: DataFrame, html: str = "html", key: str = "page_id", keep: list[str] | None = None,
-           spread_first: bool = True) -> DataFrame:
-    """``key, *keep, pos, tok, kind, name``. The concatenated tokens of a page are the page."""
+           spread_first: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """``key, *keep, pos, tok, kind, name``. The concatenated tokens of a page are the page.
+
+    With ``carry``, page columns travel as one struct on an empty token put in front of each page, so that later steps
+    need no join to get them back; a page without HTML still has that token.
+    """
     kept = keep or []
-    base = pages.select(key, *kept, F.col(html).alias("_html"))
+    base = pages.select(key, *kept, F.col(html).alias("_html"), *([F.struct(*carry).alias("_carry")] if carry else []))
     if spread_first:
         base = spread(base, key)
     pieces = F.regexp_extract_all(F.col("_html"), F.lit(TOKEN), F.lit(0))
-    cut = base.select(key, *kept, F.posexplode(pieces).alias("pos", "tok"))
+    if carry:
+        pieces = F.concat(F.array(F.lit("")), F.coalesce(pieces, F.array().cast("array<string>")))
+        cut = base.select(key, *kept, "_carry", F.posexplode(pieces).alias("pos", "tok")).withColumn(
+            "carry", F.when(F.col("pos") == 0, F.col("_carry"))).drop("_carry")
+    else:
+        cut = base.select(key, *kept, F.posexplode(pieces).alias("pos", "tok"))
     name = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))
     return cut.withColumn("kind", kind_of(F.col("tok"))).withColumn(
         "name", F.when(F.col("kind").isin("start", "end", "selfclose", "raw"), name).otherwise(F.lit("")))

@@ -33,89 +33,38 @@ def _names(text: str) -> list[str]:
     return [s.strip() for s in text.split(",") if s.strip()]
 
 
-def _articles(pages: DataFrame, targets: dict, selectors: dict) -> DataFrame:
-    """Add ``article``: the target section of the page's route or the main content, with the route's elements stripped."""
-    out = pages.withColumn("article", titles.main_html(F.col("html")))
-    aimed = [r for r, t in targets.items() if t]
-    if aimed:
-        cut = regions.target_sections(pages.where(F.col("route").isin(*aimed)), targets, route="route")
-        out = out.join(cut.select("page_id", F.col("html").alias("_target")), "page_id", "left").withColumn(
-            "article", F.coalesce("_target", "article")).drop("_target")
-    pruned = [r for r, s in selectors.items() if s]
-    if pruned:
-        kept = regions.strip_elements(out.where(F.col("route").isin(*pruned)), selectors, "article", route="route")
-        out = out.join(kept.select("page_id", F.col("html").alias("_kept")), "page_id", "left").withColumn(
-            "article", F.coalesce("_kept", "article")).drop("_kept")
-    return out
-
-
-def _converted(pages: DataFrame, targets: dict, selectors: dict, options: PageOptions) -> DataFrame:
-    """Pages with a ``route`` to ``page_id, title, md, image_urls``; all routes share one conversion."""
-    articles = _articles(pages, targets, selectors)
-    md = markdown.html_to_markdown(articles, "article", "url", keep_html=options.keep_html)
-    facts = articles.select(
-        "page_id", "is_messenger", "route",
-        titles.resolve(F.col("custom_title"), F.col("embedded_title"), F.col("is_messenger"), F.col("html"), F.col("article")).alias("title"),
-        links.page_images(F.col("article"), F.col("url")).alias("image_urls"))
-    body = bind(F.coalesce("md", F.lit("")), lambda m: mt.drop_duplicate_title(m, F.col("title")))
-    body = F.when(F.col("is_messenger"), mt.drop_messenger_noise(body)).otherwise(body)
-    if options.wiki_noise:
-        body = mt.drop_wiki_noise(body)
-    done = facts.join(md, "page_id", "left").withColumn("md", body)
-    threshold = options.anchor_list_threshold
-    if threshold > 0:
-        done = done.withColumn("md", mt.drop_anchor_lists(F.col("md"), threshold)["md"])
-    elif options.auto_detect:
-        detected = ~F.col("route").isin("plain", "messenger")
-        done = done.withColumn("md", F.when(detected, mt.drop_anchor_lists(F.col("md"), 10)["md"]).otherwise(F.col("md")))
-    return done.select("page_id", "title", "md", "image_urls")
+def _with_embedded(base: DataFrame, wanted: bool) -> DataFrame:
+    """Add the embedded article (``e``) of pages that carry one in their scripts."""
+    if not wanted:
+        return base.withColumn("e", F.lit(None).cast("struct<title:string,body:string,is_markdown:boolean>"))
+    may_have = base.where(F.contains("html", F.lit("__NEXT_DATA__")) | F.contains("html", F.lit("_ROUTER_DATA"))
+                          | (F.size(embedded.candidate_scripts(F.col("html"))) > 0))
+    found = embedded.articles(may_have).select("page_id", F.struct("title", "body", "is_markdown").alias("e"))
+    return base.join(found, "page_id", "left")
 
 
 def page_results(pages: DataFrame, options: PageOptions = PageOptions()) -> DataFrame:
     """``page_id, url, title, md, success, error, image_urls``. ``pages``: ``page_id, url, html`` and optionally ``title``.
 
-    Pages take one of a few paths by a cheap test, so that only pages with HTML to convert are cut into tokens.
+    One line of steps without branches: every page is read once and shuffled once. Pages that need no conversion (failed,
+    or with a ready article) go through it with no HTML; what is known about a page travels along with it.
     """
-    base = within_size(pages, options.max_html_bytes)
     custom = F.col("title") if "title" in pages.columns else F.lit(None).cast("string")
-    base = base.select("page_id", "url", "html", custom.alias("custom_title"))
-    if options.embedded_articles:
-        may_have = base.where(F.contains("html", F.lit("__NEXT_DATA__")) | F.contains("html", F.lit("_ROUTER_DATA"))
-                              | (F.size(embedded.candidate_scripts(F.col("html"))) > 0))
-        found = embedded.articles(may_have).select("page_id", F.col("title").alias("embedded_title"), "body", "is_markdown")
-        joined = base.join(found, "page_id", "left")
-    else:
-        joined = base.withColumns({"embedded_title": F.lit(None).cast("string"), "body": F.lit(None).cast("string"),
-                                   "is_markdown": F.lit(None).cast("boolean")})
-    checked = joined.withColumn("error", classify.gate_error(classify.challenge(F.col("html")), F.col("body").isNotNull(), options.force))
-    failed = checked.where("error IS NOT NULL").select(
-        "page_id", F.coalesce("custom_title", "url").alias("title"), F.lit("").alias("md"), "error", F.array().cast("array<string>").alias("image_urls"))
-    good = checked.where("error IS NULL")
-
-    ready = good.where("is_markdown").select("page_id", F.coalesce(
-        blank_to_null(F.col("custom_title")), blank_to_null(F.col("embedded_title")), titles.title_tag(F.col("html")), F.lit("Untitled")).alias("title"),
-        mt.absolute_images(F.col("body"), F.col("url")).alias("md"), "url")
-    ready = ready.withColumn("md", mt.drop_duplicate_title(F.col("md"), F.col("title"))).withColumn(
-        "image_urls", mt.image_urls(F.col("md"), F.col("url"))).drop("url")
-    if options.anchor_list_threshold > 0:
-        ready = ready.withColumn("md", mt.drop_anchor_lists(F.col("md"), options.anchor_list_threshold)["md"])
-
-    rest = good.where(F.coalesce(~F.col("is_markdown"), F.lit(True))).withColumn("html", F.coalesce("body", "html")).drop("body", "is_markdown")
-    rest = rest.withColumn("is_messenger", classify.is_messenger_url(F.col("url")) | classify.is_messenger_html(F.col("html")))
-    info = F.when(F.col("is_messenger") & classify.is_async_article(F.col("html")), embedded.async_fields(F.col("html")))
-    rest = rest.withColumn("_async", info)
-    drawn = F.coalesce(F.col("_async.content"), F.lit("")) != ""
-    async_rows = rest.where(drawn).select(
-        "page_id", F.coalesce(blank_to_null(F.col("custom_title")), F.col("_async.title"), F.lit("Untitled")).alias("title"),
-        embedded.async_markdown(F.col("_async")).alias("md"), F.array().cast("array<string>").alias("image_urls"))
-    html_rows = rest.where(~drawn).drop("_async")
+    base = within_size(pages, options.max_html_bytes).select("page_id", "url", "html", custom.alias("custom"))
+    joined = _with_embedded(base, options.embedded_articles)
+    checked = joined.withColumn("error", classify.gate_error(classify.challenge(F.col("html")), F.col("e").isNotNull(), options.force))
+    is_ready = F.col("error").isNull() & F.coalesce(F.col("e.is_markdown"), F.lit(False))
+    shown = F.when(F.col("e").isNotNull() & ~F.col("e.is_markdown"), F.col("e.body")).otherwise(F.col("html"))
+    paged = checked.withColumns({"ready": is_ready, "html": shown}).withColumn(
+        "is_messenger", classify.is_messenger_url(F.col("url")) | classify.is_messenger_html(F.col("html")))
+    drawn = F.when(F.col("is_messenger") & classify.is_async_article(F.col("html")) & ~F.col("ready"), embedded.async_fields(F.col("html")))
+    paged = paged.withColumn("drawn", drawn).withColumn("drawn", F.when(F.col("drawn.content") != "", F.col("drawn")))
+    convert = F.col("error").isNull() & ~F.col("ready") & F.col("drawn").isNull()
 
     ids, classes = _names(options.target_ids), _names(options.target_classes)
     aim = lambda i, c: [("id", x) for x in i] + [("class", x) for x in c]
     own = regions.selector_list(options.strip_nav, options.strip_toc, options.exclude)
-    targets = {"plain": aim(ids, classes)}
-    selectors = {"plain": own}
-    route = F.lit("plain")
+    targets, selectors, route = {"plain": aim(ids, classes)}, {"plain": own}, F.lit("plain")
     if not ids and not classes:
         targets["messenger"], selectors["messenger"] = aim([], ["rich_media_content"]), own
         route = F.when(F.col("is_messenger"), "messenger").otherwise(route)
@@ -124,10 +73,49 @@ def page_results(pages: DataFrame, options: PageOptions = PageOptions()) -> Data
         for p in classify.PRESETS:
             targets[p["name"]] = aim(ids or p["target_ids"], classes or p["target_classes"])
             selectors[p["name"]] = regions.selector_list(True, True, ",".join([options.exclude, *p["exclude"]]))
-    converted = _converted(html_rows.withColumn("route", route), targets, selectors, options)
-    done = ready.unionByName(async_rows).unionByName(converted)
-    empty = ~is_filled(F.col("md"))
-    results = done.withColumn("error", F.when(empty, F.lit("empty body after conversion"))).withColumn(
-        "md", F.when(empty, F.lit("")).otherwise(F.col("md"))).unionByName(failed)
-    return results.join(base.select("page_id", "url"), "page_id").select(
-        "page_id", "url", "title", "md", F.col("error").isNull().alias("success"), "error", "image_urls")
+
+    known = F.coalesce(blank_to_null(F.col("custom")), blank_to_null(F.col("e.title")), F.col("drawn.title"),
+                       F.when(F.col("is_messenger"), titles.messenger_title(F.col("html"))))
+    facts = paged.select(
+        "page_id", "url", "error", "custom", "is_messenger", F.when(convert, route).alias("route"), known.alias("known_title"),
+        titles.title_tag(F.col("html")).alias("tag_title"), F.when(convert, F.col("html")).alias("html"),
+        F.when(convert, titles.main_html(F.col("html"))).alias("article"),
+        F.when(F.col("ready"), F.col("e.body")).otherwise(embedded.async_markdown(F.col("drawn"))).alias("ready_md"), "ready")
+    fields = ["url", "error", "custom", "is_messenger", "route", "known_title", "tag_title", "article", "ready_md", "ready"]
+
+    rows, fresh = facts, True
+    aimed = [r for r, t in targets.items() if t]
+    if aimed:
+        needs = rows.withColumn("_aimed", F.when(F.col("route").isin(*aimed), F.col("html"))).withColumn("_way", F.col("route"))
+        cut = regions.target_sections(needs, targets, "_aimed", route="_way", carry=fields, spread_first=fresh)
+        rows, fresh = cut.withColumn("article", F.coalesce("html", "article")).drop("html", "selector"), False
+    pruned = [r for r, s in selectors.items() if s]
+    if pruned:
+        needs = rows.withColumn("_pruned", F.when(F.col("route").isin(*pruned), F.col("article"))).withColumn("_way", F.col("route"))
+        kept = regions.strip_elements(needs, selectors, "_pruned", route="_way", carry=fields, spread_first=fresh)
+        rows, fresh = kept.withColumn("article", F.when(F.col("route").isin(*pruned), F.col("html")).otherwise(F.col("article"))).select("page_id", *fields), False
+
+    titled = rows.withColumn("title", F.when(F.col("error").isNotNull(), F.coalesce("custom", "url")).otherwise(F.coalesce(
+        "known_title", titles.first_heading(F.col("article")), "tag_title", F.lit("Untitled"))))
+    titled = titled.withColumn("image_urls", F.coalesce(links.page_images(F.col("article"), F.col("url")), F.array().cast("array<string>")))
+    carried = ["url", "error", "is_messenger", "route", "title", "image_urls", "ready_md", "ready"]
+    done = markdown.html_to_markdown(titled.withColumn("_base", F.col("url")), "article", "_base", keep_html=options.keep_html,
+                                     carry=carried, spread_first=fresh)
+
+    body = bind(F.col("md"), lambda m: mt.drop_duplicate_title(m, F.col("title")))
+    body = F.when(F.col("is_messenger"), mt.drop_messenger_noise(body)).otherwise(body)
+    if options.wiki_noise:
+        body = mt.drop_wiki_noise(body)
+    absolute = mt.absolute_images(F.col("ready_md"), F.col("url"))
+    ready = F.when(F.col("ready"), mt.drop_duplicate_title(absolute, F.col("title"))).otherwise(F.col("ready_md"))
+    final = done.withColumn("md", F.when(F.col("route").isNotNull(), body).otherwise(F.coalesce(ready, F.lit(""))))
+    final = final.withColumn("image_urls", F.when(F.col("ready"), mt.image_urls(F.col("md"), F.col("url"))).otherwise(F.col("image_urls")))
+    threshold = options.anchor_list_threshold or (10 if options.auto_detect else 0)
+    if threshold > 0:
+        applies = F.lit(True) if options.anchor_list_threshold else ~F.col("route").isin("plain", "messenger")
+        stripped = bind(F.col("md"), lambda m: mt.drop_anchor_lists(m, threshold)["md"])
+        final = final.withColumn("md", F.when(applies & (F.col("ready") | F.col("route").isNotNull()), stripped).otherwise(F.col("md")))
+    error = F.coalesce("error", F.when(~is_filled(F.col("md")), F.lit("empty body after conversion")))
+    return final.withColumn("error", error).select(
+        "page_id", "url", "title", F.when(F.col("error").isNull(), F.col("md")).otherwise(F.lit("")).alias("md"),
+        F.col("error").isNull().alias("success"), "error", "image_urls")
