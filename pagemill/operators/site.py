@@ -68,19 +68,23 @@ def page_document(title: Column, url: Column, md: Column, run_time: str, redact:
 def file_names(results: DataFrame, folder: str = "") -> DataFrame:
     """Add ``file_name`` to successful pages: a stem from the title, ``_1``, ``_2`` for repeats in page order.
 
-    A suffixed name that some title spells out literally is moved past the names in use, so names stay unique.
+    Where a suffixed name equals another title's own name, the later page gives way: an own name gets another ``_1``, a
+    suffixed one moves to the next number if that is free and else carries its page number.
     """
     named = results.where("success").withColumn("_stem", F.substring(urls.file_stem(F.col("title")), 1, 50))
     fitted = named.withColumn("_stem", F.regexp_replace(urls.fit_path(folder, F.concat("_stem", F.lit(".md"))), r"\.md$", ""))
-    numbered = sequence.row_numbers(fitted, ["site", "_stem"], ["ord"], "_n")
-    plain = numbered.where("_n = 1").select("site", F.col("_stem").alias("_name")).distinct()
-    first = numbered.withColumn("_name", F.when(F.col("_n") == 1, F.col("_stem")).otherwise(
-        F.concat("_stem", F.lit("_"), (F.col("_n") - 1).cast("string"))))
-    taken = plain.withColumn("_taken", F.lit(True))
-    marked = first.join(taken, ["site", "_name"], "left")
-    clash = F.coalesce("_taken", F.lit(False)) & (F.col("_n") > 1)
-    final = F.when(clash, F.concat("_stem", F.lit("_"), F.col("_n").cast("string"), F.lit("_"), F.col("ord").cast("string"))).otherwise(F.col("_name"))
-    return marked.withColumn("file_name", F.concat(final, F.lit(".md"))).drop("_stem", "_n", "_name", "_taken")
+    numbered = sequence.row_numbers(fitted, ["site", "_stem"], ["ord"], "_n").withColumn("_k", F.col("_n") - 1)
+    first = numbered.withColumn("_name", F.when(F.col("_k") == 0, F.col("_stem")).otherwise(
+        F.concat("_stem", F.lit("_"), F.col("_k").cast("string"))))
+    owner = first.groupBy("site", "_name").agg(F.min("ord").alias("_owner"))
+    sizes = numbered.groupBy("site", "_stem").agg(F.max("_k").alias("_last"))
+    placed = first.join(owner, ["site", "_name"]).join(sizes, ["site", "_stem"])
+    moved = (
+        F.when(F.col("_k") == 0, F.concat("_name", F.lit("_1")))
+        .when(F.col("_k") == F.col("_last"), F.concat("_stem", F.lit("_"), (F.col("_k") + 1).cast("string")))
+        .otherwise(F.concat("_name", F.lit("_"), F.col("ord").cast("string"))))
+    final = F.when(F.col("ord") == F.col("_owner"), F.col("_name")).otherwise(moved)
+    return placed.withColumn("file_name", F.concat(final, F.lit(".md"))).select(*results.columns, "file_name")
 
 
 def page_files(results: DataFrame, run_time: str, folder: str = "", redact: bool = True, assets: str | None = None) -> DataFrame:
