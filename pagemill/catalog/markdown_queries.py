@@ -265,7 +265,7 @@ def _(spark, sf):
  || CASE WHEN doc_id % 4 >= 2 THEN '</em>' ELSE '' END || CASE WHEN doc_id % 16 >= 8 THEN '</u>' ELSE '' END || CASE WHEN doc_id % 8 >= 4 THEN '</s>' ELSE '' END AS html FROM documents""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select(DOC, F.to_json(F.struct(F.lit("text").alias("type"), F.col("text"), (F.col(DOC) % 32).alias("format"))).alias("node"))
-    return d.select(DOC, richtext.marked_text(F.col("node")).alias("html"))
+    return d.select(DOC, richtext.marked_text(richtext.parse(F.col("node"))).alias("html"))
 
 
 @query("rt4_attributes", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 2 END AS level,
@@ -274,7 +274,7 @@ def _(spark, sf):
     node = ("CASE doc_id % 5 WHEN 0 THEN '{\"attrs\":{\"level\":0}}' WHEN 1 THEN '{\"data\":{\"level\":\"77\"}}' WHEN 2 THEN '{\"level\":\"abc\"}' WHEN 3 THEN '{\"tag\":\"h4\"}' ELSE '{}' END")
     image = "CASE WHEN doc_id % 2 = 0 THEN '{\"attrs\":{\"src\":\"http://x/' || doc_id || '\",\"alt\":\"' || source || '\"},\"url\":\"no\"}' ELSE '{\"data\":{\"file\":{\"url\":\"f' || doc_id || '\"},\"caption\":\"' || source || '\"}}' END"
     return derived(spark, sf, "documents", node=node, image=image).select(
-        DOC, richtext.heading_level(F.col("node")).alias("level"), richtext.image_tag(F.col("image")).alias("image"))
+        DOC, richtext.heading_level(richtext.parse(F.col("node"))).alias("level"), richtext.image_tag(richtext.parse(F.col("image"))).alias("image"))
 
 
 @query("rt5_editor_blocks", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p>' || t || '</p>' ELSE '<blockquote>' || t || '</blockquote>' END || chr(10) AS html FROM (SELECT doc_id, '<b>' || source || '</b>alert <a href=\"\">x</a>' AS t FROM documents)")
@@ -282,7 +282,7 @@ def _(spark, sf):
     raw = F.concat(F.lit("<b onmouseover='x'>"), "source", F.lit("</b><script>alert</script> <a href=\"javascript:y\">x</a>"))
     kind = F.when(F.col(DOC) % 2 == 0, "paragraph").otherwise("quote")
     d = table(spark, sf, "documents").select(DOC, F.to_json(F.struct(kind.alias("type"), F.struct(raw.alias("text")).alias("data"))).alias("node"))
-    return d.select(DOC, richtext.block_html(F.col("node")).alias("html"))
+    return d.select(DOC, richtext.block_html(richtext.parse(F.col("node"))).alias("html"))
 
 
 DELTA_LINES = f"""SELECT conv_id AS doc_id, '<h2>Talk ' || conv_id || '</h2>' || chr(10) || '<ol>' || chr(10) || string_agg('<li>' || CASE WHEN role = 'user' THEN '<strong>' || {escq('t')} || '</strong>' ELSE {escq('t')} END || '</li>' || chr(10), '' ORDER BY turn)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import WORD, WS, first_match, splice, strip
+from pagemill.functions.text import WORD, WS, bind, splice, strip
 from pagemill.functions import urls
 
 _OPEN = r"[ \t]*+(?:```|~~~)"
@@ -154,22 +154,35 @@ def drop_anchor_lists(md: Column, threshold: int = 20) -> Column:
     under_heading = rf"(?m)#{{3,6}}[{WS}]+[^\n]+\n\n?(?:[ \t]*[-*][{WS}]*{LINK}[{WS}]*\n){{{max(3, threshold - 1)},}}+"
     bare = rf"(?:(?:(?<=\n)|\A)[ \t]*(?:[-*]|\d+\.)[{WS}]*{LINK}[{WS}]*\n){{{threshold},}}+"
 
+    def blanks(text: Column) -> Column:
+        return outside_fences(text, lambda s: F.regexp_replace(s, r"\n{4,}", "\n\n\n"))
+
     def hits(text: Column, pattern: str) -> Column:
         free = F.array_join(F.filter(segments(text), lambda s: ~is_fence(s)), "\x00\n")
-        return F.regexp_extract_all(free, F.lit(pattern), F.lit(0))
+        has_fence = F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~"))
+        return F.regexp_extract_all(F.when(has_fence, free).otherwise(text), F.lit(pattern), F.lit(0))
 
     def newlines(found: Column) -> Column:
         return F.aggregate(found, F.lit(0), lambda n, b: n + F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))
 
-    first = hits(md, under_heading)
-    step1 = outside_fences(md, lambda s: F.regexp_replace(s, under_heading, ""))
-    second = hits(step1, bare)
-    step2 = outside_fences(step1, lambda s: F.regexp_replace(s, bare, ""))
-    lists = F.size(first) + F.size(second)
-    orphan = r"(?m)^[ \t]*#{3,6}[ \t]+[^\n]+\n(?:[ \t]*\n)*\z"
-    step3 = F.when(lists > 0, F.regexp_replace(step2, orphan, "")).otherwise(step2)
-    final = outside_fences(step3, lambda s: F.regexp_replace(s, r"\n{4,}", "\n\n\n"))
-    return F.struct(final.alias("md"), lists.alias("lists"), (newlines(first) + newlines(second)).alias("lines"))
+    def result(text: Column, lists: Column, lines: Column) -> Column:
+        return F.struct(text.alias("md"), lists.alias("lists"), lines.alias("lines"))
+
+    def second_step(step1: Column, first: Column) -> Column:
+        second = hits(step1, bare)
+        lists = F.size(first) + F.size(second)
+        step2 = outside_fences(step1, lambda s: F.regexp_replace(s, bare, ""))
+        orphan = r"(?m)^[ \t]*#{3,6}[ \t]+[^\n]+\n(?:[ \t]*\n)*\z"
+        step3 = F.when(lists > 0, F.regexp_replace(step2, orphan, "")).otherwise(step2)
+        return result(blanks(step3), lists, newlines(first) + newlines(second))
+
+    def strip_lists(text: Column) -> Column:
+        step1 = outside_fences(text, lambda s: F.regexp_replace(s, under_heading, ""))
+        return bind(hits(text, under_heading), lambda first: bind(step1, lambda s: second_step(s, first)))
+
+    # Either kind of list needs that many links, so most texts are done after one cheap count.
+    links = F.size(F.split(md, r"\]\(")) - 1
+    return F.when(links >= max(3, threshold - 1), strip_lists(md)).otherwise(result(blanks(md), F.lit(0), F.lit(0)))
 
 
 def clean_embedded_markdown(md: Column) -> Column:

@@ -33,7 +33,10 @@ def visible_text(html: Column) -> Column:
 
 def challenge(html: Column, title: Column | None = None) -> Column:
     """STRUCT<is_challenge, confidence, signals>."""
-    low_html = F.lower(html)
+    return bind(F.lower(html), lambda low: _challenge(html, low, title))
+
+
+def _challenge(html: Column, low_html: Column, title: Column | None) -> Column:
     low_title = F.lower(F.coalesce(title if title is not None else titles.title_tag(html), F.lit("")))
 
     def first_of(options, hit):
@@ -169,7 +172,10 @@ def framework(html: Column) -> Column:
     The presets are a fixed list of options, so each page is scored in place: no join and no shuffle. Scores are
     counted in hundredths to keep ties exact.
     """
-    low = F.lower(html)
+    return bind(F.lower(html), lambda low: _framework(html, low))
+
+
+def _framework(html: Column, low: Column) -> Column:
     candidates = []
     for rank, preset in enumerate(PRESETS):
         signals = [(F.contains(low, F.lit(p.lower())), PATTERN_WEIGHT, f"pattern:{p}") for p in preset["patterns"]]
