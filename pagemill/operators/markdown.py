@@ -24,6 +24,9 @@ BLOCK_LEVEL = ["p", "div", *HEADINGS, "ul", "ol", "li", "table", "thead", "tbody
 CODE_LANGUAGES = ["bash", "c", "cpp", "csharp", "css", "go", "html", "java", "javascript", "js", "json", "kotlin", "perl",
                   "php", "python", "py", "ruby", "rust", "scala", "shell", "sh", "sql", "swift", "toml", "typescript",
                   "ts", "xml", "yaml", "yml"]
+# Tags that change the output. Others are dropped at once on pages where nothing but the output depends on them.
+ACTIVE = ["a", "img", "p", "br", "hr", *HEADINGS, "pre", "code", "annotation", "strong", "b", "em", "i", "ul", "ol", "li",
+          "blockquote", "table", "tr", "td", "th", *SKIPPED]
 CJK = r"[\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af\uff00-\uffef]"
 
 # Private separators used while the pieces of a table are one string.
@@ -87,14 +90,19 @@ def _cut(pages: DataFrame, html: str, base: str, key: str, keep_html: bool, carr
     paired = bind(pieces, lambda p: F.when(F.contains(F.col("_html"), F.lit("/>")), F.flatten(F.transform(p, opened))).otherwise(p))
     if carry:  # page columns travel on an empty token in front of the page
         paired = F.concat(F.array(F.lit("")), F.coalesce(paired, F.array().cast("array<string>")))
-    cut = spread.select(key, "_base", *(["_carry"] if carry else []), F.posexplode(paired).alias("pos", "tok"))
+    # decided once per page: formulas and media cards look at every tag, cells also break lines at div
+    every = F.lit(True) if keep_html else F.contains("_html", F.lit("katex")) | F.contains("_html", F.lit("kg-"))
+    flags = [F.coalesce(every, F.lit(True)).alias("_every"), F.coalesce(F.lower("_html").contains("<table"), F.lit(True)).alias("_cells")]
+    cut = spread.select(key, "_base", *(["_carry"] if carry else []), *flags, paired.alias("_pieces")).select(
+        key, "_base", *(["_carry"] if carry else []), "_every", "_cells", F.posexplode("_pieces").alias("pos", "tok"))
     if carry:
         cut = cut.withColumn("carry", F.when(F.col("pos") == 0, F.col("_carry"))).drop("_carry")
     kind = bind(tk.kind_of(F.col("tok")), lambda k: F.when(k == "selfclose", F.lit("start")).otherwise(k))
     name = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))
     cut = cut.withColumn("kind", kind).withColumn(
         "name", F.when(F.col("kind").isin("start", "end", "raw"), name).otherwise(F.lit("")))
-    cut = cut.where(~F.col("kind").isin("comment", "decl"))
+    active = F.col("name").isin(*ACTIVE) | ((F.col("name") == "div") & F.col("_cells")) | F.col("_every")
+    cut = cut.where(~F.col("kind").isin("comment", "decl") & (active | ~F.col("kind").isin("start", "end")))
 
     # Attributes are read once, as a map, and only from tags the conversion looks at.
     read = ["a", "img", "pre", "code", "script", "annotation", "ol", "td", "th"]
