@@ -76,12 +76,12 @@ def _(spark, sf):
 
 
 CRAWL = f"""crawl AS (SELECT page_id, i, url AS page, regexp_extract(url, '^([^#]*)', 1) AS key, url, text FROM ({LINKS_SQL})),
-listed AS (SELECT page_id AS ord, {ORIGIN} || '/The' AS url FROM pages WHERE page_id % 3 = 0),
+listed AS (SELECT page_id AS ord, {ORIGIN} || '/The' AS url FROM pages),
 fresh AS (SELECT key, min_by(url, page_id * 100000 + i) AS url, min_by(text, page_id * 100000 + i) AS title FROM crawl GROUP BY key)"""
 
 
 def listed_urls(spark, sf) -> DataFrame:
-    p = table(spark, sf, "pages").where("page_id % 3 = 0")
+    p = table(spark, sf, "pages")
     return p.select(F.col("page_id").alias("ord"), F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.authority(F.col("url")), F.lit("/The")).alias("url"),
                     F.lit(None).cast("string").alias("title"))
 
@@ -102,7 +102,7 @@ REFS_MD = "'![a](<img/' || cast(doc_id AS varchar(20)) || ' x.png> \"t\") ![b](i
 def stored_files(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(F.concat(F.lit("img/"), "doc_id", F.lit(" y.png")).alias("path")).unionByName(
-        d.where("doc_id % 2 = 0").select(F.concat(F.lit("img/"), "doc_id", F.lit(" x.png")).alias("path")))
+        d.select(F.concat(F.lit("img/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, " x.png").otherwise(" other.png")).alias("path")))
 
 
 def referenced(spark, sf) -> DataFrame:

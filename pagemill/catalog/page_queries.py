@@ -387,14 +387,14 @@ def async_pages(spark, sf) -> DataFrame:
         for plain, code in [("\\", "\\x5c"), ("'", "\\x27"), ('"', "\\x22"), ("&", "\\x26"), ("<", "\\x3c"), (">", "\\x3e"), ("\n", "\\x0a"), ("\r", "\\x0d")]:
             c = F.replace(c, F.lit(plain), F.lit(code))
         return c
-    d = table(spark, sf, "documents").where(~F.contains("text", F.lit("\\")))
+    d = table(spark, sf, "documents")
     script = F.concat(F.lit("<html><script>window.cgiDataNew = { is_async: '1', title: JsDecode('T"), "doc_id", F.lit("'), nick_name: JsDecode('"), coded(F.col("source")),
                       F.lit("'), ori_create_time: '17"), "doc_id", F.lit("', content: JsDecode('old'), text_page_info: { content_noencode: JsDecode('"), coded(F.col("text")),
                       F.lit("') }, signature: JsDecode('') };</script></html>"))
     return d.select(F.col("doc_id").alias("page_id"), script.alias("html"))
 
 
-@query("ext15_async_fields", "SELECT doc_id AS page_id, 'T' || doc_id AS title, source AS nick_name, text AS content, '17' || doc_id AS create_time FROM documents WHERE NOT contains(text, '\\')")
+@query("ext15_async_fields", "SELECT doc_id AS page_id, 'T' || doc_id AS title, source AS nick_name, text AS content, '17' || doc_id AS create_time FROM documents")
 def _(spark, sf):
     return async_pages(spark, sf).select("page_id", embedded.async_fields(F.col("html")).alias("f")).select(
         "page_id", "f.title", "f.nick_name", "f.content", "f.create_time")
@@ -480,7 +480,9 @@ def _(spark, sf):
 @query("ext21_embedded_dispatch", f"""SELECT doc_id AS page_id, CASE doc_id % 2 WHEN 0 THEN 'nextjs' ELSE 'json_fallback' END AS source_type, {FULL.format(DOC_HTML)} AS body FROM documents
  WHERE length(regexp_replace({DOC_HTML}, '\\s+$', '')) > CASE doc_id % 2 WHEN 0 THEN 49 ELSE 100 END""")
 def _(spark, sf):
-    both = next_pages(spark, sf).where("page_id % 2 = 0").unionByName(script_pages(spark, sf).where("page_id % 2 = 1"))
+    second = script_pages(spark, sf).withColumnRenamed("html", "other")
+    both = next_pages(spark, sf).join(second, "page_id").select(
+        "page_id", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.col("other")).alias("html"))
     return embedded.articles(both).select("page_id", "source_type", "body")
 
 

@@ -18,6 +18,8 @@ def local_session(cores: str | int = "*", app: str = "pagemill") -> SparkSession
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # Pages grow many times over when they are cut up, so small shuffles must still fill all cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         # Plans here are large; recording the Python call site of every expression would cost seconds per plan.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }.items():
