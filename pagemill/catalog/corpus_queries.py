@@ -96,9 +96,6 @@ def _(spark, sf):
     return links.crawl_list(listed_urls(spark, sf), links.links(table(spark, sf, "pages"))).select("source", "url", "title")
 
 
-REFS_MD = "'![a](<img/' || cast(doc_id AS varchar(20)) || ' x.png> \"t\") ![b](img/' || cast(doc_id AS varchar(20)) || '%20y.png) ![c](http://r.org/c.png) ![d](gone%2Fd.png)'"
-
-
 def stored_files(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(F.concat(F.lit("img/"), "doc_id", F.lit(" y.png")).alias("path")).unionByName(
