@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.merges import MergeTable, WordCache, per_worker
+from pagemill.llm.merges import MergeTable, SegmentCache, per_worker
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,17 +31,18 @@ class Encoder:
     """Encodes whole texts into little-endian 32-bit ids."""
 
     def __init__(self, table: MergeTable):
-        self.table = table
-        self.words = WordCache(lambda word: np.array(table.encode(word.encode("utf-8")), "<u4").tobytes())
-        self.cut = regex.compile(PRETOKENS).findall
+        self.specials = table.specials
+        self.segments = SegmentCache(regex.compile(PRETOKENS).findall, lambda words: table.encode_many([w.encode("utf-8") for w in words]), b"".join)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(table.specials, key=len, reverse=True))) + ")") if table.specials else None
 
-    def __call__(self, text: str) -> bytes:
-        if self.special is None or not self.special.search(text):
-            return b"".join(map(self.words.__getitem__, self.cut(text)))
-        pieces = self.special.split(text)
-        return b"".join(self.table.specials[p].to_bytes(4, "little") if k % 2 else b"".join(map(self.words.__getitem__, self.cut(p)))
-                        for k, p in enumerate(pieces))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        pieces, owner = [], []
+        for text in texts:
+            parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+            owner.append(parts[1::2])
+            pieces += parts[::2]
+        coded = iter(map(b"".join, self.segments(pieces)))
+        return [next(coded) + b"".join(self.specials[s].to_bytes(4, "little") + next(coded) for s in found) for found in owner]
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -64,7 +65,7 @@ class Bpe:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             encoder = per_worker(("encoder", path), lambda: Encoder(shared.value))
-            return _lists([encoder(t or "") for t in texts.to_pylist()])
+            return _lists(encoder([t or "" for t in texts.to_pylist()]))
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:

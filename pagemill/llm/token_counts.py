@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.merges import MergeTable, WordCache, per_worker
+from pagemill.llm.merges import MergeTable, SegmentCache, per_worker
 
 #: Fixed value: the pattern of the word-level pre-tokenizer.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,23 +37,23 @@ def whole_tokens(table: MergeTable) -> set[str]:
 
 
 class Counter:
+    """Tokens of whole texts; only words that are not proven whole are merged."""
+
     def __init__(self, table: MergeTable, whole: set[str]):
-        self.proven = dict.fromkeys(whole, 1)
-        self.rest = WordCache(lambda word: len(table.encode(word.encode("utf-8"))))
-        self.cut = regex.compile(PRETOKENS).findall
+        def count(words: list[str]) -> list[int]:
+            rest = [w for w in words if w not in whole]
+            merged = dict(zip(rest, table.encode_many([w.encode("utf-8") for w in rest])))
+            return [len(merged[w]) // 4 if w in merged else 1 for w in words]
+
+        self.segments = SegmentCache(regex.compile(PRETOKENS).findall, count, sum)
         self.special = regex.compile("|".join(map(regex.escape, table.specials))) if table.specials else None
 
-    def plain(self, text: str) -> int:
+    def __call__(self, texts: list[str]) -> list[int]:
+        pieces = [self.special.split(t) if self.special is not None and self.special.search(t) else [t] for t in texts]
         # The library lower-cases letter by letter, without the rule for a sigma at the end of a word.
-        words = self.cut(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        known, rest = self.proven.get, self.rest
-        return sum([known(w) or rest[w] for w in words])
-
-    def __call__(self, text: str) -> int:
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        pieces = self.special.split(text)
-        return len(pieces) - 1 + sum(map(self.plain, pieces))
+        plain = [unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for ps in pieces for p in ps]
+        counts = iter(map(sum, self.segments(plain)))
+        return [len(ps) - 1 + sum(next(counts) for _ in ps) for ps in pieces]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
     @F.arrow_udf("bigint")
     def n_tokens(texts: pa.Array) -> pa.Array:
         counter = per_worker(("counter", path), lambda: Counter(*shared.value))
-        return pa.array([counter(t or "") for t in texts.to_pylist()], pa.int64())
+        return pa.array(counter([t or "" for t in texts.to_pylist()]), pa.int64())
 
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counted = whole.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), n_tokens("text").alias("n_tokens"))

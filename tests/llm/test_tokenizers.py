@@ -59,3 +59,10 @@ def test_scan_and_heap_merge_alike():
         word = bytes(rng.choice(list(b"theanding "), rng.integers(1, 60)).tolist())
         ids = [table.first[b] for b in word]
         assert merge(list(ids), table.pairs) == merge_long(list(ids), table.pairs)
+
+
+def test_many_words_as_one_by_one():
+    table = MergeTable(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.choice(list(b"theanding.'1\xc3\xa9"), rng.integers(0, 40)).tolist()) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in table.encode_many(words)] == [table.encode(w) for w in words]
