@@ -29,6 +29,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.minhash_forest import classes
+    return classes(table(spark, sf_dir, "documents"), width=2)
+
+
 @query
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.lm_automaton import score_held_out
