@@ -48,6 +48,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "__cut.n_removed", "__cut.n_spans",
+        F.sha2("__cut.kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.bpe import encode_documents, ids_digest
