@@ -23,6 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Every pair of equal tokens, counted along diagonals; no seeds.
+ORACLES["op1_decontamination"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
+dt AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS p FROM d),
+bt AS (SELECT item_id, len(t) AS n, least(len(t), 12) AS w, unnest(t) AS tok, generate_subscripts(t, 1) AS p FROM b WHERE len(t) >= 6),
+m AS (SELECT doc_id, item_id, w, n, dt.p - bt.p AS diag, bt.p AS p FROM dt JOIN bt USING (tok)),
+busy AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diag) * 100 >= 80 * w),
+s AS (SELECT doc_id, item_id, w, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS k FROM busy)
+SELECT doc_id, item_id, max(k) AS n_agree, any_value(w) AS n_window FROM s WHERE k * 100 >= 80 * w GROUP BY doc_id, item_id
+"""
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.quality import score_documents
