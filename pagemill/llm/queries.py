@@ -48,6 +48,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.fingerprints import fingerprints, printed
+    return fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("sketch")).alias("fingerprint"),
+        printed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "n_shingles")
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.minhash_forest import classes
