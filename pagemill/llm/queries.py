@@ -56,6 +56,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         printed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "n_shingles")
 
 
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.html_extract import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.minhash_forest import classes
