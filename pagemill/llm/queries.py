@@ -68,6 +68,15 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), width=2)
 
 
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.chat_trie import build, read_back
+    control = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return read_back(build(turns.union(extra))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 @query
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.lm_automaton import score_held_out
