@@ -60,7 +60,7 @@ class Bpe:
     """Column functions for one vocabulary file, which the driver reads and sends to the executors (its size is fixed)."""
 
     def __init__(self, spark, path: str):
-        shared = spark.sparkContext.broadcast(MergeTable(path))
+        self.shared = shared = spark.sparkContext.broadcast(MergeTable(path))
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
@@ -92,5 +92,13 @@ def ids_digest(ids: pa.Array) -> pa.Array:
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, decoded`` of every document: its token ids and the text read back from them."""
     bpe = Bpe(docs.sparkSession, path)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), bpe.encode(F.col(text)).alias("ids"))
+    shared = bpe.shared
+
+    def run(batches):
+        encoder = per_worker(("encoder", path), lambda: Encoder(shared.value))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(encoder([t or "" for t in batch.column(1).to_pylist()]))], ["doc_id", "ids"])
+
+    # A step of its own: chained column functions would encode a text once for each use of its ids.
+    ids = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, ids array<int>")
     return ids.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
