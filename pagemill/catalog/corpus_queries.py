@@ -271,7 +271,7 @@ def _(spark, sf):
 # --- scalar expressions ---------------------------------------------------------------------------------------
 
 REFS = {"'../x/./y?q#f'": "{o} || CASE WHEN len(regexp_extract_all(path, '/')) >= 2 THEN regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') ELSE '/' END || 'x/y?q#f'",
-        "'//cdn.org/a'": "regexp_extract(url, '^(https?:)', 1) || '//cdn.org/a'", "'?k=v'": "{o} || path || '?k=v'", "'/r//s'": "{o} || '/r/s'", "'mailto:a@b'": "'mailto:a@b'"}
+        "'//cdn.org/a'": "regexp_extract(url, '^(https?:)', 1) || '//cdn.org/a'", "'?k=v'": "{o} || path || '?k=v'", "'/r//s'": "{o} || '/r//s'", "'mailto:a@b'": "'mailto:a@b'"}
 CHOICE = "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(REFS)) + " END"
 JOINED = "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN {r.format(o='o')}" for i, r in enumerate(REFS.values())) + " END"
 
@@ -341,9 +341,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.yaml_string(F.col("text")).alias("yaml"), tx.link_label(F.col("text")).alias("label"))
 
 
-@query("fn_entities", f"SELECT doc_id, text || '©é—&nope;A☃&copy' AS plain, {escq('text')} AS escaped FROM documents")
+@query("fn_entities", f"SELECT doc_id, text || '©é—&nope;A☃© 2024–€&<Š⇒Œ∑♠Anotit;' || chr(8713) || ';x&#xg;' || chr(65533) || chr(65533) AS plain, {escq('text')} AS escaped FROM documents")
 def _(spark, sf):
-    coded = F.concat(tx.html_escape(F.col("text")), F.lit("&copy;&eacute;&mdash;&nope;&#65;&#x2603;&copy"))
+    coded = F.concat(tx.html_escape(F.col("text")), F.lit("&copy;&eacute;&mdash;&nope;&#65;&#x2603;&copy 2024&#150;&#x80;&amp&lt&Scaron;&rArr;&OElig;&sum;&spades;&#0000000065;"
+                                                           "notit;&notin;;x&#xg;&#xD800;&#99999999999;"))
     return table(spark, sf, "documents").select("doc_id", entities.unescape(coded).alias("plain"), tx.html_escape(F.col("text")).alias("escaped"))
 
 

@@ -1,63 +1,69 @@
-"""HTML character references as a column expression."""
+"""HTML character references as a column expression, by the rules of the HTML standard for text."""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import bind
 
-# Entity names of the HTML standard. A run of names counts up from its first code point.
-_RUNS = {
-    160: "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 "
-         "acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml "
-         "Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde "
-         "Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig "
-         "ccedil egrave eacute ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide "
-         "oslash ugrave uacute ucirc uuml yacute thorn yuml",
-    945: "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigmaf sigma tau "
-         "upsilon phi chi psi omega",
-    8592: "larr uarr rarr darr harr",
-}
-_SINGLE = {
-    "amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "ensp": 8194, "emsp": 8195, "thinsp": 8201, "zwnj": 8204,
-    "zwj": 8205, "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "sbquo": 8218, "ldquo": 8220,
-    "rdquo": 8221, "bdquo": 8222, "dagger": 8224, "Dagger": 8225, "bull": 8226, "hellip": 8230, "permil": 8240,
-    "prime": 8242, "lsaquo": 8249, "rsaquo": 8250, "euro": 8364, "trade": 8482, "minus": 8722, "infin": 8734,
-    "ne": 8800, "le": 8804, "ge": 8805, "check": 10003, "starf": 9733, "star": 9734,
-}
-
-
-def entity_codes() -> dict[str, int]:
-    codes = dict(_SINGLE)
-    for start, names in _RUNS.items():
-        codes.update({name: start + i for i, name in enumerate(names.split())})
-    return codes
+#: Names that hold most references of real pages; they are looked at before the full table.
+_COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "ndash", "mdash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo")
+#: Names that count without a semicolon, longest first, so that the first that fits is the longest.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def entity_text() -> dict[str, str]:
+    """Characters of every named reference; names keep their semicolon, if they need one."""
+    return dict(html5)
+
+
+def _windows(code: int) -> str:
+    """What the codes 128 to 159 stand for in pages."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
 
 
 def _code_point(number: Column) -> Column:
-    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    """The character of a number; NULL stands for one that is too large."""
     utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("�"))
+    windows = F.lit("".join(_windows(c) for c in range(128, 160)))
+    control = number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127)
+    nowhere = number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(0x10000)) >= 0xFFFE)
+    return (F.when(number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("�"))
+            .when(number == 13, F.lit("\r"))
+            .when(number.between(128, 159), F.substring(windows, (number - 127).cast("int"), F.lit(1)))
+            .when(control | nowhere, F.lit(""))
+            .otherwise(F.decode(utf32, "UTF-32")))
 
 
 def _resolve(ref: Column, names: Column) -> Column:
-    body = F.regexp_replace(ref, r"^&#?|;$", "")
-    decimal = body.try_cast("bigint")
-    hexadecimal = F.conv(F.substring(body, 2, 12), 16, 10).try_cast("bigint")
-    return (
-        F.when(ref.rlike(r"^&#[0-9]"), _code_point(decimal))
-        .when(ref.rlike(r"^&#[xX]"), _code_point(hexadecimal))
-        .otherwise(F.coalesce(F.try_element_at(names, body), ref))
-    )
-
-
-def unescape(text: Column, extra: dict[str, str] | None = None) -> Column:
-    """Replace character references. Text without an ampersand takes the short way."""
-    table = {name: chr(code) for name, code in entity_codes().items()} | (extra or {})
-    # one literal that is folded to a map once, instead of some four hundred expressions
-    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
-    reference = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);|&|[^&]+"
+    digits = F.regexp_replace(ref, r"^&#0*|;$", "")
+    hexadecimal = F.regexp_replace(ref, r"^&#[xX]0*|;$", "")
+    decimal = F.when(F.length(digits) <= 7, F.coalesce(digits.try_cast("bigint"), F.lit(0)))
+    sixteen = F.when(F.length(hexadecimal) <= 6, F.coalesce(F.conv(hexadecimal, 16, 10).try_cast("bigint"), F.lit(0)))
+    name = F.substring(ref, 2, 40)
+    bare = F.regexp_extract(name, f"^(?:{'|'.join(_BARE)})", 0)
+    named = F.when(ref == "&", ref)
+    for common in _COMMON:
+        named = named.when(name == common + ";", F.lit(html5[common + ";"]))
+    return (F.when(ref.rlike("^&#[0-9]"), _code_point(decimal))
+            .when(ref.rlike("^&#[xX][0-9a-fA-F]"), _code_point(sixteen))
+            .otherwise(named.otherwise(F.coalesce(
+                F.try_element_at(names, name),
+                F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substring(ref, F.length(bare) + 2, F.lit(40)))), ref))))
+
+
+def unescape(text: Column) -> Column:
+    """Replace character references: every name of the standard, the old names also without a semicolon and in front of
+    other letters, and numbers of any length. Text without an ampersand takes the short way."""
+    # One literal that is folded to a map once.
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in html5.items())), F.lit("\x02"), F.lit("\x01"))
+    reference = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32}+;?)|&|[^&]+"
 
     def resolved(t: Column) -> Column:
         pieces = F.regexp_extract_all(t, F.lit(reference), F.lit(0))

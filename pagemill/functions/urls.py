@@ -64,11 +64,14 @@ def _with_prefix(prefix: str, text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(prefix), text)).otherwise(F.lit(""))
 
 
-def _normal_path(raw: Column) -> Column:
-    """Drop empty and '.' segments, let '..' remove its parent; only paths that need it are taken apart."""
+def _normal_path(raw: Column, whole: Column) -> Column:
+    """Drop '.' segments and let '..' remove its parent; only paths that need it are taken apart.
+
+    Empty segments go too unless the reference gives the ``whole`` path.
+    """
     parts = F.split(raw, "/")
     size = F.size(parts)
-    inner = F.filter(parts, lambda s, i: (i == 0) | (i == size - 1) | (s != ""))
+    inner = F.filter(parts, lambda s, i: whole | (i == 0) | (i == size - 1) | (s != ""))
     folded = F.aggregate(
         inner,
         F.array().cast("array<string>"),
@@ -101,7 +104,7 @@ def join_url(base: Column, ref: Column) -> Column:
             .when(r["host"] != "", F.concat(base_scheme, F.lit("://"), r["host"], r["path"], tail))
             .when(r["path"] == "", F.concat(root, b["path"], _with_prefix("?", kept_query),
                                             _with_prefix("#", r["fragment"])))
-            .otherwise(F.concat(root, bind(merged, _normal_path), tail))
+            .otherwise(F.concat(root, bind(merged, lambda m: _normal_path(m, r["path"].startswith("/"))), tail))
         )
 
     return (

@@ -15,7 +15,7 @@ REFS = ["", "x", "/x/y", "../z", "./q", "../../../g", "?k=v", "#top", "//o.net/p
 
 def test_join_url_follows_the_standard(rows):
     df = rows("b string, r string", *[(b, r) for b in BASES for r in REFS])
-    for row in df.select("b", "r", urls.join_url(F.col("b"), F.col("r")).alias("j")).collect():
+    for row in df.select("b", "r", urls.urls.join_url(F.col("b"), F.col("r")).alias("j")).collect():
         assert row.j == urljoin(row.b, row.r)
 
 
@@ -111,3 +111,19 @@ def test_main_section_falls_back(value):
 
 def test_async_article_without_title(value):
     assert value(embedded.async_fields, h="<script>window.cgiDataNew={content: JsDecode('x')}</script>") is None
+
+
+def test_character_references_as_the_standard_library(spark):
+    from html.entities import html5
+    texts = [f"a&{n}b" for n in html5] + [f"&{n.rstrip(';')} x&{n.rstrip(';')}" for n in html5] + [f"&#{n};&#x{n:x};&#{n}" for n in (*range(0, 260), 0xD7FF, 0xD800, 0xFDD0, 0xFFFE, 0x10FFFF, 0x110000)]
+    texts += ["&", "&&", "&;", "&#;", "&#x;", "&#xg", "&amp&lt", "&copy 2024", "&notit; &notin; &notinx", "&#00000000000000065;", "&#x0000000000041;", "&#99999999999999999999;", "&amp;lt;", "x", "", "&é;&" + "a" * 50 + ";"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", entities.unescape(F.col("t")).alias("u")).collect()
+    assert [(texts[r.i], r.u) for r in sorted(got)] == [(t, html.unescape(t)) for t in texts]
+
+
+def test_joined_urls_as_the_standard_library(spark):
+    bases = ["http://h/a/b", "http://h/a//b/", "https://h.org", "http://h/a/b?q#f"]
+    refs = ["/r//s", "//x.org//y", "r//s", "../r//s", "/r/../s//t/.", "./", "..", "?k", "#f", "/a/./b//", "c//../d"]
+    pairs = [(b, r) for b in bases for r in refs]
+    got = spark.createDataFrame(pairs, "b string, r string").select("b", "r", urls.join_url(F.col("b"), F.col("r")).alias("u")).collect()
+    assert {(x.b, x.r): x.u for x in got} == {(b, r): urljoin(b, r) for b, r in pairs}
