@@ -190,10 +190,10 @@ def _(spark, sf):
     return derived(spark, sf, "documents", md="'## ' || source || ' [#](http://x/#a) [ ¶ ](b) ' || chr(10) || text").select(DOC, mt.drop_heading_permalinks(F.col("md")).alias("md"))
 
 
-@query("mdp6_duplicate_title", r"SELECT doc_id, regexp_replace(regexp_replace('intro' || chr(10) || text, '^\n+', ''), '\s+$', '') || chr(10) AS md FROM documents")
+@query("mdp6_duplicate_title", r"SELECT doc_id, regexp_replace(repeat('intro' || chr(10), 199) || text, '\s+$', '') || chr(10) AS md FROM documents")
 def _(spark, sf):
-    d = derived(spark, sf, "documents", md="'intro' || chr(10) || '#  ' || upper(source) || '! Title ' || chr(10) || '  ' || chr(10) || regexp_replace(text, '^\\\\s+', '')")
-    d = d.withColumn("md", F.concat(F.lit("intro\n#  "), F.upper("source"), F.lit("! Title \n  \n"), "text"))
+    # the title comes on line 200
+    d = table(spark, sf, "documents").withColumn("md", F.concat(F.lit("intro\n" * 199 + "#  "), F.upper("source"), F.lit("! Title \n  \n"), "text"))
     return d.select(DOC, mt.drop_duplicate_title(F.col("md"), F.concat("source", F.lit(" title"))).alias("md"))
 
 
@@ -322,9 +322,21 @@ def block_table(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 @query("rt8_block_tree", """SELECT cast(conv_id AS varchar) AS page_id, 'b-' || conv_id || '-' || turn AS block_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS varchar) AS path FROM conversations
- UNION ALL SELECT DISTINCT cast(conv_id AS varchar), 'root-' || conv_id, '' FROM conversations""")
+ UNION ALL SELECT DISTINCT cast(conv_id AS varchar), 'root-' || conv_id, '' FROM conversations
+ UNION ALL SELECT 'deep-' || conv_id, 'd-' || i || '-' || conv_id, rtrim(repeat('0/', i), '/') FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(range(30)) AS i)
+ UNION ALL SELECT DISTINCT 'deep-' || conv_id, 'shared', '1' FROM conversations""")
 def _(spark, sf):
+    """Besides the conversations: chains of 30 levels that end in a circle, with one block shared by all levels and held by two dumps."""
     found, roots = block_table(spark, sf)
+    ids = table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"))
+    name = lambda i: F.concat(F.lit("d-"), i.cast("string"), F.lit("-"), "conv_id")
+    blank = F.lit(None).cast("string")
+    chain = ids.select(name(F.col("i")).alias("block_id"), F.lit("text").alias("type"), blank.alias("properties"), blank.alias("format"),
+                       F.array(name(F.when(F.col("i") < 29, F.col("i") + 1).otherwise(F.lit(0))), F.lit("shared")).alias("content"))
+    none = F.array().cast("array<string>")
+    shared = spark.range(2).select(F.lit("shared").alias("block_id"), F.lit("text").alias("type"), blank.alias("properties"), blank.alias("format"), none.alias("content"))
+    found = found.unionByName(chain).unionByName(shared)
+    roots = roots.unionByName(ids.where("i = 0").select(F.concat(F.lit("deep-"), "conv_id").alias("page_id"), name(F.col("i")).alias("block_id")))
     return blocks.tree(found, roots).select("page_id", "block_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 

@@ -55,9 +55,9 @@ def _(spark, sf):
     return raw.select("page_id", binary.declared_charset(F.encode(F.concat("head", "html"), "UTF-8")).alias("charset"))
 
 
-@query("src5_size_guard", "SELECT page_id FROM pages WHERE strlen(html) <= 3000")
+@query("src5_size_guard", "SELECT page_id, CASE WHEN page_id % 9 = 4 THEN 'no html' WHEN strlen(html) > 3000 THEN 'html too large' END AS error FROM pages")
 def _(spark, sf):
-    return src.within_size(pages(spark, sf), 3000).select("page_id")
+    return derived(spark, sf, "pages", html="CASE WHEN page_id % 9 <> 4 THEN html END").select("page_id", src.size_error(F.col("html"), 3000).alias("error"))
 
 
 def conversation_dumps(spark, sf) -> DataFrame:
@@ -105,10 +105,10 @@ def _(spark, sf):
 WEAK = "CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN 'Please WAIT' || html ELSE html || ' please wait' END"
 
 
-@query("cls2_weak_challenge", f"""SELECT page_id, length(h) < 15000 AND (contains(lower(substring(h, 1, 4000)), 'please wait') OR
- contains(lower(substring(h, 1, 4000)), 'cloudflare')) AS weak FROM (SELECT page_id, {WEAK} AS h FROM pages)""")
+@query("cls2_weak_challenge", f"""SELECT page_id, contains(lower(h), 'please wait') OR contains(lower(h), 'cloudflare') AS weak,
+ length(h) < 15000 AND (contains(lower(substring(h, 1, 4000)), 'please wait') OR contains(lower(substring(h, 1, 4000)), 'cloudflare')) AS bounded FROM (SELECT page_id, {WEAK} AS h FROM pages)""")
 def _(spark, sf):
-    return derived(spark, sf, "pages", h=WEAK).select("page_id", classify.weak_challenge(F.col("h")).alias("weak"))
+    return derived(spark, sf, "pages", h=WEAK).select("page_id", classify.weak_challenge(F.col("h")).alias("weak"), classify.weak_challenge(F.col("h"), 4000, 15000).alias("bounded"))
 
 
 @query("cls3_challenge_gate", f"""SELECT page_id, CASE WHEN page_id % 6 NOT IN (0, 5) AND page_id % 2 <> 0 THEN 'challenge page, confidence ' || {CONFIDENCE} END AS error FROM pages""")
@@ -250,10 +250,12 @@ def _(spark, sf):
     return derived(spark, sf, "documents", md=BODY).select("doc_id", classify.body_gate(F.col("md")).alias("gate"))
 
 
-@query("cls18_page_errors", f"""SELECT page_id, page_id % 6 IN (0, 5) AS success, CASE WHEN page_id % 6 NOT IN (0, 5) THEN 'challenge page, confidence ' || {CONFIDENCE} END AS error FROM pages""")
+@query("cls18_page_errors", f"""SELECT page_id, page_id % 6 IN (0, 5) AND page_id % 10 NOT IN (3, 7) AS success, CASE WHEN page_id % 10 = 3 THEN 'no html' WHEN page_id % 10 = 7 THEN 'html too large'
+ WHEN page_id % 6 NOT IN (0, 5) THEN 'challenge page, confidence ' || {CONFIDENCE} END AS error FROM pages""")
 def _(spark, sf):
     p = derived(spark, sf, "pages", html=CHALLENGE)
-    return page_results(p.select("page_id", "url", "html"), PageOptions(embedded_articles=False)).select("page_id", "success", "error")
+    odd = F.when(F.col("page_id") % 10 == 3, F.lit(None)).when(F.col("page_id") % 10 == 7, F.concat("html", F.repeat(F.lit("<!-- long -->"), F.lit(20_000)))).otherwise(F.col("html"))
+    return page_results(p.select("page_id", "url", odd.alias("html")), PageOptions(embedded_articles=False, max_html_bytes=200_000)).select("page_id", "success", "error")
 
 
 # --- extraction -----------------------------------------------------------------------------------------------

@@ -21,9 +21,9 @@ CHARSETS = {
 PORTABLE = ["UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE"]
 
 
-def declared_charset(content: Column, limit: int = 4096) -> Column:
-    """Decoder name from the first <meta charset> in the first bytes, NULL when absent or unknown."""
-    head = F.decode(F.substring(content, 1, limit), "ISO-8859-1")
+def declared_charset(content: Column, limit: int = 0) -> Column:
+    """Decoder name from the first <meta charset>, NULL when absent or unknown. ``limit``: look at the first bytes only (0: at all)."""
+    head = F.decode(F.substring(content, 1, limit) if limit > 0 else content, "ISO-8859-1")
     name = F.lower(first_match(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:\-]+)"""))
     table = F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair])
     return F.try_element_at(table, name)

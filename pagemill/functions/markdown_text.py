@@ -82,17 +82,20 @@ def latex_delimiters(md: Column) -> Column:
     return F.when(F.contains(md, F.lit("\\")), outside_fences(md, run)).otherwise(md)
 
 
-def drop_duplicate_title(md: Column, title: Column, scan: int = 80) -> Column:
-    """Remove the first bare-hash line or level-one heading that repeats the title (with the blanks after it)."""
+def drop_duplicate_title(md: Column, title: Column, scan: int = 0) -> Column:
+    """Remove the first bare-hash line or level-one heading that repeats the title (with the blanks after it).
+
+    ``scan``: look at the first lines only (0: at all).
+    """
     lines = F.split(md, "\n")
     key = urls.title_key(title)
 
     def hit(line: Column) -> Column:
         bare = strip(line)
-        heading = bare.startswith("# ") & (urls.title_key(F.substring(bare, 3, 1 << 20)) == key)
+        heading = bare.startswith("# ") & (urls.title_key(F.substring(bare, F.lit(3), F.length(bare))) == key)
         return bare.rlike(r"^#{1,6}$") | heading
 
-    head = F.slice(lines, 1, scan)
+    head = F.slice(lines, 1, scan) if scan > 0 else lines
     at = F.array_min(F.filter(F.transform(head, lambda l, i: F.when(hit(l), i)), lambda i: i.isNotNull()))
     is_bare = strip(F.get(lines, at)).rlike(r"^#{1,6}$")
     rest = F.slice(lines, at + 2, F.greatest(F.size(lines), F.lit(1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,6 @@ from pagemill.functions import urls
 from pagemill.functions.text import bind, html_escape
 from pagemill.session import durable
 
-MAX_ROUNDS = 20
 _RICH = "array<array<string>>"
 
 
@@ -50,27 +49,32 @@ def proxied_image(url: Column, block_id: Column) -> Column:
         url.startswith("/"), F.concat(F.lit("https://www.notion.so"), url)).otherwise(url)
 
 
-def tree(blocks: DataFrame, roots: DataFrame, scratch: str | None = None) -> DataFrame:
+def by_id(blocks: DataFrame) -> DataFrame:
+    """One record for each block id, whatever the number of dumps that hold it: the smallest of those with the most children."""
+    rest = [c for c in blocks.columns if c not in ("block_id", "content")]
+    best = F.min_by(F.struct("content", *rest), F.struct(-F.size("content"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest])).alias("_b")
+    return blocks.groupBy("block_id").agg(best).select("block_id", "_b.*").select(blocks.columns)
+
+
+def tree(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """Walk from the root blocks to all blocks below: ``page_id, block_id, path, parent``.
 
-    ``roots``: ``page_id, block_id``. ``path`` is the list of child positions, so it sorts in reading order. One join per
-    level of nesting; levels end when a round finds nothing. Each round is checkpointed on shared storage.
+    ``roots``: ``page_id, block_id``. ``path`` is the list of child positions, so it sorts in reading order. A block belongs to a page
+    once, at the shortest and then first of its paths: blocks already visited are taken off each level, so shared blocks are
+    not multiplied and circles end. One join per level until a level is empty; the levels are checkpointed on shared storage.
     """
-    edges = blocks.select(F.col("block_id").alias("parent"), F.posexplode("content").alias("ord", "block_id"))
-    frontier = roots.select("page_id", "block_id", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("parent"))
-    levels = [frontier]
-    folder = scratch or tempfile.gettempdir()
-    for _ in range(MAX_ROUNDS):
+    edges = by_id(blocks).select(F.col("block_id").alias("parent"), F.posexplode("content").alias("ord", "block_id"))
+    seen = durable(roots.select("page_id", "block_id", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("parent")).distinct())
+    frontier, levels = seen, [seen]
+    while True:
         step = frontier.select("page_id", F.col("block_id").alias("parent"), F.col("path").alias("_p")).join(edges, "parent").select(
             "page_id", "block_id", F.concat("_p", F.array("ord")).alias("path"), "parent")
-        frontier = durable(step, folder)
+        first = step.groupBy("page_id", "block_id").agg(F.min(F.struct("path", "parent")).alias("_s")).select("page_id", "block_id", "_s.*")
+        frontier = durable(first.join(seen.select("page_id", "block_id"), ["page_id", "block_id"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, levels)
         levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        seen = reduce(DataFrame.unionByName, levels)
 
 
 def missing(walked: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -162,8 +166,9 @@ def fragments(walked: DataFrame, blocks: DataFrame) -> DataFrame:
             "page_id", "_e.path", "_e.part").where("part <> ''")
 
 
-def to_html(blocks: DataFrame, roots: DataFrame, scratch: str | None = None) -> DataFrame:
+def to_html(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """``page_id, html``: the body of each page."""
-    walked = tree(blocks, roots, scratch)
+    blocks = by_id(blocks)
+    walked = tree(blocks, roots)
     return fragments(walked, blocks).groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "part"))), lambda e: e["part"]), "").alias("html"))

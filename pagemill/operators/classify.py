@@ -67,8 +67,10 @@ def _challenge(html: Column, low_html: Column, title: Column | None) -> Column:
     return bind(signals, verdict)
 
 
-def weak_challenge(html: Column) -> Column:
-    return any_contains(F.lower(F.substring(html, 1, 4000)), WEAK_HINTS) & (F.length(html) < 15000)
+def weak_challenge(html: Column, head: int = 0, below: int = 0) -> Column:
+    """Hints of a challenge page. ``head``: look at the first characters only; ``below``: longer pages are none (0: no bound)."""
+    hit = any_contains(F.lower(F.substring(html, 1, head) if head > 0 else html), WEAK_HINTS)
+    return hit & (F.length(html) < below) if below > 0 else hit
 
 
 def gate_error(verdict: Column, has_embedded_article: Column, force: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import markdown_text as mt
 from pagemill.functions.text import bind, blank_to_null, is_filled
 from pagemill.operators import classify, embedded, links, markdown, regions, titles
-from pagemill.sources.pages import within_size
+from pagemill.sources.pages import size_error
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class PageOptions:
     keep_html: bool = False
     embedded_articles: bool = True
     force: bool = False
-    max_html_bytes: int = 10 * 1024 * 1024
+    max_html_bytes: int = 0
 
 
 def _names(text: str) -> list[str]:
@@ -46,13 +46,14 @@ def _with_embedded(base: DataFrame, wanted: bool) -> DataFrame:
 def page_results(pages: DataFrame, options: PageOptions = PageOptions()) -> DataFrame:
     """``page_id, url, title, md, success, error, image_urls``. ``pages``: ``page_id, url, html`` and optionally ``title``.
 
-    One line of steps without branches: every page is read once and shuffled once. Pages that need no conversion (failed,
-    or with a ready article) go through it with no HTML; what is known about a page travels along with it.
+    Every page gives a row: one without HTML, or with more than ``max_html_bytes`` of it, fails with an error. Pages that need
+    no conversion (failed, or with a ready article) go through with no HTML; what is known about a page travels along with it.
     """
     custom = F.col("title") if "title" in pages.columns else F.lit(None).cast("string")
-    base = within_size(pages, options.max_html_bytes).select("page_id", "url", "html", custom.alias("custom"))
+    unusable = size_error(F.col("html"), options.max_html_bytes)
+    base = pages.select("page_id", "url", F.when(unusable.isNull(), F.col("html")).otherwise(F.lit("")).alias("html"), custom.alias("custom"), unusable.alias("unusable"))
     joined = _with_embedded(base, options.embedded_articles)
-    checked = joined.withColumn("error", classify.gate_error(classify.challenge(F.col("html")), F.col("e").isNotNull(), options.force))
+    checked = joined.withColumn("error", F.coalesce("unusable", classify.gate_error(classify.challenge(F.col("html")), F.col("e").isNotNull(), options.force)))
     is_ready = F.col("error").isNull() & F.coalesce(F.col("e.is_markdown"), F.lit(False))
     shown = F.when(F.col("e").isNotNull() & ~F.col("e.is_markdown"), F.col("e.body")).otherwise(F.col("html"))
     paged = checked.withColumns({"ready": is_ready, "html": shown}).withColumn(

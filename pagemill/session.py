@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,20 @@ def local_session(cores: str | int = "*", app: str = "pagemill") -> SparkSession
     return session
 
 
-def durable(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which every executor can reach,
-    so the rows survive the loss of the executors that computed them. ``fallback_dir`` is used only where
-    the session names none (tests on one machine).
+    The folder is the context's own, else the one the cluster names in ``spark.checkpoint.dir``, which every executor can
+    reach, so the rows survive the loss of the executors that computed them. Only a session on one machine
+    (``local[...]``) may do without and gets a temporary folder; on a cluster a missing setting is an error.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and fallback_dir is not None:
-        spark.sparkContext.setCheckpointDir(fallback_dir)
-    elif shared is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

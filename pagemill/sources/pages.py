@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import binary
 from pagemill.functions.text import strip
 
+#: The page size that crawls usually allow; a page job has no limit unless it is given one.
 MAX_HTML_BYTES = 10 * 1024 * 1024
 
 
-def read_pages(spark: SparkSession, path: str, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    """``page_id, url, html`` with oversized pages left out (0 keeps all)."""
-    return within_size(spark.read.parquet(path).select("page_id", "url", "html"), max_bytes)
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, url, html`` of every page; see :func:`size_error` for those that cannot be used."""
+    return spark.read.parquet(path).select("page_id", "url", "html")
 
 
-def within_size(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES, html: str = "html") -> DataFrame:
-    return pages.where(F.octet_length(html) <= max_bytes) if max_bytes > 0 else pages
+def size_error(html: Column, max_bytes: int = 0) -> Column:
+    """Why a page cannot be used: it has no HTML, or more than ``max_bytes`` of it (0: no limit). NULL for a usable page."""
+    missing = F.when(html.isNull(), "no html")
+    return missing.when(F.octet_length(html) > max_bytes, "html too large") if max_bytes > 0 else missing
 
 
 def url_line(line: Column) -> Column:
@@ -37,19 +40,30 @@ def url_list(lines: DataFrame, line: str = "line", number: str = "line_no") -> t
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of URL list files, with true line numbers in each file."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.posexplode(F.split(text, r"\r?\n")).alias("_i", "line")).select(
-        "path", (F.col("_i") + 1).alias("line_no"), "line")
+    """``path, line_no, line`` of URL list files, with true line numbers in each file.
+
+    Files are read in splits, so a list of any size is many tasks. Lines of a file are in order by block and by place in the block;
+    the blocks are numbered by the sum of the lines before them.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("at"), F.make_valid_utf8(F.col("value")).alias("line"))
+    sizes = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return lines.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
 
+def read_saved_html(spark: SparkSession, path: str, max_bytes: int = 0, charsets: list[str] | None = None) -> DataFrame:
+    """``path, html, error`` of saved pages, decoded by their declared character set.
 
-def read_saved_html(spark: SparkSession, path: str, max_bytes: int = MAX_HTML_BYTES, charsets: list[str] | None = None) -> DataFrame:
-    """``path, html`` of saved pages, decoded by their declared character set; the size limit is pushed to the listing."""
+    With ``max_bytes`` a larger file is not read and gives a row with an error instead.
+    """
     files = spark.read.format("binaryFile").load(path)
-    if max_bytes > 0:
-        files = files.where(F.col("length") <= max_bytes)
-    return files.select("path", binary.decode_page(F.col("content"), charsets).alias("html"))
+    if max_bytes <= 0:
+        return files.select("path", binary.decode_page(F.col("content"), charsets).alias("html"), F.lit(None).cast("string").alias("error"))
+    small = files.where(F.col("length") <= max_bytes).select("path", binary.decode_page(F.col("content"), charsets).alias("html"), F.lit(None).cast("string").alias("error"))
+    large = files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("string").alias("html"), F.lit("html too large").alias("error"))
+    return small.unionByName(large)
 
 
 def block_records(dumps: DataFrame, json: str = "json", key: str = "page_id") -> DataFrame:
