@@ -3,9 +3,9 @@
 A byte goes if it is covered by a string of ``length`` bytes that also starts at another place of any text. Such strings are found in
 four steps, each of which keeps every true repeat:
 
-1. Every window of ``length`` bytes is keyed by the smallest and the largest hash among its short grams and their distance. Equal
-   windows have equal keys, so windows whose key occurs once in the corpus are out.
-2. The windows left form runs around one smallest gram, their owner. Equal runs are added up before the shuffle.
+1. Every window of ``length`` bytes is owned by the smallest hash among its short grams. Neighbouring windows with one smallest gram
+   form a run. Equal windows have equal owners, so runs whose owner occurs once in the corpus are out.
+2. Of the runs left, equal ones are added up before the shuffle.
 3. Runs go to shards by owner, so all equal windows meet in one shard. Its suffixes are sorted by external induced sorting
    (``induced_sort``), and neighbours that agree in ``length`` bytes are repeats, as are runs that were added up.
 4. The spans go back to the texts in which their runs occur.
@@ -32,7 +32,9 @@ from pagemill.llm.induced_sort import repeated_starts
 
 LENGTH = 200
 SHARD_BYTES = 6 << 20
-PIECE = 1 << 20
+PIECE = 1 << 15
+#: Texts with candidate runs that are picked by a broadcast of their hashes; beyond this number they are joined by shuffle.
+BROADCAST_TEXTS = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -56,16 +58,13 @@ def sliding(x: np.ndarray, width: int, op, least) -> np.ndarray:
     return op(back[:len(x) - width + 1], ahead[width - 1:len(x)])
 
 
-def windows(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window start: places of its smallest and largest gram, then the hash of the smallest and the key."""
+def windows(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window start: the place of its smallest gram (the last of equal ones), and the hash of that gram."""
     h, size = gram_hashes(raw, length)
-    place = np.arange(len(h), dtype=np.uint64)
-    coarse, width = h & ~_PLACE, length - size + 1
-    low = (_PLACE - (sliding(coarse | (_PLACE - place), width, np.minimum, np.uint64(2**64 - 1)) & _PLACE)).astype(np.int64)
-    high = (sliding(coarse | place, width, np.maximum, np.uint64(0)) & _PLACE).astype(np.int64)
-    owner = h[low]
-    key = (owner * _B ^ h[high]) * _A + (high - low).astype(np.uint64)
-    return low, high, owner, key ^ key >> np.uint64(32)
+    place = _PLACE - np.arange(len(h), dtype=np.uint64)
+    low = sliding((h & ~_PLACE) | place, length - size + 1, np.minimum, np.uint64(2**64 - 1))
+    low = (_PLACE - (low & _PLACE)).astype(np.int64)
+    return low, h[low]
 
 
 def pieces(texts: list[bytes], length: int):
@@ -103,29 +102,13 @@ def runs_of(change: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return inside[new], inside[np.append(new[1:], True)]
 
 
-def key_runs(texts: list[bytes], length: int):
-    """``(text number, first, last, key)`` arrays of the runs of windows with one key."""
+def owned_runs(texts: list[bytes], length: int):
+    """``(text numbers, firsts, lasts, owners)`` of the runs of windows with one smallest gram."""
     for raw, number, offset, valid in pieces(texts, length):
-        low, high, _, key = windows(raw, length)
-        change = np.append(True, (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(number[:len(low)]) != 0))
+        low, owner = windows(raw, length)
+        change = np.append(True, (np.diff(low) != 0) | (np.diff(number[:len(low)]) != 0))
         first, last = runs_of(change, valid)
-        yield number[first], offset[first], offset[last], key[first].astype(np.int64)
-
-
-def owned_runs(text: bytes, spans: list[tuple[int, int]], length: int):
-    """``(owner, first, body)`` of the windows in ``spans``, in runs with one owner."""
-    wanted = np.zeros(len(text) + 1, np.int64)
-    for a, b in spans:
-        wanted[a] += 1
-        wanted[b + 1] -= 1
-    wanted = np.cumsum(wanted) > 0
-    for raw, _, offset, valid in pieces([text], length):
-        low, _, owner, _ = windows(raw, length)
-        # Pieces of one text overlap by less than a window, so no window is seen twice.
-        first, last = runs_of(np.append(True, np.diff(low) != 0), valid & wanted[offset[:len(low)]])
-        for a, b in zip(first.tolist(), last.tolist()):
-            start, end = int(offset[a]), int(offset[b]) + length
-            yield int(owner[a].astype(np.int64)), start, text[start:end]
+        yield number[first], offset[first], offset[last], owner[first].astype(np.int64)
 
 
 def _seen(seen: set, digest: bytes) -> bool:
@@ -138,28 +121,28 @@ def _seen(seen: set, digest: bytes) -> bool:
 
 
 def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
-    """``md5, runs``: for each text, the runs of windows whose key occurs more than once."""
+    """``id, firsts``: for each text (by its hash), the starts of the runs whose owner occurs more than once."""
     def keys(batches):
         counts = KeyCounts()
         for batch in batches:
-            for *_, key in key_runs(batch.column(1).to_pylist(), length):
-                for out in counts.add(key):
+            for *_, owner in owned_runs(batch.column(1).to_pylist(), length):
+                for out in counts.add(owner):
                     yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["key", "n"])
         for out in counts.rest():
             yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["key", "n"])
 
     def places(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
-            rows = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not _seen(seen, d)]
-            digests = pa.array([d for d, _ in rows], pa.binary())
-            for number, first, last, key in key_runs([t for _, t in rows], length):
-                yield pa.RecordBatch.from_arrays([pa.array(key), digests.take(pa.array(number)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                                                 ["key", "md5", "first", "last"])
+            rows = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not _seen(seen, i)]
+            ids = np.array([i for i, _ in rows], np.int64)
+            for number, first, _, owner in owned_runs([t for _, t in rows], length):
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[number]), pa.array(first.astype(np.int32))], ["key", "id", "first"])
 
-    repeated = texts.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    found = texts.mapInArrow(places, "key long, md5 binary, first int, last int").join(repeated, "key", "left_semi")
-    return found.select("md5", "first", "last").distinct().groupBy("md5").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    slim = texts.select("id", "text")
+    repeated = slim.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    found = slim.mapInArrow(places, "key long, id long, first int").join(repeated, "key", "left_semi")
+    return found.groupBy("id").agg(F.collect_set("first").alias("firsts"))
 
 
 def contents(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -171,12 +154,20 @@ def contents(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         size, seen = 0, set()
 
         def flush():
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (o, d, b, n, None, None))) for d, (o, b, n) in bodies.items()], schema)
+            columns = [[o for o, _, _ in bodies.values()], list(bodies), [b for _, b, _ in bodies.values()], [n for _, _, n in bodies.values()]]
+            none = [None] * len(bodies)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, none, none], schema)], schema=schema)
 
         for batch in batches:
-            for md5, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                places, known = [], _seen(seen, md5)
-                for owner, first, body in owned_runs(text, [(s["first"], s["last"]) for s in spans], length):
+            md5s, texts_, wanted = (batch.column(k).to_pylist() for k in range(3))
+            known = [_seen(seen, d) for d in md5s]
+            wanted = [set(w) for w in wanted]
+            places: list[tuple] = []
+            for numbers, firsts, lasts, owners in owned_runs(texts_, length):
+                for k, a, b, owner in zip(numbers.tolist(), firsts.tolist(), lasts.tolist(), owners.tolist()):
+                    if a not in wanted[k]:
+                        continue
+                    body = texts_[k][a:b + length]
                     digest = hashlib.blake2b(body, digest_size=16).digest()
                     held = bodies.get(digest)
                     if held is None:
@@ -184,17 +175,20 @@ def contents(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                         size += len(body) + 200
                     else:
                         held[2] += 1
-                    if not known:
-                        places.append((None, digest, None, None, md5, first))
-                    if size > 32 << 20:
-                        yield flush()
-                        bodies, size = {}, 0
-                if places:
+                    if not known[k]:
+                        places.append((None, digest, None, None, md5s[k], a))
+                if size > 32 << 20:
+                    yield flush()
+                    bodies, size = {}, 0
+                if len(places) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*places), schema)], schema=schema)
+                    places = []
+            if places:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*places), schema)], schema=schema)
         if bodies:
             yield flush()
 
-    return texts.join(runs, "md5").select("md5", "text", "runs").mapInArrow(run, "owner long, digest binary, body binary, n long, md5 binary, first int")
+    return texts.join(runs, "id").select("md5", "text", "firsts").mapInArrow(run, "owner long, digest binary, body binary, n long, md5 binary, first int")
 
 
 def merged_spans(starts: np.ndarray, length: int) -> np.ndarray:
@@ -224,11 +218,14 @@ def shard_spans(bodies: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``md5, found`` of the texts (``md5, text``) that hold repeats: where runs lie in a text, and the spans within them."""
-    parts = durable(contents(texts, repeated_runs(texts, length), length))
+    """``md5, found`` of the texts (``id, md5, text``) that hold repeats: where runs lie in a text, and the spans within them."""
+    runs = durable(repeated_runs(texts, length))
+    few = runs.count() <= BROADCAST_TEXTS
+    candidates = texts.join(F.broadcast(runs.select("id")), "id", "left_semi") if few else texts
+    parts = durable(contents(candidates, runs, length))
     spans = shard_spans(parts.where("body IS NOT NULL"), length, shard_bytes)
     places = parts.where("body IS NULL").select("digest", "md5", "first").distinct()
-    return places.join(spans, "digest").groupBy("md5").agg(F.collect_list(F.struct("first", "spans")).alias("found"))
+    return durable(places.join(spans, "digest").groupBy("md5").agg(F.collect_list(F.struct("first", "spans")).alias("found")))
 
 
 @F.arrow_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
@@ -251,11 +248,18 @@ def cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with a struct column ``__cut``: ``kept`` (bytes), ``n_removed``, ``n_spans``."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    texts = docs.select(F.unhex(F.md5(body)).alias("md5"), body.alias("text"))
+    texts = docs.select(F.xxhash64(body).alias("id"), F.unhex(F.md5(body)).alias("md5"), body.alias("text"))
     found = repeats(texts, length, shard_bytes).select(F.col("md5").alias("__md5"), F.col("found").alias("__found"))
     keyed = docs.withColumn("__key", F.unhex(F.md5(body)))
-    joined = keyed.join(found, F.col("__key") == F.col("__md5"), "left")
-    return joined.withColumn("__cut", cut_out(body, F.col("__found"))).drop("__key", "__md5", "__found")
+    same = F.col("__key") == F.col("__md5")
+    cut = lambda df: df.withColumn("__cut", cut_out(body, F.col("__found"))).drop("__key", "__md5", "__found")
+    if found.count() > BROADCAST_TEXTS:
+        return cut(keyed.join(found, same, "left"))
+    # Only the texts that lose something are shuffled.
+    some = F.broadcast(found.select("__md5"))
+    untouched = keyed.join(some, same, "left_anti").withColumns({
+        "__md5": F.lit(None).cast("binary"), "__found": F.lit(None).cast(found.schema["__found"].dataType)})
+    return cut(keyed.join(some, same, "left_semi").join(found, same).select(untouched.columns).unionAll(untouched))
 
 
 def cut_texts(docs: DataFrame, **options: int) -> DataFrame:
