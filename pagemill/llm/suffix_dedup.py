@@ -31,7 +31,7 @@ from pagemill.llm.common import KeyCounts, durable
 from pagemill.llm.induced_sort import repeated_starts
 
 LENGTH = 200
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 PIECE = 1 << 15
 #: Texts with candidate runs that are picked by a broadcast of their hashes; beyond this number they are joined by shuffle.
 BROADCAST_TEXTS = 2_000_000
@@ -42,7 +42,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 def gram_hashes(raw: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """Hashes of all grams of a power of two, made by doubling, and their size."""
     size, h = 1, (raw.astype(np.uint64) + np.uint64(1)) * _A
-    while size * 6 <= length and size < 32:
+    while size * 3 <= length and size < 64:
         h = (h[:-size] * _B + h[size:]) * _A
         h ^= h >> np.uint64(31)
         size *= 2
@@ -145,50 +145,58 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     return found.groupBy("id").agg(F.collect_set("first").alias("firsts"))
 
 
-def contents(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """Two kinds of rows: distinct run bodies with their number (``owner, digest, body, n``), and places (``md5, first, digest``)."""
-    schema = pa.schema([("owner", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("n", pa.int64()), ("md5", pa.binary()), ("first", pa.int32())])
+def _wanted_runs(batch, length: int):
+    """``(digest of text, owner, first, body)`` of the candidate runs of a batch of ``md5, text, firsts``."""
+    md5s, texts, wanted = (batch.column(k).to_pylist() for k in range(3))
+    wanted = [set(w) for w in wanted]
+    for numbers, firsts, lasts, owners in owned_runs(texts, length):
+        for k, a, b, owner in zip(numbers.tolist(), firsts.tolist(), lasts.tolist(), owners.tolist()):
+            if a in wanted[k]:
+                yield md5s[k], owner, a, texts[k][a:b + length]
 
+
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def run_bodies(joined: DataFrame, length: int) -> DataFrame:
+    """``owner, digest, body, n``: candidate runs, equal ones of a task added up."""
     def run(batches):
         bodies: dict[bytes, list] = {}
-        size, seen = 0, set()
+        size = 0
 
         def flush():
-            columns = [[o for o, _, _ in bodies.values()], list(bodies), [b for _, b, _ in bodies.values()], [n for _, _, n in bodies.values()]]
-            none = [None] * len(bodies)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, none, none], schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([v[0] for v in bodies.values()], pa.int64()), pa.array(bodies.keys(), pa.binary()), pa.array([v[1] for v in bodies.values()], pa.binary()),
+                                               pa.array([v[2] for v in bodies.values()], pa.int64())], ["owner", "digest", "body", "n"])
 
         for batch in batches:
-            md5s, texts_, wanted = (batch.column(k).to_pylist() for k in range(3))
-            known = [_seen(seen, d) for d in md5s]
-            wanted = [set(w) for w in wanted]
-            places: list[tuple] = []
-            for numbers, firsts, lasts, owners in owned_runs(texts_, length):
-                for k, a, b, owner in zip(numbers.tolist(), firsts.tolist(), lasts.tolist(), owners.tolist()):
-                    if a not in wanted[k]:
-                        continue
-                    body = texts_[k][a:b + length]
-                    digest = hashlib.blake2b(body, digest_size=16).digest()
-                    held = bodies.get(digest)
-                    if held is None:
-                        bodies[digest] = [owner, body, 1]
-                        size += len(body) + 200
-                    else:
-                        held[2] += 1
-                    if not known[k]:
-                        places.append((None, digest, None, None, md5s[k], a))
-                if size > 32 << 20:
-                    yield flush()
-                    bodies, size = {}, 0
-                if len(places) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*places), schema)], schema=schema)
-                    places = []
-            if places:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*places), schema)], schema=schema)
+            for _, owner, _, body in _wanted_runs(batch, length):
+                digest = _digest(body)
+                held = bodies.get(digest)
+                if held is None:
+                    bodies[digest] = [owner, body, 1]
+                    size += len(body) + 200
+                    if size > 24 << 20:
+                        yield flush()
+                        bodies, size = {}, 0
+                else:
+                    held[2] += 1
         if bodies:
             yield flush()
 
-    return texts.join(runs, "id").select("md5", "text", "firsts").mapInArrow(run, "owner long, digest binary, body binary, n long, md5 binary, first int")
+    return joined.mapInArrow(run, "owner long, digest binary, body binary, n long")
+
+
+def run_places(joined: DataFrame, length: int) -> DataFrame:
+    """``digest, md5, first``: where in a text a candidate run begins; once for each distinct text of a task."""
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            fresh = [not _seen(seen, d) for d in batch.column(0).to_pylist()]
+            rows = [(_digest(body), md5, first) for md5, _, first, body in _wanted_runs(batch.filter(pa.array(fresh, pa.bool_())), length)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["digest", "md5", "first"])
+
+    return joined.mapInArrow(run, "digest binary, md5 binary, first int")
 
 
 def merged_spans(starts: np.ndarray, length: int) -> np.ndarray:
@@ -199,10 +207,8 @@ def merged_spans(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[np.append(True, cut)], starts[np.append(cut, True)] + length], axis=1).astype(np.int32)
 
 
-def shard_spans(bodies: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def shard_spans(bodies: DataFrame, length: int, shards: int) -> DataFrame:
     """``digest, spans`` of the run bodies that hold repeats; one suffix order for each shard."""
-    total = bodies.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-
     def run(batches):
         held: dict[bytes, list] = {}
         for batch in batches:
@@ -213,18 +219,19 @@ def shard_spans(bodies: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         out = [x for x in out if x[1]]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["digest", "spans"])
 
-    shards = max(int(total // shard_bytes) + 1, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return bodies.select("digest", "body", "n", "owner").repartition(shards, "owner").select("digest", "body", "n").mapInArrow(run, "digest binary, spans binary")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``md5, found`` of the texts (``id, md5, text``) that hold repeats: where runs lie in a text, and the spans within them."""
     runs = durable(repeated_runs(texts, length))
-    few = runs.count() <= BROADCAST_TEXTS
-    candidates = texts.join(F.broadcast(runs.select("id")), "id", "left_semi") if few else texts
-    parts = durable(contents(candidates, runs, length))
-    spans = shard_spans(parts.where("body IS NOT NULL"), length, shard_bytes)
-    places = parts.where("body IS NULL").select("digest", "md5", "first").distinct()
+    n_texts, n_runs = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("firsts")), F.lit(0))).first()
+    candidates = texts.join(F.broadcast(runs.select("id")), "id", "left_semi") if n_texts <= BROADCAST_TEXTS else texts
+    # Both passes read the same exchange of the candidates' texts; storing the bodies would take more room than cutting them again.
+    joined = candidates.join(runs, "id").select("md5", "text", "firsts")
+    shards = max(n_runs * 3 * length // 2 // shard_bytes + 1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spans = shard_spans(run_bodies(joined, length), length, shards)
+    places = run_places(joined, length).distinct()
     return durable(places.join(spans, "digest").groupBy("md5").agg(F.collect_list(F.struct("first", "spans")).alias("found")))
 
 
