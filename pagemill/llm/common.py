@@ -51,7 +51,7 @@ def durable(df: DataFrame) -> DataFrame:
 class KeyCounts:
     """Counts of 64-bit keys, added up in sorted arrays of bounded size."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most, self.parts, self.size = most, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -43,7 +43,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 counts.update(words(text))
                 ends += 1
-                if len(counts) > 500_000:
+                if len(counts) > 250_000:
                     yield pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
                     counts = collections.Counter()
         if ends:
@@ -88,7 +88,7 @@ def count_ngrams(texts: DataFrame, shared, order: int, pairs=None) -> DataFrame:
                 gathered.append(ids)
                 gathered.append(np.zeros(1, np.int64))  # nothing crosses the end of a text
                 size += len(ids)
-                if size > 2_000_000 or k + 1 == len(column):
+                if size > 1_000_000 or k + 1 == len(column):
                     ids = np.concatenate(gathered)
                     gathered, size = [], 0
                     keys = ids[:-1] * m + ids[1:]
