@@ -219,9 +219,17 @@ FILE_SQL = f"""WITH base AS ({BASE_SQL}), f AS (SELECT *, substring(CASE WHEN re
  n AS (SELECT *, row_number() OVER (PARTITION BY site, stem ORDER BY ord) - 1 AS k FROM f), names AS (SELECT *, stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.md' AS file_name FROM n)"""
 
 
-@query("w2_file_names", f"{FILE_SQL} SELECT site, ord, file_name FROM names")
+CHAINED = {"Zz": "Zz.md", "ZZ ": "ZZ.md", "Zz ": "Zz_1.md", "Zz_1": "Zz_1_1.md", "Zz_1_1": "Zz_1_1_1.md", " Zz": "Zz_2.md"}
+
+
+@query("w2_file_names", f"{FILE_SQL} SELECT site, ord, file_name FROM names UNION ALL " + " UNION ALL ".join(
+    f"SELECT DISTINCT site, {7919 * 10 ** 12 * (i + 1) + i * i}, '{name}' FROM base" for i, name in enumerate(CHAINED.values())))
 def _(spark, sf):
-    return site.file_names(results(spark, sf)).select("site", "ord", "file_name")
+    """Besides the pages: titles whose numbered names meet other titles, under page numbers that are far apart."""
+    pages = results(spark, sf)
+    rows = [F.struct(F.lit(7919 * 10 ** 12 * (i + 1) + i * i).alias("ord"), F.lit(t).alias("title")) for i, t in enumerate(CHAINED)]
+    more = pages.select("site").distinct().select("site", F.explode(F.array(*rows)).alias("m")).select("site", "m.*", F.lit(True).alias("success"))
+    return site.file_names(pages.select("site", "ord", "title", "success").unionByName(more)).select("site", "ord", "file_name")
 
 
 @query("w3_asset_names", f"""WITH {IMAGES_SQL}, firsts AS (SELECT image_url, min(page_id * 10 + ord) AS k FROM img GROUP BY image_url), num AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM firsts)

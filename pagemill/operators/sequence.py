@@ -7,18 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1_000_000
+TILES = 200
 HOT_SHARE = 10_000
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", bucket: int = BUCKET) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", tiles: int = TILES) -> DataFrame:
     """``row_number`` per key in ``order`` without putting a whole key into one task.
 
-    The first order column is a dense page number. Rows of a key are numbered inside buckets of ``bucket`` page
-    numbers, and every bucket starts where the ones before it ended. The buckets depend on the data alone, so a
-    task that is run again gives the same numbers.
+    The first order column is a number, dense or not. Rows of a key are numbered inside ranges of it, cut at the quantiles of all
+    rows, and every range starts where the ones before it ended. Hand in slim rows: they are shuffled twice.
     """
-    tiles = df.withColumn("_tile", F.expr(f"`{order[0]}` div {int(bucket)}"))
+    cuts = df.agg(F.percentile_approx(order[0], F.array(*[F.lit(k / tiles) for k in range(1, tiles)]), F.lit(10_000))).scalar()
+    tiles = df.withColumn("_cuts", cuts).withColumn("_tile", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order[0]))), F.lit(0))).drop("_cuts")
     inner = Window.partitionBy(*keys, "_tile").orderBy(*order)
     numbered = tiles.withColumn("_in", F.row_number().over(inner))
     sizes = tiles.groupBy(*keys, "_tile").agg(F.count("*").alias("_size"))

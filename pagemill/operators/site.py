@@ -1,6 +1,6 @@
 """Site-level tables and documents built from page results.
 
-``results``: ``site, ord, url, title, md, success, error`` with ``ord`` the dense page number. Documents are produced as
+``results``: ``site, ord, url, title, md, success, error`` with ``ord`` the page number, dense or not, once in a site. Documents are produced as
 ordered rows, never as one string per site: a site may hold a third of all pages, so its document is a sorted set of
 sections that is written out in order by many tasks.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import markdown_text as mt, urls
 from pagemill.functions.text import html_escape, link_label, yaml_string
 from pagemill.operators import rewrite, sequence
+from pagemill.session import durable
 
 # Wording of the generated documents.
 DOC_TITLE, INDEX_TITLE = "批量导出文档", "批量导出索引"
@@ -24,9 +25,10 @@ FAILED, FAILED_WHY, ORIGINAL, SOURCE, REWRITTEN = "(获取失败)", "(获取失
 def with_anchors(results: DataFrame) -> DataFrame:
     """Add ``slug`` and ``anchor``: the slug, then slug-2, slug-3 in page order. Failed pages get none."""
     good = results.where("success").withColumn("slug", urls.anchor_slug(F.col("title")))
-    numbered = sequence.row_numbers(good, ["site", "slug"], ["ord"], "_n")
+    numbers = sequence.row_numbers(good.select("site", "ord", "slug"), ["site", "slug"], ["ord"], "_n")
+    numbered = good.join(numbers.select("site", "ord", "_n"), ["site", "ord"])
     anchor = F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("_n").cast("string")))
-    return numbered.withColumn("anchor", anchor).drop("_n").unionByName(
+    return numbered.withColumn("anchor", anchor).select(*results.columns, "slug", "anchor").unionByName(
         results.where(~F.col("success")).withColumns({"slug": F.lit(None).cast("string"), "anchor": F.lit(None).cast("string")}))
 
 
@@ -66,25 +68,36 @@ def page_document(title: Column, url: Column, md: Column, run_time: str, redact:
 
 
 def file_names(results: DataFrame, folder: str = "") -> DataFrame:
-    """Add ``file_name`` to successful pages: a stem from the title, ``_1``, ``_2`` for repeats in page order.
+    """Add ``file_name`` to successful pages: a stem from the title, ``_1``, ``_2`` for repeats in page order, each name once.
 
-    Where a suffixed name equals another title's own name, the later page gives way: an own name gets another ``_1``, a
-    suffixed one moves to the next number if that is free and else carries its page number.
+    Pages of one stem take its numbers in order. Where two stems meet in one name, the earlier page keeps it; the other stem may not
+    use that number, and its pages move up. This goes on over the stems concerned until all names differ. Only site, page number and stem
+    take part; ``site, ord`` identify a page.
     """
-    named = results.where("success").withColumn("_stem", F.substring(urls.file_stem(F.col("title")), 1, 50))
+    named = results.where("success").select("site", "ord", F.substring(urls.file_stem(F.col("title")), 1, 50).alias("_stem"))
     fitted = named.withColumn("_stem", F.regexp_replace(urls.fit_path(folder, F.concat("_stem", F.lit(".md"))), r"\.md$", ""))
-    numbered = sequence.row_numbers(fitted, ["site", "_stem"], ["ord"], "_n").withColumn("_k", F.col("_n") - 1)
-    first = numbered.withColumn("_name", F.when(F.col("_k") == 0, F.col("_stem")).otherwise(
-        F.concat("_stem", F.lit("_"), F.col("_k").cast("string"))))
-    owner = first.groupBy("site", "_name").agg(F.min("ord").alias("_owner"))
-    sizes = numbered.groupBy("site", "_stem").agg(F.max("_k").alias("_last"))
-    placed = first.join(owner, ["site", "_name"]).join(sizes, ["site", "_stem"])
-    moved = (
-        F.when(F.col("_k") == 0, F.concat("_name", F.lit("_1")))
-        .when(F.col("_k") == F.col("_last"), F.concat("_stem", F.lit("_"), (F.col("_k") + 1).cast("string")))
-        .otherwise(F.concat("_name", F.lit("_"), F.col("ord").cast("string"))))
-    final = F.when(F.col("ord") == F.col("_owner"), F.col("_name")).otherwise(moved)
-    return placed.withColumn("file_name", F.concat(final, F.lit(".md"))).select(*results.columns, "file_name")
+    ranked = durable(sequence.row_numbers(fitted, ["site", "_stem"], ["ord"], "_n").select("site", "ord", "_stem", (F.col("_n") - 1).alias("_rank")))
+    refused: DataFrame | None = None
+    while True:
+        placed = ranked.withColumn("_k", F.col("_rank"))
+        if refused is not None:
+            few = F.broadcast if refused.count() <= 100_000 else (lambda df: df)
+            placed = ranked.join(few(refused), ["site", "_stem"], "left").withColumn("_k", F.aggregate(
+                F.coalesce("_refused", F.array().cast("array<bigint>")), F.col("_rank"), lambda k, r: F.when(r <= k, k + 1).otherwise(k)))
+        placed = placed.withColumn("_name", F.when(F.col("_k") == 0, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), F.col("_k").cast("string"))))
+        owners = placed.groupBy("site", "_name").agg(F.count("*").alias("_n"), F.min("ord").alias("_owner")).where("_n > 1")
+        lost = placed.join(owners, ["site", "_name"]).where("ord > _owner").groupBy("site", "_stem").agg(F.sort_array(F.collect_set("_k")).alias("_lost"))
+        lost = durable(lost)
+        if lost.isEmpty():
+            break
+        if refused is None:
+            refused = lost.withColumnRenamed("_lost", "_refused")
+        else:
+            none = F.array().cast("array<bigint>")
+            refused = durable(refused.join(lost, ["site", "_stem"], "full_outer").select(
+                "site", "_stem", F.sort_array(F.array_union(F.coalesce("_refused", none), F.coalesce("_lost", none))).alias("_refused")))
+    names = placed.select("site", "ord", F.concat("_name", F.lit(".md")).alias("file_name"))
+    return results.where("success").join(names, ["site", "ord"]).select(*results.columns, "file_name")
 
 
 def page_files(results: DataFrame, run_time: str, folder: str = "", redact: bool = True, assets: str | None = None) -> DataFrame:
@@ -199,11 +212,15 @@ def image_references(docs: DataFrame, md: str = "md", key: str = "page_id") -> D
 
 
 def missing_files(references: DataFrame, files: DataFrame) -> DataFrame:
-    """Local references without a file, first as written, then percent-decoded. ``files``: ``path``."""
+    """Local references without a file, first as written, then percent-decoded. ``files``: ``path``.
+
+    Files are asked once for each distinct reference, so a logo that all documents show is one row of the lookup.
+    """
     local = references.where("is_local")
-    literal = local.join(files.select(F.col("path").alias("ref")), "ref", "left_anti")
-    return literal.withColumn("_d", urls.percent_decode(F.col("ref"))).join(
-        files.select(F.col("path").alias("_d")), "_d", "left_anti").drop("_d")
+    names = local.select("ref").distinct()
+    gone = names.join(files.select(F.col("path").alias("ref")), "ref", "left_anti").withColumn("_d", urls.percent_decode(F.col("ref")))
+    gone = gone.join(files.select(F.col("path").alias("_d")), "_d", "left_anti").select("ref")
+    return local.join(gone, "ref", "left_semi").select(references.columns)
 
 
 def reference_report(docs: DataFrame, files: DataFrame, md: str = "md", key: str = "page_id") -> DataFrame:
