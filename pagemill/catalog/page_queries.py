@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -419,10 +421,9 @@ def next_pages(spark, sf) -> DataFrame:
 
 DOC_HTML = f"'<h3><strong>H</strong></h3>' || chr(10) || '<p>' || {escq('text')} || '</p>' || chr(10)"
 FULL = "'<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>D' || doc_id || '</title></head><body><h1>D' || doc_id || '</h1>' || chr(10) || {0} || '</body></html>'"
-LONG_DOC = f"length(trim({DOC_HTML})) >= 50"
 
 
-@query("ext16_next_article", f"SELECT doc_id AS page_id, 'D' || doc_id AS title, {FULL.format(DOC_HTML)} AS body FROM documents WHERE {LONG_DOC}")
+@query("ext16_next_article", f"SELECT doc_id AS page_id, 'D' || doc_id AS title, {FULL.format(DOC_HTML)} AS body FROM documents")
 def _(spark, sf):
     return embedded.next_articles(next_pages(spark, sf)).select("page_id", "title", "body")
 
@@ -441,8 +442,8 @@ DELTA = f"CASE WHEN {FLAT} = '' THEN '<h2></h2>' ELSE '<h2>' || {escq(FLAT)} ||
 
 
 @query("ext17_router_article", f"""SELECT doc_id AS page_id, 'D' || doc_id AS title, true AS is_markdown, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body FROM documents
- WHERE doc_id % 2 = 0 AND length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) > 50
- UNION ALL SELECT doc_id, 'D' || doc_id, false, {FULL.format(DELTA)} FROM documents WHERE doc_id % 2 = 1 AND length(trim({DELTA})) - 1 >= 50""")
+ WHERE doc_id % 2 = 0 AND regexp_replace(text, '\\s', '', 'g') <> ''
+ UNION ALL SELECT doc_id, 'D' || doc_id, false, {FULL.format(DELTA)} FROM documents WHERE doc_id % 2 = 1""")
 def _(spark, sf):
     return embedded.router_articles(router_pages(spark, sf)).select("page_id", "title", "is_markdown", "body")
 
@@ -453,7 +454,7 @@ def script_pages(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html"))
 
 
-@query("ext18_script_article", f"SELECT doc_id AS page_id, 'D' || doc_id AS title, {FULL.format(DOC_HTML)} AS body FROM documents WHERE length(regexp_replace({DOC_HTML}, '\\s+$', '')) > 100")
+@query("ext18_script_article", f"SELECT doc_id AS page_id, 'D' || doc_id AS title, {FULL.format(DOC_HTML)} AS body FROM documents")
 def _(spark, sf):
     return embedded.script_articles(script_pages(spark, sf)).select("page_id", "title", "body")
 
@@ -467,25 +468,30 @@ def _(spark, sf):
     return embedded.json_slices(d.select(F.col("doc_id").alias("id"), F.col("text_").alias("text")))
 
 
-DOC_FRAME = ('{"type":"doc","content":[{"type":"heading","attrs":{"level":"3"},"content":[{"type":"text","text":"H","marks":[{"type":"bold"}]}]},'
-             '{"type":"paragraph","content":[{"type":"text","text":""}]}]}')
-
-
-@query("ext20_richtext_search", f"""SELECT doc_id, CASE WHEN 2 + length(j) + length(j) - length(replace(j, '"', '')) + length(j) - length(replace(j, chr(92), '')) > 200 THEN 2 ELSE 1 END AS layers
- FROM (SELECT doc_id, '{DOC_FRAME}' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS j FROM documents)""")
+@query("ext20_richtext_search", f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN {DOC_HTML} WHEN 1 THEN '<p>' || {escq('text')} || '</p>' || chr(10) WHEN 2 THEN '<p>' || {escq('text')} || '</p>' || chr(10)
+ WHEN 3 THEN '<h2>' || {escq(FLAT)} || '</h2>' || chr(10) WHEN 4 THEN {DOC_HTML} ELSE '<p>' || {escq('text')} || '</p>' || chr(10) END AS html FROM documents WHERE doc_id % 6 <> 3 OR {FLAT} <> ''""")
 def _(spark, sf):
+    """By document: an article after comments, a list of nodes at the top, one under a name, insertions under a name, a document in a string of a string, the first of two."""
     d = table(spark, sf, "documents")
-    outer = d.select("doc_id", F.to_json(F.struct(doc_json().alias("inner"))).alias("json"))
-    return embedded.richtext_roots(outer).groupBy("doc_id").agg(F.count("*").alias("layers"))
-
-
-@query("ext21_embedded_dispatch", f"""SELECT doc_id AS page_id, CASE doc_id % 2 WHEN 0 THEN 'nextjs' ELSE 'json_fallback' END AS source_type, {FULL.format(DOC_HTML)} AS body FROM documents
- WHERE length(regexp_replace({DOC_HTML}, '\\s+$', '')) > CASE doc_id % 2 WHEN 0 THEN 49 ELSE 100 END""")
-def _(spark, sf):
-    second = script_pages(spark, sf).withColumnRenamed("html", "other")
-    both = next_pages(spark, sf).join(second, "page_id").select(
-        "page_id", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.col("other")).alias("html"))
-    return embedded.articles(both).select("page_id", "source_type", "body")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
+    text = quoted(F.col("text"))
+    para = F.concat(F.lit('{"type":"paragraph","children":[{"text":'), text, F.lit("}]}"))
+    single = F.concat(F.lit('{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":'), text, F.lit("}]}]}"))
+    shapes = [F.concat(F.lit('{"comments":{"n":[{"kind":"text","text":"NOISE"}]},"article":'), doc_json(), F.lit("}")), F.concat(F.lit("["), para, F.lit("]")),
+              F.concat(F.lit('{"a":1,"data":['), para, F.lit("]}")), F.concat(F.lit('{"items":[{"insert":'), quoted(flat()), F.lit('},{"insert":"\\n","attributes":{"header":2}}]}')),
+              F.concat(F.lit('{"outer":'), quoted(F.concat(F.lit('{"inner":'), quoted(F.concat(F.lit('{"pad":"'), F.repeat(F.lit("x"), F.lit(300)), F.lit('","doc":'), doc_json(), F.lit("}"))), F.lit("}"))), F.lit("}")),
+              F.concat(F.lit('{"x":'), single, F.lit(',"y":{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"SECOND"}]}]}}'))]
+    chosen = F.element_at(F.array(*shapes), (F.col("doc_id") % 6 + 1).cast("int"))
+    return embedded.roots_to_html(embedded.richtext_roots(d.select("doc_id", chosen.alias("json")))).select("doc_id", "html")
+
+
+@query("ext21_embedded_dispatch", f"""SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'nextjs' WHEN 1 THEN 'json_fallback' ELSE 'modernjs' END AS source_type,
+ CASE WHEN doc_id % 3 < 2 THEN {FULL.format(DOC_HTML)} WHEN doc_id % 2 = 0 THEN regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') ELSE {FULL.format(DELTA)} END AS body FROM documents
+ WHERE doc_id % 6 <> 2 OR regexp_replace(text, '\\s', '', 'g') <> ''""")
+def _(spark, sf):
+    forms = [next_pages(spark, sf), script_pages(spark, sf), router_pages(spark, sf)]
+    pages = reduce(DataFrame.unionByName, [p.where(F.col("page_id") % 3 == k) for k, p in enumerate(forms)])
+    return embedded.articles(pages).select("page_id", "source_type", "body")
 
 
 MD_IMG = "'![a](/x/' || cast(doc_id AS varchar(20)) || '.png =10x20) ' || text || ' ![b](rel.png \"T t\") ![c](https://o.org/c.png) ![d](data:x)'"

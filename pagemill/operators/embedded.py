@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import markdown_text as mt
 from pagemill.functions.text import bind, blank_to_null, html_escape, is_filled, script_unescape, strip
 from pagemill.operators import richtext, tokens as tk
+from pagemill.session import durable
 
-MIN_BODY, MIN_FALLBACK, MIN_SCRIPT = 50, 100, 200
-SLICE_LIMIT = 5_000_000
+#: Strings shorter than this are not looked into for JSON of their own.
+MIN_NESTED = 200
+#: What a script must hold to be worth cutting.
+_MARKERS = r'''"(?:type|blocks|children|ops|insert)\\*"\s*:'''
 
 
 def script_bodies(html: Column) -> Column:
@@ -19,8 +24,8 @@ def script_bodies(html: Column) -> Column:
 
 
 def candidate_scripts(html: Column) -> Column:
-    """Bodies that may hold data: longer than 200 characters, with a brace."""
-    return F.filter(F.transform(script_bodies(html), strip), lambda b: (F.length(b) > MIN_SCRIPT) & F.contains(b, F.lit("{")))
+    """Bodies that may hold rich text: they name one of its fields."""
+    return F.filter(F.transform(script_bodies(html), strip), lambda b: b.rlike(_MARKERS))
 
 
 def json_slices(texts: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
@@ -28,7 +33,7 @@ def json_slices(texts: DataFrame, text: str = "text", key: str = "id") -> DataFr
 
     The text is cut at strings and braces; the object ends where the running brace depth first returns to zero.
     """
-    spread = tk.spread(texts.where(F.col(text).startswith("{")).select(key, F.substring(F.col(text), 1, SLICE_LIMIT).alias("_t")), key)
+    spread = tk.spread(texts.where(F.col(text).startswith("{")).select(key, F.col(text).alias("_t")), key)
     pieces = F.regexp_extract_all(F.col("_t"), F.lit(r"""(?s)"(?:[^"\\]++|\\.)*+"|[{}]|[^"{}]++|\""""), F.lit(0))
     cut = spread.select(key, F.posexplode(pieces).alias("pos", "tok"))
     w = tk.by_page(key)
@@ -56,12 +61,15 @@ def next_payload(html: Column) -> Column:
                                          F.get_json_object(i, "$.content").alias("content")))
 
 
-def next_articles(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """``key, title, body, source_type, is_markdown`` from pages with article data in the first format."""
+def next_articles(pages: DataFrame, html: str = "html", key: str = "page_id", min_length: int = 0) -> DataFrame:
+    """``key, title, body, source_type, is_markdown`` from pages with article data in the first format.
+
+    Articles whose HTML is shorter than ``min_length`` do not count, in this and the other formats.
+    """
     found = pages.where(F.contains(html, F.lit("__NEXT_DATA__"))).select(key, next_payload(F.col(html)).alias("_p"))
     docs = found.select(key, F.col("_p.title").alias("title"), F.col("_p.content").alias("json")).where(
         F.get_json_object("json", "$.type") == "doc")
-    body = richtext.to_html(docs, "json", key).where(F.length(strip(F.col("html"))) >= MIN_BODY)
+    body = richtext.to_html(docs, "json", key).where(F.length(strip(F.col("html"))) >= max(min_length, 1))
     return docs.select(key, F.coalesce("title", F.lit("")).alias("title")).join(body, key).select(
         key, "title", _full_page(F.col("title"), F.col("html")).alias("body"), F.lit("nextjs").alias("source_type"),
         F.lit(False).alias("is_markdown"))
@@ -76,16 +84,16 @@ def router_payload(slice_: Column) -> Column:
         F.get_json_object(d, "$.MDContent").alias("markdown"), F.get_json_object(d, "$.Content").alias("content")))
 
 
-def router_articles(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+def router_articles(pages: DataFrame, html: str = "html", key: str = "page_id", min_length: int = 0) -> DataFrame:
     """As :func:`next_articles` for the second format: Markdown when there is enough of it, else a delta document."""
     at = F.regexp_extract(F.col(html), r"(?s)window\._ROUTER_DATA\s*=\s*(\{.*)", 1)
     texts = pages.where(F.contains(html, F.lit("_ROUTER_DATA"))).select(key, at.alias("text"))
     docs = json_slices(texts, "text", key).select(key, router_payload(F.col("slice")).alias("_d")).select(key, "_d.*").where("title IS NOT NULL")
-    enough = F.length(strip(F.coalesce("markdown", F.lit("")))) > MIN_BODY
+    enough = F.length(strip(F.coalesce("markdown", F.lit("")))) > min_length
     ready = docs.where(enough).select(key, "title", mt.clean_embedded_markdown(F.col("markdown")).alias("body"),
                                       F.lit("modernjs").alias("source_type"), F.lit(True).alias("is_markdown"))
     rest = docs.where(~enough & is_filled(F.coalesce("content", F.lit(""))))
-    body = richtext.delta_to_html(delta_sections(rest, "content", key), key).where(F.length(strip(F.col("html"))) >= MIN_BODY)
+    body = richtext.delta_to_html(delta_sections(rest, "content", key), key).where(F.length(strip(F.col("html"))) >= max(min_length, 1))
     drawn = rest.select(key, "title").join(body, key).select(
         key, "title", _full_page(F.col("title"), F.col("html")).alias("body"), F.lit("modernjs").alias("source_type"),
         F.lit(False).alias("is_markdown"))
@@ -105,37 +113,99 @@ def delta_sections(docs: DataFrame, content: str = "content", key: str = "doc_id
 
 # --- any rich text in any script ------------------------------------------------------------------------------
 
-def richtext_roots(docs: DataFrame, json: str = "json", key: str = "doc_id") -> DataFrame:
-    """``key, root``: where rich text starts inside larger JSON. Strings that hold JSON themselves are opened first."""
-    nested = F.filter(F.regexp_extract_all(F.col(json), F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"'), F.lit(0)),
-                      lambda s: (F.length(s) > MIN_SCRIPT) & s.rlike(r'^"\s*[\{\[]'))
-    opened = F.transform(nested, lambda s: F.get_json_object(F.concat(F.lit('{"s":'), s, F.lit("}")), "$.s"))
-    return docs.select(key, F.posexplode(F.concat(F.array(F.col(json)), opened)).alias("layer", "json"))
+def json_texts(scripts: DataFrame, text: str = "script", key: str = "sid") -> DataFrame:
+    """``key, json``: a script that is JSON as a whole, else the first object assigned in it that is JSON."""
+    pieces = F.split(F.col(text), r"=\s*(?=\{)")
+    starts = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 1), lambda i: F.array_join(F.slice("_pieces", i + 1, F.size("_pieces")), "="))
+    cut = scripts.select(key, F.col(text).alias("_text"), F.try_parse_json(F.col(text)).isNotNull().alias("_whole"), pieces.alias("_pieces"))
+    whole = cut.where("_whole").select(key, F.col("_text").alias("json"))
+    assigned = cut.where("NOT _whole AND size(_pieces) > 1").select(key, F.posexplode(starts).alias("n", "_text"))
+    named = assigned.select(F.struct(key, "n").alias("_id"), "_text")
+    sliced = json_slices(named, "_text", "_id").where(F.try_parse_json("slice").isNotNull())
+    first = sliced.groupBy(F.col(f"_id.{key}").alias(key)).agg(F.min_by("slice", "_id.n").alias("json"))
+    return whole.unionByName(first)
+
+
+def _roots_of_layer(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The first rich-text root of each text (``key, path, kind, json``), and the strings in it that hold JSON (``key, path, json``)."""
+    cut = docs.select("_doc", F.posexplode(F.regexp_extract_all("json", F.lit(richtext.JSON_TOKEN), F.lit(0))).alias("pos", "tok"))
+    cut = cut.where(~F.col("tok").rlike(r"^\s"))
+    w = tk.by_page("_doc")
+    tok = F.col("tok")
+    deep = cut.withColumns({
+        "depth": F.sum(F.when(tok.isin("{", "["), 1).when(tok.isin("}", "]"), -1).otherwise(0)).over(tk.running(w)),
+        "name": F.when(F.lag("tok", 1).over(w) == ":", F.regexp_replace(F.lag("tok", 2).over(w), '^"|"$', "")),
+        "next": F.lead("tok", 1).over(w), "key_of_next": F.when(tok == ":", F.regexp_replace(F.lag("tok", 1).over(w), '^"|"$', ""))})
+    grouped = deep.withColumn("level", F.when(tok.isin("}", "]"), F.col("depth") + 1).otherwise(F.col("depth")))
+    soon = Window.partitionBy("_doc", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = grouped.withColumn("owner", F.last(F.when(tok.isin("{", "["), F.col("pos")), ignorenulls=True).over(soon)).where("owner IS NOT NULL")
+    opens, of = F.col("pos") == F.col("owner"), F.col("key_of_next")
+    boxes = owned.groupBy("_doc", "owner").agg(
+        F.max(F.when(opens, tok)).alias("box"), F.max(F.when(opens, F.col("name"))).alias("hung"), F.max(F.when(opens, F.col("next"))).alias("first"),
+        F.max("pos").alias("end"), F.max(F.when(of == "type", F.col("next"))).alias("type"),
+        *[F.coalesce(F.bool_or(of == n), F.lit(False)).alias(n) for n in ("content", "children", "data", "insert")])
+    after = Window.partitionBy("_doc").orderBy("owner")
+    facts = F.struct("type", "content", "children", "data", "insert")
+    item = F.when((F.col("box") == "[") & (F.col("first") == "{"), F.lead(facts).over(after)).alias("item")
+    seen = boxes.select("*", item)
+    kind = (F.when((F.col("box") == "{") & (F.col("type") == '"doc"') & F.col("content"), "tree")
+            .when((F.col("box") == "{") & (F.col("hung") == "root") & F.col("type").isin('"root"', '"doc"'), "tree")
+            .when((F.col("hung") == "blocks") & F.col("item.type").isNotNull() & F.col("item.data"), "blocks")
+            .when(F.col("item.type").isNotNull() & (F.col("item.children") | F.col("item.content")), "list")
+            .when(F.col("item.insert"), "delta"))
+    hits = seen.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("_doc").agg(F.min(F.struct("owner", "end", "kind")).alias("_hit"))
+    inside = cut.join(hits, "_doc").where((F.col("pos") >= F.col("_hit.owner")) & (F.col("pos") <= F.col("_hit.end")))
+    found = inside.groupBy("_doc").agg(F.expr("listagg(tok, '') WITHIN GROUP (ORDER BY pos)").alias("json"), F.first("_hit").alias("_hit"))
+    found = found.select(f"_doc.{key}", F.concat("_doc.path", F.array("_hit.owner")).alias("path"), F.col("_hit.kind").alias("kind"), "json")
+    strings = cut.where((F.length("tok") > MIN_NESTED) & tok.rlike(r'^"\s*[\{\[]'))
+    opened = F.get_json_object(F.concat(F.lit('{"s":'), "tok", F.lit("}")), "$.s")
+    inner = strings.select(f"_doc.{key}", F.concat("_doc.path", F.array("pos")).alias("path"), opened.alias("json")).where(F.try_parse_json("json").isNotNull())
+    return found, inner
 
 
-def script_articles(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """First script whose JSON holds rich text worth more than 100 characters: ``key, title, body, ...``."""
+def richtext_roots(docs: DataFrame, json: str = "json", key: str = "doc_id") -> DataFrame:
+    """``key, path, kind, json``: the first rich text inside larger JSON, in reading order.
+
+    Roots are a document node, a ``root`` node, a list of blocks, a list of nodes and a list of insertions, under any name and at the
+    top; strings that hold JSON are looked into, as often as they are nested. ``json`` is the root alone.
+    """
+    layer = docs.select(key, F.array().cast("array<int>").alias("path"), F.col(json).alias("json"))
+    hits: list[DataFrame] = []
+    while True:
+        found, inner = _roots_of_layer(layer.select(F.struct(key, "path").alias("_doc"), "json"), key)
+        hits.append(found)
+        layer = durable(inner)
+        if layer.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, hits)
+    return every.groupBy(key).agg(F.min_by(F.struct("path", "kind", "json"), "path").alias("_r")).select(key, "_r.*")
+
+
+def roots_to_html(roots: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, html`` of what :func:`richtext_roots` finds."""
+    kind = F.col("kind")
+    whole = (F.when(kind == "blocks", F.concat(F.lit('{"blocks":'), "json", F.lit("}"))).when(kind == "list", F.concat(F.lit('{"type":"doc","content":'), "json", F.lit("}")))
+             .when(kind == "delta", F.concat(F.lit('{"ops":'), "json", F.lit("}"))).otherwise(F.col("json")))
+    framed = roots.select(key, "kind", whole.alias("json"))
+    trees = richtext.to_html(framed.where("kind <> 'delta'"), "json", key)
+    return trees.unionByName(richtext.delta_to_html(richtext.delta_ops(framed.where("kind = 'delta'"), "json", key), key))
+
+
+def script_articles(pages: DataFrame, html: str = "html", key: str = "page_id", min_length: int = 0) -> DataFrame:
+    """The first rich text in the scripts of each page: ``key, title, body, source_type, is_markdown``."""
     scripts = pages.select(key, F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1).alias("title"),
                            F.posexplode(candidate_scripts(F.col(html))).alias("n", "script"))
-    start = F.when(F.col("script").rlike(r"^[\{\[]"), F.col("script")).otherwise(
-        blank_to_null(F.regexp_extract("script", r"(?s)=\s*(\{.*)", 1)))
-    named = scripts.select(key, "n", "title", F.concat_ws(":", F.col(key), F.col("n")).alias("sid"), start.alias("text")).where("text IS NOT NULL")
-    sliced = json_slices(named, "text", "sid").withColumnRenamed("slice", "json")
-    layers = richtext_roots(sliced, "json", "sid").select(F.concat_ws("/", "sid", "layer").alias("lid"), "json").where(
-        F.col("json").rlike('"type"\\s*:\\s*"(?:doc|root)"|"blocks"\\s*:\\s*\\[|"children"\\s*:\\s*\\[|"ops"\\s*:\\s*\\['))
-    trees = richtext.to_html(layers.where(~F.col("json").rlike('"ops"\\s*:\\s*\\[')), "json", "lid")
-    deltas = richtext.delta_to_html(richtext.delta_ops(layers.where(F.col("json").rlike('"ops"\\s*:\\s*\\[')), "json", "lid"), "lid")
-    drawn = trees.unionByName(deltas).where(F.length(strip(F.col("html"))) > MIN_FALLBACK)
-    ranked = drawn.select(F.substring_index("lid", "/", 1).alias("sid"), F.substring_index("lid", "/", -1).cast("int").alias("layer"), "html")
-    best = ranked.join(named.select("sid", key, "n", "title"), "sid").groupBy(key).agg(
-        F.min_by(F.struct(F.trim("title").alias("title"), "html"), F.struct("n", "layer")).alias("b"))
+    named = durable(scripts.select(F.struct(key, "n").alias("sid"), F.trim("title").alias("title"), "script"))
+    roots = durable(richtext_roots(json_texts(named, "script", "sid"), "json", "sid"))
+    drawn = roots_to_html(roots, "sid").where(F.length(strip(F.col("html"))) >= max(min_length, 1))
+    best = drawn.join(named.select("sid", "title"), "sid").groupBy(F.col(f"sid.{key}").alias(key)).agg(F.min_by(F.struct("title", "html"), "sid.n").alias("b"))
     return best.select(key, F.col("b.title").alias("title"), _full_page(F.col("b.title"), F.col("b.html")).alias("body"),
                        F.lit("json_fallback").alias("source_type"), F.lit(False).alias("is_markdown"))
 
 
-def articles(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+def articles(pages: DataFrame, html: str = "html", key: str = "page_id", min_length: int = 0) -> DataFrame:
     """Embedded article of each page that has one: first format, second format, then any script."""
-    ranked = [next_articles(pages, html, key), router_articles(pages, html, key), script_articles(pages, html, key)]
+    ranked = [f(pages, html, key, min_length) for f in (next_articles, router_articles, script_articles)]
     union = ranked[0].withColumn("_rank", F.lit(0))
     for i, one in enumerate(ranked[1:], 1):
         union = union.unionByName(one.withColumn("_rank", F.lit(i)))
