@@ -234,13 +234,19 @@ def reference_report(docs: DataFrame, files: DataFrame, md: str = "md", key: str
 def unused_assets(files: DataFrame, docs: DataFrame, md: str = "md") -> DataFrame:
     """Asset files whose name occurs nowhere in any document.
 
-    The substring test becomes an equi join. Names are made of word characters, dots and dashes, so a name can only occur
-    inside one run of such characters; every piece of a run that is as long as some name is looked up. The lengths in use
-    are at most a few hundred, because names are cut to the path limit.
+    Names made of word characters, dots and dashes only occur inside one run of such characters: every piece of a run that is as
+    long as some name is looked up, in runs with a dot if all names have one. Other names are looked up among the last path parts of
+    all link and image destinations, as written and percent-decoded.
     """
-    lengths = files.agg(F.collect_set(F.length("file_name")).alias("n")).scalar()
-    runs = docs.select(F.explode(F.regexp_extract_all(md, F.lit(r"[\p{L}\p{N}_.\-]+"), F.lit(0))).alias("w")).distinct().withColumn("lengths", lengths)
+    facts = files.agg(F.struct(F.collect_set(F.length("file_name")).alias("n"), F.bool_and(F.contains("file_name", F.lit("."))).alias("dot"))).scalar()
+    words = docs.select(F.explode(F.regexp_extract_all(md, F.lit(r"[\p{L}\p{N}_.\-]+"), F.lit(0))).alias("w")).distinct().withColumn("facts", facts)
+    words = words.where(~F.col("facts.dot") | F.contains("w", F.lit("."))).withColumn("lengths", F.col("facts.n"))
     pieces = F.flatten(F.transform(F.filter(F.col("lengths"), lambda n: n <= F.length("w")), lambda n: F.transform(
         F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, n))))
-    seen = runs.select(F.explode(F.array_distinct(pieces)).alias("file_name")).distinct()
-    return files.join(seen, "file_name", "left_anti")
+    seen = words.select(F.explode(F.array_distinct(pieces)).alias("file_name"))
+    targets = F.regexp_extract_all(md, F.lit(r"""\]\(\s*<[^>\n]+|\]\(\s*[^)<\n]+|\b(?:src|href)\s*=\s*["']([^"'\n]+)"""), F.lit(0))
+    ends = docs.select(F.explode(targets).alias("t")).distinct().select(F.regexp_replace("t", r"""^(?:\]\(\s*<?|(?:src|href)\s*=\s*["'])""", "").alias("t"))
+    ends = ends.select(F.explode(F.array(F.col("t"), F.regexp_replace("t", r"""\s+["'].*$""", ""), F.regexp_replace("t", r"[?#].*$", ""))).alias("t"))
+    last = F.trim(F.substring_index("t", "/", -1))
+    linked = ends.select(F.explode(F.array(last, urls.percent_decode(last))).alias("file_name"))
+    return files.join(seen.unionByName(linked).distinct(), "file_name", "left_anti")

@@ -193,3 +193,9 @@ def test_page_job_paths(rows):
     assert got[5].md == "> 公众号：**me**\n\nx\ny"
     assert (got[6].title, got[6].md) == ("D", "docs\n")
     assert not got[7].success and "empty" in got[7].error
+
+
+def test_asset_names_with_other_characters(rows):
+    files = rows("file_name string", ("a b.png",), ("plain.png",), ("x(1).png",), ("gone one.png",), ("é.png",), ("gone.png",))
+    docs = rows("md string", ("![](img/a%20b.png) and ![t](<img/x(1).png>)",), ("see theplain.png. é.png",))
+    assert sorted(r.file_name for r in site.unused_assets(files, docs).collect()) == ["gone one.png", "gone.png"]
