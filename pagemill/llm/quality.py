@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import remainder
-from pagemill.llm.merges import WordCache, per_worker
+from pagemill.llm.merges import WordCache
 
 SAMPLE_ROWS = 10_000
 VOCABULARY = 30_000
 DIM, NONZERO, WINDOW = 64, 6, 2
+#: Tasks that gather the vectors of the bounded sample, each with a table of the whole vocabulary.
+TASKS = 8
+SHAPES = ["\x00upper", "\x00lower", "\x00title", "\x00digit", "\x00mixed", "\x00marks"]
 HIDDEN, EPOCHS, SEED = 32, 60, 17
 THRESHOLD = 0.3
 
@@ -58,19 +61,31 @@ def index_vector(word: str) -> np.ndarray:
     return out
 
 
+def frequent_units(texts: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """The words that occur most often, and all shapes."""
+    def run(batches):
+        counts: collections.Counter = collections.Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(_units(text or ""))
+            if len(counts) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    totals = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in totals.orderBy(F.desc("n"), "word").limit(most).collect()] + SHAPES
+
+
 def context_vectors(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, np.ndarray]:
     """Context vectors of the most frequent words and of all shapes; each task adds up its own before the shuffle."""
+    words = frequent_units(texts, vocabulary)
+    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     fields = ", ".join(f"v{k} long" for k in range(DIM))
 
     def run(batches):
-        seen: dict[str, int] = {}
-        sums, uses = [], []
-
-        def flush():
-            names, total, n = list(seen), np.array(sums, np.int64).reshape(-1, DIM), np.array(uses, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n), *(pa.array(total[:, k]) for k in range(DIM))],
-                                              ["word", "n", *(f"v{k}" for k in range(DIM))])
-
+        row = shared.value
+        total = np.zeros((len(row), DIM), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = _units(text or "")
@@ -84,24 +99,16 @@ def context_vectors(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str,
                 around = around[2 * WINDOW + 1:] - around[:-2 * WINDOW - 1]
                 order = np.argsort(ids, kind="stable")
                 vectors = np.add.reduceat(around[order], np.flatnonzero(np.diff(ids[order], prepend=-1)), axis=0)
-                for w, vector, n in zip(names, vectors, np.bincount(ids)):
-                    for name in (w, shape(w)):
-                        if name not in seen:
-                            seen[name] = len(sums)
-                            sums.append(np.zeros(DIM, np.int64))
-                            uses.append(0)
-                        sums[seen[name]] += vector
-                        uses[seen[name]] += int(n)
-                if len(sums) > 200_000:
-                    yield flush()
-                    seen, sums, uses = {}, [], []
-        if sums:
-            yield flush()
-
-    partial = texts.mapInArrow(run, f"word string, n long, {fields}")
-    totals = partial.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)])
-    ranked = totals.orderBy(F.col("word").startswith("\x00").desc(), F.desc("n"), "word").limit(vocabulary)
-    return {r[0]: np.array(r[2:], np.float64) for r in ranked.collect()}
+                known = np.array([row.get(w, -1) for w in names])
+                total[known[known >= 0]] += vectors[known >= 0]
+                np.add.at(total, [row[shape(w)] for w in names], vectors)
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, k]) for k in range(DIM))], ["row", *(f"v{k}" for k in range(DIM))])
+
+    partial = texts.coalesce(TASKS).mapInArrow(run, f"row long, {fields}")
+    totals = partial.groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)]).collect()
+    found = {r[0]: np.array(r[1:], np.float64) for r in totals}
+    return {w: found[i] for i, w in enumerate(words) if i in found}
 
 
 class Features:
@@ -113,7 +120,10 @@ class Features:
         self.matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def cache(self) -> WordCache:
-        return WordCache(lambda w: self.row.get(w) or self.row.get(shape(w), 0))
+        """Rows by word; kept with the features for as long as a Python worker holds them."""
+        if "_rows" not in self.__dict__:
+            self._rows = WordCache(lambda w: self.row.get(w) or self.row.get(shape(w), 0))
+        return self._rows
 
     def __call__(self, text: str, rows: WordCache) -> np.ndarray:
         found = _units(text)
@@ -206,7 +216,7 @@ def scorer(spark, model: tuple[Features, Network]):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         features, network = shared.value
-        rows = per_worker(("quality", id(features)), features.cache)
+        rows = features.cache()
         x = np.array([features(t or "", rows) for t in texts.to_pylist()], np.float64).reshape(-1, DIM + 1)
         return pa.array(network(x), pa.float64())
 
