@@ -191,7 +191,7 @@ def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
 class WordCache(dict):
     """Results by word; emptied when full, so that a worker's memory stays bounded whatever the vocabulary of the texts."""
 
-    def __init__(self, compute, size: int = 300_000, longest: int = 64):
+    def __init__(self, compute, size: int = 150_000, longest: int = 64):
         super().__init__()
         self.compute, self.size, self.longest = compute, size, longest
 
@@ -233,7 +233,7 @@ def spelled(segment: str) -> str:
 class SegmentCache:
     """What each segment comes to, kept per worker in bounded dictionaries; new words of a group of texts are merged together."""
 
-    def __init__(self, cut: Callable[[str], list[str]], merge_words: Callable[[list[str]], list], total: Callable[[list], object], size: int = 400_000):
+    def __init__(self, cut: Callable[[str], list[str]], merge_words: Callable[[list[str]], list], total: Callable[[list], object], size: int = 150_000):
         self.cut, self.merge_words, self.total, self.size = cut, merge_words, total, size
         self.segments: dict[str, object] = {}
         self.words: dict[str, object] = {}
@@ -244,7 +244,7 @@ class SegmentCache:
         for text in texts:
             group.append(text)
             chars += len(text)
-            if chars > 4_000_000:
+            if chars > 1_000_000:
                 out += self._group(group)
                 group, chars = [], 0
         return out + self._group(group)
@@ -264,12 +264,12 @@ class SegmentCache:
         return [list(map(known.__getitem__, t)) for t in cut_texts]
 
 
-_PER_WORKER: dict = {}
+_PER_WORKER: list = []
 
 
 def per_worker(key, build):
-    """An object kept in this Python worker between batches and tasks; only the newest is kept for each kind."""
-    kind, which = key
-    if _PER_WORKER.get(kind, (None,))[0] != which:
-        _PER_WORKER[kind] = (which, build())
-    return _PER_WORKER[kind][1]
+    """An object kept in this Python worker between batches and tasks; a worker keeps one, so that memory does not add up over jobs."""
+    if not _PER_WORKER or _PER_WORKER[0] != key:
+        _PER_WORKER.clear()
+        _PER_WORKER.extend((key, build()))
+    return _PER_WORKER[1]
