@@ -42,7 +42,7 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local["):
+            if context.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
