@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -29,25 +29,6 @@ def bounded_batches(spark: SparkSession, size: str = "32m") -> None:
     spark.conf.set(BATCH_BYTES, size)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the cluster.
-
-    The folder is the context's own, else the one named by ``spark.checkpoint.dir``. Without either the session is taken to run
-    on one machine, and a folder of its temporary directory is used; on a cluster this is refused.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-            shared = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 class KeyCounts:
     """Counts of 64-bit keys, added up in sorted arrays of bounded size."""
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import KeyCounts, durable, remainder, words
+from pagemill.llm.common import KeyCounts, remainder, words
+from pagemill.session import durable
 
 WORD_SHARE = 1_000_000
 NGRAM_SHARE = 100_000

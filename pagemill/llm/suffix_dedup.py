@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import KeyCounts, durable
+from pagemill.llm.common import KeyCounts
+from pagemill.session import durable
 from pagemill.llm.induced_sort import repeated_starts
 
 LENGTH = 200
