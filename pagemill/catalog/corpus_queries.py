@@ -356,10 +356,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", entities.unescape(coded).alias("plain"), tx.html_escape(F.col("text")).alias("escaped"))
 
 
-@query("fn_script_unescape", "SELECT doc_id, '<a href=\"x\">' || chr(92) || text || chr(10) || '&</a>' AS plain FROM documents WHERE NOT contains(text, chr(92)) UNION ALL SELECT doc_id, '-' FROM documents WHERE contains(text, chr(92))")
+@query("fn_script_unescape", "SELECT doc_id, '<a href=\"x\">' || chr(92) || text || chr(10) || '&</a>' AS plain FROM documents")
 def _(spark, sf):
     raw = F.concat(F.lit("\\x3ca href=\\x22x\\x22\\x3e\\x5c"), "text", F.lit("\\x0a\\x26\\x3c/a\\x3e"))
-    return table(spark, sf, "documents").select("doc_id", F.when(F.contains("text", F.lit("\\")), "-").otherwise(tx.script_unescape(raw)).alias("plain"))
+    return table(spark, sf, "documents").select("doc_id", tx.script_unescape(raw).alias("plain"))
 
 
 @query("fn_percent_coding", "SELECT doc_id, url_encode(text) AS coded, text AS back, 'a+b%zz' AS odd FROM documents")

@@ -172,12 +172,10 @@ def _(spark, sf):
     return fenced(spark, sf).select(DOC, mt.squeeze_blank_lines(F.col("md")).alias("md"))
 
 
-@query("mdp3_latex", flat_docs("'$$a$$ ' || replace(t, '$', '$') || ' `\\(c\\)` $y$' || n || '```' || n || '\\(z\\)' || n || '```'") + " WHERE NOT contains(text, '`') AND NOT contains(text, chr(92)) UNION ALL SELECT doc_id, 'x' AS md FROM documents WHERE contains(text, '`') OR contains(text, chr(92))")
+@query("mdp3_latex", flat_docs("'$$a$$ ' || t || ' `\\(c\\)` $y$' || n || '```' || n || '\\(z\\)' || n || '```'"))
 def _(spark, sf):
-    d = docs(spark, sf)
-    plain = ~F.contains("text", F.lit("`")) & ~F.contains("text", F.lit("\\"))
     md = F.concat(F.lit("\\[a\\] "), "t", F.lit(" `\\(c\\)` \\(y\\)\n```\n\\(z\\)\n```"))
-    return d.select(DOC, F.when(plain, mt.latex_delimiters(md)).otherwise("x").alias("md"))
+    return docs(spark, sf).select(DOC, mt.latex_delimiters(md).alias("md"))
 
 
 @query("mdp4_empty_headings", f"WITH {LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS md FROM lines WHERE fenced OR NOT regexp_matches(line, '^[ \\t]*#{{1,6}}[ \\t]*$') GROUP BY doc_id")
