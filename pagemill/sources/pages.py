@@ -56,7 +56,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 def read_saved_html(spark: SparkSession, path: str, max_bytes: int = 0, charsets: list[str] | None = None) -> DataFrame:
     """``path, html, error`` of saved pages, decoded by their declared character set.
 
-    With ``max_bytes`` a larger file is not read and gives a row with an error instead.
+    With ``max_bytes`` a larger file is not read and gives a row with an error instead. Spark skips files without any bytes.
     """
     files = spark.read.format("binaryFile").load(path)
     if max_bytes <= 0:
