@@ -24,7 +24,7 @@ def remainder(doc_id: Column, of: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def bounded_batches(spark: SparkSession, size: str = "32m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound the bytes of a batch that goes to Python, so that many long texts do not meet in one batch."""
     spark.conf.set(BATCH_BYTES, size)
 

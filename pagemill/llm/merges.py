@@ -267,6 +267,11 @@ class SegmentCache:
 _PER_WORKER: list = []
 
 
+def forget() -> None:
+    """Let go of what an earlier job keeps in this worker."""
+    _PER_WORKER.clear()
+
+
 def per_worker(key, build):
     """An object kept in this Python worker between batches and tasks; a worker keeps one, so that memory does not add up over jobs."""
     if not _PER_WORKER or _PER_WORKER[0] != key:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import remainder
-from pagemill.llm.merges import WordCache
+from pagemill.llm.merges import WordCache, forget
 
 SAMPLE_ROWS = 10_000
 VOCABULARY = 30_000
@@ -64,6 +64,7 @@ def index_vector(word: str) -> np.ndarray:
 def frequent_units(texts: DataFrame, most: int = VOCABULARY) -> list[str]:
     """The words that occur most often, and all shapes."""
     def run(batches):
+        forget()
         counts: collections.Counter = collections.Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -215,6 +216,7 @@ def scorer(spark, model: tuple[Features, Network]):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        forget()
         features, network = shared.value
         rows = features.cache()
         x = np.array([features(t or "", rows) for t in texts.to_pylist()], np.float64).reshape(-1, DIM + 1)

@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 from pagemill.llm.common import KeyCounts
 from pagemill.session import durable
 from pagemill.llm.induced_sort import repeated_starts
+from pagemill.llm.merges import forget
 
 LENGTH = 200
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 PIECE = 1 << 15
 #: Texts with candidate runs that are picked by a broadcast of their hashes; beyond this number they are joined by shuffle.
 BROADCAST_TEXTS = 2_000_000
@@ -124,6 +125,7 @@ def _seen(seen: set, digest: bytes) -> bool:
 def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     """``id, firsts``: for each text (by its hash), the starts of the runs whose owner occurs more than once."""
     def keys(batches):
+        forget()
         counts = KeyCounts()
         for batch in batches:
             for *_, owner in owned_runs(batch.column(1).to_pylist(), length):
@@ -211,6 +213,7 @@ def merged_spans(starts: np.ndarray, length: int) -> np.ndarray:
 def shard_spans(bodies: DataFrame, length: int, shards: int) -> DataFrame:
     """``digest, spans`` of the run bodies that hold repeats; one suffix order for each shard."""
     def run(batches):
+        forget()
         held: dict[bytes, list] = {}
         for batch in batches:
             for digest, body, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
