@@ -191,7 +191,7 @@ def merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
 class WordCache(dict):
     """Results by word; emptied when full, so that a worker's memory stays bounded whatever the vocabulary of the texts."""
 
-    def __init__(self, compute, size: int = 150_000, longest: int = 64):
+    def __init__(self, compute, size: int = 100_000, longest: int = 64):
         super().__init__()
         self.compute, self.size, self.longest = compute, size, longest
 
@@ -233,7 +233,7 @@ def spelled(segment: str) -> str:
 class SegmentCache:
     """What each segment comes to, kept per worker in bounded dictionaries; new words of a group of texts are merged together."""
 
-    def __init__(self, cut: Callable[[str], list[str]], merge_words: Callable[[list[str]], list], total: Callable[[list], object], size: int = 150_000):
+    def __init__(self, cut: Callable[[str], list[str]], merge_words: Callable[[list[str]], list], total: Callable[[list], object], size: int = 100_000):
         self.cut, self.merge_words, self.total, self.size = cut, merge_words, total, size
         self.segments: dict[str, object] = {}
         self.words: dict[str, object] = {}
