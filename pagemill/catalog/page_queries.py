@@ -22,7 +22,7 @@ def pages(spark, sf) -> DataFrame:
 
 @query("src1_page_scan", "SELECT page_id, url, length(html) AS n_chars FROM pages")
 def _(spark, sf):
-    return src.read_pages(spark, f"{sf}/pages.parquet", 0).select("page_id", "url", F.length("html").alias("n_chars"))
+    return src.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
 
 
 LINE = ("CASE page_id % 5 WHEN 0 THEN '# ' || url WHEN 1 THEN url WHEN 2 THEN '  ' || url || ' | Page ' || cast(page_id AS varchar(20)) || ' | x '"

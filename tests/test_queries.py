@@ -25,3 +25,8 @@ def test_scan_reads_only_what_it_needs_and_shuffles_once(spark):
 def test_query_agrees_with_sql(spark, name):
     ok, message = compare(spark, connect(SF_DIR), name, SF_DIR, catalog.queries()[name], catalog.oracles()[name])
     assert ok, message
+
+
+def test_page_scan_agrees_with_sql(spark):
+    ok, message = compare(spark, connect(SF_DIR), "src1_page_scan", SF_DIR, catalog.queries()["src1_page_scan"], catalog.oracles()["src1_page_scan"])
+    assert ok, message
