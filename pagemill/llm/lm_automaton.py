@@ -1,15 +1,16 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counts cover all training documents. Words are counted exactly; a word whose count exceeds 1 in ``WORD_SHARE`` of all tokens is
-common (there can be no more than ``WORD_SHARE`` of those, whatever the data) and known to every executor. Pairs and triples
-of common words that hold more than 1 in ``NGRAM_SHARE`` of the tokens become arcs (again at most ``NGRAM_SHARE`` of each, so
-the automaton is bounded by its parameters, not by the corpus).
+Counts cover all training documents and every word, pair and triple, however rare; they stay in tables that grow with the corpus.
+A word whose count exceeds 1 in ``WORD_SHARE`` of all tokens is common (there can be no more than ``WORD_SHARE`` of those,
+whatever the data): it has a number that every executor knows, other words go by a 63-bit hash.
 
-A state is a context of up to two words. An arc carries the interpolated log-probability of its word; what the arcs of a state
+A state is a context of up to two words. An arc carries the interpolated log-probability of its word; what the discounts of a state
 leave over is the weight of its failure arc, which leads to the shorter context. With absolute discounts the probabilities of
-all words, one place for unknown words included, sum to one at every state. A text is traversed once from left to right,
-carrying the state and adding log-probabilities. Words that are not common lead to the root and get their weight, the smoothed
-share of their exact count, from a distributed join, so no vocabulary is cut.
+all words, one place for unknown words included, sum to one at every state. The places of a text reach their arcs by a partitioned
+join, where each arc has already followed its failure arcs.
+
+``Model.automaton`` is the part of common words whose pairs and triples hold more than 1 in ``NGRAM_SHARE`` of the tokens, closed in
+itself and small enough for the driver. It is an extract; scores do not come from it.
 
 Null texts count as empty: one end token. Rows that repeat are kept, each with its own result; a null id is kept too. Without
 training documents every token is unknown and every base probability is 1.
@@ -18,11 +19,13 @@ training documents every token is unknown and every base probability is 1.
 from __future__ import annotations
 
 import collections
+import functools
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import KeyCounts, remainder, words
@@ -173,42 +176,115 @@ class Automaton:
 
 
 class Model:
-    """A trained model: the exact counts as a table, and what the executors share."""
+    """A trained model: the exact word counts as a table, the vocabulary that the executors share, and the texts that pairs and triples are counted in."""
+
+    def __init__(self, counts: DataFrame, vocabulary: Vocabulary, texts: DataFrame, ngram_share: int):
+        self.counts, self.vocabulary, self.texts, self.ngram_share = counts, vocabulary, texts, ngram_share
+        self.shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def __init__(self, counts: DataFrame, automaton: Automaton):
-        self.counts, self.automaton = counts, automaton
+    @functools.cached_property
+    def automaton(self) -> Automaton:
+        """The frequent part alone as a closed automaton, built on the driver; :func:`score` does not use it."""
+        def kept(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            rows = grams.where(F.col("n") * self.ngram_share > self.vocabulary.total).toPandas().sort_values("key")
+            return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+        pairs = kept(count_ngrams(self.texts, self.shared, 2))
+        context = self.texts.sparkSession.sparkContext
+        return Automaton(self.vocabulary, pairs, kept(count_ngrams(self.texts, self.shared, 3, context.broadcast(pairs[0]))))
 
 
 def train(docs: DataFrame, text: str = "text", word_share: int = WORD_SHARE, ngram_share: int = NGRAM_SHARE) -> Model:
-    """Count words, pairs and triples of all rows of ``docs`` and build the automaton on the driver from the bounded rest."""
-    spark = docs.sparkSession
+    """Count the words of all rows of ``docs``; pairs and triples stay in tables, see :func:`arcs`."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     counts = durable(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counts.where((F.col("n") * word_share > total) | (F.length("word") == 0)).toPandas().sort_values("word")
-    vocabulary = Vocabulary([bytes(w) for w in common["word"]], common["n"].tolist(), total, distinct)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    return Model(counts, Vocabulary([bytes(w) for w in common["word"]], common["n"].tolist(), total, distinct), texts, ngram_share)
+
+
+def word_key(word: bytes) -> int:
+    """A negative 63-bit hash, for words that have no number."""
+    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
+
+
+def keys_of(text: bytes, number: dict[bytes, int]) -> np.ndarray:
+    """Numbers or hashes of the words of a text and its end, behind two zeros for the contexts that the first words lack."""
+    found = [number.get(w) or word_key(w) for w in words(text)]
+    return np.array([0, 0, *found, number.get(END) or word_key(END)], np.int64)
+
+
+def tallied(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+
+
+def grams(texts: DataFrame, shared, order: int, weight: int) -> DataFrame:
+    """``[u,] v, w, n`` of every place in the texts, of any frequency; n counts places times ``weight``, so 0 only names what is looked for."""
+    names = ["u", "v", "w"][3 - order:]
+
+    def run(batches):
+        number = shared.value.number
+        for batch in batches:
+            found = [keys_of(text, number) for text in batch.column(0).to_pylist()]
+            if not found:
+                continue
+            keys = np.concatenate(found)
+            columns = [keys[:-2], keys[1:-1], keys[2:]]
+            real = columns[2] != 0
+            columns, n = tallied([c[real] for c in columns[3 - order:]])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64) * weight)], [*names, "n"])
+
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+
 
-    def kept(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = grams.where(F.col("n") * ngram_share > total).toPandas().sort_values("key")
-        return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def arcs(texts: DataFrame, model: Model) -> DataFrame:
+    """``u, v, w, logp`` of every triple in ``texts``: its interpolated log-probability from the counts of all training texts.
 
-    pairs = kept(count_ngrams(texts, shared, 2))
-    triples = kept(count_ngrams(texts, shared, 3, spark.sparkContext.broadcast(pairs[0])))
-    return Model(counts, Automaton(vocabulary, pairs, triples))
+    What a context leaves for the shorter one is DISCOUNT for each different word that follows it, as a share of its places.
+    """
+    vocabulary, shared = model.vocabulary, model.shared
+    floor = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
+
+    def keyed(batches):
+        number = shared.value.number
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([number.get(w) or word_key(w) for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], ["w", "n1"])
+
+    def counted(order: int) -> DataFrame:
+        names = ["u", "v", "w"][3 - order:]
+        return grams(model.texts, shared, order, 1).unionByName(grams(texts, shared, order, 0)).groupBy(*names).agg(F.sum("n").alias("n"))
+
+    def share(n, places, follow, shorter):
+        return F.when(places > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / places + DISCOUNT * follow / places * shorter).otherwise(shorter)
+
+    one = model.counts.select("word", "n").mapInArrow(keyed, "w long, n1 long")
+    two = counted(2)
+    # A word is followed by another, or by the end of its text, at each of its places.
+    contexts = two.where("v <> 0").groupBy("v").agg(F.sum("n").alias("places2"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("follow2"))
+    base = (F.coalesce(F.col("n1"), F.lit(0)) + 0.5) / F.lit(floor)
+    two = two.join(contexts, "v", "left").join(one, "w", "left").select("v", "w", share(F.col("n"), F.col("places2"), F.col("follow2"), base).alias("p2"))
+    context = Window.partitionBy("u", "v")
+    three = counted(3).withColumns({"places3": F.sum("n").over(context), "follow3": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(context)})
+    places = F.when(F.col("u") != 0, F.col("places3"))
+    return three.join(two, ["v", "w"]).select("u", "v", "w", F.log10(share(F.col("n"), places, F.col("follow3"), F.col("p2"))).alias("logp"))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
-    vocabulary = model.automaton.vocabulary
+    vocabulary, shared = model.vocabulary, model.shared
     floor = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("texts", pa.int64()),
-                        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())])
 
     def run(batches):
-        automaton = shared.value
-        number, log_base = automaton.vocabulary.number.get, automaton.vocabulary.log_base
+        number, log_base = shared.value.number.get, shared.value.log_base
         for batch in batches:
             rows: list[tuple] = []
             for i, h, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -217,24 +293,35 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 ids = [number(w, 0) for w in tokens]
                 common = [k for k in ids if k]
                 # A text's own row carries a "word" with a blank, which no word has, so the join leaves it as it is.
-                rows.append((i, h, b" %d %d" % (h, i or 0), 0, 1, len(tokens), len(common), float(log_base[common].sum()), automaton.score(ids)))
-                rows += [(i, h, w, n, 0, 0, 0, 0.0, 0.0) for w, n in collections.Counter(w for w, k in zip(tokens, ids) if not k).items()]
+                rows.append((i, h, b" %d %d" % (h, i or 0), 0, 1, len(tokens), len(common), float(log_base[common].sum())))
+                rows += [(i, h, w, n, 0, 0, 0, 0.0) for w, n in collections.Counter(w for w, k in zip(tokens, ids) if not k).items()]
                 if len(rows) > 50_000:
                     yield batch_of(rows, schema)
                     rows = []
             if rows:
                 yield batch_of(rows, schema)
 
+    def places(batches):
+        number = shared.value.number
+        for batch in batches:
+            for i, h, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                keys = keys_of(body, number)
+                columns, times = tallied([keys[:-2], keys[1:-1], keys[2:]])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(times), pa.int64()), pa.array([h] * len(times), pa.int64()), *map(pa.array, columns), pa.array(times)],
+                                                 ["doc_id", "h", "u", "v", "w", "times"])
+
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    parts = slim.mapInArrow(run, "doc_id long, h long, word binary, times long, texts long, n_tokens long, n_known long, base_score double, score double")
+    parts = slim.mapInArrow(run, "doc_id long, h long, word binary, times long, texts long, n_tokens long, n_known long, base_score double")
     joined = parts.join(model.counts, "word", "left")
     rare = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(floor)) * F.col("times")
+    based = joined.select("doc_id", "h", "texts", "n_tokens", (F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+                          (F.col("base_score") + rare).alias("base_score"), F.lit(0.0).alias("score"))
+    passed = slim.mapInArrow(places, "doc_id long, h long, u long, v long, w long, times long").join(arcs(slim.select("text"), model), ["u", "v", "w"])
+    zero = F.lit(0).cast("long")
+    scored = passed.select("doc_id", "h", zero.alias("texts"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("times") * F.col("logp")).alias("score"))
     # Rows of the same id and text are alike: their sums are divided among them.
-    whole = joined.groupBy("doc_id", "h").agg(
-        F.sum("texts").alias("texts"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_score") + rare).alias("base_score"), F.sum(F.col("score") + rare).alias("score"))
+    whole = based.unionByName(scored).groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("texts", "n_tokens", "n_known", "base_score", "score")])
     copies = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("texts").cast("int"))))
     return copies.select("doc_id", *[F.expr(f"{c} div texts").alias(c) for c in ("n_tokens", "n_known")],
                          *[(F.col(c) / F.col("texts")).alias(c) for c in ("base_score", "score")])
@@ -248,4 +335,4 @@ def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Train on the rows whose id's crc32 modulo 5 is not 1 and score every row; adds ``held_out`` and ``train_tokens``."""
     model = train(docs.where(remainder(F.col(doc_id)) != 1), text, **sizes)
     return score(docs, model, doc_id, text).withColumns({
-        "held_out": remainder(F.col("doc_id")) == 1, "train_tokens": F.lit(model.automaton.vocabulary.total).cast("long")})
+        "held_out": remainder(F.col("doc_id")) == 1, "train_tokens": F.lit(model.vocabulary.total).cast("long")})

@@ -62,3 +62,36 @@ def test_empty_table(spark):
     assert score_held_out(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     lone = spark.createDataFrame([(i, "a b") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in score_held_out(lone).collect()} == {(3, 0, 0, 0.0)}
+
+
+def test_every_pair_and_triple_counts(docs):
+    """Scores are those of all counts, those of rare words and single occurrences too, whatever the shares are."""
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    tokens = [(i, words((t or "").encode()) + [END]) for i, t in TEXTS]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, ws in tokens:
+        if fold(i) != 1:
+            one.update(ws)
+            two.update(zip(ws, ws[1:]))
+            three.update(zip(ws, ws[1:], ws[2:]))
+    n, v = sum(one.values()), len(one)
+
+    def chance(context, w):
+        if not context:
+            return (one[w] + 0.5) / (n + 0.5 * (v + 1))
+        grams = two if len(context) == 1 else three
+        after = {g[-1]: k for g, k in grams.items() if g[:-1] == context}
+        lower, places = chance(context[1:], w), sum(after.values())
+        return (max(after.get(w, 0) - 0.75, 0) + 0.75 * len(after) * lower) / places if places else lower
+
+    want, known = collections.defaultdict(list), {}
+    for i, ws in tokens:
+        for k, w in enumerate(ws):
+            key = tuple(ws[max(0, k - 2):k]), w
+            known[key] = known.get(key) or chance(*key)
+        want[i].append(sum(math.log10(known[tuple(ws[max(0, k - 2):k]), w]) for k, w in enumerate(ws)))
+    for sizes in ({"word_share": 30, "ngram_share": 200}, {}):
+        got = collections.defaultdict(list)
+        for r in score_held_out(docs, **sizes).collect():
+            got[r.doc_id].append(r.score)
+        assert set(got) == set(want) and all(np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-8) for i in want)
