@@ -5,7 +5,7 @@ sorted in ranges over the cluster. Nodes whose longest common prefix reaches ``F
 to it: a region with more than ``REGION`` nodes is cut at the next minimum until its parts are smaller. Small regions give pairs
 of neighbours; the sets of larger ones meet in one place, where pivots are compared with all others until every two nodes in
 different classes have been compared. What a cut has kept apart is made up for: members of a cut region that are not in its
-largest class are compared with all its members, block by block. So no group is expanded into all its pairs, and no partner is
+largest class are compared with all its members, block by block; so are those of a region that lies at the edge of a range. So no group is expanded into all its pairs, and no partner is
 dropped. Every link is confirmed on full sets of 64-bit shingle hashes: ``100 * intersection >= 80 * union``.
 
 Two nodes at similarity 0.8 meet in an order with probability 0.8 ** 4, so that a lone pair just at the limit is missed with a
@@ -20,6 +20,7 @@ make no links: they take the class of an equal text, else null, and are kept.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 
 import numpy as np
@@ -95,7 +96,7 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """``region, id, other``: pairs of small regions (region null), members of larger ones and, under a name of its own, of each region that was cut."""
+    """``region, id, other``: pairs of small regions (region null), members of larger ones and, under a name of its own, of each region that was cut or may lie in several ranges."""
     orders = nodes.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     orders = orders.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("order"), "n", "id")
     runs = orders.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "id")
@@ -111,9 +112,6 @@ def regions(nodes: DataFrame) -> DataFrame:
         if hi - lo <= SMALL:
             yield from pairs(order, n, ids, lo, hi)
             return
-        if depth == FIRST and hi - lo > REGION:
-            for i in range(lo, hi):
-                yield f"{LARGE}{tree}:{order[lo, :FIRST].tobytes().hex()}:{ids[lo]}", ids[i], None
         if hi - lo <= REGION or depth == DEPTH:
             for k in range(lo, max(lo + 1, hi - OVERLAP), REGION - OVERLAP):
                 name = hashlib.blake2b(struct.pack("<qq", tree, depth) + order[k].tobytes() + struct.pack("<q", ids[k]), digest_size=12).hexdigest()
@@ -125,7 +123,12 @@ def regions(nodes: DataFrame) -> DataFrame:
                 if b - a > 1:
                     yield from cut(order, n, ids, a, b, depth + 1, tree)
 
-    def close(rows):
+    def close(rows, edge=False):
+        # The first and the last region of a range may go on in the next one; all parts of a region share its name.
+        if rows and (edge or len(rows) > REGION):
+            name = f"{LARGE}{rows[0][0]}:{rows[0][1][:4 * FIRST].hex()}"
+            for row in rows:
+                yield name, row[3], None
         if len(rows) > 1:
             order = np.frombuffer(b"".join(r[1] for r in rows), ">u4").reshape(-1, DEPTH)
             yield from cut(order, [r[2] for r in rows], [r[3] for r in rows], 0, len(rows), FIRST, rows[0][0])
@@ -134,20 +137,20 @@ def regions(nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))],
                                           ["region", "id", "other"])
 
-    def run(batches):
+    def closed(batches):
         # A run of equal first minima within the sorted range; its rows are some tens of bytes each.
-        held, out = [], []
+        held, edge = [], True
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if held and (held[0][0] != row[0] or held[0][1][:4 * FIRST] != row[1][:4 * FIRST]):
-                    out += close(held)
-                    held = []
-                    if len(out) > 20_000:
-                        yield batch_of(out)
-                        out = []
+                    yield from close(held, edge)
+                    held, edge = [], False
                 held.append(row)
-        out += close(held)
-        if out:
+        yield from close(held, True)
+
+    def run(batches):
+        rows = closed(batches)
+        while out := list(itertools.islice(rows, 20_000)):
             yield batch_of(out)
 
     return runs.mapInArrow(run, "region string, id long, other long")
@@ -287,7 +290,9 @@ def classes(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str =
     belongs = components(links)
     large = found.where(F.col("region").startswith(LARGE)).select("region", "id")
     if not large.isEmpty():
-        belongs = components(links.union(stray_links(large, belongs, sets)))
+        more = durable(stray_links(large, belongs, sets))
+        if not more.isEmpty():
+            belongs = components(links.union(more))
     node_of = nodes.select("digest", F.col("id").alias("node"))
     named = node_of.join(belongs, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     out = rows.drop("sig").join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))

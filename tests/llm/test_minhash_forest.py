@@ -63,3 +63,24 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (7, 7)], "a long, b long").repartition(7)
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("region", [2048, 64])
+def test_a_region_has_one_name_in_all_ranges(spark, monkeypatch, region):
+    monkeypatch.setattr(minhash_forest, "REGION", region)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        sig = rng.integers(0, 2**32, (minhash_forest.TREES, minhash_forest.DEPTH), np.uint32)
+        sig[3, :minhash_forest.FIRST] = 7
+        rows.append((i, 50, bytearray(sig.astype(">u4").tobytes())))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        found = minhash_forest.regions(spark.createDataFrame(rows, "id long, n long, sig binary")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    prefix = f"{minhash_forest.LARGE}3:{'00000007' * minhash_forest.FIRST}"
+    names = {r.region for r in found if r.region and r.region.startswith(prefix)}
+    assert names == {prefix} and {r.id for r in found if r.region == prefix} == set(range(600))
