@@ -104,3 +104,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.prefix_trie import borrowed_beginnings, trie_nodes
+    return trie_nodes(borrowed_beginnings(table(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 bit by bit; a node is named by the digests of its turns, and adds itself to all its ancestors.
+ORACLES["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, octet_length(encode(coalesce(text, ''))) AS bytes, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+u AS (SELECT ids.c, 0 AS part, b.r, b.m, b.bytes FROM ids JOIN t b ON b.c = ids.c - ids.c % 5 AND b.r <= ids.h
+  UNION ALL SELECT ids.c, 1, t.r, t.m, t.bytes FROM ids JOIN t ON t.c = ids.c AND t.r > ids.h),
+s AS (SELECT ids.c, coalesce(list(u.m ORDER BY part, r) FILTER (u.m IS NOT NULL), []) AS ms, coalesce(list(u.bytes ORDER BY part, r) FILTER (u.m IS NOT NULL), []) AS bs
+  FROM ids LEFT JOIN u ON u.c = ids.c GROUP BY ids.c),
+p AS (SELECT c, unnest(range(0, len(ms) + 1)) AS d, ms, bs FROM s),
+k AS (SELECT c, d, array_to_string(ms[1:d], '') AS key, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes, d = len(ms) AS ends FROM p),
+n AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS e FROM k GROUP BY key, d),
+f AS (SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.d = n.d + 1 AND left(x.key, 32 * n.d) = n.key) AS n_children FROM n),
+g AS (SELECT left(key, 32 * a) AS key, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, g.n_leaves, g.saved::BIGINT AS saved_tokens, sha256(f.e) AS ends_sha256
+FROM f JOIN g USING (key) LEFT JOIN n AS up ON up.d = f.d - 1 AND up.key = left(f.key, 32 * (f.d - 1))
+"""
