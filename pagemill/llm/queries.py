@@ -131,3 +131,25 @@ g AS (SELECT left(key, 32 * a) AS key, sum(saved) AS saved, count(*) FILTER (n_c
 SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, g.n_leaves, g.saved::BIGINT AS saved_tokens, sha256(f.e) AS ends_sha256
 FROM f JOIN g USING (key) LEFT JOIN n AS up ON up.d = f.d - 1 AND up.key = left(f.key, 32 * (f.d - 1))
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.lexical_search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Every document that shares a term with an item is scored.
+ORACLES["op12_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+dt AS (SELECT n, doc_id, len(t) AS size, translate(unnest(t), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d WHERE len(t) > 0),
+total AS (SELECT count(DISTINCT n) AS docs, count(*) AS terms FROM dt),
+b AS (SELECT DISTINCT item_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+bt AS (SELECT DISTINCT item_id, text, translate(unnest(t), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM b),
+tf AS (SELECT n, doc_id, size, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM bt) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+s AS (SELECT item_id, text, n, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * size * docs) // terms))))::BIGINT AS score
+  FROM bt JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
