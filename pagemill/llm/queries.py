@@ -153,3 +153,31 @@ s AS (SELECT item_id, text, n, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf
 SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 50
 """
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.url_filter import judge
+    return judge(table(spark, sf_dir, "pages"))
+
+
+#: Rules one by one; aliases by reachability over absolute targets of canonical links and refreshes.
+ORACLES["op13_url_filters"] = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+p AS (SELECT row_number() OVER () AS n, page_id, url, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g') AS html FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+e AS (SELECT url AS a, CASE WHEN regexp_matches(tag, '(?i)^<link.*\brel\s*=\s*["'']?(?:[^"''>]*\s)?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
+  WHEN regexp_matches(tag, '(?i)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']*([^"''>\s]+)', 1) ELSE '' END AS b FROM tags WHERE url IS NOT NULL),
+u AS (SELECT DISTINCT url FROM (SELECT url FROM p UNION ALL SELECT b FROM e WHERE b != '') WHERE url IS NOT NULL),
+s AS (SELECT url, translate(regexp_extract(url, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme,
+  translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS q FROM u),
+f AS (SELECT s.url, s.host, s.path, CASE WHEN contains(s.url, '://') THEN s.scheme || '://' || s.host || s.path || s.q ELSE split_part(s.url, '#', 1) END AS id, r.host || r.path AS rule, r.verdict
+  FROM s LEFT JOIN rules r ON (s.host = r.host OR s.host LIKE '%.' || r.host) AND starts_with(s.path, r.path) QUALIFY row_number() OVER (PARTITION BY s.url ORDER BY length(r.host || r.path) DESC NULLS LAST, r.verdict) = 1),
+g AS (SELECT fa.id AS a, fb.id AS b FROM e JOIN f fa ON fa.url = e.a JOIN f fb ON fb.url = e.b WHERE e.b != ''),
+ways AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+reach AS (SELECT DISTINCT id AS x, id AS y FROM f UNION SELECT reach.x, ways.b FROM reach JOIN ways ON ways.a = reach.y),
+said AS (SELECT reach.x AS id, bool_or(f.verdict = 'allow') AS allowed, bool_or(f.verdict = 'block') AS blocked FROM reach JOIN f ON f.id = reach.y GROUP BY reach.x)
+SELECT p.page_id, coalesce(f.host, '') AS host, coalesce(f.path, '') AS path, f.rule, coalesce(f.verdict, CASE WHEN said.allowed IS NOT TRUE AND said.blocked THEN 'block' ELSE 'allow' END) AS verdict, p.url
+FROM p LEFT JOIN f ON f.url = p.url LEFT JOIN said ON said.id = f.id
+"""
