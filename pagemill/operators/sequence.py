@@ -7,26 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILES = 200
+from pagemill.session import durable
+
+#: A key with more than one in so many left rows of a lookup is hot; there are fewer such keys than this number.
 HOT_SHARE = 10_000
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", tiles: int = TILES) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn") -> DataFrame:
     """``row_number`` per key in ``order`` without putting a whole key into one task.
 
-    The first order column is a number, dense or not. Rows of a key are numbered inside ranges of it, cut at the quantiles of all
-    rows, and every range starts where the ones before it ended. Hand in slim rows: they are shuffled twice.
+    The rows are sorted into ranges of key and order and stored, so ``df`` is evaluated once. A range numbers its own rows; only the keys
+    that a range begins or ends with can go on in another one, and the counts of these few (two for each range) are added in front.
+    Hand in slim rows with a total order inside a key.
     """
-    cuts = df.agg(F.percentile_approx(order[0], F.array(*[F.lit(k / tiles) for k in range(1, tiles)]), F.lit(10_000))).scalar()
-    tiles = df.withColumn("_cuts", cuts).withColumn("_tile", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order[0]))), F.lit(0))).drop("_cuts")
-    inner = Window.partitionBy(*keys, "_tile").orderBy(*order)
-    numbered = tiles.withColumn("_in", F.row_number().over(inner))
-    sizes = tiles.groupBy(*keys, "_tile").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_tile"]]
-    joined = numbered.alias("l").join(starts.alias("r"), reduce(lambda a, b: a & b, same), "left")
-    return joined.select("l.*", (F.col("r._start") + F.col("l._in")).cast("bigint").alias(out)).drop("_tile", "_in")
+    stored = durable(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    numbered = stored.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    key = F.struct(*keys)
+    edges = stored.groupBy("_part").agg(F.array(F.min(key), F.max(key)).alias("ends")).select(F.explode("ends").alias("_key")).distinct()
+    split = stored.select("_part", key.alias("_key")).join(F.broadcast(edges), "_key").groupBy("_key", "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = split.select("_key", "_part", F.sum("_size").over(before).alias("_start")).where("_start > 0")
+    starts = starts.select(F.col("_part").alias("_at"), "_start", *[F.col(f"_key.{k}").alias(f"_k{n}") for n, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], F.col("_part") == F.col("_at"))
+    joined = numbered.join(F.broadcast(starts), same, "left")
+    return joined.select(*df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_in")).cast("bigint").alias(out))
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str], carry: list[str] | None = None) -> DataFrame:

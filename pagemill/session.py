@@ -30,14 +30,12 @@ def local_session(cores: str | int = "*", app: str = "pagemill") -> SparkSession
     return session
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which every executor can reach.
 
-    The folder is the context's own, else the one the cluster names in ``spark.checkpoint.dir``, which every executor can
-    reach, so the rows survive the loss of the executors that computed them. Only a session on one machine
+    It is the context's own, else the one the cluster names in ``spark.checkpoint.dir``. Only a session on one machine
     (``local[...]``) may do without and gets a temporary folder; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,4 +44,11 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder, so that the rows survive the loss of the executors
+    that computed them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -94,7 +94,7 @@ def test_conversion_carries_page_columns(rows):
 
 def test_row_numbers_agree_with_a_window_when_a_key_is_hot(spark):
     df = spark.range(5000).select((F.col("id") * 3).alias("ord"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
-    got = sequence.row_numbers(df, ["k"], ["ord"], "n", tiles=7)
+    got = sequence.row_numbers(df, ["k"], ["ord"], "n")
     want = df.selectExpr("ord", "row_number() OVER (PARTITION BY k ORDER BY ord) AS want")
     assert got.join(want, "ord").where("n <> want").count() == 0 and got.count() == 5000
 
