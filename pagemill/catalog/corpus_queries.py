@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.catalog.base import H1, ORIGIN, SITE, TOKENS, derived, esc, escq, query, table
+from pagemill.catalog.base import H1, ORACLES, ORIGIN, SITE, TOKENS, derived, esc, escq, query, table
 from pagemill.catalog.page_queries import DOCS_HTML, FRAMEWORK_SQL, IMG_HTML, LINKS_SQL, STRIPPED, conversation_dumps
 from pagemill.functions import binary, entities, markdown_text as mt, text as tx, urls
 from pagemill.operators import blocks, classify, links, regions, rewrite, sequence, site, titles, tokens as tk
 from pagemill.plans.page_job import PageOptions, page_results
-from pagemill.sources import pages as src
+from pagemill.session import shared_folder
+from pagemill.sources import named_files, pages as src
 
 RUN = "2026-01-01 00:00:00"
-MD = "'# Top' || chr(10) || 'see [home](' || url || '#x) and ![i](' || url || '/a.png?w=1) [out](https://o.example.org/p?q=1)' || chr(10) || '```' || chr(10) || '[code](' || url || ')' || chr(10) || '# c' || chr(10) || '```'"
-BASE_SQL = f"SELECT page_id AS ord, {SITE} AS site, url, {H1} AS title, {MD} AS md, page_id % 7 <> 3 AS success, CASE WHEN page_id % 7 = 3 THEN 'timeout' END AS error FROM pages"
+# A body: links, an image and code with the page's address, a link to the first page of its site, and the whole text of the page.
+MD = "'# Top' || chr(10) || 'see [home](' || url || '#x) and ![i](' || url || '/a.png?w=1) [out](https://o.example.org/p?q=1)' || chr(10) || '```' || chr(10) || '[code](' || url || ')' || chr(10) || '# c' || chr(10) || '```' || chr(10) || 'start [first](' || home || ')' || chr(10) || chr(10) || body"
+BASE_SQL = f"""SELECT ord, site, url, home, body, title, {MD} AS md, success, error FROM (SELECT page_id AS ord, {SITE} AS site, url, min_by(url, page_id) OVER (PARTITION BY {SITE}) AS home,
+ regexp_replace(html, '<[^>]*>', '', 'g') AS body, {H1} AS title, page_id % 7 <> 3 AS success, CASE WHEN page_id % 7 = 3 THEN 'timeout' END AS error FROM pages)"""
 SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section')"
 ANCHORED = f"""base AS ({BASE_SQL}), anchored AS (SELECT *, CASE WHEN success THEN {SLUG.format('title')} END AS slug FROM base),
 anch AS (SELECT *, CASE WHEN success THEN CASE WHEN row_number() OVER w = 1 THEN slug ELSE slug || '-' || row_number() OVER w END END AS anchor FROM anchored WINDOW w AS (PARTITION BY site, slug, success ORDER BY ord))"""
 
 
 def results(spark, sf) -> DataFrame:
-    """Page results with a fixed small body; every seventh page failed."""
-    p = derived(spark, sf, "pages", md=MD)
-    return p.select(F.col("page_id").alias("ord"), urls.authority(F.col("url")).alias("site"), "url", titles.first_heading(F.col("html")).alias("title"),
+    """Page results with the text of each page; every seventh page failed."""
+    p = table(spark, sf, "pages").select("page_id", urls.authority(F.col("url")).alias("site"), "url", "html")
+    homes = p.groupBy("site").agg(F.min_by("url", "page_id").alias("home"))
+    p = p.join(homes, "site").withColumn("body", F.regexp_replace("html", "<[^>]*>", "")).withColumn("md", F.expr(MD))
+    return p.select(F.col("page_id").alias("ord"), "site", "url", titles.first_heading(F.col("html")).alias("title"),
                     "md", (F.col("page_id") % 7 != 3).alias("success"), F.when(F.col("page_id") % 7 == 3, "timeout").alias("error"))
 
 
@@ -33,22 +40,25 @@ BARE_URL = "regexp_extract(url, '^([^#]*)', 1)"
 REDACTED = "regexp_extract(url, '^([^?#]*)', 1)"
 # Targets carry a fragment: the address itself is known only for pages without one, then the redacted form is tried.
 KNOWN = f"""known AS (SELECT site, u, max_by(anchor, ord) AS anchor FROM (SELECT site, ord, anchor, url AS u FROM anch WHERE success) GROUP BY site, u)"""
-LINKED_SQL = f"""WITH {ANCHORED}, {KNOWN}, hit AS (SELECT a.*, coalesce(k0.anchor, k1.anchor, k2.anchor) AS target FROM anch a
- LEFT JOIN known k0 ON k0.site = a.site AND k0.u = a.url || '#x' LEFT JOIN known k1 ON k1.site = a.site AND k1.u = {BARE_URL.replace('url', 'a.url')} LEFT JOIN known k2 ON k2.site = a.site AND k2.u = {REDACTED.replace('url', 'a.url')} WHERE a.success)"""
-NEW_MD = "'# Top' || chr(10) || 'see [home](' || CASE WHEN target IS NULL THEN url || '#x' ELSE '#' || target END || ') and ![i](' || url || '/a.png?w=1) [out](https://o.example.org/p?q=1)' || chr(10) || '```' || chr(10) || '[code](' || url || ')' || chr(10) || '# c' || chr(10) || '```'"
+LINKED_SQL = f"""WITH {ANCHORED}, {KNOWN}, hit AS (SELECT a.*, coalesce(k0.anchor, k1.anchor, k2.anchor) AS target, coalesce(h0.anchor, h1.anchor, h2.anchor) AS first_target FROM anch a
+ LEFT JOIN known k0 ON k0.site = a.site AND k0.u = a.url || '#x' LEFT JOIN known k1 ON k1.site = a.site AND k1.u = {BARE_URL.replace('url', 'a.url')} LEFT JOIN known k2 ON k2.site = a.site AND k2.u = {REDACTED.replace('url', 'a.url')}
+ LEFT JOIN known h0 ON h0.site = a.site AND h0.u = a.home LEFT JOIN known h1 ON h1.site = a.site AND h1.u = {BARE_URL.replace('url', 'a.home')} LEFT JOIN known h2 ON h2.site = a.site AND h2.u = {REDACTED.replace('url', 'a.home')} WHERE a.success)"""
+NEW_MD = MD.replace("'see [home](' || url || '#x)", "'see [home](' || CASE WHEN target IS NULL THEN url || '#x' ELSE '#' || target END || ')").replace(
+    "|| home ||", "|| CASE WHEN first_target IS NULL THEN home ELSE '#' || first_target END ||")
+N_REWRITTEN = "(target IS NOT NULL)::BIGINT + (first_target IS NOT NULL)::BIGINT"
 
 
 @query("j1_link_anchor_lookup", f"{LINKED_SQL} SELECT site, ord, target AS anchor FROM hit WHERE target IS NOT NULL")
 def _(spark, sf):
-    anchored = site.with_anchors(results(spark, sf))
+    _, anchored = site.stored_pages(results(spark, sf))
     found = anchored.where("success").select("site", "ord", F.concat("url", F.lit("#x")).alias("_t"))
     return rewrite.resolve(found, site.url_anchors(anchored), rewrite.link_candidates(F.col("_t")), ["site", "ord"], "anchor", "site")
 
 
-@query("cln6_internal_links", f"{LINKED_SQL} SELECT site, ord, {NEW_MD} AS md, CASE WHEN target IS NULL THEN 0 ELSE 1 END AS rewritten FROM hit")
+@query("cln6_internal_links", f"{LINKED_SQL} SELECT site, ord, {NEW_MD} AS md, {N_REWRITTEN} AS rewritten FROM hit")
 def _(spark, sf):
-    anchored = site.with_anchors(results(spark, sf))
-    return site._linked(anchored.where("success").select("site", "ord", "md"), site.url_anchors(anchored))
+    stored, anchored = site.stored_pages(results(spark, sf))
+    return site._linked(stored.where("success").select("site", "ord", "md"), site.url_anchors(anchored))
 
 
 IMG_MD = "'![a](http://i.org/' || cast(doc_id % 50 AS varchar(20)) || '.png) <IMG alt=\"\" src=\"http://i.org/b c.png\"> [l](http://i.org/1.png) ' || text || ' ![z](http://i.org/none.png)'"
@@ -394,18 +404,23 @@ def _(spark, sf):
 
 # --- documents ------------------------------------------------------------------------------------------------
 
+def redacted_sql(md: str) -> str:
+    return md.replace("url || '#x'", f"{REDACTED} || ''").replace("url || '/a.png?w=1)", "regexp_extract(url || '/a.png?w=1', '^([^?#]*)', 1) || ')").replace("p?q=1)", "p)").replace(
+        "'[code](' || url", f"'[code](' || {REDACTED}").replace("THEN home", f"THEN {REDACTED.replace('url', 'home')}").replace("|| home ||", f"|| {REDACTED.replace('url', 'home')} ||")
+
+
 DEMOTED = NEW_MD.replace("'# Top'", "'### Top'")
-REDACTED_MD = DEMOTED.replace("url || '#x'", f"{REDACTED}").replace("url || '/a.png?w=1)", f"regexp_extract(url || '/a.png?w=1', '^([^?#]*)', 1) || ')").replace("p?q=1)", "p)").replace("'[code](' || url", f"'[code](' || {REDACTED}")
+REDACTED_MD = redacted_sql(DEMOTED)
 LABEL = "replace(replace(title, '[', '\\['), ']', '\\]')"
 OUT1_SQL = f"""{LINKED_SQL}, head AS (SELECT site, count(*) FILTER (success) AS pages, min_by({ORIGIN}, ord) FILTER (success) AS origin FROM anch GROUP BY site),
- body AS (SELECT site, ord, {REDACTED_MD} AS md, target FROM hit)
+ body AS (SELECT site, ord, {REDACTED_MD} AS md, {N_REWRITTEN} AS n FROM hit)
 SELECT site, 0 AS part, -1 AS ord, '---' || chr(10) || 'title: "批量导出文档"' || chr(10) || 'date: "{RUN}"' || chr(10) || 'pages: ' || pages || chr(10) || '---' || chr(10) || chr(10) || '# 批量导出文档' || chr(10) ||
  CASE WHEN pages > 0 THEN chr(10) || '## 文档信息' || chr(10) || chr(10) || '- **导出时间**：{RUN}' || chr(10) || '- **页面数量**：' || pages || ' 页' || chr(10) || '- **来源站点**：' || origin || chr(10) || chr(10) || '---' || chr(10) ELSE '' END || chr(10) || '## 目录' || chr(10) AS text FROM head
 UNION ALL SELECT site, 1, ord, row_number() OVER (PARTITION BY site ORDER BY ord) || '. ' || CASE WHEN success THEN '[' || {LABEL} || '](#' || anchor || ')' ELSE '~~' || {LABEL} || '~~ (获取失败)' END FROM anch
 UNION ALL SELECT site, 2, -1, chr(10) || '---' || chr(10) FROM head
 UNION ALL SELECT a.site, 3, a.ord, CASE WHEN success THEN '<h2 id="' || anchor || '">' || {escq('title')} || '</h2>' || chr(10) || chr(10) || '- 来源：' || {REDACTED} || chr(10) || chr(10) || body.md || chr(10) || chr(10) || '---' || chr(10)
  ELSE '## ' || title || chr(10) || chr(10) || '> ⚠️ 获取失败：timeout' || chr(10) || chr(10) || '- 原始链接：' || {REDACTED} || chr(10) || chr(10) || '---' || chr(10) END FROM anch a LEFT JOIN body ON body.site = a.site AND body.ord = a.ord
-UNION ALL SELECT site, 4, -1, chr(10) || '<!-- 站内链接改写：共 ' || count(target) || ' 处 -->' FROM body GROUP BY site HAVING count(target) > 0"""
+UNION ALL SELECT site, 4, -1, chr(10) || '<!-- 站内链接改写：共 ' || sum(n)::BIGINT || ' 处 -->' FROM body GROUP BY site HAVING sum(n) > 0"""
 
 
 @query("out1_merged_document", OUT1_SQL)
@@ -413,9 +428,9 @@ def _(spark, sf):
     return site.merged_sections(results(spark, sf), RUN)
 
 
-@query("ag9_ordered_assembly", f"SELECT site, cast(sum(length(text)) AS BIGINT) AS chars, count(*) AS sections FROM ({OUT1_SQL}) GROUP BY site")
+@query("ag9_ordered_assembly", f"SELECT site, sum(length(text))::BIGINT AS chars, count(*) AS sections, sha256(string_agg(text, chr(10) ORDER BY part, ord)) AS document_sha256 FROM ({OUT1_SQL}) GROUP BY site")
 def _(spark, sf):
-    return site.merged_sections(results(spark, sf), RUN).groupBy("site").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("sections"))
+    return site.assembled(site.merged_sections(results(spark, sf), RUN))
 
 
 @query("out2_index_document", f"""{FILE_SQL}, head AS (SELECT site, count(*) FILTER (success) AS pages, min_by({ORIGIN}, ord) AS origin FROM base GROUP BY site)
@@ -429,7 +444,7 @@ def _(spark, sf):
 
 YTITLE = "replace(replace(title, '\\', '\\\\'), '\"', '\\\"')"
 FRONT = f"'---' || chr(10) || 'title: \"' || {YTITLE} || '\"' || chr(10) || 'source: \"' || {REDACTED} || '\"' || chr(10) || 'date: \"{RUN}\"' || chr(10) || '---' || chr(10) || chr(10)"
-PLAIN_MD = MD.replace("url || '#x)", f"{REDACTED} || ')").replace("url || '/a.png?w=1)", "regexp_extract(url || '/a.png?w=1', '^([^?#]*)', 1) || ')").replace("p?q=1)", "p)").replace("'[code](' || url", f"'[code](' || {REDACTED}")
+PLAIN_MD = redacted_sql(MD.replace("url || '#x)", "url || '#x' || ')"))
 PAGE_DOC = f"{FRONT} || '# ' || title || chr(10) || chr(10) || '- Source: ' || {REDACTED} || chr(10) || chr(10) || {PLAIN_MD}"
 
 
@@ -438,6 +453,20 @@ def _(spark, sf):
     return site.page_files(results(spark, sf), RUN)
 
 
+INDEX_SQL = ORACLES["out2_index_document"]
+NAMED_SQL = f"""SELECT 'pages/' || site || '/' || file_name AS path, content FROM ({FILE_SQL} SELECT site, file_name, {PAGE_DOC} AS content FROM names)
+UNION ALL SELECT 'pages/' || site || '/index.md', string_agg(text, chr(10) ORDER BY part, ord) FROM ({INDEX_SQL}) GROUP BY site
+UNION ALL SELECT 'merged/' || site || '.md', string_agg(text, chr(10) ORDER BY part, ord) FROM ({OUT1_SQL}) GROUP BY site"""
+
+
+@query("out3_named_files", NAMED_SQL)
+def _(spark, sf):
+    """All documents of all sites, written as files to the shared folder and read from there."""
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    named_files.write_files(site.document_rows(results(spark, sf), RUN), folder)
+    return named_files.read_files(spark, folder).select("path", F.col("content").cast("string").alias("content"))
+
+
 @query("out4_front_matter", f"SELECT ord, replace({FRONT}, chr(10) || '---' || chr(10) || chr(10), chr(10) || 'tags: [\"a\", \"b\"]' || chr(10) || '---' || chr(10) || chr(10)) AS front FROM ({BASE_SQL})")
 def _(spark, sf):
     return results(spark, sf).select("ord", site.front_matter(F.col("title"), urls.redact(F.col("url")), RUN, ["a", "b"]).alias("front"))
@@ -449,12 +478,11 @@ def _(spark, sf):
     return rewrite.redacted_assets(a).select("url", F.to_json("paths").alias("paths"))
 
 
-@query("out6_dual_output", f"WITH x AS (SELECT site, 'merged' AS kind FROM ({OUT1_SQL}) WHERE part = 3), y AS ({FILE_SQL} SELECT site, 'split' AS kind FROM names) SELECT site, kind, count(*) AS documents FROM (FROM x UNION ALL FROM y) GROUP BY ALL")
+@query("out6_dual_output", f"SELECT 'merged' AS kind, site, part, ord, text FROM ({OUT1_SQL}) UNION ALL SELECT 'split', site, 0, ord, content FROM ({FILE_SQL} SELECT site, ord, {PAGE_DOC} AS content FROM names)")
 def _(spark, sf):
-    r = results(spark, sf)
-    both = site.merged_sections(r, RUN).where("part = 3").select("site", F.lit("merged").alias("kind")).unionByName(
-        site.page_files(r, RUN, assets="../shared").select("site", F.lit("split").alias("kind")))
-    return both.groupBy("site", "kind").agg(F.count("*").alias("documents"))
+    merged, split = site.dual_output(results(spark, sf), RUN, "../shared")
+    return merged.select(F.lit("merged").alias("kind"), "site", "part", "ord", "text").union(
+        split.select(F.lit("split"), "site", F.lit(0), "ord", "content"))
 
 
 @query("out7_single_page", f"SELECT ord, {PAGE_DOC} AS content FROM ({BASE_SQL})")

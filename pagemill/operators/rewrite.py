@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markdown_text as mt, urls
 from pagemill.operators import sequence
+from pagemill.session import durable
 
 _LINK = r"(?<!!)\[[^\]]+\]\([^)]+\)"
 _IMAGE = r"""!\[[^\]]*\]\([^)\s]+\)|(?i:<img\b[^>]*\bsrc=["'][^"']+["'])"""
 
 
-def pieces(docs: DataFrame, pattern: str, md: str, key: str, fences: bool) -> DataFrame:
-    """``key, seg, i, piece, hit``: text cut at the matches of a pattern; with ``fences``, fenced code is left whole."""
+def pieces(docs: DataFrame, pattern: str, md: str, key: str, fences: bool, carry: list[str] | None = None) -> DataFrame:
+    """``key, *carry, seg, i, piece, hit``: text cut at the matches of a pattern; with ``fences``, fenced code is left whole."""
+    kept = [key, *(carry or [])]
     cut = F.lit(rf"(?s){pattern}|(?:(?!{pattern}).)++")
     blocks = mt.segments(F.col(md)) if fences else F.array(F.col(md))
-    segs = docs.select(key, F.posexplode(blocks).alias("seg", "_s"))
+    segs = docs.select(*kept, F.posexplode(blocks).alias("seg", "_s"))
     inner = F.when(mt.is_fence(F.col("_s")), F.array("_s")).otherwise(F.regexp_extract_all("_s", cut, F.lit(0))) if fences else (
         F.regexp_extract_all("_s", cut, F.lit(0)))
     hit = F.col("piece").rlike(rf"(?s)\A(?:{pattern})\z")
     if fences:
         hit = hit & ~mt.is_fence(F.col("_s"))
-    return segs.select(key, "seg", "_s", F.posexplode(inner).alias("i", "piece")).select(key, "seg", "i", "piece", hit.alias("hit"))
+    return segs.select(*kept, "seg", "_s", F.posexplode(inner).alias("i", "piece")).select(*kept, "seg", "i", "piece", hit.alias("hit"))
 
 
 def link_candidates(url: Column) -> Column:
@@ -40,12 +42,15 @@ def image_candidates(url: Column) -> Column:
 
 
 def resolve(found: DataFrame, table: DataFrame, candidates: Column, ids: list[str], value: str, group: str | None = None) -> DataFrame:
-    """``ids, value``: the first candidate that the table (``url, value`` and optionally a group column) knows."""
+    """``ids, value``: the first candidate that the table (``url, value`` and optionally a group column) knows.
+
+    Both sides are slim and stored once: what is looked up, and the entries.
+    """
     key = F.col("candidate") if group is None else F.concat_ws("\x01", F.col(group), F.col("candidate"))
     right_key = F.col("url") if group is None else F.concat_ws("\x01", F.col(group), F.col("url"))
     tries = found.select(*ids, *([group] if group and group not in ids else []), F.posexplode(candidates).alias("priority", "candidate"))
-    tries = tries.withColumn("_lookup", key)
-    known = table.select(right_key.alias("_lookup"), F.col(value))
+    tries = durable(tries.select(*ids, "priority", key.alias("_lookup")))
+    known = durable(table.select(right_key.alias("_lookup"), F.col(value)))
     joined = sequence.lookup(tries, known, "_lookup", value).where(F.col(value).isNotNull())
     return joined.groupBy(*ids).agg(F.min_by(value, "priority").alias(value))
 
@@ -59,11 +64,10 @@ def _put_back(cut: DataFrame, found: DataFrame, new_piece: Column, key: str, val
 
 def internal_links(docs: DataFrame, anchors: DataFrame, md: str = "md", key: str = "page_id", group: str | None = None) -> DataFrame:
     """``key, md, rewritten``: links to known pages become anchors. ``anchors``: ``url, anchor`` (unique per group)."""
-    cut = pieces(docs, _LINK, md, key, fences=True)
+    carry = [group] if group is not None else []
+    cut = pieces(docs, _LINK, md, key, True, carry)
     target = F.regexp_extract("piece", r"(?s)\A\[[^\]]+\]\(([^)]+)\)\z", 1)
-    hits = cut.where("hit").select(key, "seg", "i", target.alias("_t"))
-    if group is not None:
-        hits = hits.join(docs.select(key, group), key)
+    hits = cut.where("hit").select(key, *carry, "seg", "i", target.alias("_t"))
     found = resolve(hits, anchors, link_candidates(F.col("_t")), [key, "seg", "i"], "anchor", group)
     label = F.regexp_extract("piece", r"(?s)\A(\[[^\]]+\])", 1)
     return _put_back(cut, found, F.concat(label, F.lit("(#"), "anchor", F.lit(")")), key, "anchor")

@@ -24,12 +24,16 @@ FAILED, FAILED_WHY, ORIGINAL, SOURCE, REWRITTEN = "(获取失败)", "(获取失
 
 def with_anchors(results: DataFrame) -> DataFrame:
     """Add ``slug`` and ``anchor``: the slug, then slug-2, slug-3 in page order. Failed pages get none."""
-    good = results.where("success").withColumn("slug", urls.anchor_slug(F.col("title")))
-    numbers = sequence.row_numbers(good.select("site", "ord", "slug"), ["site", "slug"], ["ord"], "_n")
-    numbered = good.join(numbers.select("site", "ord", "_n"), ["site", "ord"])
+    good = results.where("success").select("site", "ord", urls.anchor_slug(F.col("title")).alias("slug"))
+    numbers = sequence.row_numbers(good, ["site", "slug"], ["ord"], "_n")
     anchor = F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("_n").cast("string")))
-    return numbered.withColumn("anchor", anchor).select(*results.columns, "slug", "anchor").unionByName(
-        results.where(~F.col("success")).withColumns({"slug": F.lit(None).cast("string"), "anchor": F.lit(None).cast("string")}))
+    return results.join(numbers, ["site", "ord"], "left").select(*results.columns, "slug", anchor.alias("anchor"))
+
+
+def stored_pages(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The results, evaluated and stored once, and their slim columns with slugs and anchors, which all document parts are made from."""
+    stored = durable(results)
+    return stored, durable(with_anchors(stored.drop("md")))
 
 
 def anchor_stats(anchored: DataFrame) -> DataFrame:
@@ -67,14 +71,16 @@ def page_document(title: Column, url: Column, md: Column, run_time: str, redact:
     return F.concat(front_matter(title, shown, run_time), F.lit("# "), title, F.lit("\n\n- Source: "), shown, F.lit("\n\n"), body)
 
 
-def file_names(results: DataFrame, folder: str = "") -> DataFrame:
+def file_names(results: DataFrame, folder: str = "", reserved: tuple[str, ...] = ()) -> DataFrame:
     """Add ``file_name`` to successful pages: a stem from the title, ``_1``, ``_2`` for repeats in page order, each name once.
 
     Pages of one stem take its numbers in order. Where two stems meet in one name, the earlier page keeps it; the other stem may not
     use that number, and its pages move up. This goes on over the stems concerned until all names differ. Only site, page number and stem
-    take part; ``site, ord`` identify a page.
+    take part; ``site, ord`` identify a page, numbers are not negative. Names made from ``reserved`` titles are left for others.
     """
     named = results.where("success").select("site", "ord", F.substring(urls.file_stem(F.col("title")), 1, 50).alias("_stem"))
+    for k, title in enumerate(reserved, 1):
+        named = named.union(results.select("site").distinct().select("site", F.lit(-k).cast("bigint"), urls.file_stem(F.lit(title))))
     fitted = named.withColumn("_stem", F.regexp_replace(urls.fit_path(folder, F.concat("_stem", F.lit(".md"))), r"\.md$", ""))
     ranked = durable(sequence.row_numbers(fitted, ["site", "_stem"], ["ord"], "_n").select("site", "ord", "_stem", (F.col("_n") - 1).alias("_rank")))
     refused: DataFrame | None = None
@@ -100,15 +106,15 @@ def file_names(results: DataFrame, folder: str = "") -> DataFrame:
     return results.where("success").join(names, ["site", "ord"]).select(*results.columns, "file_name")
 
 
-def page_files(results: DataFrame, run_time: str, folder: str = "", redact: bool = True, assets: str | None = None) -> DataFrame:
+def page_files(results: DataFrame, run_time: str, folder: str = "", redact: bool = True, assets: str | None = None, reserved: tuple[str, ...] = ()) -> DataFrame:
     """``site, ord, file_name, content``: one document per successful page."""
     md = mt.shared_asset_paths(F.col("md"), assets) if assets else F.col("md")
-    return file_names(results, folder).select("site", "ord", "file_name", page_document(
+    return file_names(results, folder, reserved).select("site", "ord", "file_name", page_document(
         F.col("title"), F.col("url"), md, run_time, redact).alias("content"))
 
 
 def _numbered_pages(results: DataFrame) -> DataFrame:
-    return sequence.row_numbers(results, ["site"], ["ord"], "n")
+    return sequence.row_numbers(results.drop("md"), ["site"], ["ord"], "n")
 
 
 def _head(results: DataFrame) -> DataFrame:
@@ -125,8 +131,8 @@ def merged_sections(results: DataFrame, run_time: str, rewrite_links: bool = Tru
 
     Parts: 0 head, 1 contents, 2 separator, 3 pages, 4 footer.
     """
-    anchored = with_anchors(results)
-    bodies = anchored.where("success").select("site", "ord", mt.demote_headings(F.col("md"), 2).alias("md"))
+    stored, anchored = stored_pages(results)
+    bodies = stored.where("success").select("site", "ord", mt.demote_headings(F.col("md"), 2).alias("md"))
     if rewrite_links:
         bodies = _linked(bodies, url_anchors(anchored))
     else:
@@ -139,11 +145,12 @@ def merged_sections(results: DataFrame, run_time: str, rewrite_links: bool = Tru
     bad = F.concat(F.lit("## "), F.col("a.title"), F.lit("\n\n> ⚠️ 获取失败："), F.coalesce("a.error", F.lit("None")), F.lit("\n\n" + ORIGINAL), shown, F.lit("\n\n---\n"))
     pages = joined.select("site", F.lit(3).alias("part"), "ord", F.when(F.col("a.success"), good).otherwise(bad).alias("text"),
                           F.coalesce("b.rewritten", F.lit(0)).alias("rewritten"))
+    pages = durable(pages) if rewrite_links else pages
     head_text = F.concat(
         F.lit(f'---\ntitle: "{title}"\ndate: "{run_time}"\npages: '), F.col("pages").cast("string"), F.lit(f"\n---\n\n# {title}\n"),
         F.when(F.col("pages") > 0, F.concat(F.lit(f"\n{INFO}\n\n{EXPORTED}{run_time}\n{COUNT}"), F.col("pages").cast("string"),
                                             F.lit(f"{UNIT}\n{SITE}"), F.col("origin"), F.lit("\n\n---\n"))).otherwise(F.lit("")))
-    heads = _head(results).select("site", F.lit(0).alias("part"), F.lit(-1).cast("bigint").alias("ord"), F.concat(
+    heads = _head(anchored).select("site", F.lit(0).alias("part"), F.lit(-1).cast("bigint").alias("ord"), F.concat(
         head_text, F.lit(f"\n{TOC}\n" if toc else "")).alias("text"))
     parts = heads.unionByName(pages.drop("rewritten"))
     if toc:
@@ -168,9 +175,10 @@ def _linked(bodies: DataFrame, table: DataFrame) -> DataFrame:
                        "md", "rewritten")
 
 
-def index_lines(results: DataFrame, run_time: str, title: str = INDEX_TITLE) -> DataFrame:
+def index_lines(results: DataFrame, run_time: str, title: str = INDEX_TITLE, reserved: tuple[str, ...] = ()) -> DataFrame:
     """The index document of every site as rows ``site, part, ord, text`` (part 0 head, 1 entries)."""
-    names = file_names(results).select("site", "ord", "file_name")
+    results = results.drop("md")
+    names = file_names(results, "", reserved).select("site", "ord", "file_name")
     numbered = _numbered_pages(results).join(names, ["site", "ord"], "left")
     label = link_label(F.col("title"))
     entry = F.concat(F.col("n").cast("string"), F.lit(". "), F.when(F.col("success"), F.concat(
@@ -183,6 +191,39 @@ def index_lines(results: DataFrame, run_time: str, title: str = INDEX_TITLE) ->
         numbered.select("site", F.lit(1).alias("part"), "ord", entry.alias("text")))
 
 
+def dual_output(results: DataFrame, run_time: str, assets: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged sections and page files from results that are evaluated once; page files use the merged documents' assets."""
+    stored = durable(results)
+    return merged_sections(stored, run_time), page_files(stored, run_time, assets=assets)
+
+
+def assembled(sections: DataFrame) -> DataFrame:
+    """``site, chars, sections, document_sha256`` of the documents that the sections make, joined by line breaks.
+
+    Each document is one value here; :func:`document_rows` is the form for documents of any size.
+    """
+    return sections.groupBy("site").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("sections"), F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "ord", "text"))), lambda s: s["text"]), "\n"), 256).alias("document_sha256"))
+
+
+INDEX_FILE = "index"
+
+
+def document_rows(results: DataFrame, run_time: str, redact: bool = True, assets: str | None = None) -> DataFrame:
+    """All documents of all sites as rows ``path, part, ord, content`` for :func:`pagemill.sources.named_files.write_files`.
+
+    ``pages/<site>/<name>.md`` for every page, ``pages/<site>/index.md`` with links to them and ``merged/<site>.md``. The results are
+    evaluated once. A colon in a site is written ``%3A``, an empty site ``_``.
+    """
+    stored = durable(results)
+    folder = F.replace(F.coalesce(F.nullif("site", F.lit("")), F.lit("_")), F.lit(":"), F.lit("%3A"))
+    own = page_files(stored, run_time, "", redact, assets, (INDEX_FILE,))
+    own = own.select(F.concat(F.lit("pages/"), folder, F.lit("/"), "file_name").alias("path"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("ord"), "content")
+    index = index_lines(stored, run_time, reserved=(INDEX_FILE,)).select(F.concat(F.lit("pages/"), folder, F.lit(f"/{INDEX_FILE}.md")), "part", "ord", "text")
+    merged = merged_sections(stored, run_time, redact=redact).select(F.concat(F.lit("merged/"), folder, F.lit(".md")), "part", "ord", "text")
+    return own.union(index).union(merged)
+
+
 def write_documents(sections: DataFrame, path: str, files: int | None = None) -> None:
     """Write ordered sections as text under one folder per site.
 

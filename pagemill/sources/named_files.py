@@ -18,12 +18,12 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-SCHEMA = "path string, part int, ord bigint, content string"
 #: Bytes of a file beyond which a document goes on in a further one.
 FILE_BYTES = 256 << 20
+READ_BYTES = 16 << 20
 _TILES = 1000
 
 
@@ -113,15 +113,51 @@ class NamedFilesWriter(DataSourceArrowWriter):
             system.delete_dir(stage)
 
 
+@dataclass
+class FileList(InputPartition):
+    """Paths below the folder that one task reads."""
+
+    paths: list[str]
+
+
+class NamedFilesReader(DataSourceReader):
+    """All files below a folder, whatever their names, in lists of about ``READ_BYTES``."""
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def partitions(self) -> list[FileList]:
+        system, inner = file_system(self.folder)
+        lists, size = [FileList([])], 0
+        for info in system.get_file_info(fs.FileSelector(inner, recursive=True)):
+            if info.type == fs.FileType.File:
+                if size > READ_BYTES:
+                    lists.append(FileList([]))
+                    size = 0
+                lists[-1].paths.append(info.path[len(inner) + 1:])
+                size += info.size + READ_BYTES // 10_000
+        return lists
+
+    def read(self, partition: FileList):
+        system, inner = file_system(self.folder)
+        for path in partition.paths:
+            with system.open_input_stream(f"{inner}/{path}") as f:
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([f.read()], pa.binary())})
+
+
 class NamedFiles(DataSource):
-    """``df.write.format("named_files").option("separator", ...).mode(...).save(folder)`` for rows ``path, part, ord, content``."""
+    """``df.write.format("named_files").option("separator", ...).mode(...).save(folder)`` for rows ``path, part, ord, content``;
+    ``spark.read.format("named_files").load(folder)`` gives ``path, content``, the latter as bytes."""
 
     @classmethod
     def name(cls) -> str:
         return "named_files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return "path string, content binary"
+
+    def reader(self, schema: StructType) -> NamedFilesReader:
+        return NamedFilesReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> NamedFilesWriter:
         missing = {"path", "part", "ord", "content"} - set(schema.fieldNames())
@@ -163,7 +199,6 @@ def write_files(rows: DataFrame, folder: str, overwrite: bool = False, separator
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, content`` of the files below ``folder``, paths relative to it. Spark's readers pass over names that begin with ``_`` or ``.``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    inner = file_system(folder)[1].rstrip("/") + "/"
-    return files.select(F.substring(F.col("path"), F.locate(inner, F.col("path")) + len(inner), F.length("path")).alias("path"), F.col("content").cast("string").alias("content"))
+    """``path, content`` (bytes) of the files below ``folder``, paths relative to it; names that Spark's readers hide are read too."""
+    spark.dataSource.register(NamedFiles)
+    return spark.read.format("named_files").load(folder)

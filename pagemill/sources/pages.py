@@ -14,7 +14,16 @@ MAX_HTML_BYTES = 10 * 1024 * 1024
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, url, html`` of every page; see :func:`size_error` for those that cannot be used."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    return spread_over_cores(spark.read.parquet(path).select("page_id", "url", "html"))
+
+
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its input comes in fewer splits (a file with one row group is one split).
+
+    Pages take far more time to work on than to move. Inputs with enough splits, as large ones have, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def size_error(html: Column, max_bytes: int = 0) -> Column:
