@@ -38,14 +38,30 @@ def _(spark, sf):
         rejected.withColumns({"title": F.lit(None).cast("string"), "status": F.lit("rejected")}))
 
 
-@query("src3_saved_html", r"""
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<meta charset="latin1">' || regexp_replace(html, '[^\x{00}-\x{ff}]', '', 'g')
-  ELSE '<meta charset=utf-8>' || html END AS html FROM pages""")
-def _(spark, sf):
-    latin = F.encode(F.concat(F.lit('<meta charset="latin1">'), F.regexp_replace("html", r"[^\x00-\xff]", "")), "ISO-8859-1")
-    utf = F.encode(F.concat(F.lit("<meta charset=utf-8>"), "html"), "UTF-8")
-    raw = pages(spark, sf).select("page_id", F.when(F.col("page_id") % 2 == 0, latin).otherwise(utf).alias("content"))
-    return raw.select("page_id", binary.decode_page(F.col("content")).alias("html"))
+# Letters a to z, and what all further characters of a page become, in each set; the first two keep the page as it is.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SETS = {"utf-8": None, "windows-1252": None, "iso-8859-2": "ąćčďęěśŁłňőřšťůźžŽ˝ß×÷äöüýé", "koi8-r": "абвгдежзийклмнопрстуфхцчшщыё", "windows-1251": "юяьэђѓєљњќўџ№«»–—“”…€абвгдЖ",
+        "gbk": "的一是在不了有和人这中大为上个国我以要他时来用们生到作", "Shift_JIS": "あいうえおかきくけこ日本語漢字表示ｱｲｳァイウ十予構能", "euc-kr": "가나다라마바사아자차카타파하각간날말밤삽앙정책켜틀품힝"}
+
+
+def set_text(name: str, every: str = "", html: str = "html") -> str:
+    """SQL of a page's text in the letters of a set; ``every``: the flag for all matches, where one is needed."""
+    if SETS[name] is None:
+        return html if name == "utf-8" else f"replace(regexp_replace({html}, '[^\t\n\r -~äöüßéèêçñíóáúÉÈÊÇÑ]', '€'{every}), '$', '“')"
+    return f"regexp_replace(translate({html}, '{LETTERS}', '{SETS[name][:26]}'), '[^\t\n\r -~{SETS[name]}]', '{SETS[name][26]}'{every})"
+
+
+@query("src3_saved_html", "SELECT page_id, CASE page_id % 8 " + " ".join(
+    f"WHEN {k} THEN '<meta charset={name}>' || {set_text(name, chr(44) + chr(39) + 'g' + chr(39))}" for k, name in enumerate(SETS)) + " END AS html FROM pages")
+def _(spark, sf):
+    """Whole pages in eight character sets. The bytes are spelled out, since Spark has no encoder for most sets."""
+    def written(name: str) -> str:
+        text = set_text(name)
+        for c in dict.fromkeys(SETS[name] or "äöüßéèêçñíóáúÉÈÊÇÑ€“"):
+            text = f"replace({text}, '{c}', decode(unhex('{c.encode(name).hex()}'), 'ISO-8859-1'))"
+        return f"encode('<meta charset={name}>' || {text}, 'ISO-8859-1')"
+    raw = F.expr("CASE page_id % 8 " + " ".join(f"WHEN {k} THEN " + (written(name) if name != "utf-8" else "encode('<meta charset=utf-8>' || html, 'UTF-8')") for k, name in enumerate(SETS)) + " END")
+    return pages(spark, sf).select("page_id", raw.alias("content")).select("page_id", binary.decode_page(F.col("content")).alias("html"))
 
 
 @query("src4_declared_charset", """

@@ -5,41 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import any_contains, first_match
+from pagemill.functions import charsets
+from pagemill.functions.text import any_contains, bind, first_match
 
-# Declared name -> decoder name.
-CHARSETS = {
-    "utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII",
-    "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "windows-1252",
-    "cp1252": "windows-1252", "shift_jis": "Shift_JIS", "shift-jis": "Shift_JIS", "sjis": "Shift_JIS",
-    "euc-jp": "EUC-JP", "euc_jp": "EUC-JP", "gb2312": "GB2312", "gbk": "GBK", "gb18030": "GB18030",
-    "big5": "Big5", "euc-kr": "EUC-KR", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE",
-    "koi8-r": "KOI8-R", "iso-8859-2": "ISO-8859-2", "iso-8859-15": "ISO-8859-15", "windows-1251": "windows-1251",
-    "cp1251": "windows-1251", "windows-1250": "windows-1250",
-}
-# Decoders available without spark.sql.legacy.javaCharsets.
-PORTABLE = ["UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE"]
+#: Names of codecs that have a better known one.
+SHOWN = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "iso8859-2": "ISO-8859-2", "iso8859-15": "ISO-8859-15", "cp1250": "windows-1250",
+         "cp1251": "windows-1251", "cp1252": "windows-1252", "koi8-r": "KOI8-R", "shift_jis": "Shift_JIS", "euc_jp": "EUC-JP", "gb2312": "GB2312", "gbk": "GBK",
+         "gb18030": "GB18030", "big5": "Big5", "euc_kr": "EUC-KR", "utf-16": "UTF-16", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
 
 
-def declared_charset(content: Column, limit: int = 0) -> Column:
-    """Decoder name from the first <meta charset>, NULL when absent or unknown. ``limit``: look at the first bytes only (0: at all)."""
+def declared_codec(content: Column, limit: int = 0) -> Column:
+    """Codec of the first <meta charset>, NULL when absent or unknown. ``limit``: look at the first bytes only (0: at all)."""
     head = F.decode(F.substring(content, 1, limit) if limit > 0 else content, "ISO-8859-1")
-    name = F.lower(first_match(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:\-]+)"""))
-    table = F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair])
-    return F.try_element_at(table, name)
+    return charsets.codec_of(first_match(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:\-]+)"""))
+
 
+def declared_charset(content: Column, limit: int = 0) -> Column:
+    """Name of the declared character set, NULL when absent or unknown."""
+    table = F.create_map(*[F.lit(x) for pair in SHOWN.items() for x in pair])
+    return bind(declared_codec(content, limit), lambda c: F.coalesce(F.try_element_at(table, c), c))
 
-def decode_page(content: Column, charsets: list[str] | None = None) -> Column:
-    """Text of a saved page: the declared character set, else UTF-8 with malformed bytes replaced.
 
-    The multi-byte sets need ``spark.sql.legacy.javaCharsets=true`` and are named through ``charsets``.
-    """
-    declared = declared_charset(content)
-    text = F.make_valid_utf8(content.cast("string"))
-    for name in charsets if charsets is not None else PORTABLE:
-        if name != "UTF-8":
-            text = F.when(declared == name, F.decode(content, name)).otherwise(text)
-    return text
+def decode_page(content: Column) -> Column:
+    """Text of a saved page: the declared character set, else UTF-8; malformed bytes become unknown characters."""
+    return bind(declared_codec(content), lambda codec: charsets.decode(content, codec))
 
 
 def extension_from_type(content_type: Column) -> Column:
