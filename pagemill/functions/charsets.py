@@ -69,8 +69,9 @@ def codec_names() -> dict[str, str]:
 def codec_of(declared: Column) -> Column:
     """The codec of a declared name, NULL for an unknown one. Case and punctuation do not count."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(declared), "[^a-z0-9.]+", "_"), "^_|_$", "")
-    table = F.str_to_map(F.lit(",".join(f"{a}={b}" for a, b in codec_names().items())), F.lit(","), F.lit("="))
-    return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, F.replace(plain, F.lit("."), F.lit("_"))))
+    table = lambda names: F.str_to_map(F.lit(",".join(f"{a}={b}" for a, b in names)), F.lit(","), F.lit("="))
+    undotted = [(a, b) for a, b in codec_names().items() if a in aliases]
+    return F.coalesce(F.try_element_at(table(codec_names().items()), plain), F.try_element_at(table(undotted), F.replace(plain, F.lit("."), F.lit("_"))))
 
 
 def _char_class(codes: list[int]) -> str:
