@@ -346,6 +346,53 @@ def _(spark, sf):
     return regions.strip_elements(pages(spark, sf), ["nav", ".ad", "b"]).select("page_id", "html", "elements_removed", "chars_before", "chars_after")
 
 
+# A table of rules: 400 for each site, of which a site has one or two that fit anything, and one for all sites.
+SITE_OF = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
+RULE_N = "CASE WHEN n = 7 AND k % 4 = 0 THEN ' nav ' WHEN n = 9 AND k % 4 = 1 THEN '.ad' WHEN n = 11 AND k % 4 = 1 THEN 'B' WHEN n = 3 AND k % 4 = 2 THEN '[CLASS=\"ad\"]' WHEN n = 300 AND k % 4 = 2 THEN 'div' WHEN n % 3 = 0 THEN '.x' || n WHEN n % 3 = 1 THEN '#x' || k ELSE '[data-x*=' || n || ']' END"
+RULES_SQL = f"""rules AS (SELECT site, n AS rank, {RULE_N} AS selector FROM (SELECT site, k, unnest(range(400)) AS n FROM (SELECT {SITE_OF} AS site, min(page_id) AS k FROM pages GROUP BY 1))
+ UNION ALL SELECT NULL, 350, 'ul'),
+keyed AS (SELECT site, rank, selector, CASE WHEN trim(selector) = 'nav' THEN 't:nav' WHEN selector = 'B' THEN 't:b' WHEN selector LIKE '[CLASS%' THEN 'c:ad' WHEN selector LIKE '[data%' THEN 'a:data-x'
+ WHEN selector LIKE '.%' THEN 'c:' || substr(selector, 2) WHEN selector LIKE '#%' THEN 'i:' || substr(selector, 2) ELSE 't:' || selector END AS key FROM rules),
+tags AS (SELECT page_id, {SITE_OF} AS site, pos, depth, 't:' || name AS key FROM deep WHERE kind = 'start' UNION ALL SELECT page_id, {SITE_OF}, pos, depth, 'c:ad' FROM deep WHERE kind = 'start' AND contains(tok, 'class="ad"')),
+hit AS (SELECT t.page_id, t.site, t.pos, any_value(t.depth) AS depth, min_by(r.selector, r.rank) AS rule FROM tags t JOIN keyed r ON r.key = t.key AND (r.site = t.site OR r.site IS NULL) GROUP BY ALL)"""
+RULED = f"""WITH {TOKENS}, {RULES_SQL},
+reg AS (SELECT h.page_id, h.pos, any_value(rule) AS rule, coalesce(min(d.pos), 9000000000) AS fin FROM hit h LEFT JOIN deep d
+ ON d.page_id = h.page_id AND d.pos > h.pos AND d.depth < h.depth GROUP BY h.page_id, h.pos),
+"""
+
+
+def site_rules(spark, sf) -> DataFrame:
+    sites = pages(spark, sf).groupBy(urls.authority(F.col("url")).alias("site")).agg(F.min("page_id").alias("k"))
+    rules = sites.select("site", "k", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("n")).select("site", F.col("n").alias("rank"), F.expr(RULE_N).alias("selector"))
+    return rules.union(spark.range(1).select(F.lit(None).cast("string"), F.lit(350), F.lit("ul")))
+
+
+def sited(spark, sf) -> DataFrame:
+    return pages(spark, sf).withColumn("site", urls.authority(F.col("url")))
+
+
+@query("ext6_rule_table", f"WITH {TOKENS}, {RULES_SQL} SELECT site, rule AS selector, count(*) AS hits FROM hit GROUP BY ALL")
+def _(spark, sf):
+    return regions.rule_hits(sited(spark, sf), site_rules(spark, sf))
+
+
+@query("ext7_rule_table", RULED + STRIPPED[STRIPPED.index("outer_reg AS"):] + """ SELECT p.page_id, coalesce(k.html, '') AS html, coalesce(n, 0) AS elements_removed, length(p.html) AS chars_before, coalesce(length(k.html), 0) AS chars_after
+ FROM pages p LEFT JOIN (SELECT page_id, string_agg(out, '' ORDER BY pos) AS html FROM kept GROUP BY page_id) k USING (page_id)
+ LEFT JOIN (SELECT page_id, count(*) AS n FROM outer_reg GROUP BY page_id) o USING (page_id)""")
+def _(spark, sf):
+    return regions.strip_by_rules(sited(spark, sf), site_rules(spark, sf))
+
+
+@query("ext5_target_table", f"""SELECT page_id, CASE WHEN k % 2 = 0 AND page_id % 2 = 0 THEN '<nav id="content">' || regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) || '</nav>'
+ ELSE '<div class="ad">' || {CANON_AD} || '</div>' END AS html, CASE WHEN k % 2 = 0 AND page_id % 2 = 0 THEN 'id=content' ELSE 'class=ad' END AS selector FROM (SELECT *, min(page_id) OVER (PARTITION BY {SITE_OF}) AS k FROM pages)""")
+def _(spark, sf):
+    """Sites with an even number look for an id before the class that all sites look for."""
+    targets = site_rules(spark, sf).where("site IS NOT NULL").select("site", "rank", F.lit("class").alias("how"), F.concat(F.lit("no-"), "rank").alias("value"))
+    sites = sited(spark, sf).groupBy("site").agg(F.min("page_id").alias("k")).where("k % 2 = 0")
+    targets = targets.union(sites.select("site", F.lit(401), F.lit("id"), F.lit("content"))).union(spark.range(1).select(F.lit(None).cast("string"), F.lit(500), F.lit("class"), F.lit("ad")))
+    return regions.sections_by_table(sited(spark, sf).withColumn("html", F.expr(NAV_ID)), targets).select("page_id", "html", "selector")
+
+
 DEFAULTS = ",".join(regions.NAV_SELECTORS + regions.TOC_SELECTORS)
 
 

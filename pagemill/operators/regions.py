@@ -7,12 +7,13 @@ self-join and without ever looking at two pages at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import strip
+from pagemill.functions.text import bind, strip
 from pagemill.operators import tokens as tk
 
 # Selectors for navigation and for in-page tables of contents.
@@ -97,9 +98,10 @@ def with_region_end(marked: DataFrame, key: str = "page_id") -> DataFrame:
 def strip_regions(toks: DataFrame, selectors: list[str] | None = None, rule: Column | None = None,
                   key: str = "page_id") -> DataFrame:
     """Mark what a stripping pass removes: ``removed`` tokens, and ``hit`` on the outermost matched start tags."""
-    if rule is None:
-        rule = first_rule(tag_columns(), selectors or [])
-    ended = with_region_end(with_rule(tk.with_depth(toks, key, tk.VOID_STRIP), rule), key)
+    deep = tk.with_depth(toks, key, tk.VOID_STRIP)
+    if "rule" not in toks.columns:
+        deep = with_rule(deep, rule if rule is not None else first_rule(tag_columns(), selectors or []))
+    ended = with_region_end(deep, key)
     before = tk.by_page(key).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("region_end").over(before), F.lit(-1))
     inside = reach >= F.col("pos")
@@ -122,14 +124,23 @@ def _by_route(route: str | None, options: dict, build) -> Column:
 
 
 def strip_elements(pages: DataFrame, selectors: list[str] | dict[str, list[str]], html: str = "html", key: str = "page_id",
-                   route: str | None = None, carry: list[str] | None = None, spread_first: bool = True) -> DataFrame:
+                   route: str | None = None, carry: list[str] | None = None, spread_first: bool = True, rules: DataFrame | None = None,
+                   site: str = "site") -> DataFrame:
     """``key, html, elements_removed, chars_before, chars_after`` for every page, plus the carried columns.
 
-    With a ``route`` column, ``selectors`` maps each route to its own list; all routes share one pass.
+    With a ``route`` column, ``selectors`` maps each route to its own list; all routes share one pass. Rules of a table (``site, rank,
+    selector``) go before the lists.
     """
     rule = _by_route(route, selectors, lambda s: first_rule(tag_columns(), s))
+    if rules is not None:
+        toks = tk.tokens(with_site_rules(pages, rules, site), html, key, keep=[route] if route else None, carry=carry,
+                         mark=lambda t: table_rule(t, [F.col("_own"), F.col("_all")])["selector"]).withColumnRenamed("rule", "_listed")
+        return _stripped(strip_regions(toks, rule=F.coalesce("_listed", rule), key=key), key, carry)
     toks = tk.tokens(pages, html, key, keep=[route] if route else None, carry=carry, spread_first=spread_first)
-    marked = strip_regions(toks, rule=rule, key=key)
+    return _stripped(strip_regions(toks, rule=rule, key=key), key, carry)
+
+
+def _stripped(marked: DataFrame, key: str, carry: list[str] | None) -> DataFrame:
     written = F.when(~F.col("removed"), tk.canonical(F.col("tok"), F.col("kind"), F.col("name")))
     joined = tk.join_tokens(
         marked.withColumn("_out", written), "_out", key,
@@ -139,6 +150,98 @@ def strip_elements(pages: DataFrame, selectors: list[str] | dict[str, list[str]]
     return done.select(*[c for c in done.columns if c != "carry"], "carry.*") if carry else done
 
 
+# --- rules as tables ------------------------------------------------------------------------------------------
+
+def read_selector(selector: Column) -> Column:
+    """STRUCT<key, name, op, wanted>: what a tag must have to be looked at (``t:`` name, ``c:`` class, ``i:`` id, ``a:`` attribute), and the test of
+    the attribute's value (``=``, ``*=`` or '')."""
+    def read(s: Column) -> Column:
+        inner = F.substring(s, F.lit(2), F.length(s) - 2)
+        op = F.when(F.contains(inner, F.lit("*=")), "*=").when(F.contains(inner, F.lit("=")), "=").otherwise("")
+        cut = lambda g: F.when(op == "*=", F.regexp_extract(inner, r"(?s)^(.*?)\*=(.*)$", g)).when(op == "=", F.regexp_extract(inner, r"(?s)^([^=]*)=(.*)$", g)).otherwise(inner)
+        name, after = F.lower(strip(cut(1))), strip(cut(2))
+        wanted = F.regexp_replace(after, r"""(?s)^(["'])(.*)\1\z""", "$2")
+        rest, none = F.substring(s, F.lit(2), F.length(s)), F.lit("")
+
+        def of(key: Column, *test: Column) -> Column:
+            return F.struct(key.alias("key"), *[t.alias(n) for t, n in zip(test or (none, none, none), ("name", "op", "wanted"))])
+        return (F.when(s.startswith("."), of(F.concat(F.lit("c:"), rest))).when(s.startswith("#"), of(F.concat(F.lit("i:"), rest)))
+                .when(s.startswith("[") & s.endswith("]"), of(F.concat(F.lit("a:"), name), name, op, F.when(op == "", "").otherwise(wanted)))
+                .otherwise(of(F.concat(F.lit("t:"), F.lower(s)))))
+    return bind(strip(selector), read)
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """``site, index``: the rules of a site by what a tag must have. ``rules``: ``site, rank, selector``; a null site stands for all sites.
+
+    An index is as large as the list of rules of one site, not of all.
+    """
+    parsed = rules.select("site", read_selector(F.col("selector")).alias("s"), "rank", "selector").where("selector IS NOT NULL")
+    entry = F.struct(F.col("rank").cast("bigint").alias("rank"), "selector", "s.name", "s.op", "s.wanted")
+    by_key = parsed.groupBy("site", F.col("s.key").alias("key")).agg(F.sort_array(F.collect_set(entry)).alias("entries"))
+    return by_key.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("key", "entries"))).alias("index"))
+
+
+def table_rule(tok: Column, indexes: list[Column]) -> Column:
+    """STRUCT<rank, selector> of the first rule by rank in any of the indexes that fits a token, NULL for none and for all but start tags."""
+    head = F.regexp_extract(tok, r"^(<[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>|<[^>]*>)", 1)
+    name = F.lower(F.regexp_extract(tok, r"^<([A-Za-z][^\s/>]*)", 1))
+
+    def at(index: Column) -> Callable[[Column], Column]:
+        return lambda k: F.try_element_at(index, k)
+
+    def found(attrs: Column) -> Column:
+        ids = F.when(tk.attr(attrs, "id").isNotNull(), F.array(F.concat(F.lit("i:"), strip(tk.attr(attrs, "id")))))
+        none = F.array().cast("array<string>")
+        filled = F.map_keys(F.map_filter(attrs, lambda k, v: v.isNotNull()))
+        keys = F.concat(F.array(F.concat(F.lit("t:"), name)), F.coalesce(F.transform(tk.classes(attrs), lambda c: F.concat(F.lit("c:"), c)), none),
+                        F.coalesce(ids, none), F.coalesce(F.transform(filled, lambda a: F.concat(F.lit("a:"), a)), none))
+        listed = [F.flatten(F.array_compact(F.transform(keys, at(index)))) for index in indexes]
+        all_ = F.concat(*[F.coalesce(x, F.array().cast("array<struct<rank:bigint,selector:string,name:string,op:string,wanted:string>>")) for x in listed])
+
+        def fits(r: Column) -> Column:
+            value = F.try_element_at(attrs, r["name"])
+            return F.when(r["op"] == "", True).when(r["op"] == "=", value == r["wanted"]).otherwise(F.contains(value, r["wanted"]))
+        return F.array_min(F.transform(F.filter(all_, lambda r: F.coalesce(fits(r), F.lit(False))), lambda r: F.struct(r["rank"].alias("rank"), r["selector"].alias("selector"))))
+    return F.when(name != "", bind(tk.attr_map(head), found))
+
+
+def with_site_rules(pages: DataFrame, rules: DataFrame, site: str = "site") -> DataFrame:
+    """Pages with ``_own`` and ``_all``, the indexes of their site's rules and of the rules for all sites.
+
+    One row of a site meets its pages; no rule is part of the plan, however many there are. A hot site's pages are split by the skew join.
+    """
+    index = rule_index(rules)
+    own = index.where("site IS NOT NULL").select(F.col("site").alias("_rule_site"), F.col("index").alias("_own"))
+    shared = index.where("site IS NULL").select("index").scalar()
+    return pages.join(own, F.col(site) == F.col("_rule_site"), "left").drop("_rule_site").withColumn("_all", shared)
+
+
+def strip_by_rules(pages: DataFrame, rules: DataFrame, html: str = "html", key: str = "page_id", site: str = "site") -> DataFrame:
+    """As :func:`strip_elements`, with rules from a table (``site, rank, selector``); of the rules that fit a tag the lowest rank counts."""
+    toks = tk.tokens(with_site_rules(pages, rules, site), html, key, mark=lambda t: table_rule(t, [F.col("_own"), F.col("_all")])["selector"])
+    return _stripped(strip_regions(toks, key=key), key, None)
+
+
+def rule_hits(pages: DataFrame, rules: DataFrame, html: str = "html", key: str = "page_id", site: str = "site") -> DataFrame:
+    """``site, selector, hits``: tags that each rule of a table is the first to fit."""
+    toks = tk.tokens(with_site_rules(pages, rules, site), html, key, keep=[site], mark=lambda t: table_rule(t, [F.col("_own"), F.col("_all")])["selector"])
+    return toks.where("rule IS NOT NULL").groupBy(site, F.col("rule").alias("selector")).agg(F.count("*").alias("hits"))
+
+
+def sections_by_table(pages: DataFrame, targets: DataFrame, html: str = "html", key: str = "page_id", site: str = "site") -> DataFrame:
+    """As :func:`target_sections`, with targets from a table ``site, rank, how, value`` (how: id or class)."""
+    rules = targets.where("how IN ('id', 'class')").select("site", "rank", F.concat(F.when(F.col("how") == "id", "#").otherwise("."), "value").alias("selector"))
+
+    def label(t: Column) -> Column:
+        def named(r: Column) -> Column:
+            how = F.when(r["selector"].startswith("#"), "id=").otherwise("class=")
+            return F.when(r.isNotNull(), F.struct(r["rank"].alias("rank"), F.concat(how, F.substring(r["selector"], F.lit(2), F.length(r["selector"]))).alias("label")))
+        return bind(table_rule(t, [F.col("_own"), F.col("_all")]), named)
+    toks = tk.tokens(with_site_rules(pages, rules, site), html, key, mark=label)
+    return _sections(tk.with_depth(toks, key, tk.VOID_TARGET), key, None)
+
+
 def rule_counts(pages: DataFrame, selectors: list[str], html: str = "html", key: str = "page_id") -> DataFrame:
     """Hits per rule over the corpus."""
     marked = strip_regions(tk.tokens(pages, html, key), selectors, key=key)
@@ -162,7 +265,12 @@ def target_sections(pages: DataFrame, targets: list[tuple[str, str]] | dict[str,
             F.lit(i).alias("rank"), F.lit(f"{how}={value}").alias("label"))) for i, (how, value) in enumerate(options)]
         return F.coalesce(*found) if found else F.lit(None).cast("struct<rank:int,label:string>")
 
-    ended = with_region_end(with_rule(toks, _by_route(route, targets, best_target)), key)
+    return _sections(with_rule(toks, _by_route(route, targets, best_target)), key, carry)
+
+
+def _sections(ruled: DataFrame, key: str, carry: list[str] | None) -> DataFrame:
+    """The first element with the lowest ``rule`` (rank, label) of each page."""
+    ended = with_region_end(ruled, key)
     whole = Window.partitionBy(key)
     best = F.min(F.when(F.col("rule").isNotNull(), F.struct("rule", "pos", "region_end"))).over(whole)
     inside = F.coalesce(F.col("pos").between(F.col("_best.pos"), F.col("_best.region_end")), F.lit(False))

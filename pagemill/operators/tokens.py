@@ -6,6 +6,8 @@ once and every later window or grouping on the key finds its rows in place: no t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +53,29 @@ def kind_of(tok: Column) -> Column:
 
 
 def tokens(pages: DataFrame, html: str = "html", key: str = "page_id", keep: list[str] | None = None,
-           spread_first: bool = True, carry: list[str] | None = None) -> DataFrame:
+           spread_first: bool = True, carry: list[str] | None = None, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """``key, *keep, pos, tok, kind, name``. The concatenated tokens of a page are the page.
 
     With ``carry``, page columns travel as one struct on an empty token put in front of each page, so that later steps
-    need no join to get them back; a page without HTML still has that token.
+    need no join to get them back; a page without HTML still has that token. ``mark`` adds a column ``rule`` that is made from
+    each token while the page's other columns are at hand, before the page is taken apart.
     """
     kept = keep or []
-    base = pages.select(key, *kept, F.col(html).alias("_html"), *([F.struct(*carry).alias("_carry")] if carry else []))
+    base = pages if mark else pages.select(key, *kept, F.col(html).alias("_html"), *([F.struct(*carry).alias("_carry")] if carry else []))
     if spread_first:
         base = spread(base, key)
-    pieces = F.regexp_extract_all(F.col("_html"), F.lit(TOKEN), F.lit(0))
+    pieces = F.regexp_extract_all(F.col(html if mark else "_html"), F.lit(TOKEN), F.lit(0))
     if carry:
         pieces = F.concat(F.array(F.lit("")), F.coalesce(pieces, F.array().cast("array<string>")))
-        cut = base.select(key, *kept, "_carry", F.posexplode(pieces).alias("pos", "tok")).withColumn(
-            "carry", F.when(F.col("pos") == 0, F.col("_carry"))).drop("_carry")
-    else:
-        cut = base.select(key, *kept, F.posexplode(pieces).alias("pos", "tok"))
+    if mark:
+        pieces = F.transform(pieces, lambda t: F.struct(t.alias("tok"), mark(t).alias("rule")))
+        base = base.select(key, *kept, pieces.alias("_pieces"), *([F.struct(*carry).alias("_carry")] if carry else []))
+        pieces = F.col("_pieces")
+    cut = base.select(key, *kept, *(["_carry"] if carry else []), F.posexplode(pieces).alias("pos", "tok"))
+    if mark:
+        cut = cut.withColumn("rule", F.col("tok.rule")).withColumn("tok", F.col("tok.tok"))
+    if carry:
+        cut = cut.withColumn("carry", F.when(F.col("pos") == 0, F.col("_carry"))).drop("_carry")
     name = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))
     return cut.withColumn("kind", kind_of(F.col("tok"))).withColumn(
         "name", F.when(F.col("kind").isin("start", "end", "selfclose", "raw"), name).otherwise(F.lit("")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import markdown_text as mt
+from pagemill.functions import markdown_text as mt, urls
 from pagemill.functions.text import bind, blank_to_null, is_filled
 from pagemill.operators import classify, embedded, links, markdown, regions, titles
 from pagemill.sources.pages import size_error
@@ -43,9 +43,11 @@ def _with_embedded(base: DataFrame, wanted: bool) -> DataFrame:
     return base.join(found, "page_id", "left")
 
 
-def page_results(pages: DataFrame, options: PageOptions = PageOptions()) -> DataFrame:
+def page_results(pages: DataFrame, options: PageOptions = PageOptions(), rules: DataFrame | None = None) -> DataFrame:
     """``page_id, url, title, md, success, error, image_urls``. ``pages``: ``page_id, url, html`` and optionally ``title``.
 
+    ``rules`` (``site, rank, selector``) name elements to strip by site, the host with its port; those with a null site hold for all.
+
     Every page gives a row: one without HTML, or with more than ``max_html_bytes`` of it, fails with an error. Pages that need
     no conversion (failed, or with a ready article) go through with no HTML; what is known about a page travels along with it.
     """
@@ -90,10 +92,11 @@ def page_results(pages: DataFrame, options: PageOptions = PageOptions()) -> Data
         needs = rows.withColumn("_aimed", F.when(F.col("route").isin(*aimed), F.col("html"))).withColumn("_way", F.col("route"))
         cut = regions.target_sections(needs, targets, "_aimed", route="_way", carry=fields, spread_first=fresh)
         rows, fresh = cut.withColumn("article", F.coalesce("html", "article")).drop("html", "selector"), False
-    pruned = [r for r, s in selectors.items() if s]
+    pruned = [r for r, s in selectors.items() if s or rules is not None]
     if pruned:
         needs = rows.withColumn("_pruned", F.when(F.col("route").isin(*pruned), F.col("article"))).withColumn("_way", F.col("route"))
-        kept = regions.strip_elements(needs, selectors, "_pruned", route="_way", carry=fields, spread_first=fresh)
+        needs = needs.withColumn("_site", urls.authority(F.col("url"))) if rules is not None else needs
+        kept = regions.strip_elements(needs, selectors, "_pruned", route="_way", carry=fields, spread_first=fresh, rules=rules, site="_site")
         rows, fresh = kept.withColumn("article", F.when(F.col("route").isin(*pruned), F.col("html")).otherwise(F.col("article"))).select("page_id", *fields), False
 
     titled = rows.withColumn("title", F.when(F.col("error").isNotNull(), F.coalesce("custom", "url")).otherwise(F.coalesce(

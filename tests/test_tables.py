@@ -199,3 +199,28 @@ def test_asset_names_with_other_characters(rows):
     files = rows("file_name string", ("a b.png",), ("plain.png",), ("x(1).png",), ("gone one.png",), ("é.png",), ("gone.png",))
     docs = rows("md string", ("![](img/a%20b.png) and ![t](<img/x(1).png>)",), ("see theplain.png. é.png",))
     assert sorted(r.file_name for r in site.unused_assets(files, docs).collect()) == ["gone one.png", "gone.png"]
+
+
+def test_rules_from_a_table(spark, rows):
+    """Against the same selectors given as a list, page by page."""
+    from pagemill.operators import regions
+    htmls = ['<nav a="1">x<b>y</b></nav><p class="q r" ID=" i ">t</p><IMG data-z>', '<p data-a=\'x"y\' lang=en>a</p><script class="q">1<2</script><p>b</p>', "", "<p>none", '<div><p class=r>a</div>tail']
+    own = {"a": ["[data-a*=\"x\"]", ".q", "P"], "b": [" #i ", "[lang = 'en']", "nav"], "c": []}
+    sites = ["a", "b", "c"]
+    pages = rows("page_id long, site string, html string", *[(k * 10 + n, s, h) for n, s in enumerate(sites) for k, h in enumerate(htmls)], (99, None, htmls[0]), (98, "a", None))
+    table = rows("site string, rank int, selector string", *[(s, 10 * k, r) for s, rs in own.items() for k, r in enumerate(rs)], ("a", 10, ".q"), (None, 15, ".r"), (None, 1, "[no]"), ("b", 3, None), ("z", 1, "p"))
+    got = {r.page_id: (r.html, r.elements_removed) for r in regions.strip_by_rules(pages, table).collect()}
+    for site in [*sites, None]:
+        listed = sorted([(10 * k, r) for k, r in enumerate(own.get(site, []))] + [(15, ".r"), (1, "[no]")])
+        want = regions.strip_elements(pages.where(F.col("site").eqNullSafe(site)), [r for _, r in listed]).collect()
+        assert {r.page_id: got[r.page_id] for r in want} == {r.page_id: (r.html, r.elements_removed) for r in want} and want
+    large = spark.range(20_000).selectExpr("concat('s', id % 100) AS site", "id AS rank", "concat('.c', id) AS selector")
+    size = lambda t: len(regions.strip_by_rules(pages, t)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(large) < 1.1 * size(spark.range(1).selectExpr("'s' AS site", "id AS rank", "'p' AS selector"))  # rules are not part of the plan
+
+
+def test_page_job_with_rules_of_sites(rows):
+    html = "<html><head><title>T</title></head><body><article><h1>T</h1><div class='promo'>Buy</div><p>Long enough body of text for the page, with words.</p></article></body></html>"
+    pages = rows("page_id long, url string, html string", (1, "http://a.org/1", html), (2, "http://b.org:80/2", html))
+    got = {r.page_id: r.md for r in page_results(pages, PageOptions(), rows("site string, rank int, selector string", ("b.org:80", 1, ".promo"))).collect()}
+    assert "Buy" in got[1] and "Buy" not in got[2] and "Long enough" in got[2]
