@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +58,27 @@ def tree(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """Walk from the root blocks to all blocks below: ``page_id, block_id, path, parent``.
 
     ``roots``: ``page_id, block_id``. ``path`` is the list of child positions, so it sorts in reading order. A block belongs to a page
-    once, at the shortest and then first of its paths: blocks already visited are taken off each level, so shared blocks are
-    not multiplied and circles end. One join per level until a level is empty; the levels are checkpointed on shared storage.
+    once, at the shortest and then first of its paths, so shared blocks are not multiplied and circles end.
+
+    Distances double: after ``k`` rounds all blocks nearer than ``2 ** k`` are known, and ``steps`` holds the first walk of just ``2 ** k``
+    steps from each block to each other. A shortest walk of up to twice that length is one to a known block and one such walk, so
+    a chain of 10,000 blocks takes 15 rounds. The records are read once, for the single steps.
     """
-    edges = by_id(blocks).select(F.col("block_id").alias("parent"), F.posexplode("content").alias("ord", "block_id"))
+    single = by_id(blocks).select(F.col("block_id").alias("top"), F.posexplode("content").alias("ord", "block_id"))
+    steps = durable(single.groupBy("top", "block_id").agg(F.array(F.min("ord")).alias("part")).withColumn("parent", F.col("top")))
     seen = durable(roots.select("page_id", "block_id", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("parent")).distinct())
-    frontier, levels = seen, [seen]
+    known = seen.count()
     while True:
-        step = frontier.select("page_id", F.col("block_id").alias("parent"), F.col("path").alias("_p")).join(edges, "parent").select(
-            "page_id", "block_id", F.concat("_p", F.array("ord")).alias("path"), "parent")
-        first = step.groupBy("page_id", "block_id").agg(F.min(F.struct("path", "parent")).alias("_s")).select("page_id", "block_id", "_s.*")
-        frontier = durable(first.join(seen.select("page_id", "block_id"), ["page_id", "block_id"], "left_anti"))
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(frontier)
-        seen = reduce(DataFrame.unionByName, levels)
+        further = seen.select("page_id", F.col("block_id").alias("top"), "path").join(steps, "top").select(
+            "page_id", "block_id", F.concat("path", "part").alias("path"), "parent")
+        best = seen.union(further).groupBy("page_id", "block_id").agg(F.min(F.struct(F.size("path").alias("n"), "path", "parent")).alias("_s"))
+        seen = durable(best.select("page_id", "block_id", "_s.path", "_s.parent"))
+        before, known = known, seen.count()
+        if known == before:
+            return seen
+        after = steps.select(F.col("top").alias("block_id"), F.col("block_id").alias("_to"), F.col("part").alias("_part"), F.col("parent").alias("_parent"))
+        twice = steps.drop("parent").join(after, "block_id").groupBy("top", "_to").agg(F.min(F.struct(F.concat("part", "_part").alias("part"), F.col("_parent").alias("parent"))).alias("_s"))
+        steps = durable(twice.select("top", F.col("_to").alias("block_id"), "_s.part", "_s.parent"))
 
 
 def missing(walked: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -168,7 +172,7 @@ def fragments(walked: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def to_html(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """``page_id, html``: the body of each page."""
-    blocks = by_id(blocks)
+    blocks = durable(by_id(blocks))
     walked = tree(blocks, roots)
     return fragments(walked, blocks).groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "part"))), lambda e: e["part"]), "").alias("html"))

@@ -224,3 +224,32 @@ def test_page_job_with_rules_of_sites(rows):
     pages = rows("page_id long, url string, html string", (1, "http://a.org/1", html), (2, "http://b.org:80/2", html))
     got = {r.page_id: r.md for r in page_results(pages, PageOptions(), rows("site string, rank int, selector string", ("b.org:80", 1, ".promo"))).collect()}
     assert "Buy" in got[1] and "Buy" not in got[2] and "Long enough" in got[2]
+
+
+def test_block_trees_in_doubling_rounds(spark, monkeypatch):
+    """Random graphs with shared blocks, circles and repeated children against a breadth-first walk; a long chain in few rounds."""
+    import random
+    rng = random.Random(8)
+    children = {f"b{k}": [f"b{rng.randrange(140)}" for _ in range(rng.randrange(1, 4))] for k in range(120)}
+    roots = [("p1", "b0"), ("p1", "b7"), ("p2", "b3"), ("p3", "gone"), ("p3", "b3"), ("p1", "b0")]
+    df = spark.createDataFrame([(k, "text", None, None, v) for k, v in children.items()], "block_id string, type string, properties string, format string, content array<string>")
+    want = {}
+    for page in {p for p, _ in roots}:
+        level = {b: ([], None) for p, b in roots if p == page}
+        found = dict(level)
+        while level:
+            step = {}
+            for parent, (path, _) in level.items():
+                for k, child in enumerate(children.get(parent, [])):
+                    if child not in found:
+                        step[child] = min(step.get(child, ([1 << 30], "")), (path + [k], parent))
+            found.update(step)
+            level = step
+        want |= {(page, b): v for b, v in found.items()}
+    got = blocks.tree(df, spark.createDataFrame(roots, "page_id string, block_id string"))
+    assert {(r.page_id, r.block_id): (r.path, r.parent) for r in got.collect()} == want and got.count() == len(want) > 100
+    stored = []
+    monkeypatch.setattr(blocks, "durable", lambda d, f=blocks.durable: stored.append(1) or f(d))
+    chain = spark.range(3000).selectExpr("concat('c', id) AS block_id", "'text' AS type", "CAST(NULL AS string) AS properties", "CAST(NULL AS string) AS format", "array(concat('c', id + 1)) AS content")
+    long = blocks.tree(chain, spark.createDataFrame([("p", "c0")], "page_id string, block_id string"))
+    assert long.count() == 3001 and long.where("size(path) <> CAST(substr(block_id, 2) AS int)").isEmpty() and len(stored) <= 2 * 14
