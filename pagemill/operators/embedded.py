@@ -12,8 +12,6 @@ from pagemill.functions.text import bind, blank_to_null, html_escape, is_filled,
 from pagemill.operators import richtext, tokens as tk
 from pagemill.session import durable
 
-#: Strings shorter than this are not looked into for JSON of their own.
-MIN_NESTED = 200
 #: What a script must hold to be worth cutting.
 _MARKERS = r'''"(?:type|blocks|children|ops|insert)\\*"\s*:'''
 
@@ -113,20 +111,60 @@ def delta_sections(docs: DataFrame, content: str = "content", key: str = "doc_id
 
 # --- any rich text in any script ------------------------------------------------------------------------------
 
+_ASSIGNED = r"=\s*\{"
+
+
+def _assigned_json(texts: DataFrame, key: str) -> DataFrame:
+    """``key, json``: the first object assigned in a text (``key, text``) that is JSON.
+
+    All braces of a text are paired at once by their level. The outermost assigned objects are tested; only those that are no JSON are
+    looked into for further ones, so every round reads what the one before has refused, and nothing is copied for each start.
+    """
+    layer = texts.select(key, F.array().cast("array<int>").alias("path"), F.col("text"))
+    best: DataFrame | None = None
+    while True:
+        named = tk.spread(layer.select(F.struct(key, "path").alias("_id"), "text"), "_id")
+        pieces = F.regexp_extract_all("text", F.lit(r"""(?s)"(?:[^"\\\n]++|\\.)*+"|[{}]|[^"{}]++|\""""), F.lit(0))
+        cut = named.select("_id", F.posexplode(pieces).alias("pos", "tok"))
+        w, tok = tk.by_page("_id"), F.col("tok")
+        deep = cut.withColumns({"_depth": F.sum(F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)).over(tk.running(w)), "_before": F.lag("tok", 1).over(w)})
+        level = F.when(tok == "{", F.col("_depth")).when(tok == "}", F.col("_depth") + 1)
+        paired = deep.withColumn("_level", level).withColumn("_end", F.lead("pos", 1).over(Window.partitionBy("_id", "_level").orderBy("pos")))
+        start = (tok == "{") & F.col("_before").rlike(r"=\s*\z") & F.col("_end").isNotNull()
+        begun = paired.withColumn("_end", F.when(start, F.col("_end")))
+        reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        outer = F.when(F.col("_end").isNotNull() & (F.coalesce(reach, F.lit(-1)) < F.col("pos")), F.struct("pos", "_end"))
+        owned = begun.withColumn("_outer", outer).withColumn("_own", F.last("_outer", ignorenulls=True).over(tk.running(w))).where("pos <= _own._end")
+        slices = owned.groupBy("_id", F.col("_own.pos").alias("at")).agg(F.expr("listagg(tok, '') WITHIN GROUP (ORDER BY pos)").alias("text"))
+        slices = durable(slices.select(f"_id.{key}", F.concat("_id.path", F.array("at")).alias("path"), "text", F.try_parse_json("text").isNotNull().alias("good")))
+        hits = slices.where("good").groupBy(key).agg(F.min(F.struct("path", F.col("text").alias("json"))).alias("_hit"))
+        if best is not None:
+            hits = best.union(hits).groupBy(key).agg(F.min("_hit").alias("_hit"))
+        best = durable(hits)
+        refused = slices.where(~F.col("good") & F.substring("text", F.lit(2), F.length("text")).rlike(_ASSIGNED)).drop("good")
+        open_ = refused.join(best, key, "left").where(F.col("_hit").isNull() | (F.col("path") < F.col("_hit.path")))
+        layer = durable(open_.select(key, "path", F.substring("text", F.lit(2), F.length("text")).alias("text")))
+        if layer.isEmpty():
+            return best.select(key, "_hit.json")
+
+
 def json_texts(scripts: DataFrame, text: str = "script", key: str = "sid") -> DataFrame:
-    """``key, json``: a script that is JSON as a whole, else the first object assigned in it that is JSON."""
-    pieces = F.split(F.col(text), r"=\s*(?=\{)")
-    starts = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 1), lambda i: F.array_join(F.slice("_pieces", i + 1, F.size("_pieces")), "="))
-    cut = scripts.select(key, F.col(text).alias("_text"), F.try_parse_json(F.col(text)).isNotNull().alias("_whole"), pieces.alias("_pieces"))
-    whole = cut.where("_whole").select(key, F.col("_text").alias("json"))
-    assigned = cut.where("NOT _whole AND size(_pieces) > 1").select(key, F.posexplode(starts).alias("n", "_text"))
-    named = assigned.select(F.struct(key, "n").alias("_id"), "_text")
-    sliced = json_slices(named, "_text", "_id").where(F.try_parse_json("slice").isNotNull())
-    first = sliced.groupBy(F.col(f"_id.{key}").alias(key)).agg(F.min_by("slice", "_id.n").alias("json"))
-    return whole.unionByName(first)
-
-
-def _roots_of_layer(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``key, json``: a script that is JSON as a whole, else the first object assigned in it that is JSON.
+
+    Strings in double quotes end on their line. Where a single quotation mark (in a pattern or a comment) has turned strings inside out and
+    nothing was found, the script is read once more the other way round.
+    """
+    # The parser passes over what follows a first value ("use strict"; ...), so the text is parsed as the value of a field.
+    framed = F.try_parse_json(F.concat(F.lit('{"v":'), F.col(text), F.lit("}")))
+    cut = scripts.select(key, F.col(text).alias("text"), framed.isNotNull().alias("_whole"))
+    whole = cut.where("_whole").select(key, F.col("text").alias("json"))
+    rest = cut.where(~F.col("_whole") & F.col("text").rlike(_ASSIGNED)).select(key, "text")
+    first = durable(_assigned_json(rest, key))
+    turned = rest.join(first, key, "left_anti").where(F.col("text").rlike(r'"[^"\n]*=\s*\{')).withColumn("text", F.concat(F.lit('"'), "text"))
+    return whole.unionByName(first).unionByName(_assigned_json(turned, key))
+
+
+def _roots_of_layer(docs: DataFrame, key: str, min_nested: int) -> tuple[DataFrame, DataFrame]:
     """The first rich-text root of each text (``key, path, kind, json``), and the strings in it that hold JSON (``key, path, json``)."""
     cut = docs.select("_doc", F.posexplode(F.regexp_extract_all("json", F.lit(richtext.JSON_TOKEN), F.lit(0))).alias("pos", "tok"))
     cut = cut.where(~F.col("tok").rlike(r"^\s"))
@@ -157,22 +195,23 @@ def _roots_of_layer(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     inside = cut.join(hits, "_doc").where((F.col("pos") >= F.col("_hit.owner")) & (F.col("pos") <= F.col("_hit.end")))
     found = inside.groupBy("_doc").agg(F.expr("listagg(tok, '') WITHIN GROUP (ORDER BY pos)").alias("json"), F.first("_hit").alias("_hit"))
     found = found.select(f"_doc.{key}", F.concat("_doc.path", F.array("_hit.owner")).alias("path"), F.col("_hit.kind").alias("kind"), "json")
-    strings = cut.where((F.length("tok") > MIN_NESTED) & tok.rlike(r'^"\s*[\{\[]'))
+    strings = cut.where((F.length("tok") >= min_nested) & tok.rlike(r'^"\s*[\{\[]'))
     opened = F.get_json_object(F.concat(F.lit('{"s":'), "tok", F.lit("}")), "$.s")
     inner = strings.select(f"_doc.{key}", F.concat("_doc.path", F.array("pos")).alias("path"), opened.alias("json")).where(F.try_parse_json("json").isNotNull())
     return found, inner
 
 
-def richtext_roots(docs: DataFrame, json: str = "json", key: str = "doc_id") -> DataFrame:
+def richtext_roots(docs: DataFrame, json: str = "json", key: str = "doc_id", min_nested: int = 0) -> DataFrame:
     """``key, path, kind, json``: the first rich text inside larger JSON, in reading order.
 
     Roots are a document node, a ``root`` node, a list of blocks, a list of nodes and a list of insertions, under any name and at the
-    top; strings that hold JSON are looked into, as often as they are nested. ``json`` is the root alone.
+    top; strings that hold JSON are looked into, as often as they are nested (those of ``min_nested`` characters or more). ``json`` is the
+    root alone.
     """
     layer = docs.select(key, F.array().cast("array<int>").alias("path"), F.col(json).alias("json"))
     hits: list[DataFrame] = []
     while True:
-        found, inner = _roots_of_layer(layer.select(F.struct(key, "path").alias("_doc"), "json"), key)
+        found, inner = _roots_of_layer(layer.select(F.struct(key, "path").alias("_doc"), "json"), key, min_nested)
         hits.append(found)
         layer = durable(inner)
         if layer.isEmpty():

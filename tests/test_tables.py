@@ -247,9 +247,30 @@ def test_block_trees_in_doubling_rounds(spark, monkeypatch):
             level = step
         want |= {(page, b): v for b, v in found.items()}
     got = blocks.tree(df, spark.createDataFrame(roots, "page_id string, block_id string"))
-    assert {(r.page_id, r.block_id): (r.path, r.parent) for r in got.collect()} == want and got.count() == len(want) > 100
+    assert {(r.page_id, r.block_id): (r.path, r.parent) for r in got.collect()} == want and got.count() == len(want) > 60
     stored = []
     monkeypatch.setattr(blocks, "durable", lambda d, f=blocks.durable: stored.append(1) or f(d))
     chain = spark.range(3000).selectExpr("concat('c', id) AS block_id", "'text' AS type", "CAST(NULL AS string) AS properties", "CAST(NULL AS string) AS format", "array(concat('c', id + 1)) AS content")
     long = blocks.tree(chain, spark.createDataFrame([("p", "c0")], "page_id string, block_id string"))
     assert long.count() == 3001 and long.where("size(path) <> CAST(substr(block_id, 2) AS int)").isEmpty() and len(stored) <= 2 * 14
+
+
+def test_first_assigned_json_of_a_script(rows):
+    cases = ['{"a": 1}', 'x = 1; y = {"b": "= {"}; z = {"c": 2}', 'f = {g: function() { h = {"d": {"e": "}"}}; }}; i = {"late": 1}', 'a = {b: 1}; c = {d', 'if (s = /"/) { t = {"u": "v w"} }',
+             'a = { b = {"in": [1, {"x": 2}]}', "// don't = {\nq =\n {\"r\": \"it's\"}", "var a = 1;", "", 'm = {}', '"x = {1}"; n = {"o": "a\\"}"}']
+    want = {0: cases[0], 1: '{"b": "= {"}', 2: '{"d": {"e": "}"}}', 4: '{"u": "v w"}', 5: '{"in": [1, {"x": 2}]}', 6: '{"r": "it\'s"}', 9: "{}", 10: '{"o": "a\\"}"}'}
+    got = embedded.json_texts(rows("sid long, script string", *enumerate(cases)))
+    assert {r.sid: r.json for r in got.collect()} == want
+
+
+def test_many_assignments_in_one_script(rows):
+    many = "".join(f"v{k} = {{f{k}: [{k}], 'g': 'x'}};" for k in range(50_000)) + 'last = {"found": true}'
+    got = embedded.json_texts(rows("sid long, script string", (1, many))).collect()
+    assert [r.json for r in got] == ['{"found": true}']
+
+
+def test_short_strings_are_looked_into(rows):
+    inner = '{\\"type\\":\\"doc\\",\\"content\\":[{\\"type\\":\\"paragraph\\",\\"content\\":[{\\"type\\":\\"text\\",\\"text\\":\\"hi\\"}]}]}'
+    docs = rows("doc_id long, json string", (1, '{"s":"' + inner + '"}'))
+    assert [r.html.strip() for r in embedded.roots_to_html(embedded.richtext_roots(docs)).collect()] == ["<p>hi</p>"]
+    assert embedded.richtext_roots(docs, min_nested=200).count() == 0
