@@ -16,6 +16,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,16 +90,42 @@ def ids_digest(ids: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(row.astype("<u4").tobytes()).hexdigest() for row in _ids_of(ids)], pa.string())
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded`` of every document: its token ids and the text read back from them."""
-    bpe = Bpe(docs.sparkSession, path)
-    shared = bpe.shared
+class Decoder:
+    """Texts of many rows of ids at once: each id is an element of one array of token bytes, and a row's elements are joined."""
+
+    def __init__(self, table: MergeTable):
+        self.tokens = pa.array([table.token_bytes.get(i, b"") for i in range(max(table.token_bytes) + 1)], pa.large_binary())
+
+    def __call__(self, rows: list[bytes]) -> pa.Array:
+        offsets = np.fromiter(itertools.accumulate((len(r) // 4 for r in rows), initial=0), np.int64, len(rows) + 1)
+        taken = self.tokens.take(pa.array(np.frombuffer(b"".join(rows), "<u4")))
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), taken), pa.scalar(b"", pa.large_binary()))
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def _coded(docs: DataFrame, path: str, doc_id: str, text: str, packed: bool) -> DataFrame:
+    """Ids and decoded text in one step: chained column functions would encode a text once for each use of its ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(MergeTable(path))
 
     def run(batches):
-        encoder = per_worker(("encoder", path), lambda: Encoder(shared.value))
+        encoder, decoder = per_worker(("coder", path), lambda: (Encoder(shared.value), Decoder(shared.value)))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(encoder([t or "" for t in batch.column(1).to_pylist()]))], ["doc_id", "ids"])
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                rows = encoder([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary()) if packed else _lists(rows), decoder(rows)], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, f"doc_id long, ids {'binary' if packed else 'array<int>'}, decoded string")
+
+
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded`` of every document: its token ids and the text read back from them."""
+    return _coded(docs, path, doc_id, text, False)
+
 
-    # A step of its own: chained column functions would encode a text once for each use of its ids.
-    ids = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, ids array<int>")
-    return ids.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+def encode_packed(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`encode_documents`, with the ids as little-endian unsigned 32-bit integers end to end."""
+    return _coded(docs, path, doc_id, text, True)

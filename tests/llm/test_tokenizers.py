@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagemill.llm.bpe import encode_documents, ids_digest
+from pagemill.llm.bpe import Decoder, encode_documents, encode_packed, ids_digest
 from pagemill.llm.merges import MergeTable, merge, merge_long
 from pagemill.llm.token_counts import count_tokens
 from tests.conftest import SF_DIR
@@ -37,6 +37,31 @@ def test_ids_and_text_as_the_library(texts):
     assert sorted([tuple(r) for r in coded], key=key) == sorted(want, key=key)
 
 
+def test_packed_ids(texts):
+    df, own = texts
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lists = sorted((str(r.doc_id), r.decoded, list(r.ids)) for r in encode_documents(df, path).collect())
+    assert sorted((str(r.doc_id), r.decoded, np.frombuffer(r.ids, "<u4").tolist()) for r in encode_packed(df, path).collect()) == lists
+
+
+def test_bytes_that_are_no_text():
+    table = MergeTable(public_tokenizers.path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [[], [table.first[0xC3]], [table.first[0xC3], table.first[0xA9], 50256], [table.first[0xFF], table.first[0x41], table.first[0xE6]]]
+    got = Decoder(table)([np.array(r, "<u4").tobytes() for r in rows]).to_pylist()
+    assert got == [lib.decode(r, skip_special_tokens=False) for r in rows]
+
+
+def test_long_words_by_scan_and_heap_and_library():
+    table = MergeTable(public_tokenizers.path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(9)
+    for n in rng.integers(257, 1500, 25).tolist():
+        word = bytes(rng.choice(list(b"theandingo"), n).tolist())
+        ids = [table.first[b] for b in word]
+        assert merge(list(ids), table.pairs) == merge_long(list(ids), table.pairs) == lib.encode(word.decode(), add_special_tokens=False).ids
+
+
 def test_counts_as_the_library(texts):
     df, own = texts
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
