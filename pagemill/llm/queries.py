@@ -32,13 +32,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair of equal tokens, counted along diagonals; no seeds.
 ORACLES["op1_decontamination"] = r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
-dt AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS p FROM d),
-bt AS (SELECT item_id, len(t) AS n, least(len(t), 12) AS w, unnest(t) AS tok, generate_subscripts(t, 1) AS p FROM b WHERE len(t) >= 6),
-m AS (SELECT doc_id, item_id, w, n, dt.p - bt.p AS diag, bt.p AS p FROM dt JOIN bt USING (tok)),
-busy AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diag) * 100 >= 80 * w),
-s AS (SELECT doc_id, item_id, w, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS k FROM busy)
-SELECT doc_id, item_id, max(k) AS n_agree, any_value(w) AS n_window FROM s WHERE k * 100 >= 80 * w GROUP BY doc_id, item_id
+ids AS (SELECT DISTINCT item_id, text FROM benchmark), b AS (SELECT DISTINCT text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
+dt AS (SELECT doc_id, t AS doc, unnest(t) AS tok, generate_subscripts(t, 1) AS p FROM d),
+bt AS (SELECT text, len(t) AS n, least(len(t), 12) AS w, CASE WHEN len(t) < 6 THEN 100 ELSE 80 END AS pct, unnest(t) AS tok, generate_subscripts(t, 1) AS p FROM b WHERE len(t) >= 1),
+m AS (SELECT doc_id, doc, text, w, n, pct, dt.p - bt.p AS diag, bt.p AS p FROM dt JOIN bt USING (tok)),
+busy AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, doc, text, diag) * 100 >= pct * w),
+s AS (SELECT doc_id, text, w, pct, count(*) OVER (PARTITION BY doc_id, doc, text, diag ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS k FROM busy),
+best AS (SELECT doc_id, text, k, w FROM s WHERE k * 100 >= pct * w)
+SELECT doc_id, item_id, max({'k': k, 'w': w}).k AS n_agree, max({'k': k, 'w': w}).w AS n_window FROM best JOIN ids USING (text) GROUP BY doc_id, item_id
 """
 
 
