@@ -180,14 +180,17 @@ def _utf16(latin: Column, big: bool) -> Column:
     return F.decode(F.encode(fixed, "ISO-8859-1"), "UTF-16BE" if big else "UTF-16LE")
 
 
-def decode(content: Column, codec: Column) -> Column:
-    """Text of ``content`` by the Python codec that ``codec`` names, UTF-8 for NULL and names that :func:`codec_names` does not have."""
+def decode(content: Column, codec: Column, only: list[str] | None = None) -> Column:
+    """Text of ``content`` by the Python codec that ``codec`` names, UTF-8 for NULL and names that :func:`codec_names` does not have.
+
+    ``only``: the codecs that can occur, so that tables of others are left out of the plan.
+    """
     table = F.str_to_map(F.lit("\x00".join(f"{name}={chars}" for name, chars in _safe_tables().items())), F.lit("\x00"), F.lit("="))
 
     def of(latin: Column) -> Column:
         every = F.lit("".join(map(chr, range(1, 256))))
         text = F.when(codec.isin(*_safe_tables()), F.call_function("translate", latin, every, F.translate(F.try_element_at(table, codec), _HELD, "\x00=")))
-        for name in WIDE:
+        for name in WIDE if only is None else [w for w in WIDE if w in only]:
             text = text.when(codec == name, _wide(latin, name))
         marked = F.substring(latin, 1, 2)
         text = text.when((codec == "utf-16-be") | ((codec == "utf-16") & (marked == "\xfe\xff")), _utf16(F.when(codec == "utf-16", F.substring(latin, F.lit(3), F.length(latin))).otherwise(latin), True))

@@ -62,15 +62,15 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
-def read_saved_html(spark: SparkSession, path: str, max_bytes: int = 0) -> DataFrame:
+def read_saved_html(spark: SparkSession, path: str, max_bytes: int = 0, charsets: list[str] | None = None) -> DataFrame:
     """``path, html, error`` of saved pages, decoded by their declared character set.
 
-    With ``max_bytes`` a larger file is not read and gives a row with an error instead. Spark skips files without any bytes.
+    ``charsets``: the declared sets that count, all by default. With ``max_bytes`` a larger file is not read and gives a row with an error instead. Spark skips files without any bytes.
     """
     files = spark.read.format("binaryFile").load(path)
     if max_bytes <= 0:
-        return files.select("path", binary.decode_page(F.col("content")).alias("html"), F.lit(None).cast("string").alias("error"))
-    small = files.where(F.col("length") <= max_bytes).select("path", binary.decode_page(F.col("content")).alias("html"), F.lit(None).cast("string").alias("error"))
+        return files.select("path", binary.decode_page(F.col("content"), charsets).alias("html"), F.lit(None).cast("string").alias("error"))
+    small = files.where(F.col("length") <= max_bytes).select("path", binary.decode_page(F.col("content"), charsets).alias("html"), F.lit(None).cast("string").alias("error"))
     large = files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("string").alias("html"), F.lit("html too large").alias("error"))
     return small.unionByName(large)
 
