@@ -151,13 +151,6 @@ def _(spark, sf):
     return blocks.missing(blocks.tree(partial, roots), partial)
 
 
-@query("j8_positional_files", f"WITH {ANCHORED} SELECT site, n, file_name FROM (SELECT site, ord, row_number() OVER (PARTITION BY site ORDER BY ord) AS n FROM anch) JOIN (SELECT site, ord FROM anch WHERE success) USING (site, ord) JOIN (SELECT page_id AS ord, 'x' AS file_name FROM pages) USING (ord)")
-def _(spark, sf):
-    r = results(spark, sf)
-    names = site.file_names(r).select("site", "ord", F.lit("x").alias("file_name"))
-    return sequence.row_numbers(r, ["site"], ["ord"], "n").join(names, ["site", "ord"]).select("site", "n", "file_name")
-
-
 IMAGES_SQL = f"""img AS (SELECT page_id, unnest([0, 1, 2, 3]) AS ord, unnest([o || '/p/' || page_id || '.webp', o || '/lazy.jpg', o || '/s1.png', regexp_extract(o, '^(https?:)', 1) || '//cdn.example.org/a&b.png']) AS image_url
  FROM (SELECT page_id, {ORIGIN} AS o FROM pages))"""
 
@@ -229,6 +222,13 @@ FILE_SQL = f"""WITH base AS ({BASE_SQL}), f AS (SELECT *, substring(CASE WHEN re
  n AS (SELECT *, row_number() OVER (PARTITION BY site, stem ORDER BY ord) - 1 AS k FROM f), names AS (SELECT *, stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.md' AS file_name FROM n)"""
 
 
+@query("j8_positional_files", f"{FILE_SQL}, placed AS (SELECT site, ord, row_number() OVER (PARTITION BY site ORDER BY ord) AS n FROM base) SELECT site, n, file_name FROM placed JOIN names USING (site, ord)")
+def _(spark, sf):
+    r = results(spark, sf).drop("md")
+    names = site.file_names(r).select("site", "ord", "file_name")
+    return sequence.row_numbers(r, ["site"], ["ord"], "n").join(names, ["site", "ord"]).select("site", "n", "file_name")
+
+
 CHAINED = {"Zz": "Zz.md", "ZZ ": "ZZ.md", "Zz ": "Zz_1.md", "Zz_1": "Zz_1_1.md", "Zz_1_1": "Zz_1_1_1.md", " Zz": "Zz_2.md"}
 
 
