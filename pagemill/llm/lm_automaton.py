@@ -1,42 +1,57 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counts cover all training documents and every word, pair and triple, however rare; they stay in tables that grow with the corpus.
-A word whose count exceeds 1 in ``WORD_SHARE`` of all tokens is common (there can be no more than ``WORD_SHARE`` of those,
-whatever the data): it has a number that every executor knows, other words go by a 63-bit hash.
+Counts cover all training documents and every word, pair and triple, however rare. A word whose count exceeds 1 in ``WORD_SHARE``
+of all tokens is common (there can be no more than ``WORD_SHARE`` of those, whatever the data): it has a number that every
+executor knows, other words go by a 63-bit hash.
 
 A state is a context of up to two words. An arc carries the interpolated log-probability of its word; what the discounts of a state
 leave over is the weight of its failure arc, which leads to the shorter context. With absolute discounts the probabilities of
-all words, one place for unknown words included, sum to one at every state. The places of a text reach their arcs by a partitioned
-join, where each arc has already followed its failure arcs.
+all words, one place for unknown words included, sum to one at every state.
 
-``Model.automaton`` is the part of common words whose pairs and triples hold more than 1 in ``NGRAM_SHARE`` of the tokens, closed in
-itself and small enough for the driver. It is an extract; scores do not come from it.
+All arcs of a corpus fit nowhere, so texts are cut into chunks of a fixed number of places, and each chunk gets the arcs that its
+words can take:
+
+1. A chunk sends its distinct pairs and triples, with their training counts, as packed blocks to the owners of the pairs.
+2. An owner adds up the counts of all chunks and returns, in the order of each block, the count of each pair, the number of
+   different words that follow it, and the count of each triple.
+3. The chunk builds states, arcs and failure arcs from that, and walks each text from left to right with a carried state.
+
+A pair of two very frequent words is split among several owners by its third word; the numbers of following words add up. A text
+longer than a chunk goes on in the next one with its last two words as context.
 
 Null texts count as empty: one end token. Rows that repeat are kept, each with its own result; a null id is kept too. Without
-training documents every token is unknown and every base probability is 1.
+training documents every token is unknown and every base probability is 1. Chunks are named by partition and place, so the rows of
+a partition must come in the same order if it is computed again, as those of files do.
 """
 
 from __future__ import annotations
 
 import collections
-import functools
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import KeyCounts, remainder, words
+from pagemill.llm.common import remainder, words
 from pagemill.session import durable
 
 WORD_SHARE = 1_000_000
-NGRAM_SHARE = 100_000
+#: Places of a chunk.
+CHUNK = 1 << 18
+#: Training places of an owner, on average.
+OWNED = 1 << 20
+#: A pair whose words both hold more than 1 in SPLIT_SHARE of all places has several owners.
+SPLIT_SHARE = 2_000
 DISCOUNT = 0.75
 #: The end of a text as a word; no word is empty.
 END = b""
-STATE_BITS = 21
+#: Bits of a word's place among the words of a chunk.
+BITS = 21
+LOW = (1 << BITS) - 1
+REPLY, SEQUENCE, FOLLOW, WORD = range(4)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -58,281 +73,327 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Common words with numbers from 1 on; 0 stands for every other word."""
+    """Common words with numbers from 1 on, and their counts."""
 
     def __init__(self, common: list[bytes], counts: list[int], total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.counts = np.array([0, *counts], np.int64)
         self.number = {w: i for i, w in enumerate(common, 1)}
-        self.log_base = np.log10((self.counts + 0.5) / (total + 0.5 * (distinct + 1)))
-
-    def ids(self, text: bytes) -> np.ndarray:
-        number = self.number.get
-        found = [number(w, 0) for w in words(text)]
-        found.append(number(END, 0))
-        return np.array(found, np.int64)
-
-
-def count_ngrams(texts: DataFrame, shared, order: int, pairs=None) -> DataFrame:
-    """``key, n`` of the pairs (order 2) or triples of common words; triples only where both of their pairs are kept."""
-    def run(batches):
-        vocabulary = shared.value
-        kept = pairs.value if pairs is not None else None
-        m = len(vocabulary.counts)
-        counts = KeyCounts()
 
-        def rows(keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+    def key(self, word: bytes) -> int:
+        """The number of a common word, a negative 63-bit hash of any other."""
+        return self.number.get(word) or -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
 
-        for batch in batches:
-            gathered, size = [], 0
-            column = batch.column(0)
-            for k, text in enumerate(column.to_pylist()):
-                ids = vocabulary.ids(text)
-                gathered.append(ids)
-                gathered.append(np.zeros(1, np.int64))  # nothing crosses the end of a text
-                size += len(ids)
-                if size > 1_000_000 or k + 1 == len(column):
-                    ids = np.concatenate(gathered)
-                    gathered, size = [], 0
-                    keys = ids[:-1] * m + ids[1:]
-                    fit = (ids[:-1] > 0) & (ids[1:] > 0)
-                    if order == 3:
-                        at = np.searchsorted(kept, keys)
-                        at[at == len(kept)] = 0
-                        fit &= (kept[at] == keys) if len(kept) else False
-                        fit, keys = fit[:-1] & fit[1:], at[:-1] * m + ids[2:]
-                    for out in counts.add(keys[fit]):
-                        yield rows(*out)
-        for out in counts.rest():
-            yield rows(*out)
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States, arcs and failure arcs for traversal. State 0 is the root; a state is a context that has arcs."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]):
-        self.vocabulary = vocabulary
-        m = len(vocabulary.counts)
-        pair_keys, pair_n = pairs
-        first, second = np.divmod(pair_keys, m)
-        at, third = np.divmod(triples[0], m)
-        one = {int(w): s for s, w in enumerate(np.unique(first), 1)}
-        two = {int(p): s for s, p in enumerate(np.unique(at), len(one) + 1)}
-        size = 1 + len(one) + len(two)
-        #: Where a failure arc leads, and its weight; then the weight of all failure arcs down to the root.
-        self.fail = [0] * size
-        left = np.ones(size)
-        for s, w, n in zip((one[int(w)] for w in first), first, pair_n):
-            left[s] -= max(n - DISCOUNT, 0) / vocabulary.counts[w]
-        for s, p, n in zip((two[int(p)] for p in at), at, triples[1]):
-            left[s] -= max(n - DISCOUNT, 0) / pair_n[p]
-        left = np.maximum(left, 1e-12)
-        base = 10 ** vocabulary.log_base
-        self.weight = np.log10(left).tolist()
-        self.to_root = list(self.weight)
-        self.to_root[0] = self.weight[0] = 0.0
-        #: (state, word) to (next state, log-probability).
-        self.arcs: dict[int, tuple[int, float]] = {}
-        share: dict[int, float] = {}
-        for k, (u, w, n) in enumerate(zip(first.tolist(), second.tolist(), pair_n.tolist())):
-            s = one[u]
-            share[u * m + w] = p = max(n - DISCOUNT, 0) / vocabulary.counts[u] + left[s] * base[w]
-            self.arcs[w << STATE_BITS | s] = (two.get(k, one.get(w, 0)), math.log10(p))
-        for k, s in two.items():
-            self.fail[s] = one.get(int(second[k]), 0)
-            self.to_root[s] = self.weight[s] + self.to_root[self.fail[s]]
-        for p, w, n in zip(at.tolist(), third.tolist(), triples[1].tolist()):
-            s, v = two[p], int(second[p])
-            # The pair (v, w) is kept wherever the triple is, so the shorter context has an arc for w.
-            chance = max(n - DISCOUNT, 0) / pair_n[p] + left[s] * share[v * m + w]
-            self.arcs[w << STATE_BITS | s] = (self.arcs[w << STATE_BITS | one[v]][0], math.log10(chance))
-        self.base = vocabulary.log_base.tolist()
-        self.start = [one.get(w, 0) for w in range(m)]
-
-    def score(self, ids: list[int]) -> float:
-        """Log-probability of a text; words that are not common add only the weights that lead to the root."""
-        arcs, fail, weight, base, start = self.arcs.get, self.fail, self.weight, self.base, self.start
-        total, state = 0.0, 0
-        for w in ids:
-            if not w:
-                total += self.to_root[state]
-                state = 0
-                continue
-            while state:
-                arc = arcs(w << STATE_BITS | state)
-                if arc:
-                    state, p = arc
-                    total += p
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += base[w]
-                state = start[w]
-        return total
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of common words; 0 for others."""
+        return self.counts[np.maximum(keys, 0)]
 
 
 class Model:
-    """A trained model: the exact word counts as a table, the vocabulary that the executors share, and the texts that pairs and triples are counted in."""
+    """A trained model: the exact word counts as a table and the vocabulary that the executors share."""
 
-    def __init__(self, counts: DataFrame, vocabulary: Vocabulary, texts: DataFrame, ngram_share: int):
-        self.counts, self.vocabulary, self.texts, self.ngram_share = counts, vocabulary, texts, ngram_share
-        self.shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    def __init__(self, counts: DataFrame, vocabulary: Vocabulary):
+        self.counts, self.vocabulary = counts, vocabulary
+        self.shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @functools.cached_property
-    def automaton(self) -> Automaton:
-        """The frequent part alone as a closed automaton, built on the driver; :func:`score` does not use it."""
-        def kept(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            rows = grams.where(F.col("n") * self.ngram_share > self.vocabulary.total).toPandas().sort_values("key")
-            return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    def keyed(self) -> DataFrame:
+        """``k, c``: key and count of every word that is not common."""
+        shared = self.shared
 
-        pairs = kept(count_ngrams(self.texts, self.shared, 2))
-        context = self.texts.sparkSession.sparkContext
-        return Automaton(self.vocabulary, pairs, kept(count_ngrams(self.texts, self.shared, 3, context.broadcast(pairs[0]))))
+        def run(batches):
+            for batch in batches:
+                keys = np.array([shared.value.key(w) for w in batch.column(0).to_pylist()], np.int64)
+                rare = keys < 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rare]), batch.column(1).filter(pa.array(rare))], ["k", "c"])
 
+        return self.counts.select("word", "n").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
-def train(docs: DataFrame, text: str = "text", word_share: int = WORD_SHARE, ngram_share: int = NGRAM_SHARE) -> Model:
-    """Count the words of all rows of ``docs``; pairs and triples stay in tables, see :func:`arcs`."""
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+
+def train(texts: DataFrame, word_share: int = WORD_SHARE) -> Model:
+    """Count the words of all rows of ``texts`` (one binary column)."""
     counts = durable(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counts.where((F.col("n") * word_share > total) | (F.length("word") == 0)).toPandas().sort_values("word")
-    return Model(counts, Vocabulary([bytes(w) for w in common["word"]], common["n"].tolist(), total, distinct), texts, ngram_share)
-
-
-def word_key(word: bytes) -> int:
-    """A negative 63-bit hash, for words that have no number."""
-    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
-
-
-def keys_of(text: bytes, number: dict[bytes, int]) -> np.ndarray:
-    """Numbers or hashes of the words of a text and its end, behind two zeros for the contexts that the first words lack."""
-    found = [number.get(w) or word_key(w) for w in words(text)]
-    return np.array([0, 0, *found, number.get(END) or word_key(END)], np.int64)
-
-
-def tallied(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns and how often each occurs."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
-
-
-def grams(texts: DataFrame, shared, order: int, weight: int) -> DataFrame:
-    """``[u,] v, w, n`` of every place in the texts, of any frequency; n counts places times ``weight``, so 0 only names what is looked for."""
-    names = ["u", "v", "w"][3 - order:]
+    return Model(counts, Vocabulary([bytes(w) for w in common["word"]], common["n"].tolist(), total, distinct))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of longs as one value: their lengths, then their bytes, the lowest bytes of a column first."""
+    planes = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return np.array([len(c) for c in columns], "<i8").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(body: bytes, columns: int) -> list[np.ndarray]:
+    sizes = np.frombuffer(body, "<i8", columns)
+    if not sizes.sum():
+        return [np.zeros(0, np.int64)] * columns
+    planes = np.frombuffer(pa.decompress(body[8 * columns:], decompressed_size=int(sizes.sum()) * 8, codec="zstd", asbytes=True), np.uint8)
+    ends = np.cumsum(sizes) * 8
+    return [np.ascontiguousarray(planes[e - 8 * n:e].reshape(8, n).T).reshape(-1).view("<i8") for e, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def spread(*columns: np.ndarray) -> np.ndarray:
+    """A hash of each row of longs."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Chunk:
+    """The distinct words of a chunk as sorted keys, and its pieces of texts as places among them, each behind two context words."""
+
+    def __init__(self, keys: np.ndarray, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.keys, self.seq, self.starts, self.sizes = keys, seq, starts, sizes
+        self.none = int(np.searchsorted(keys, 0))
+        # Places of words, without the two before each piece.
+        self.places = np.arange(sizes.sum()) + np.repeat(2 * np.arange(1, len(sizes) + 1), sizes)
+        u, v, w = seq[self.places - 2], seq[self.places - 1], seq[self.places]
+        self.has_pair, self.has_triple = v != self.none, u != self.none
+        self.pair_at = (v << BITS | w)[self.has_pair]
+        self.triple_at = (u << 2 * BITS | v << BITS | w)[self.has_triple]
+        #: Sorted codes of distinct triples, and of distinct pairs, contexts of triples among them.
+        self.triples = np.unique(self.triple_at)
+        self.context = self.triples >> BITS
+        self.pairs = np.unique(np.concatenate([self.pair_at, self.context]))
+        self.context_of = np.searchsorted(self.pairs, self.context)
+
+    def deal(self, vocabulary: Vocabulary, owners: int, owned: int) -> None:
+        """Entries, that is pairs or splits of them, and triples in the order of their owners."""
+        first, second = self.keys[self.pairs >> BITS], self.keys[self.pairs & LOW]
+        most = max(owned, vocabulary.total // SPLIT_SHARE)
+        splits = 1 + np.minimum(vocabulary.count(first), vocabulary.count(second)) // most
+        begin = np.cumsum(splits) - splits
+        pair = np.repeat(np.arange(len(self.pairs)), splits)
+        split = np.arange(len(pair)) - begin[pair]
+        owner = (spread(first[pair], second[pair], split) % np.uint64(owners)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        third = spread(self.keys[self.triples & LOW]) % splits[self.context_of].astype(np.uint64)
+        entry = rank[begin[self.context_of] + third.astype(np.int64)]
+        self.entry_owner, self.entry_pair, self.entry_split = owner[order], pair[order], split[order]
+        self.triple_order = np.argsort(entry, kind="stable")
+        self.triples_of = np.bincount(entry, minlength=len(order))
+
+    def requests(self, weight: np.ndarray):
+        """``owner, body`` for each owner; ``weight`` tells which pieces are for training."""
+        trained = np.repeat(weight, self.sizes)
+        n2 = np.bincount(np.searchsorted(self.pairs, self.pair_at), trained[self.has_pair], len(self.pairs)).astype(np.int64)
+        n3 = np.bincount(np.searchsorted(self.triples, self.triple_at), trained[self.has_triple], len(self.triples)).astype(np.int64)[self.triple_order]
+        first, second = self.keys[self.pairs >> BITS][self.entry_pair], self.keys[self.pairs & LOW][self.entry_pair]
+        n2 = np.where(self.entry_split == 0, n2[self.entry_pair], 0)
+        third = self.keys[self.triples & LOW][self.triple_order]
+        cuts = np.flatnonzero(np.diff(self.entry_owner, prepend=-1)).tolist() + [len(self.entry_owner)]
+        ends = np.concatenate([[0], np.cumsum(self.triples_of)])
+        for a, b in zip(cuts, cuts[1:]):
+            s, e = ends[a], ends[b]
+            yield int(self.entry_owner[a]), pack(first[a:b], second[a:b], n2[a:b], self.triples_of[a:b], third[s:e], n3[s:e])
+
+
+def requests(texts: DataFrame, model: Model, owners: int, chunk: int, owned: int) -> DataFrame:
+    """``owner, chunk, kind, body`` from ``doc_id, trained, text``: the blocks of all chunks, and the chunks themselves."""
+    shared = model.shared
 
     def run(batches):
-        number = shared.value.number
-        for batch in batches:
-            found = [keys_of(text, number) for text in batch.column(0).to_pylist()]
-            if not found:
-                continue
-            keys = np.concatenate(found)
-            columns = [keys[:-2], keys[1:-1], keys[2:]]
-            real = columns[2] != 0
-            columns, n = tallied([c[real] for c in columns[3 - order:]])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64) * weight)], [*names, "n"])
+        vocabulary = shared.value
+        name = TaskContext.get().partitionId() << 32
+        row = name
+        local: dict[bytes, int] = {}
+        seq: list[int] = []
+        pieces: list[tuple] = []
+        size = 0
+
+        def flush():
+            keys, place = np.unique(np.array([0, *map(vocabulary.key, local)], np.int64), return_inverse=True)
+            rows, ids, known, trained, sizes = (np.array(c, np.int64) for c in zip(*pieces))
+            one = Chunk(keys, place[np.array(seq, np.int64)], rows, sizes)
+            one.deal(vocabulary, owners, owned)
+            found = list(one.requests(trained))
+            found.append((name % owners, pack(keys, one.seq, rows, ids, known, sizes)))
+            kinds = [REPLY] * (len(found) - 1) + [SEQUENCE]
+            return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array([name] * len(found), pa.int64()),
+                                               pa.array(kinds, pa.int32()), pa.array([b for _, b in found], pa.binary())], ["owner", "chunk", "kind", "body"])
 
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+        for batch in batches:
+            for i, trained, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                tokens = words(text)
+                tokens.append(END)
+                at = 0
+                while at < len(tokens):
+                    part = tokens[at:at + chunk - size]
+                    before = tokens[max(0, at - 2):at]
+                    seq += [0] * (2 - len(before))
+                    seq += [local.setdefault(w, len(local) + 1) for w in before + part]
+                    pieces.append((row, i or 0, i is not None, bool(trained), len(part)))
+                    size += len(part)
+                    at += len(part)
+                    if size == chunk:
+                        yield flush()
+                        local, seq, pieces, size = {}, [], [], 0
+                        name += 1
+                row += 1
+        if pieces:
+            yield flush()
+
+    return texts.mapInArrow(run, "owner long, chunk long, kind int, body binary")
+
+
+ANSWERS = pa.schema([("owner", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("k", pa.int64()), ("c", pa.int64()), ("body", pa.binary())])
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """What one owner returns: a reply to each block, the chunks that came along, and for each word the number of its pairs."""
+    owner = table.column("owner")[0].as_py()
+    rows = [(owner, c, k, None, None, body) for c, k, body in zip(*(table.column(x).to_pylist() for x in ("chunk", "kind", "body")))]
+    asked = [r for r in rows if r[2] == REPLY]
+    out = [r for r in rows if r[2] == SEQUENCE]
+    if asked:
+        blocks = [unpack(r[5], 6) for r in asked]
+        first, second, n2, triples_of, third, n3 = (np.concatenate(c) for c in zip(*blocks))
+        keys, place = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+        m, n = len(keys), len(first)
+        pairs, pair = np.unique(place[:n] * m + place[n:2 * n], return_inverse=True)
+        triples, triple = np.unique(np.repeat(pair, triples_of) * m + place[2 * n:], return_inverse=True)
+        n2 = np.bincount(pair, n2, len(pairs)).astype(np.int64)
+        n3 = np.bincount(triple, n3, len(triples)).astype(np.int64)
+        follow = np.bincount((triples // m)[n3 > 0], minlength=len(pairs))
+        seen = np.bincount((pairs // m)[n2 > 0], minlength=m)
+        n2, follow, n3 = n2[pair], follow[pair], n3[triple]
+        a = s = 0
+        for r, block in zip(asked, blocks):
+            b, e = a + len(block[0]), s + len(block[4])
+            out.append((*r[:5], pack(n2[a:b], follow[a:b], n3[s:e])))
+            a, s = b, e
+        out += [(owner, None, FOLLOW, k, f, None) for k, f in zip(keys[seen > 0].tolist(), seen[seen > 0].tolist())]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWERS)], schema=ANSWERS)
 
 
-def arcs(texts: DataFrame, model: Model) -> DataFrame:
-    """``u, v, w, logp`` of every triple in ``texts``: its interpolated log-probability from the counts of all training texts.
+class Automaton:
+    """States, arcs and failure arcs for the texts of a chunk. State 0 is the root; then come the words, then the pairs.
 
-    What a context leaves for the shorter one is DISCOUNT for each different word that follows it, as a share of its places.
+    ``count`` and ``follow`` tell how often a word occurs and how many different words follow it; ``n2`` and ``follow3`` the same of
+    the chunk's pairs, ``n3`` how often its triples occur.
     """
-    vocabulary, shared = model.vocabulary, model.shared
-    floor = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
 
-    def keyed(batches):
-        number = shared.value.number
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([number.get(w) or word_key(w) for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], ["w", "n1"])
-
-    def counted(order: int) -> DataFrame:
-        names = ["u", "v", "w"][3 - order:]
-        return grams(model.texts, shared, order, 1).unionByName(grams(texts, shared, order, 0)).groupBy(*names).agg(F.sum("n").alias("n"))
+    def __init__(self, chunk: Chunk, count: np.ndarray, follow: np.ndarray, n2: np.ndarray, follow3: np.ndarray, n3: np.ndarray, floor: float):
+        m = len(chunk.keys)
+        base = (count + 0.5) / floor
+        self.log_base = np.log10(base)
+        v, w = chunk.pairs >> BITS, chunk.pairs & LOW
+        places = np.where(follow > 0, count, 0)
+        left2 = DISCOUNT * follow / np.maximum(places, 1)
+        p2 = np.where(places[v] > 0, np.maximum(n2 - DISCOUNT, 0) / np.maximum(places[v], 1) + left2[v] * base[w], base[w])
+        left3 = DISCOUNT * follow3 / np.maximum(n2, 1)
+        at = chunk.context_of
+        shorter = np.searchsorted(chunk.pairs, chunk.triples & ((1 << 2 * BITS) - 1))
+        p3 = np.maximum(n3 - DISCOUNT, 0) / np.maximum(n2[at], 1) + left3[at] * p2[shorter]
+        start = np.where(places > 0, 1 + np.arange(m), 0)
+        #: Where a word leads that was read behind the word before it.
+        after = np.where(follow3 > 0, 1 + m + np.arange(len(v)), start[w])
+        two, three = n2 > 0, n3 > 0
+        codes = np.concatenate([((1 + v) << BITS | w)[two], ((1 + m + at) << BITS | (chunk.triples & LOW))[three]])
+        self.arcs = dict(zip(codes.tolist(), range(len(codes))))
+        self.to = np.concatenate([after[two], after[shorter][three]]).tolist()
+        self.logp = np.log10(np.concatenate([p2[two], p3[three]])).tolist()
+        left = np.concatenate([[1.0], left2, left3])
+        self.weight = np.log10(np.where(left > 0, left, 1)).tolist()
+        self.fail = np.concatenate([np.zeros(1 + m, np.int64), start[w]]).tolist()
+        self.base, self.start = self.log_base.tolist(), start.tolist()
+
+    def enter(self, first: int, second: int) -> int:
+        """The state behind two context words."""
+        arc = self.arcs.get((1 + first) << BITS | second)
+        return self.start[second] if arc is None else self.to[arc]
+
+    def walk(self, state: int, ids: list[int]) -> float:
+        """Log-probability of the words from a state on."""
+        arcs, to, logp, fail, weight, base, start = self.arcs.get, self.to, self.logp, self.fail, self.weight, self.base, self.start
+        total = 0.0
+        for w in ids:
+            while state:
+                arc = arcs(state << BITS | w)
+                if arc is not None:
+                    state = to[arc]
+                    total += logp[arc]
+                    break
+                total += weight[state]
+                state = fail[state]
+            else:
+                total += base[w]
+                state = start[w]
+        return total
 
-    def share(n, places, follow, shorter):
-        return F.when(places > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / places + DISCOUNT * follow / places * shorter).otherwise(shorter)
 
-    one = model.counts.select("word", "n").mapInArrow(keyed, "w long, n1 long")
-    two = counted(2)
-    # A word is followed by another, or by the end of its text, at each of its places.
-    contexts = two.where("v <> 0").groupBy("v").agg(F.sum("n").alias("places2"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("follow2"))
-    base = (F.coalesce(F.col("n1"), F.lit(0)) + 0.5) / F.lit(floor)
-    two = two.join(contexts, "v", "left").join(one, "w", "left").select("v", "w", share(F.col("n"), F.col("places2"), F.col("follow2"), base).alias("p2"))
-    context = Window.partitionBy("u", "v")
-    three = counted(3).withColumns({"places3": F.sum("n").over(context), "follow3": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(context)})
-    places = F.when(F.col("u") != 0, F.col("places3"))
-    return three.join(two, ["v", "w"]).select("u", "v", "w", F.log10(share(F.col("n"), places, F.col("follow3"), F.col("p2"))).alias("logp"))
+SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of every row."""
+def score(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str = "text", word_share: int = WORD_SHARE, chunk: int = CHUNK,
+          owned: int = OWNED) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row, by a model of the rows where ``trained`` holds."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"),
+                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    model = train(texts.where("trained").select("text"), word_share)
     vocabulary, shared = model.vocabulary, model.shared
     floor = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("texts", pa.int64()),
-                        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())])
-
-    def run(batches):
-        number, log_base = shared.value.number.get, shared.value.log_base
-        for batch in batches:
-            rows: list[tuple] = []
-            for i, h, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                tokens = words(body)
-                tokens.append(END)
-                ids = [number(w, 0) for w in tokens]
-                common = [k for k in ids if k]
-                # A text's own row carries a "word" with a blank, which no word has, so the join leaves it as it is.
-                rows.append((i, h, b" %d %d" % (h, i or 0), 0, 1, len(tokens), len(common), float(log_base[common].sum())))
-                rows += [(i, h, w, n, 0, 0, 0, 0.0) for w, n in collections.Counter(w for w, k in zip(tokens, ids) if not k).items()]
-                if len(rows) > 50_000:
-                    yield batch_of(rows, schema)
-                    rows = []
-            if rows:
-                yield batch_of(rows, schema)
-
-    def places(batches):
-        number = shared.value.number
+    owners = 1 + vocabulary.total // owned
+    answers = durable(requests(texts, model, owners, chunk, owned).groupBy("owner").applyInArrow(
+        answer, "owner long, chunk long, kind int, k long, c long, body binary"))
+
+    follow = answers.where(F.col("kind") == FOLLOW).groupBy("k").agg(F.sum("c").alias("f"))
+    # As many rows as there are common words, at most WORD_SHARE.
+    common = follow.where("k > 0").toPandas()
+    follows = np.zeros(len(vocabulary.counts), np.int64)
+    follows[common["k"].to_numpy(np.int64)] = common["f"]
+    followed = docs.sparkSession.sparkContext.broadcast(follows)
+
+    def rare(batches):
         for batch in batches:
-            for i, h, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                keys = keys_of(body, number)
-                columns, times = tallied([keys[:-2], keys[1:-1], keys[2:]])
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(times), pa.int64()), pa.array([h] * len(times), pa.int64()), *map(pa.array, columns), pa.array(times)],
-                                                 ["doc_id", "h", "u", "v", "w", "times"])
-
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
-                       F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    parts = slim.mapInArrow(run, "doc_id long, h long, word binary, times long, texts long, n_tokens long, n_known long, base_score double")
-    joined = parts.join(model.counts, "word", "left")
-    rare = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(floor)) * F.col("times")
-    based = joined.select("doc_id", "h", "texts", "n_tokens", (F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-                          (F.col("base_score") + rare).alias("base_score"), F.lit(0.0).alias("score"))
-    passed = slim.mapInArrow(places, "doc_id long, h long, u long, v long, w long, times long").join(arcs(slim.select("text"), model), ["u", "v", "w"])
-    zero = F.lit(0).cast("long")
-    scored = passed.select("doc_id", "h", zero.alias("texts"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("times") * F.col("logp")).alias("score"))
-    # Rows of the same id and text are alike: their sums are divided among them.
-    whole = based.unionByName(scored).groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("texts", "n_tokens", "n_known", "base_score", "score")])
-    copies = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("texts").cast("int"))))
-    return copies.select("doc_id", *[F.expr(f"{c} div texts").alias(c) for c in ("n_tokens", "n_known")],
-                         *[(F.col(c) / F.col("texts")).alias(c) for c in ("base_score", "score")])
-
-
-def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = unpack(body, 6)[0]
+                keys = keys[keys < 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name)), pa.array(keys)], ["chunk", "k"])
+
+    def walked(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        bodies = table.column("body").filter(pa.array(kind == SEQUENCE)).to_pylist()
+        keys, seq, rows, ids, known, sizes = unpack(bodies[0], 6)
+        one = Chunk(keys, seq, rows, sizes)
+        one.deal(shared.value, owners, owned)
+        replies = table.filter(pa.array(kind == REPLY)).sort_by("owner").column("body").to_pylist()
+        n2, follow3, n3 = (np.concatenate(c) for c in zip(*(unpack(b, 3) for b in replies))) if replies else [np.zeros(0, np.int64)] * 3
+        # Splits that meet at one owner have been counted as one there.
+        apart = (np.diff(one.entry_owner, prepend=-1) != 0) | (np.diff(one.entry_pair, prepend=-1) != 0)
+        n2, follow3 = (np.bincount(one.entry_pair, c * apart, len(one.pairs)) for c in (n2, follow3))
+        by_triple = np.empty(len(one.triples))
+        by_triple[one.triple_order] = n3
+        count, after = shared.value.count(keys), followed.value[np.maximum(keys, 0)]
+        words_of = table.filter(pa.array(kind == WORD))
+        at = np.searchsorted(keys, words_of.column("k").to_numpy())
+        count[at], after[at] = words_of.column("c").to_numpy(), words_of.column("f").to_numpy()
+        automaton = Automaton(one, count, after, n2, follow3, by_triple, floor)
+        ends = np.cumsum(sizes)
+        real = seq[one.places]
+        sums = [np.add.reduceat(c, ends - sizes) for c in ((count[real] > 0).astype(np.int64), automaton.log_base[real])]
+        scores = []
+        plain = seq.tolist()
+        for e in (ends + 2 * np.arange(1, len(ends) + 1)).tolist():
+            s = e - int(sizes[len(scores)])
+            scores.append(automaton.walk(automaton.enter(plain[s - 2], plain[s - 1]), plain[s:e]))
+        return pa.Table.from_arrays([pa.array(rows), pa.array(ids, mask=known == 0), pa.array(sizes), *map(pa.array, sums), pa.array(scores, pa.float64())], schema=SCORES)
+
+    table = model.keyed().join(follow, "k", "left").select("k", "c", F.coalesce("f", F.lit(0)).alias("f"))
+    found = answers.where(F.col("kind") == SEQUENCE).select("chunk", "body").mapInArrow(rare, "chunk long, k long").join(table, "k")
+    nothing = F.lit(None)
+    parts = answers.where(F.col("kind").isin(REPLY, SEQUENCE)).select("chunk", "kind", "owner", nothing.cast("long").alias("k"), nothing.cast("long").alias("c"),
+                                                                      nothing.cast("long").alias("f"), "body")
+    parts = parts.unionByName(found.select("chunk", F.lit(WORD).alias("kind"), nothing.cast("long").alias("owner"), "k", "c", "f", nothing.cast("binary").alias("body")))
+    scored = parts.groupBy("chunk").applyInArrow(walked, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    return scored.groupBy("row", "doc_id").agg(*sums).drop("row").withColumn("train_tokens", F.lit(vocabulary.total).cast("long"))
 
 
 def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
-    """Train on the rows whose id's crc32 modulo 5 is not 1 and score every row; adds ``held_out`` and ``train_tokens``."""
-    model = train(docs.where(remainder(F.col(doc_id)) != 1), text, **sizes)
-    return score(docs, model, doc_id, text).withColumns({
-        "held_out": remainder(F.col("doc_id")) == 1, "train_tokens": F.lit(model.vocabulary.total).cast("long")})
+    """Train on the rows whose id's crc32 modulo 5 is not 1 and score every row; adds ``held_out``."""
+    return score(docs, remainder(F.col(doc_id)) != 1, doc_id, text, **sizes).withColumn("held_out", remainder(F.col("doc_id")) == 1)

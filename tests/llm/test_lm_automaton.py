@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pagemill.llm.common import words
-from pagemill.llm.lm_automaton import END, score_held_out, train
+from pagemill.llm.lm_automaton import BITS, END, Automaton, Chunk, pack, score_held_out, unpack
 
 TEXTS = [(i, f"the cat sat on the mat number {i % 7} and The dog saw it again") for i in range(60)] + [
     (100, None), (101, ""), (102, "  \n\t "), (103, "unseen\x0bwords  only"), (104, "é É a b " * 400), (5, "the cat"), (105, "twice"), (105, "twice"), (None, "no id")]
@@ -21,7 +21,7 @@ def docs(spark):
 
 def test_against_brute_force(docs):
     got = collections.defaultdict(list)
-    for r in score_held_out(docs, word_share=30, ngram_share=200).collect():
+    for r in score_held_out(docs, word_share=30, chunk=50).collect():
         got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8)))
         assert r.score <= 0 and math.isfinite(r.score)
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
@@ -35,26 +35,37 @@ def test_against_brute_force(docs):
     assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
 
 
-def test_states_are_distributions(docs):
-    model = train(docs, word_share=1000, ngram_share=300).automaton
-    voc = model.vocabulary
-    m = len(voc.counts)
-    assert len(model.fail) > 3 and any(s > 1 and model.fail[s] for s in range(len(model.fail)))
-    outside = 1 - (10 ** voc.log_base[1:]).sum()  # rare and unknown words together
-
-    def chance(state, w):
-        total = 0.0
-        while state and (arc := model.arcs.get(w << 21 | state)) is None:
-            total += model.weight[state]
-            state = model.fail[state]
-        return 10 ** (total + (arc[1] if state else voc.log_base[w]))
-
-    for state in range(len(model.fail)):
-        assert np.isclose(sum(chance(state, w) for w in range(1, m)) + 10 ** model.to_root[state] * outside, 1, atol=1e-9)
+def test_states_are_distributions():
+    texts = [[1, 2, 3, 1, 2, 4, 5], [2, 3, 3, 1, 2, 3, 5], [4, 5], [5]]  # 5 ends a text, 6 is not known
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        one.update(t)
+        two.update(zip(t, t[1:]))
+        three.update(zip(t, t[1:], t[2:]))
+    # Every triple there could be, so that the chunk asks for all arcs.
+    pieces = [[u, v, w] for u in range(1, 7) for v in range(1, 7) for w in range(1, 7)]
+    seq = np.array([x for p in pieces for x in [0, 0, *p]])
+    chunk = Chunk(np.arange(7), seq, np.arange(len(pieces)), np.full(len(pieces), 3))
+    pairs = [(p >> BITS, p & (1 << BITS) - 1) for p in chunk.pairs.tolist()]
+    triples = [(pairs[c][0], pairs[c][1], t & (1 << BITS) - 1) for c, t in zip(chunk.context_of, chunk.triples.tolist())]
+    follow2, follow3 = collections.Counter(p[0] for p in two), collections.Counter(t[:2] for t in three)
+    numbers = [np.array(x) for x in ([one[w] for w in range(7)], [follow2[w] for w in range(7)], [two[p] for p in pairs],
+                                     [follow3[p] for p in pairs], [three[t] for t in triples])]
+    model = Automaton(chunk, *numbers, sum(one.values()) + 0.5 * (len(one) + 1))
+    states = {0, *model.to, *(s for s in model.start if s)}
+    assert len(states) > 8 and any(model.fail[s] for s in states)
+    for state in states:
+        assert np.isclose(sum(10 ** model.walk(state, [w]) for w in range(1, 7)), 1, atol=1e-9)
+
+
+def test_blocks_come_back():
+    columns = [np.array([], np.int64), np.array([-1, 1 << 62, 0, -(1 << 63)]), np.arange(300)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(unpack(pack(*columns), 3), columns))
+    assert [len(c) for c in unpack(pack(columns[0], columns[0]), 2)] == [0, 0]
 
 
 def test_repeats_score_above_the_base(docs):
-    rows = {r.doc_id: r for r in score_held_out(docs, word_share=1000, ngram_share=300).collect()}
+    rows = {r.doc_id: r for r in score_held_out(docs, word_share=1000).collect()}
     assert all(rows[i].score > rows[i].base_score for i in range(60) if i != 5)
 
 
@@ -90,8 +101,23 @@ def test_every_pair_and_triple_counts(docs):
             key = tuple(ws[max(0, k - 2):k]), w
             known[key] = known.get(key) or chance(*key)
         want[i].append(sum(math.log10(known[tuple(ws[max(0, k - 2):k]), w]) for k, w in enumerate(ws)))
-    for sizes in ({"word_share": 30, "ngram_share": 200}, {}):
+    for sizes in ({"word_share": 30}, {}, {"chunk": 7, "owned": 20}, {"word_share": 30, "chunk": 100, "owned": 3}):
         got = collections.defaultdict(list)
         for r in score_held_out(docs, **sizes).collect():
             got[r.doc_id].append(r.score)
-        assert set(got) == set(want) and all(np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-8) for i in want)
+        assert set(got) == set(want)
+        assert not [(sizes, i, got[i], want[i]) for i in want if not np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-8)]
+
+
+def test_frequent_pairs_are_split(docs, monkeypatch):
+    """Pairs of frequent words have several owners; scores stay the same, also across the cuts of a long text."""
+    from pagemill.llm import lm_automaton
+    whole = sorted((r.doc_id or -1, round(r.score, 8)) for r in score_held_out(docs).collect())
+    monkeypatch.setattr(lm_automaton, "SPLIT_SHARE", 1_000_000)
+    split = sorted((r.doc_id or -1, round(r.score, 8)) for r in score_held_out(docs, owned=2, chunk=64).collect())
+    assert whole == split
+    # The places of a piece, its pairs in several splits, and every triple with one owner.
+    vocabulary = lm_automaton.Vocabulary([b"a", b"b"], [90, 80], 170, 2)
+    chunk = Chunk(np.arange(3), np.array([0, 0, 1, 2, 1, 2, 2, 1]), np.array([0]), np.array([6]))
+    chunk.deal(vocabulary, 7, 20)
+    assert len(chunk.entry_pair) > len(chunk.pairs) and chunk.triples_of.sum() == len(chunk.triples)
