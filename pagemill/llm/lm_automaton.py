@@ -31,7 +31,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ from pagemill.session import durable
 
 WORD_SHARE = 1_000_000
 #: Places of a chunk.
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 #: Training places of an owner, on average.
 OWNED = 1 << 20
 #: A pair whose words both hold more than 1 in SPLIT_SHARE of all places has several owners.
@@ -73,7 +72,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Common words with numbers from 1 on, and their counts."""
+    """Common words with numbers from 1 on, the most frequent first, and their counts."""
 
     def __init__(self, common: list[bytes], counts: list[int], total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -90,30 +89,18 @@ class Vocabulary:
 
 
 class Model:
-    """A trained model: the exact word counts as a table and the vocabulary that the executors share."""
+    """The word counts of the training texts as a table and the vocabulary that the executors share."""
 
     def __init__(self, counts: DataFrame, vocabulary: Vocabulary):
         self.counts, self.vocabulary = counts, vocabulary
         self.shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def keyed(self) -> DataFrame:
-        """``k, c``: key and count of every word that is not common."""
-        shared = self.shared
-
-        def run(batches):
-            for batch in batches:
-                keys = np.array([shared.value.key(w) for w in batch.column(0).to_pylist()], np.int64)
-                rare = keys < 0
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rare]), batch.column(1).filter(pa.array(rare))], ["k", "c"])
-
-        return self.counts.select("word", "n").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
 
 def train(texts: DataFrame, word_share: int = WORD_SHARE) -> Model:
     """Count the words of all rows of ``texts`` (one binary column)."""
     counts = durable(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.where((F.col("n") * word_share > total) | (F.length("word") == 0)).toPandas().sort_values("word")
+    common = counts.where((F.col("n") * word_share > total) | (F.length("word") == 0)).toPandas().sort_values(["n", "word"], ascending=False)
     return Model(counts, Vocabulary([bytes(w) for w in common["word"]], common["n"].tolist(), total, distinct))
 
 
@@ -141,6 +128,12 @@ def spread(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct codes; sorting is faster here than the hash table of ``np.unique``."""
+    codes = np.sort(codes)
+    return codes[np.diff(codes, prepend=-1) != 0]
+
+
 class Chunk:
     """The distinct words of a chunk as sorted keys, and its pieces of texts as places among them, each behind two context words."""
 
@@ -154,9 +147,9 @@ class Chunk:
         self.pair_at = (v << BITS | w)[self.has_pair]
         self.triple_at = (u << 2 * BITS | v << BITS | w)[self.has_triple]
         #: Sorted codes of distinct triples, and of distinct pairs, contexts of triples among them.
-        self.triples = np.unique(self.triple_at)
+        self.triples = distinct(self.triple_at)
         self.context = self.triples >> BITS
-        self.pairs = np.unique(np.concatenate([self.pair_at, self.context]))
+        self.pairs = distinct(np.concatenate([self.pair_at, self.context]))
         self.context_of = np.searchsorted(self.pairs, self.context)
 
     def deal(self, vocabulary: Vocabulary, owners: int, owned: int) -> None:
@@ -189,17 +182,19 @@ class Chunk:
         ends = np.concatenate([[0], np.cumsum(self.triples_of)])
         for a, b in zip(cuts, cuts[1:]):
             s, e = ends[a], ends[b]
-            yield int(self.entry_owner[a]), pack(first[a:b], second[a:b], n2[a:b], self.triples_of[a:b], third[s:e], n3[s:e])
+            yield int(self.entry_owner[a]), pack(np.diff(first[a:b], prepend=0), second[a:b], n2[a:b], self.triples_of[a:b], third[s:e], n3[s:e])
 
 
-def requests(texts: DataFrame, model: Model, owners: int, chunk: int, owned: int) -> DataFrame:
-    """``owner, chunk, kind, body`` from ``doc_id, trained, text``: the blocks of all chunks, and the chunks themselves."""
+def chunks(texts: DataFrame, model: Model, chunk: int, owners: int = 0, owned: int = 0) -> DataFrame:
+    """``owner, chunk, body`` from ``doc_id, trained, text, part``: the blocks of all chunks, or without ``owners`` the chunks themselves.
+
+    Cutting texts twice costs less than carrying the chunks along with their blocks.
+    """
     shared = model.shared
 
     def run(batches):
         vocabulary = shared.value
-        name = TaskContext.get().partitionId() << 32
-        row = name
+        name = row = None
         local: dict[bytes, int] = {}
         seq: list[int] = []
         pieces: list[tuple] = []
@@ -208,27 +203,31 @@ def requests(texts: DataFrame, model: Model, owners: int, chunk: int, owned: int
         def flush():
             keys, place = np.unique(np.array([0, *map(vocabulary.key, local)], np.int64), return_inverse=True)
             rows, ids, known, trained, sizes = (np.array(c, np.int64) for c in zip(*pieces))
-            one = Chunk(keys, place[np.array(seq, np.int64)], rows, sizes)
-            one.deal(vocabulary, owners, owned)
-            found = list(one.requests(trained))
-            found.append((name % owners, pack(keys, one.seq, rows, ids, known, sizes)))
-            kinds = [REPLY] * (len(found) - 1) + [SEQUENCE]
+            place = place[np.array(seq, np.int64)]
+            if owners:
+                one = Chunk(keys, place, rows, sizes)
+                one.deal(vocabulary, owners, owned)
+                found = list(one.requests(trained))
+            else:
+                found = [(None, pack(np.diff(keys, prepend=0), place, np.diff(rows, prepend=0), ids, known, sizes))]
             return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array([name] * len(found), pa.int64()),
-                                               pa.array(kinds, pa.int32()), pa.array([b for _, b in found], pa.binary())], ["owner", "chunk", "kind", "body"])
+                                               pa.array([b for _, b in found], pa.binary())], ["owner", "chunk", "body"])
 
         for batch in batches:
-            for i, trained, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, trained, text, part in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if name is None:
+                    name = row = part << 32
                 tokens = words(text)
                 tokens.append(END)
                 at = 0
                 while at < len(tokens):
-                    part = tokens[at:at + chunk - size]
+                    piece = tokens[at:at + chunk - size]
                     before = tokens[max(0, at - 2):at]
                     seq += [0] * (2 - len(before))
-                    seq += [local.setdefault(w, len(local) + 1) for w in before + part]
-                    pieces.append((row, i or 0, i is not None, bool(trained), len(part)))
-                    size += len(part)
-                    at += len(part)
+                    seq += [local.setdefault(w, len(local) + 1) for w in before + piece]
+                    pieces.append((row, i or 0, i is not None, bool(trained), len(piece)))
+                    size += len(piece)
+                    at += len(piece)
                     if size == chunk:
                         yield flush()
                         local, seq, pieces, size = {}, [], [], 0
@@ -237,36 +236,36 @@ def requests(texts: DataFrame, model: Model, owners: int, chunk: int, owned: int
         if pieces:
             yield flush()
 
-    return texts.mapInArrow(run, "owner long, chunk long, kind int, body binary")
+    return texts.mapInArrow(run, "owner long, chunk long, body binary")
 
 
-ANSWERS = pa.schema([("owner", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("k", pa.int64()), ("c", pa.int64()), ("body", pa.binary())])
+ANSWERS = pa.schema([("owner", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """What one owner returns: a reply to each block, the chunks that came along, and for each word the number of its pairs."""
+    """What one owner returns: a reply to each block, and how many different pairs each word begins, and at how many places."""
     owner = table.column("owner")[0].as_py()
-    rows = [(owner, c, k, None, None, body) for c, k, body in zip(*(table.column(x).to_pylist() for x in ("chunk", "kind", "body")))]
-    asked = [r for r in rows if r[2] == REPLY]
-    out = [r for r in rows if r[2] == SEQUENCE]
-    if asked:
-        blocks = [unpack(r[5], 6) for r in asked]
-        first, second, n2, triples_of, third, n3 = (np.concatenate(c) for c in zip(*blocks))
-        keys, place = np.unique(np.concatenate([first, second, third]), return_inverse=True)
-        m, n = len(keys), len(first)
-        pairs, pair = np.unique(place[:n] * m + place[n:2 * n], return_inverse=True)
-        triples, triple = np.unique(np.repeat(pair, triples_of) * m + place[2 * n:], return_inverse=True)
-        n2 = np.bincount(pair, n2, len(pairs)).astype(np.int64)
-        n3 = np.bincount(triple, n3, len(triples)).astype(np.int64)
-        follow = np.bincount((triples // m)[n3 > 0], minlength=len(pairs))
-        seen = np.bincount((pairs // m)[n2 > 0], minlength=m)
-        n2, follow, n3 = n2[pair], follow[pair], n3[triple]
-        a = s = 0
-        for r, block in zip(asked, blocks):
-            b, e = a + len(block[0]), s + len(block[4])
-            out.append((*r[:5], pack(n2[a:b], follow[a:b], n3[s:e])))
-            a, s = b, e
-        out += [(owner, None, FOLLOW, k, f, None) for k, f in zip(keys[seen > 0].tolist(), seen[seen > 0].tolist())]
+    asked = list(zip(table.column("chunk").to_pylist(), table.column("body").to_pylist()))
+    blocks = [unpack(body, 6) for _, body in asked]
+    first, second, n2, triples_of, third, n3 = (np.concatenate(c) for c in zip(*blocks))
+    first = np.concatenate([np.cumsum(b[0]) for b in blocks])
+    keys, place = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+    m, n = len(keys), len(first)
+    pairs, pair = np.unique(place[:n] * m + place[n:2 * n], return_inverse=True)
+    triples, triple = np.unique(np.repeat(pair, triples_of) * m + place[2 * n:], return_inverse=True)
+    n2 = np.bincount(pair, n2, len(pairs)).astype(np.int64)
+    n3 = np.bincount(triple, n3, len(triples)).astype(np.int64)
+    follow = np.bincount((triples // m)[n3 > 0], minlength=len(pairs))
+    seen = np.bincount((pairs // m)[n2 > 0], minlength=m)
+    begun = np.bincount(pairs // m, n2, m).astype(np.int64)
+    n2, follow, n3 = n2[pair], follow[pair], n3[triple]
+    out = []
+    a = s = 0
+    for (name, _), block in zip(asked, blocks):
+        b, e = a + len(block[0]), s + len(block[4])
+        out.append((owner, name, REPLY, pack(n2[a:b], follow[a:b], n3[s:e])))
+        a, s = b, e
+    out.append((owner, None, FOLLOW, pack(np.diff(keys[seen > 0], prepend=0), begun[seen > 0], seen[seen > 0])))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWERS)], schema=ANSWERS)
 
 
@@ -333,25 +332,36 @@ def score(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str =
           owned: int = OWNED) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row, by a model of the rows where ``trained`` holds."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"),
-                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+                        F.spark_partition_id().alias("part"))  # that of the input, also where a task's own number is another
     model = train(texts.where("trained").select("text"), word_share)
     vocabulary, shared = model.vocabulary, model.shared
     floor = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
     owners = 1 + vocabulary.total // owned
-    answers = durable(requests(texts, model, owners, chunk, owned).groupBy("owner").applyInArrow(
-        answer, "owner long, chunk long, kind int, k long, c long, body binary"))
+    answers = durable(chunks(texts, model, chunk, owners, owned).groupBy("owner").applyInArrow(answer, "owner long, chunk long, kind int, body binary"))
+
+    def begun(common: bool) -> DataFrame:
+        """``k, c, f``: places of a word and the number of different words that follow it."""
+        def run(batches):
+            for batch in batches:
+                for body in batch.column(0).to_pylist():
+                    keys, *n = unpack(body, 3)
+                    keys = np.cumsum(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[(keys > 0) == common]) for x in (keys, *n)], ["k", "c", "f"])
+
+        return answers.where(F.col("kind") == FOLLOW).select("body").mapInArrow(run, "k long, c long, f long").groupBy("k").agg(
+            F.sum("c").alias("c"), F.sum("f").alias("f"))
 
-    follow = answers.where(F.col("kind") == FOLLOW).groupBy("k").agg(F.sum("c").alias("f"))
     # As many rows as there are common words, at most WORD_SHARE.
-    common = follow.where("k > 0").toPandas()
+    common = begun(True).toPandas()
     follows = np.zeros(len(vocabulary.counts), np.int64)
-    follows[common["k"].to_numpy(np.int64)] = common["f"]
+    follows[common["k"].to_numpy(np.int64)] = common["f"].to_numpy(np.int64)
     followed = docs.sparkSession.sparkContext.broadcast(follows)
 
     def rare(batches):
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = unpack(body, 6)[0]
+                keys = np.cumsum(unpack(body, 6)[0])
                 keys = keys[keys < 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name)), pa.array(keys)], ["chunk", "k"])
 
@@ -359,6 +369,7 @@ def score(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str =
         kind = table.column("kind").to_numpy()
         bodies = table.column("body").filter(pa.array(kind == SEQUENCE)).to_pylist()
         keys, seq, rows, ids, known, sizes = unpack(bodies[0], 6)
+        keys, rows = np.cumsum(keys), np.cumsum(rows)
         one = Chunk(keys, seq, rows, sizes)
         one.deal(shared.value, owners, owned)
         replies = table.filter(pa.array(kind == REPLY)).sort_by("owner").column("body").to_pylist()
@@ -383,12 +394,10 @@ def score(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str =
             scores.append(automaton.walk(automaton.enter(plain[s - 2], plain[s - 1]), plain[s:e]))
         return pa.Table.from_arrays([pa.array(rows), pa.array(ids, mask=known == 0), pa.array(sizes), *map(pa.array, sums), pa.array(scores, pa.float64())], schema=SCORES)
 
-    table = model.keyed().join(follow, "k", "left").select("k", "c", F.coalesce("f", F.lit(0)).alias("f"))
-    found = answers.where(F.col("kind") == SEQUENCE).select("chunk", "body").mapInArrow(rare, "chunk long, k long").join(table, "k")
-    nothing = F.lit(None)
-    parts = answers.where(F.col("kind").isin(REPLY, SEQUENCE)).select("chunk", "kind", "owner", nothing.cast("long").alias("k"), nothing.cast("long").alias("c"),
-                                                                      nothing.cast("long").alias("f"), "body")
-    parts = parts.unionByName(found.select("chunk", F.lit(WORD).alias("kind"), nothing.cast("long").alias("owner"), "k", "c", "f", nothing.cast("binary").alias("body")))
+    cut = chunks(texts, model, chunk).select("chunk", "body")
+    found = cut.mapInArrow(rare, "chunk long, k long").join(begun(False), "k")
+    parts = answers.where(F.col("kind") == REPLY).unionByName(cut.withColumn("kind", F.lit(SEQUENCE)), allowMissingColumns=True).unionByName(
+        found.withColumn("kind", F.lit(WORD)), allowMissingColumns=True)
     scored = parts.groupBy("chunk").applyInArrow(walked, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return scored.groupBy("row", "doc_id").agg(*sums).drop("row").withColumn("train_tokens", F.lit(vocabulary.total).cast("long"))
