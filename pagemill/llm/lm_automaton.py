@@ -39,7 +39,7 @@ from pagemill.session import durable
 
 WORD_SHARE = 1_000_000
 #: Places of a chunk.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Training places of an owner, on average.
 OWNED = 1 << 20
 #: A pair whose words both hold more than 1 in SPLIT_SHARE of all places has several owners.
