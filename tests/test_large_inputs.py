@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.functions import markdown_text as mt
-from pagemill.operators import markdown
+from pagemill.operators import blocks, markdown
 
 
 def test_plain_tables_are_one_token(rows):
@@ -27,3 +27,17 @@ def test_text_without_anything_to_rewrite_is_not_rewritten(value):
         assert value(lambda s: mt.squeeze_blank_lines(s) == old["blank"](s), s=t), t
         assert value(lambda s: mt.drop_empty_headings(s) == old["bare"](s), s=t), t
     assert value(mt.drop_heading_permalinks, s="### T [#](#t)") == "### T"
+
+
+def test_block_markup_travels_once(rows):
+    cells = lambda *values: "{" + ",".join(f'"c{i}":[["{v}"]]' for i, v in enumerate(values)) + "}"
+    records = rows("block_id string, type string, properties string, format string, content array<string>",
+                   ("p", "page", "{}", "{}", ["t", "e", "x"]), ("t", "table", "{}", '{"table_block_column_header":true}', ["r0", "n", "r1", "r2"]),
+                   ("r0", "table_row", "{}", "{}", []), ("r1", "table_row", cells("a", "b"), "{}", ["d"]), ("r2", "table_row", cells("c"), "{}", []),
+                   ("n", "text", '{"title":[["note"]]}', "{}", []), ("d", "text", '{"title":[["deep"]]}', "{}", []),
+                   ("e", "table", "{}", "{}", []), ("x", "text", '{"title":[["rows of no table"]]}', "{}", ["r3"]), ("r3", "table_row", cells("z"), "{}", []))
+    roots = rows("page_id string, block_id string", ("q", "p"))
+    assert blocks.to_html(records, roots).first().html == (
+        "<table>\n<tr><th>a</th><th>b</th></tr>\n<tr><td>c</td></tr>\n</table>\n<p>note</p>\n<p>deep</p>\n<p>rows of no table</p>\n")
+    made = blocks.fragments(blocks.tree(records, roots), records).groupBy("page_id").count()
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(page_id") == 1
