@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.functions import markdown_text as mt
-from pagemill.operators import blocks, markdown
+from pagemill.operators import blocks, embedded, markdown
 
 
 def test_plain_tables_are_one_token(rows):
@@ -41,3 +41,17 @@ def test_block_markup_travels_once(rows):
         "<table>\n<tr><th>a</th><th>b</th></tr>\n<tr><td>c</td></tr>\n</table>\n<p>note</p>\n<p>deep</p>\n<p>rows of no table</p>\n")
     made = blocks.fragments(blocks.tree(records, roots), records).groupBy("page_id").count()
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(page_id") == 1
+
+
+def test_scripts_are_searched_where_nothing_else_was_found(rows, monkeypatch):
+    page = '<script>window._ROUTER_DATA = {"loaderData":{"a":{"curDoc":{"Title":"T","MDContent":"text"}}}}</script>'
+    pages = rows("page_id long, html string", (1, page), (2, "<p>no script</p>"), (3, None))
+    searched, search = [], embedded.script_articles
+
+    def noted(some, *args):
+        searched.extend(r.page_id for r in some.collect())
+        return search(some, *args)
+
+    monkeypatch.setattr(embedded, "script_articles", noted)
+    assert [(r.page_id, r.source_type, r.body) for r in embedded.articles(pages).collect()] == [(1, "modernjs", "text")]
+    assert sorted(searched) == [2, 3]
