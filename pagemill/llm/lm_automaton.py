@@ -14,7 +14,8 @@ words can take:
 1. A chunk sends its distinct pairs and triples, with their training counts, as packed blocks to the owners of the pairs.
 2. An owner adds up the counts of all chunks and returns, in the order of each block, the count of each pair, the number of
    different words that follow it, and the count of each triple.
-3. The chunk builds states, arcs and failure arcs from that, and walks each text from left to right with a carried state.
+3. The chunk builds states, arcs and failure arcs from that, and walks its texts. The state behind two words is the same by whatever
+   arcs they are read, so it is looked up for all places at once, and all places take their arcs and failure arcs together.
 
 A pair of two very frequent words is split among several owners by its third word; the numbers of following words add up. A text
 longer than a chunk goes on in the next one with its last two words as context.
@@ -26,8 +27,10 @@ a partition must come in the same order if it is computed again, as those of fil
 
 from __future__ import annotations
 
+import array
 import collections
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,7 @@ END = b""
 #: Bits of a word's place among the words of a chunk.
 BITS = 21
 LOW = (1 << BITS) - 1
-REPLY, SEQUENCE, FOLLOW, WORD = range(4)
+REPLY, SEQUENCE, FOLLOW, WORD, RARE = range(5)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -79,9 +82,10 @@ class Vocabulary:
         self.counts = np.array([0, *counts], np.int64)
         self.number = {w: i for i, w in enumerate(common, 1)}
 
-    def key(self, word: bytes) -> int:
-        """The number of a common word, a negative 63-bit hash of any other."""
-        return self.number.get(word) or -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
+    def keys(self, words: Iterable[bytes]) -> list[int]:
+        """The numbers of common words, negative 63-bit hashes of all others."""
+        number, hashed, whole = self.number.get, hashlib.blake2b, int.from_bytes
+        return [number(w) or -1 - (whole(hashed(w, digest_size=8).digest(), "little") >> 1) for w in words]
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of common words; 0 for others."""
@@ -134,6 +138,25 @@ def distinct(codes: np.ndarray) -> np.ndarray:
     return codes[np.diff(codes, prepend=-1) != 0]
 
 
+def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes, and the place of each code among them."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    place = np.empty(len(codes), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return codes[new], place
+
+
+class Numbers(dict):
+    """Numbers of words from 1 on, in the order in which they came."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 class Chunk:
     """The distinct words of a chunk as sorted keys, and its pieces of texts as places among them, each behind two context words."""
 
@@ -144,13 +167,12 @@ class Chunk:
         self.places = np.arange(sizes.sum()) + np.repeat(2 * np.arange(1, len(sizes) + 1), sizes)
         u, v, w = seq[self.places - 2], seq[self.places - 1], seq[self.places]
         self.has_pair, self.has_triple = v != self.none, u != self.none
-        self.pair_at = (v << BITS | w)[self.has_pair]
-        self.triple_at = (u << 2 * BITS | v << BITS | w)[self.has_triple]
-        #: Sorted codes of distinct triples, and of distinct pairs, contexts of triples among them.
-        self.triples = distinct(self.triple_at)
-        self.context = self.triples >> BITS
-        self.pairs = distinct(np.concatenate([self.pair_at, self.context]))
-        self.context_of = np.searchsorted(self.pairs, self.context)
+        pair_at = (v << BITS | w)[self.has_pair]
+        #: Sorted codes of distinct triples, and of distinct pairs, contexts of triples among them; numbers of those at each place.
+        self.triples, self.triple_of = numbered((u << 2 * BITS | v << BITS | w)[self.has_triple])
+        context = self.triples >> BITS
+        self.pairs, number = numbered(np.concatenate([pair_at, context]))
+        self.pair_of, self.context_of = number[:len(pair_at)], number[len(pair_at):].astype(np.int64)
 
     def deal(self, vocabulary: Vocabulary, owners: int, owned: int) -> None:
         """Entries, that is pairs or splits of them, and triples in the order of their owners."""
@@ -173,8 +195,8 @@ class Chunk:
     def requests(self, weight: np.ndarray):
         """``owner, body`` for each owner; ``weight`` tells which pieces are for training."""
         trained = np.repeat(weight, self.sizes)
-        n2 = np.bincount(np.searchsorted(self.pairs, self.pair_at), trained[self.has_pair], len(self.pairs)).astype(np.int64)
-        n3 = np.bincount(np.searchsorted(self.triples, self.triple_at), trained[self.has_triple], len(self.triples)).astype(np.int64)[self.triple_order]
+        n2 = np.bincount(self.pair_of, trained[self.has_pair], len(self.pairs)).astype(np.int64)
+        n3 = np.bincount(self.triple_of, trained[self.has_triple], len(self.triples)).astype(np.int64)[self.triple_order]
         first, second = self.keys[self.pairs >> BITS][self.entry_pair], self.keys[self.pairs & LOW][self.entry_pair]
         n2 = np.where(self.entry_split == 0, n2[self.entry_pair], 0)
         third = self.keys[self.triples & LOW][self.triple_order]
@@ -188,26 +210,26 @@ class Chunk:
 def chunks(texts: DataFrame, model: Model, chunk: int, owners: int = 0, owned: int = 0) -> DataFrame:
     """``owner, chunk, body`` from ``doc_id, trained, text, part``: the blocks of all chunks, or without ``owners`` the chunks themselves.
 
-    Cutting texts twice costs less than carrying the chunks along with their blocks.
+    Cutting texts twice costs less than carrying the chunks along with their blocks. The words of a chunk that are not common are a
+    block too, of an owner that no other block has.
     """
     shared = model.shared
 
     def run(batches):
         vocabulary = shared.value
         name = row = None
-        local: dict[bytes, int] = {}
-        seq: list[int] = []
+        local, seq = Numbers(), array.array("q")
         pieces: list[tuple] = []
         size = 0
 
         def flush():
-            keys, place = np.unique(np.array([0, *map(vocabulary.key, local)], np.int64), return_inverse=True)
+            keys, place = np.unique(np.array([0, *vocabulary.keys(local)], np.int64), return_inverse=True)
             rows, ids, known, trained, sizes = (np.array(c, np.int64) for c in zip(*pieces))
-            place = place[np.array(seq, np.int64)]
+            place = place[np.frombuffer(seq, np.int64)]
             if owners:
                 one = Chunk(keys, place, rows, sizes)
                 one.deal(vocabulary, owners, owned)
-                found = list(one.requests(trained))
+                found = [(-1 - name, pack(np.diff(keys[keys < 0], prepend=0))), *one.requests(trained)]
             else:
                 found = [(None, pack(np.diff(keys, prepend=0), place, np.diff(rows, prepend=0), ids, known, sizes))]
             return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array([name] * len(found), pa.int64()),
@@ -223,14 +245,14 @@ def chunks(texts: DataFrame, model: Model, chunk: int, owners: int = 0, owned: i
                 while at < len(tokens):
                     piece = tokens[at:at + chunk - size]
                     before = tokens[max(0, at - 2):at]
-                    seq += [0] * (2 - len(before))
-                    seq += [local.setdefault(w, len(local) + 1) for w in before + piece]
+                    seq.extend([0] * (2 - len(before)))
+                    seq.extend(map(local.__getitem__, before + piece))
                     pieces.append((row, i or 0, i is not None, bool(trained), len(piece)))
                     size += len(piece)
                     at += len(piece)
                     if size == chunk:
                         yield flush()
-                        local, seq, pieces, size = {}, [], [], 0
+                        local, seq, pieces, size = Numbers(), array.array("q"), [], 0
                         name += 1
                 row += 1
         if pieces:
@@ -245,26 +267,31 @@ ANSWERS = pa.schema([("owner", pa.int64()), ("chunk", pa.int64()), ("kind", pa.i
 def answer(table: pa.Table) -> pa.Table:
     """What one owner returns: a reply to each block, and how many different pairs each word begins, and at how many places."""
     owner = table.column("owner")[0].as_py()
-    asked = list(zip(table.column("chunk").to_pylist(), table.column("body").to_pylist()))
-    blocks = [unpack(body, 6) for _, body in asked]
-    first, second, n2, triples_of, third, n3 = (np.concatenate(c) for c in zip(*blocks))
-    first = np.concatenate([np.cumsum(b[0]) for b in blocks])
-    keys, place = np.unique(np.concatenate([first, second, third]), return_inverse=True)
-    m, n = len(keys), len(first)
-    pairs, pair = np.unique(place[:n] * m + place[n:2 * n], return_inverse=True)
-    triples, triple = np.unique(np.repeat(pair, triples_of) * m + place[2 * n:], return_inverse=True)
+    if owner < 0:
+        return pa.Table.from_arrays([table.column("owner"), table.column("chunk"), pa.array([RARE] * len(table), pa.int32()), table.column("body")], schema=ANSWERS)
+    names, bodies = table.column("chunk").to_pylist(), table.column("body")
+    sizes = np.array([np.frombuffer(body.as_buffer(), "<i8", 6) for body in bodies])
+    n, n_third = sizes[:, 0].sum(), sizes[:, 4].sum()
+    # All blocks end to end; counts within a block are below its number of places.
+    words_at = np.empty(2 * n + n_third, np.int64)
+    n2, triples_of, n3 = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n_third, np.int32)
+    ends, third_ends = np.cumsum(sizes[:, 0]).tolist(), np.cumsum(sizes[:, 4]).tolist()
+    spans = list(zip([0, *ends], ends, [0, *third_ends], third_ends))
+    for body, (a, b, s, e) in zip(bodies, spans):
+        first, second, n2[a:b], triples_of[a:b], third, n3[s:e] = unpack(body.as_py(), 6)
+        words_at[a:b], words_at[n + a:n + b], words_at[2 * n + s:2 * n + e] = np.cumsum(first), second, third
+    keys, place = numbered(words_at)
+    del words_at
+    m = len(keys)
+    pairs, pair = numbered(place[:n].astype(np.int64) * m + place[n:2 * n])
+    triples, triple = numbered(np.repeat(pair, triples_of).astype(np.int64) * m + place[2 * n:])
+    del place, triples_of
     n2 = np.bincount(pair, n2, len(pairs)).astype(np.int64)
     n3 = np.bincount(triple, n3, len(triples)).astype(np.int64)
     follow = np.bincount((triples // m)[n3 > 0], minlength=len(pairs))
     seen = np.bincount((pairs // m)[n2 > 0], minlength=m)
     begun = np.bincount(pairs // m, n2, m).astype(np.int64)
-    n2, follow, n3 = n2[pair], follow[pair], n3[triple]
-    out = []
-    a = s = 0
-    for (name, _), block in zip(asked, blocks):
-        b, e = a + len(block[0]), s + len(block[4])
-        out.append((owner, name, REPLY, pack(n2[a:b], follow[a:b], n3[s:e])))
-        a, s = b, e
+    out = [(owner, name, REPLY, pack(n2[pair[a:b]], follow[pair[a:b]], n3[triple[s:e]])) for name, (a, b, s, e) in zip(names, spans)]
     out.append((owner, None, FOLLOW, pack(np.diff(keys[seen > 0], prepend=0), begun[seen > 0], seen[seen > 0])))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWERS)], schema=ANSWERS)
 
@@ -292,38 +319,46 @@ class Automaton:
         #: Where a word leads that was read behind the word before it.
         after = np.where(follow3 > 0, 1 + m + np.arange(len(v)), start[w])
         two, three = n2 > 0, n3 > 0
-        codes = np.concatenate([((1 + v) << BITS | w)[two], ((1 + m + at) << BITS | (chunk.triples & LOW))[three]])
-        self.arcs = dict(zip(codes.tolist(), range(len(codes))))
-        self.to = np.concatenate([after[two], after[shorter][three]]).tolist()
-        self.logp = np.log10(np.concatenate([p2[two], p3[three]])).tolist()
+        #: Arcs by state and word, in order: states of words come before those of pairs.
+        self.arcs = np.concatenate([((1 + v) << BITS | w)[two], ((1 + m + at) << BITS | (chunk.triples & LOW))[three]])
+        self.to = np.concatenate([after[two], after[shorter][three]])
+        self.logp = np.log10(np.concatenate([p2[two], p3[three]]))
         left = np.concatenate([[1.0], left2, left3])
-        self.weight = np.log10(np.where(left > 0, left, 1)).tolist()
-        self.fail = np.concatenate([np.zeros(1 + m, np.int64), start[w]]).tolist()
-        self.base, self.start = self.log_base.tolist(), start.tolist()
-
-    def enter(self, first: int, second: int) -> int:
-        """The state behind two context words."""
-        arc = self.arcs.get((1 + first) << BITS | second)
-        return self.start[second] if arc is None else self.to[arc]
+        self.weight = np.log10(np.where(left > 0, left, 1))
+        self.fail = np.concatenate([np.zeros(1 + m, np.int64), start[w]])
+        self.start, self.after = start, after
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each state and the word read there: its log-probability, and the state behind it."""
+        logp, behind = self.log_base[word], self.start[word]
+        lost = np.zeros(len(word))
+        waiting = np.flatnonzero(state)
+        state = state[waiting]
+        while len(waiting):
+            code = state << BITS | word[waiting]
+            arc = np.searchsorted(self.arcs, code)
+            found = self.arcs[np.minimum(arc, len(self.arcs) - 1)] == code if len(self.arcs) else np.zeros(len(code), bool)
+            logp[waiting[found]], behind[waiting[found]] = self.logp[arc[found]], self.to[arc[found]]
+            waiting, state = waiting[~found], state[~found]
+            lost[waiting] += self.weight[state]
+            state = self.fail[state]
+            waiting, state = waiting[state > 0], state[state > 0]
+        return logp + lost, behind
 
     def walk(self, state: int, ids: list[int]) -> float:
         """Log-probability of the words from a state on."""
-        arcs, to, logp, fail, weight, base, start = self.arcs.get, self.to, self.logp, self.fail, self.weight, self.base, self.start
         total = 0.0
         for w in ids:
-            while state:
-                arc = arcs(state << BITS | w)
-                if arc is not None:
-                    state = to[arc]
-                    total += logp[arc]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += base[w]
-                state = start[w]
+            logp, behind = self.read(np.array([state]), np.array([w]))
+            state, total = int(behind[0]), total + float(logp[0])
         return total
 
+    def walk_all(self, chunk: Chunk) -> np.ndarray:
+        """Log-probability of the word at every place of the chunk."""
+        state = self.start[chunk.seq[chunk.places - 1]]
+        state[chunk.has_triple] = self.after[chunk.context_of[chunk.triple_of]]
+        return self.read(state, chunk.seq[chunk.places])[0]
+
 
 SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -361,8 +396,7 @@ def score(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str =
     def rare(batches):
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = np.cumsum(unpack(body, 6)[0])
-                keys = keys[keys < 0]
+                keys = np.cumsum(unpack(body, 1)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name)), pa.array(keys)], ["chunk", "k"])
 
     def walked(table: pa.Table) -> pa.Table:
@@ -386,16 +420,11 @@ def score(docs: DataFrame, trained: Column, doc_id: str = "doc_id", text: str =
         automaton = Automaton(one, count, after, n2, follow3, by_triple, floor)
         ends = np.cumsum(sizes)
         real = seq[one.places]
-        sums = [np.add.reduceat(c, ends - sizes) for c in ((count[real] > 0).astype(np.int64), automaton.log_base[real])]
-        scores = []
-        plain = seq.tolist()
-        for e in (ends + 2 * np.arange(1, len(ends) + 1)).tolist():
-            s = e - int(sizes[len(scores)])
-            scores.append(automaton.walk(automaton.enter(plain[s - 2], plain[s - 1]), plain[s:e]))
-        return pa.Table.from_arrays([pa.array(rows), pa.array(ids, mask=known == 0), pa.array(sizes), *map(pa.array, sums), pa.array(scores, pa.float64())], schema=SCORES)
+        sums = [np.add.reduceat(c, ends - sizes) for c in ((count[real] > 0).astype(np.int64), automaton.log_base[real], automaton.walk_all(one))]
+        return pa.Table.from_arrays([pa.array(rows), pa.array(ids, mask=known == 0), pa.array(sizes), *map(pa.array, sums)], schema=SCORES)
 
     cut = chunks(texts, model, chunk).select("chunk", "body")
-    found = cut.mapInArrow(rare, "chunk long, k long").join(begun(False), "k")
+    found = answers.where(F.col("kind") == RARE).select("chunk", "body").mapInArrow(rare, "chunk long, k long").join(begun(False), "k")
     parts = answers.where(F.col("kind") == REPLY).unionByName(cut.withColumn("kind", F.lit(SEQUENCE)), allowMissingColumns=True).unionByName(
         found.withColumn("kind", F.lit(WORD)), allowMissingColumns=True)
     scored = parts.groupBy("chunk").applyInArrow(walked, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -121,3 +121,44 @@ def test_frequent_pairs_are_split(docs, monkeypatch):
     chunk = Chunk(np.arange(3), np.array([0, 0, 1, 2, 1, 2, 2, 1]), np.array([0]), np.array([6]))
     chunk.deal(vocabulary, 7, 20)
     assert len(chunk.entry_pair) > len(chunk.pairs) and chunk.triples_of.sum() == len(chunk.triples)
+
+
+def test_all_places_at_once():
+    """The places of a chunk score as its texts do that are walked word by word with a carried state; many words, so that codes are long."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 60, 400)
+    texts = [np.minimum(rng.zipf(1.2, n), 4_000) for n in sizes]
+    chunk = Chunk(np.arange(4_001), np.concatenate([np.append([0, 0], t) for t in texts]), np.arange(400), sizes)
+    pairs = list(zip((chunk.pairs >> BITS).tolist(), (chunk.pairs & (1 << BITS) - 1).tolist()))
+    triples = [(*pairs[c], t & (1 << BITS) - 1) for c, t in zip(chunk.context_of.tolist(), chunk.triples.tolist())]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in (t.tolist() for t in texts[::2]):  # the others are held out
+        one.update(t)
+        two.update(zip(t, t[1:]))
+        three.update(zip(t, t[1:], t[2:]))
+    follow2, follow3 = collections.Counter(p[0] for p in two), collections.Counter(t[:2] for t in three)
+    numbers = [np.array(x) for x in ([one[w] for w in range(4_001)], [follow2[w] for w in range(4_001)], [two[p] for p in pairs], [follow3[p] for p in pairs], [three[t] for t in triples])]
+    model = Automaton(chunk, *numbers, sum(one.values()) + 0.5 * (len(one) + 1))
+    got = np.add.reduceat(model.walk_all(chunk), np.cumsum(sizes) - sizes)
+    assert np.allclose(got, [model.walk(0, t.tolist()) for t in texts], atol=1e-9)
+
+
+def test_an_owner_keeps_its_memory_small():
+    """An owner holds the blocks of its chunks once, not several times as longs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagemill.llm.lm_automaton import answer
+    rng = np.random.default_rng(5)
+    n, blocks = 20_000, []
+    for _ in range(20):
+        first, second, third = np.sort(rng.integers(1, 5_000, n)), rng.integers(1, 5_000, n), rng.integers(1, 5_000, n)
+        blocks.append(pack(np.diff(first, prepend=0), second, np.ones(n, np.int64), np.ones(n, np.int64), third, np.ones(n, np.int64)))
+    table = pa.table({"owner": pa.array([0] * 20, pa.int64()), "chunk": pa.array(range(20), pa.int64()), "body": pa.array(blocks, pa.binary())})
+    tracemalloc.start()
+    got = answer(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 21 and sum(int(unpack(b, 3)[0].sum() > 0) for b in got.column("body").to_pylist()) == 21
+    assert most < 150 * 20 * n, most / (20 * n)
