@@ -2,12 +2,15 @@
 
 A page is read into text blocks. Blocks inside elements that never hold an article (menus, footers, forms, scripts, adverts, notices,
 reader comments and the like, known by tag or by a word of their class or id) go. What remains lies inside ``article`` or
-``main``, or outside of both. Every page is paired with the page of its host whose URL path is nearest in sorted order; the outside
-blocks of the two are aligned by longest common subsequence, and shared ones are deleted as template.
+``main``, or outside of both. Every page is aligned, by longest common subsequence of all its blocks, with the page of its host whose
+URL path is nearest in sorted order and that is neither empty nor a copy (over 80 of 100 characters shared); the outside blocks that
+both share are deleted as template.
 
-Blocks inside an ``article`` or ``main`` element are not differenced: articles repeat whole passages and even each other, and a
-passage that two articles share is part of both. Nor is a page differenced against a copy of itself (over 80 of 100
-characters shared). If a page has an article element with text, its outside blocks are not part of the main text.
+Blocks inside an ``article`` or ``main`` element are aligned too, but articles repeat whole passages and even each other, and a passage
+that some articles share is part of each. Such a block is template only at the beginning or the end of the article, and only if it
+is shared in order with each of the ``TEMPLATE_PAGES`` nearest pages that have another article (not over half of whose characters are
+shared); with fewer such pages within ``REACH`` nothing is deleted there. If a page has an article element with text, its outside
+blocks are not part of the main text. Pages of a host with equal blocks are one page here, at the first of their paths.
 
 White space in a block becomes one blank, character references are decoded, blocks are joined by an empty line in page order. Null
 and empty pages give an empty text; a page without a host or without another page on it is not differenced. Repeated rows and null ids are kept.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import html
+import itertools
 import re
 from collections import defaultdict
 
@@ -26,9 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.operators.sequence import row_numbers
 from pagemill.session import durable
 
 COPY_PERCENT = 80
+#: Pages on each side, in the order of paths, that a page can be aligned with.
+REACH = 8
+#: Other articles that must share a block at the edge of an article before it counts as template, and what share of two articles makes them copies.
+TEMPLATE_PAGES, SAME_PERCENT = 8, 50
+#: Pages of a host that one task aligns.
+BLOCK = 1_000
 #: Deletions broadcast to the pages; beyond this number they are joined by shuffle.
 BROADCAST_PAGES = 200_000
 
@@ -167,93 +178,98 @@ def with_key(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
     return slim.withColumn("key", F.xxhash64("page_id", "url", "html"))
 
 
-def outside_lines(pages: DataFrame) -> DataFrame:
-    """``key, host, path, lines`` of the pages whose main text is not inside an article element."""
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])))
+def page_lines(pages: DataFrame) -> DataFrame:
+    """``key, host, path, lines, digest`` of the pages that have a host and text: hash, length and zone of each block."""
+    line = pa.struct([("h", pa.int64()), ("n", pa.int64()), ("main", pa.bool_())])
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("main", T.BooleanType())])))
     def lines(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            found = blocks(text)
-            out.append(None if any(z == MAIN for z, _ in found) else [{"h": xxhash.xxh64_intdigest(t) - 2**63, "n": len(t)} for z, t in found if z == OUTSIDE])
-        return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
+        return pa.array([[{"h": xxhash.xxh64_intdigest(t) - 2**63, "n": len(t), "main": z == MAIN} for z, t in blocks(text)] for text in texts.to_pylist()], pa.list_(line))
 
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return pages.select("key", host.alias("host"), path.alias("path"), lines("html").alias("lines")).where("lines IS NOT NULL AND host <> ''").dropDuplicates(["key"])
+    found = pages.select("key", host.alias("host"), path.alias("path"), lines("html").alias("lines")).where("size(lines) > 0 AND host <> ''")
+    return found.dropDuplicates(["key"]).withColumn("digest", F.xxhash64("lines"))
 
 
 def common_prefix(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def deletions(outside: DataFrame) -> DataFrame:
-    """``key, gone``: the places of the outside blocks that a page shares with the page of the nearest path on its host.
+def template(path: str, lines: list, near: list[tuple[str, list]]) -> list[int]:
+    """The places of a page's blocks that are template, given the ``path, lines`` of pages around it, the nearest first."""
+    outside = not all(main for *_, main in lines)
+    article = sum(n for _, n, main in lines if main)
+    gone: list[int] = []
+    shared, others = None, 0
+    for _, other in near:
+        if outside:
+            found = shared_lines([x[:2] for x in lines], [x[:2] for x in other])
+            if found or not {h for h, *_ in lines} & {h for h, *_ in other}:  # not a copy
+                gone, outside = [k for k in found if not lines[k][2]], False
+        if article and others < TEMPLATE_PAGES and shared != set():
+            mine, theirs = ([(k, h, n) for k, (h, n, main) in enumerate(x) if main] for x in (lines, other))
+            found = common_lines([h for _, h, _ in mine], [h for _, h, _ in theirs])
+            both = 100 * sum(mine[i][2] for i in found)
+            if theirs and both <= SAME_PERCENT * min(article, sum(n for *_, n in theirs)):
+                shared = {mine[i][0] for i in found} & (shared if shared is not None else {k for k, *_ in mine})
+                others += 1
+        if not outside and (not article or others == TEMPLATE_PAGES or shared == set()):
+            break
+    if shared and others == TEMPLATE_PAGES:
+        places = [k for k, (*_, main) in enumerate(lines) if main]
+        for side in (places, places[::-1]):
+            gone += itertools.takewhile(shared.__contains__, side)
+    return sorted(set(gone))
+
+
+def aligned(table: pa.Table) -> pa.Table:
+    """``host, digest, gone`` of the pages of a block, which comes with ``REACH`` pages on either side."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rn", "own", "path", "lines", "host", "digest"))), key=lambda r: r[0])
+    pages = [(r[2], [(x["h"], x["n"], x["main"]) for x in r[3]]) for r in rows]
+    out = []
+    for k, (_, own, path, _, host, digest) in enumerate(rows):
+        if own:
+            sides = [pages[max(0, k - REACH):k][::-1], pages[k + 1:k + 1 + REACH]]
+            near = sorted(((d, side, p) for side, found in enumerate(sides) for d, p in enumerate(found)), key=lambda x: (-common_prefix(x[2][0], path), x[0], x[1]))
+            out.append((host, digest, template(path, pages[k][1], [p for *_, p in near])))
+    out = [r for r in out if r[2]]
+    return pa.table({"host": pa.array([r[0] for r in out], pa.string()), "digest": pa.array([r[1] for r in out], pa.int64()),
+                     "gone": pa.array([r[2] for r in out], pa.list_(pa.int32()))})
+
+
+def deletions(lines: DataFrame) -> DataFrame:
+    """``key, gone``: the places of the blocks that are template, for pages that have such blocks.
 
-    Pages are sorted in ranges over the cluster. The first and last page of each range, one of each for a partition, are known to
-    the driver, so that neighbours meet across ranges too.
+    The different pages of a host are numbered in the order of their paths and dealt in blocks; the pages at the ends of a block go
+    to the next block as well.
     """
-    spark = outside.sparkSession
-    ordered = durable(outside.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("part", F.spark_partition_id()))
-    edge = F.struct("host", "path", "key", "lines")
-    edges = ordered.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("part").collect()
-    around = spark.sparkContext.broadcast({r.part: (edges[k - 1].last if k else None, edges[k + 1].first if k + 1 < len(edges) else None) for k, r in enumerate(edges)})
-
-    def run(batches):
-        schema = pa.schema([("key", pa.int64()), ("gone", pa.list_(pa.int32()))])
-        waiting: list = []  # the page before, the page itself
-        part = None
-
-        def as_page(row):
-            return (row[0], row[1], row[2], [(x["h"], x["n"]) for x in row[3]])
-
-        def result(before, page, after):
-            near = [p for p in (before, after) if p and p[0] == page[0]]
-            if not near:
-                return page[2], []
-            partner = max(near, key=lambda p: common_prefix(p[1], page[1]))
-            return page[2], shared_lines(page[3], partner[3])
-
-        def batch_of(rows):
-            rows = [r for r in rows if r[1]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=schema)
-
-        for batch in batches:
-            rows = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                page = as_page(row)
-                if part is None:
-                    part = row[4]
-                    before = around.value[part][0]
-                    waiting = [as_page(before) if before else None, page]
-                    continue
-                rows.append(result(waiting[0], waiting[1], page))
-                waiting = [waiting[1], page]
-            yield batch_of(rows)
-        if waiting:
-            after = around.value[part][1]
-            yield batch_of([result(waiting[0], waiting[1], as_page(after) if after else None)])
-
-    return ordered.select("host", "path", "key", "lines", "part").mapInArrow(run, "key long, gone array<int>")
+    first = F.min(F.struct("path", "key")).alias("at")
+    different = lines.groupBy("host", "digest").agg(first, F.first("lines").alias("lines")).select("host", "at.path", "at.key", "digest", "lines")
+    numbered = row_numbers(different, ["host"], ["path", "key"]).withColumn("block", F.expr(f"(rn - 1) div {BLOCK}"))
+    blocks_of = F.array_distinct(F.array(*[F.greatest(F.lit(0), F.expr(f"(rn - 1 + {d}) div {BLOCK}")) for d in (0, -REACH, REACH)]))
+    dealt = numbered.withColumn("to", F.explode(blocks_of)).withColumn("own", F.col("to") == F.col("block"))
+    gone = dealt.select("host", "to", "rn", "own", "path", "lines", "digest").groupBy("host", "to").applyInArrow(
+        aligned, "host string, digest long, gone array<int>")
+    return lines.select("key", "host", "digest").join(gone, ["host", "digest"]).select("key", "gone")
 
 
 @F.arrow_udf(T.StringType())
 def main_text(pages: pa.Array, gone: pa.Array) -> pa.Array:
-    """The main text of a page, without the outside blocks at the places given."""
+    """The main text of a page, without the blocks at the places given."""
     out = []
     for page, places in zip(pages.to_pylist(), gone.to_pylist()):
         found = blocks(page)
-        main = [t for z, t in found if z == MAIN]
-        if not main:
-            drop = set(places or ())
-            main = [t for k, t in enumerate(t for z, t in found if z == OUTSIDE) if k not in drop]
-        out.append("\n\n".join(main))
+        zone = MAIN if any(z == MAIN for z, _ in found) else OUTSIDE
+        drop = set(places or ())
+        out.append("\n\n".join(t for k, (z, t) in enumerate(found) if z == zone and k not in drop))
     return pa.array(out, pa.string())
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     keyed = with_key(pages, page_id, url, page)
-    gone = durable(deletions(outside_lines(keyed)))
+    gone = durable(deletions(durable(page_lines(keyed))))
     few = F.broadcast if gone.count() <= BROADCAST_PAGES else (lambda df: df)
     joined = keyed.join(few(gone), "key", "left")
     text: Column = main_text("html", "gone")

@@ -51,3 +51,31 @@ def test_zones_and_broken_markup():
     assert blocks("<main><header><h1>kept</h1></header><article class='comment'>no</article><li>x<li>y<ul><li>z</ul></main>") == [(1, "kept"), (1, "x"), (1, "y"), (1, "z")]
     assert blocks("<p>a<script>var t='</p>';</script> b<!-- c --><style>d</style>") == [(0, "a b")]
     assert blocks("") == [] and blocks("<" * 50 + "x")[0][1].endswith("x") and blocks("<p>unclosed <b") != []
+
+
+def test_pages_with_an_article_are_differenced(spark):
+    """Template that all neighbours repeat at the edges of their articles goes; passages that some or many articles share stay."""
+    own = lambda k: [f"Own text {k} line {j}, which goes on for a while." for j in range(4)]
+    inner = lambda k: [*own(k)[:2], *(["A passage in every article."]), *own(k)[2:], *(["Shared by some."] if k % 3 else [])]
+
+    def page(lines):
+        return "<html><body><div>Site</div><article><p>By our staff</p>" + "".join(f"<p>{x}</p>" for x in lines) + "<p>Share this text</p></article><div>Rights</div></body></html>"
+    rows = [(k, f"https://h.org/a/{k:03d}", page(inner(k))) for k in range(40)]
+    rows += [(100 + k, f"https://h.org/a/020/{k}", page(inner(20))) for k in range(12)]  # copies
+    rows += [(200 + k, f"https://small.org/{k}", page(inner(k))) for k in range(5)]  # too few to tell
+    rows += [(300 + k, f"https://same.org/{k:02d}", page([*own(0), *own(1), f"Edit {k}"])) for k in range(30)]  # near copies of one article
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[k] == "\n\n".join(inner(k)) for k in range(40))
+    assert all(got[100 + k] == got[20] for k in range(12))
+    assert all(got[200 + k] == "\n\n".join(["By our staff", *inner(k), "Share this text"]) for k in range(5))
+    assert all(got[300 + k] == "\n\n".join(["By our staff", *own(0), *own(1), f"Edit {k}", "Share this text"]) for k in range(30))
+
+
+def test_next_different_page(spark):
+    """Empty pages and copies are gone past, also across the blocks of a host."""
+    body = lambda k: "".join(f"<p>Own text {k} line {j}, which goes on for a while.</p>" for j in range(4))
+    rows = [(k, f"https://h.org/{k:05d}", f"<div>Site name</div>{body(k)}") for k in range(2_100)]
+    rows += [(10_000 + k, f"https://h.org/{k:05d}/b", "") for k in range(2_100)] + [(20_000 + k, f"https://h.org/{k:05d}/c", f"<div>Site name</div>{body(k)}<p>z</p>") for k in range(0, 2_100, 100)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [k for k, t in got.items() if "Site name" in t] == [] and got[10_005] == ""
+    assert got[999] == "\n\n".join(f"Own text 999 line {j}, which goes on for a while." for j in range(4))
