@@ -161,7 +161,12 @@ def repeated_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
     try:
         raw = np.frombuffer(b"\0".join(bodies) + b"\0" * (length + 9), np.uint8)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        text = raw[:int(starts[-1] + sizes[-1]) + 2].astype(np.uint16) + np.uint16(FIRST_BYTE)
+        text = raw[:int(starts[-1] + sizes[-1]) + 2]
+        # Only the bytes that occur are letters: their number decides over the number of queues and the width of a letter.
+        used = np.flatnonzero(np.bincount(text, minlength=256))
+        letter = np.zeros(256, np.uint8 if len(used) + FIRST_BYTE <= 256 else np.uint16)
+        letter[used] = FIRST_BYTE + np.arange(len(used))
+        text = letter[text]
         text[starts[1:] - 1] = SEPARATOR
         text[-2], text[-1] = SEPARATOR, 0
         text = scratch.keep(text)

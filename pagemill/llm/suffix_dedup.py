@@ -7,7 +7,8 @@ four steps, each of which keeps every true repeat:
    form a run. Equal windows have equal owners, so runs whose owner occurs once in the corpus are out.
 2. Of the runs left, equal ones are added up before the shuffle.
 3. Runs go to shards by owner, so all equal windows meet in one shard. Its suffixes are sorted by external induced sorting
-   (``induced_sort``), and neighbours that agree in ``length`` bytes are repeats, as are runs that were added up.
+   (``induced_sort``), and neighbours that agree in ``length`` bytes are repeats, as are runs that were added up. A run whose owner
+   has no other run is not sorted: within a run every window has its smallest gram at another offset, so no two are equal.
 4. The spans go back to the texts in which their runs occur.
 
 Common-prefix values are not carried through induction but read off neighbours at the end, up to ``length`` bytes; the inner order of
@@ -19,6 +20,7 @@ lose the same bytes. Rows keep their ids, null or not.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 
 import numpy as np
@@ -37,6 +39,7 @@ SHARD_BYTES = 3 << 20
 PIECE = 1 << 15
 #: Texts with candidate runs that are picked by a broadcast of their hashes; beyond this number they are joined by shuffle.
 BROADCAST_TEXTS = 2_000_000
+HOT_SHARE = 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -143,9 +146,16 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[number]), pa.array(first.astype(np.int32))], ["key", "id", "first"])
 
     slim = texts.select("id", "text")
-    repeated = slim.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    found = slim.mapInArrow(places, "key long, id long, first int").join(repeated, "key", "left_semi")
-    return found.groupBy("id").agg(F.collect_set("first").alias("firsts"))
+    repeated = durable(slim.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    # Places of a key that holds more than one in HOT_SHARE of all (there are fewer than HOT_SHARE such keys) are dealt over many tasks.
+    deals = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = repeated.where(F.col("n") > max(total // HOT_SHARE, 1_000)).select("key", F.lit(True).alias("hot"))
+    dealt = repeated.select("key").join(F.broadcast(hot), "key", "left").select(
+        "key", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(deals - 1))).otherwise(F.array(F.lit(0)))).alias("deal"))
+    found = slim.mapInArrow(places, "key long, id long, first int").join(F.broadcast(hot), "key", "left").withColumn(
+        "deal", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "first"), F.lit(deals)).cast("int")).otherwise(F.lit(0)))
+    return found.join(dealt, ["key", "deal"], "left_semi").groupBy("id").agg(F.collect_set("first").alias("firsts"))
 
 
 def _wanted_runs(batch, length: int):
@@ -210,20 +220,29 @@ def merged_spans(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[np.append(True, cut)], starts[np.append(cut, True)] + length], axis=1).astype(np.int32)
 
 
+def spans_of(held: dict[bytes, list], length: int):
+    """``digest, starts`` of the repeats in the bodies of a shard, given by digest as body, owner and number."""
+    runs = collections.Counter(owner for _, owner, _ in held.values())
+    several = {d: body for d, (body, owner, _) in held.items() if runs[owner] > 1}
+    found = dict(zip(several, repeated_starts(list(several.values()), length)))
+    none = np.zeros(0, np.int64)
+    for d, (body, _, n) in held.items():
+        yield d, np.arange(len(body) - length + 1) if n > 1 else found.get(d, none)
+
+
 def shard_spans(bodies: DataFrame, length: int, shards: int) -> DataFrame:
     """``digest, spans`` of the run bodies that hold repeats; one suffix order for each shard."""
     def run(batches):
         forget()
         held: dict[bytes, list] = {}
         for batch in batches:
-            for digest, body, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.setdefault(digest, [body, 0])[1] += n
-        found = repeated_starts([b for b, _ in held.values()], length)
-        out = [(d, merged_spans(np.arange(len(b) - length + 1) if n > 1 else starts, length).tobytes()) for (d, (b, n)), starts in zip(held.items(), found)]
+            for digest, body, n, owner in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                held.setdefault(digest, [body, owner, 0])[2] += n
+        out = [(d, merged_spans(starts, length).tobytes()) for d, starts in spans_of(held, length)]
         out = [x for x in out if x[1]]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["digest", "spans"])
 
-    return bodies.select("digest", "body", "n", "owner").repartition(shards, "owner").select("digest", "body", "n").mapInArrow(run, "digest binary, spans binary")
+    return bodies.select("digest", "body", "n", "owner").repartition(shards, "owner").mapInArrow(run, "digest binary, spans binary")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -264,13 +283,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, sh
     keyed = docs.withColumn("__key", F.unhex(F.md5(body)))
     same = F.col("__key") == F.col("__md5")
     cut = lambda df: df.withColumn("__cut", cut_out(body, F.col("__found"))).drop("__key", "__md5", "__found")
+    whole = F.struct(body.alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     if found.count() > BROADCAST_TEXTS:
         return cut(keyed.join(found, same, "left"))
-    # Only the texts that lose something are shuffled.
+    # Only the texts that lose something are shuffled and cut.
     some = F.broadcast(found.select("__md5"))
-    untouched = keyed.join(some, same, "left_anti").withColumns({
-        "__md5": F.lit(None).cast("binary"), "__found": F.lit(None).cast(found.schema["__found"].dataType)})
-    return cut(keyed.join(some, same, "left_semi").join(found, same).select(untouched.columns).unionAll(untouched))
+    untouched = keyed.join(some, same, "left_anti").drop("__key").withColumn("__cut", whole)
+    return cut(keyed.join(some, same, "left_semi").join(found, same)).select(untouched.columns).unionAll(untouched)
 
 
 def cut_texts(docs: DataFrame, **options: int) -> DataFrame:

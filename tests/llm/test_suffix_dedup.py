@@ -69,3 +69,33 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lone_runs_are_not_sorted(monkeypatch):
+    """A run that no other run of its owner can share a window with needs no suffix order."""
+    sorted_ = []
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda bodies, length: sorted_.extend(bodies) or repeated_starts(bodies, length))
+    rng = np.random.default_rng(6)
+    text = bytes(rng.integers(97, 123, 5_000).astype(np.uint8))
+    texts, held = [text, text, b"-" * 9 + text[:900], bytes(rng.integers(97, 123, 500).astype(np.uint8))], {}
+    for numbers, firsts, lasts, owners in suffix_dedup.owned_runs(texts, 200):
+        for k, a, b, owner in zip(numbers.tolist(), firsts.tolist(), lasts.tolist(), owners.tolist()):
+            body = texts[k][a:b + 200]
+            held.setdefault(hashlib.md5(body).digest(), [body, owner, 0])[2] += 1
+    got = dict(suffix_dedup.spans_of(held, 200))
+    assert len(sorted_) < len(held) / 4
+    counts = collections.Counter(b[i:i + 200] for b, _, n in held.values() for i in range(len(b) - 199) for _ in range(min(n, 2)))
+    assert {d: s.tolist() for d, s in got.items()} == {d: [i for i in range(len(b) - 199) if counts[b[i:i + 200]] > 1] for d, (b, _, _) in held.items()}
+
+
+def test_texts_without_repeats_stay_in_the_engine(spark):
+    """A very common passage is dealt over many tasks; texts that lose nothing do not go through Python."""
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared = word(220)
+    texts = [word(20) + shared for _ in range(1_200)] + [word(300) for _ in range(20)]
+    out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cut_out(") == 1, plan
+    got = sorted((r.doc_id, r.a, bytes(r.k)) for r in out.selectExpr("doc_id", "__cut.n_removed a", "__cut.kept k").collect())
+    assert got == [(i, a, k) for i, (_, a, _, k) in enumerate(brute([t.encode() for t in texts], 200))]
