@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -268,8 +269,9 @@ _PER_WORKER: list = []
 
 
 def forget() -> None:
-    """Let go of what an earlier job keeps in this worker."""
+    """Let go of what an earlier job keeps in this worker, and of the memory that Arrow keeps for later."""
     _PER_WORKER.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def per_worker(key, build):

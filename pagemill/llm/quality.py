@@ -33,6 +33,8 @@ VOCABULARY = 30_000
 DIM, NONZERO, WINDOW = 64, 6, 2
 #: Tasks that gather the vectors of the bounded sample, each with a table of the whole vocabulary.
 TASKS = 8
+#: Words of a text, or rows of a table of vectors, that are handled at once.
+PART = 2_000
 SHAPES = ["\x00upper", "\x00lower", "\x00title", "\x00digit", "\x00mixed", "\x00marks"]
 HIDDEN, EPOCHS, SEED = 32, 60, 17
 THRESHOLD = 0.3
@@ -78,6 +80,28 @@ def frequent_units(texts: DataFrame, most: int = VOCABULARY) -> list[str]:
     return [r.word for r in totals.orderBy(F.desc("n"), "word").limit(most).collect()] + SHAPES
 
 
+def add_vectors(total: np.ndarray, row: dict[str, int], found: list[str]) -> None:
+    """Add the context vectors of a text's words to the rows of ``total``; only ``PART`` words of a text have theirs at once."""
+    names = list(dict.fromkeys(found))
+    number = {w: i for i, w in enumerate(names)}
+    ids = np.array([number[w] for w in found])
+    index = np.array([index_vector(w) for w in names])
+    known = np.array([row.get(w, -1) for w in names])
+    class_of = np.array([row[shape(w)] for w in names])
+    for a in range(0, len(ids), PART):
+        here = ids[a:a + PART]
+        before, after = ids[max(0, a - WINDOW):a], ids[a + PART:a + PART + WINDOW]
+        empty = np.zeros((WINDOW + 1, DIM), np.int64)
+        around = np.cumsum(np.concatenate([empty[len(before):], index[before], index[here], index[after], empty[len(after) + 1:]]), axis=0)
+        around = around[2 * WINDOW + 1:] - around[:-2 * WINDOW - 1]
+        order = np.argsort(here, kind="stable")
+        starts = np.flatnonzero(np.diff(here[order], prepend=-1))
+        vectors, word = np.add.reduceat(around[order], starts), here[order][starts]
+        listed = known[word] >= 0
+        total[known[word][listed]] += vectors[listed]
+        np.add.at(total, class_of[word], vectors)
+
+
 def context_vectors(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, np.ndarray]:
     """Context vectors of the most frequent words and of all shapes; each task adds up its own before the shuffle."""
     words = frequent_units(texts, vocabulary)
@@ -90,21 +114,12 @@ def context_vectors(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str,
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = _units(text or "")
-                if not found:
-                    continue
-                names = list(dict.fromkeys(found))
-                number = {w: i for i, w in enumerate(names)}
-                ids = np.array([number[w] for w in found])
-                index = np.array([index_vector(w) for w in names])
-                around = np.cumsum(np.concatenate([np.zeros((WINDOW + 1, DIM), np.int64), index[ids], np.zeros((WINDOW, DIM), np.int64)]), axis=0)
-                around = around[2 * WINDOW + 1:] - around[:-2 * WINDOW - 1]
-                order = np.argsort(ids, kind="stable")
-                vectors = np.add.reduceat(around[order], np.flatnonzero(np.diff(ids[order], prepend=-1)), axis=0)
-                known = np.array([row.get(w, -1) for w in names])
-                total[known[known >= 0]] += vectors[known >= 0]
-                np.add.at(total, [row[shape(w)] for w in names], vectors)
+                if found:
+                    add_vectors(total, row, found)
         used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, k]) for k in range(DIM))], ["row", *(f"v{k}" for k in range(DIM))])
+        for a in range(0, len(used), PART):
+            part = used[a:a + PART]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(total[part, k]) for k in range(DIM))], ["row", *(f"v{k}" for k in range(DIM))])
 
     partial = texts.coalesce(TASKS).mapInArrow(run, f"row long, {fields}")
     totals = partial.groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)]).collect()

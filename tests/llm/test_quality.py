@@ -1,7 +1,9 @@
 """Held-out accuracy on the given labels, and odd inputs."""
 
+import numpy as np
 import pytest
 
+from pagemill.llm import quality
 from pagemill.llm.queries import op2_quality
 from pagemill.llm.quality import keep_good, score_documents
 
@@ -35,3 +37,28 @@ def test_one_kind_of_label_or_none(spark, labels, expected):
     got = score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert {r.score for r in got} == {expected}
     assert score_documents(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_long_texts_need_little_memory():
+    """The context vectors of a long text are added up part by part, with the sums of the whole text."""
+    import tracemalloc
+    found = ["w%d" % (k * k % 397) for k in range(30_000)]
+    row = {w: i for i, w in enumerate([*dict.fromkeys(found[:300]), *quality.SHAPES])}
+    want = np.zeros((len(row), quality.DIM), np.int64)
+    index = np.array([quality.index_vector(w) for w in found])
+    padded = np.concatenate([np.zeros((quality.WINDOW, quality.DIM), np.int64), index, np.zeros((quality.WINDOW, quality.DIM), np.int64)])
+    around = sum(padded[k:k + len(found)] for k in range(2 * quality.WINDOW + 1))
+    for k, w in enumerate(found):
+        if w in row:
+            want[row[w]] += around[k]
+        want[row[quality.shape(w)]] += around[k]
+    for size in (1, 2, 5, 301, 5_000):
+        total = np.zeros_like(want)
+        quality.add_vectors(total, row, found[:size])
+        assert total.any() and (size > 2 or (total[row[found[0]]] == index[:size].sum(axis=0)).all())
+    total = np.zeros_like(want)
+    tracemalloc.start()
+    quality.add_vectors(total, row, found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total == want).all() and most < 12 << 20, most
