@@ -48,26 +48,28 @@ def gram_hashes(raw: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """Hashes of all grams of a power of two, made by doubling, and their size."""
     size, h = 1, (raw.astype(np.uint64) + np.uint64(1)) * _A
     while size * 3 <= length and size < 64:
-        h = (h[:-size] * _B + h[size:]) * _A
-        h ^= h >> np.uint64(31)
-        size *= 2
+        longer = h[:-size] * _B
+        longer += h[size:]
+        longer *= _A
+        longer ^= longer >> np.uint64(31)
+        h, size = longer, size * 2
     return h, size
 
 
-def sliding(x: np.ndarray, width: int, op, least) -> np.ndarray:
-    """Running minimum or maximum from block-wise prefixes and suffixes."""
-    blocks = np.full((-(-len(x) // width), width), least, np.uint64)
-    blocks.ravel()[:len(x)] = x
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[:len(x) - width + 1], ahead[width - 1:len(x)])
+def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
+    """Running minimum or maximum, from those of widths that double."""
+    size, out, n = 1, x, len(x) - width + 1
+    while size * 2 <= width:
+        out = op(out[:-size], out[size:])
+        size *= 2
+    return op(out[:n], out[width - size:width - size + n])
 
 
 def windows(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window start: the place of its smallest gram (the last of equal ones), and the hash of that gram."""
     h, size = gram_hashes(raw, length)
     place = _PLACE - np.arange(len(h), dtype=np.uint64)
-    low = sliding((h & ~_PLACE) | place, length - size + 1, np.minimum, np.uint64(2**64 - 1))
+    low = sliding((h & ~_PLACE) | place, length - size + 1, np.minimum)
     low = (_PLACE - (low & _PLACE)).astype(np.int64)
     return low, h[low]
 
@@ -92,26 +94,27 @@ def _joined(group, length):
     raw = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
     sizes = np.array([len(g[2]) for g in group])
     ends = np.cumsum(sizes)
-    number = np.repeat([g[0] for g in group], sizes)
-    offset = np.arange(len(raw)) - np.repeat(ends - sizes - [g[1] for g in group], sizes)
-    valid = (np.arange(len(raw)) + length <= np.repeat(ends, sizes))[:len(raw) - length + 1]
+    number = np.repeat(np.array([g[0] for g in group], np.int32), sizes)
+    place = np.arange(len(raw), dtype=np.int32)
+    offset = place - np.repeat((ends - sizes - [g[1] for g in group]).astype(np.int32), sizes)
+    n = len(raw) - length + 1
+    valid = place[:n] <= np.repeat((ends - length).astype(np.int32), sizes)[:n]
     return raw, number, offset, valid
 
 
 def runs_of(change: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of the stretches of ``keep`` between changes."""
-    inside = np.flatnonzero(keep)
-    if not len(inside):
-        return inside, inside
-    new = np.append(True, (np.diff(inside) > 1) | change[inside[1:]])
-    return inside[new], inside[np.append(new[1:], True)]
+    """First and last index of the stretches of ``keep`` between changes, which are told of each index but the first."""
+    first, last = keep.copy(), keep.copy()
+    first[1:] &= change | ~keep[:-1]
+    last[:-1] &= change | ~keep[1:]
+    return np.flatnonzero(first), np.flatnonzero(last)
 
 
 def owned_runs(texts: list[bytes], length: int):
     """``(text numbers, firsts, lasts, owners)`` of the runs of windows with one smallest gram."""
     for raw, number, offset, valid in pieces(texts, length):
         low, owner = windows(raw, length)
-        change = np.append(True, (np.diff(low) != 0) | (np.diff(number[:len(low)]) != 0))
+        change = (low[1:] != low[:-1]) | (number[1:len(low)] != number[:len(low) - 1])
         first, last = runs_of(change, valid)
         yield number[first], offset[first], offset[last], owner[first].astype(np.int64)
 
