@@ -261,9 +261,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYT
     return durable(places.join(spans, "digest").groupBy("md5").agg(F.collect_list(F.struct("first", "spans")).alias("found")))
 
 
-@F.arrow_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
-def cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
+CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
+
+
+def _cut(texts: pa.Array, found: pa.Array, characters: bool) -> pa.Array:
     """A text without the bytes that are covered, their number, and the number of stretches removed."""
+    forget()
     kept, removed, stretches = [], [], []
     for text, rows in zip(texts.to_pylist(), found.to_pylist()):
         cover = np.zeros(len(text) + 1, np.int64)
@@ -272,20 +275,35 @@ def cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
             np.add.at(cover, ends[:, 0], 1)
             np.add.at(cover, ends[:, 1], -1)
         gone = np.cumsum(cover)[:-1] > 0
-        kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text)
+        rest = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
+        kept.append(rest.decode("utf-8", "ignore").encode() if characters and gone.any() else rest)
         removed.append(int(gone.sum()))
         stretches.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(stretches, pa.int64())], ["kept", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with a struct column ``__cut``: ``kept`` (bytes), ``n_removed``, ``n_spans``."""
+@F.arrow_udf(CUT)
+def cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
+    return _cut(texts, found, False)
+
+
+@F.arrow_udf(CUT)
+def cut_out_characters(texts: pa.Array, found: pa.Array) -> pa.Array:
+    return _cut(texts, found, True)
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, characters: bool = False) -> DataFrame:
+    """``docs`` with a struct column ``__cut``: ``kept`` (bytes), ``n_removed``, ``n_spans``.
+
+    With ``characters``, ``kept`` lacks the rest of a character that a cut splits, too; the counts are those of the bytes covered.
+    """
+    udf = cut_out_characters if characters else cut_out
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(body).alias("id"), F.unhex(F.md5(body)).alias("md5"), body.alias("text"))
     found = repeats(texts, length, shard_bytes).select(F.col("md5").alias("__md5"), F.col("found").alias("__found"))
     keyed = docs.withColumn("__key", F.unhex(F.md5(body)))
     same = F.col("__key") == F.col("__md5")
-    cut = lambda df: df.withColumn("__cut", cut_out(body, F.col("__found"))).drop("__key", "__md5", "__found")
+    cut = lambda df: df.withColumn("__cut", udf(body, F.col("__found"))).drop("__key", "__md5", "__found")
     whole = F.struct(body.alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     if found.count() > BROADCAST_TEXTS:
         return cut(keyed.join(found, same, "left"))
@@ -297,14 +315,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, sh
 
 def cut_texts(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` with repeats removed from ``text``; a character that a cut splits goes as a whole, ``n_chars`` follows the text."""
-    cut = remove_repeats(docs, **options)
-    text = F.when(F.col("__cut.n_removed") > 0, whole_characters(F.col("__cut.kept"))).otherwise(F.col("text"))
+    # Cut and whole characters in one step: a second Python function in the stage would be a second worker for every task, and workers stay.
+    cut = remove_repeats(docs, characters=True, **options)
+    text = F.when(F.col("__cut.n_removed") > 0, F.col("__cut.kept").cast("string")).otherwise(F.col("text"))
     out = cut.withColumn("text", text).drop("__cut")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
-
-
-@F.arrow_udf(T.StringType())
-def whole_characters(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else t.decode("utf-8", "ignore") for t in texts.to_pylist()], pa.string())

@@ -99,3 +99,16 @@ def test_texts_without_repeats_stay_in_the_engine(spark):
     assert plan.count("cut_out(") == 1, plan
     got = sorted((r.doc_id, r.a, bytes(r.k)) for r in out.selectExpr("doc_id", "__cut.n_removed a", "__cut.kept k").collect())
     assert got == [(i, a, k) for i, (_, a, _, k) in enumerate(brute([t.encode() for t in texts], 200))]
+
+
+def test_texts_are_cut_by_one_function(spark):
+    """A task that cuts texts has one Python worker: characters that a cut splits go in the same step."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdéü€"), n))
+    shared = word(150)
+    texts = [word(60) + shared + word(40), "é" + shared[1:], shared, word(300), None, ""]
+    out = cut_texts(spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    want = [(i, t if not gone else k.decode("utf-8", "ignore")) for i, (t, (_, gone, _, k)) in enumerate(zip(texts, brute([(t or "").encode() for t in texts], 200)))]
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == want and any(k != (t or "") for (_, k), t in zip(want, texts) if t)
