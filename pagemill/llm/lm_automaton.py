@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import array
 import collections
-import hashlib
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,10 +83,15 @@ class Vocabulary:
         self.counts = np.array([0, *counts], np.int64)
         self.number = {w: i for i, w in enumerate(common, 1)}
 
-    def keys(self, words: Iterable[bytes]) -> list[int]:
-        """The numbers of common words, negative 63-bit hashes of all others."""
-        number, hashed, whole = self.number.get, hashlib.blake2b, int.from_bytes
-        return [number(w) or -1 - (whole(hashed(w, digest_size=8).digest(), "little") >> 1) for w in words]
+    def keys(self, words: Iterable[bytes]) -> np.ndarray:
+        """The numbers of common words, negative 63-bit hashes (SipHash) of all others."""
+        words = list(words)
+        keys = np.fromiter(map(self.number.get, words, itertools.repeat(0)), np.int64, len(words))
+        rare = np.flatnonzero(keys == 0)
+        bodies = np.empty(len(rare), object)
+        bodies[:] = [words[i] for i in rare.tolist()]
+        keys[rare] = -1 - (pd.util.hash_array(bodies, categorize=False) >> np.uint64(1)).astype(np.int64)
+        return keys
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of common words; 0 for others."""
@@ -139,9 +145,16 @@ def distinct(codes: np.ndarray) -> np.ndarray:
 
 
 def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes, and the place of each code among them."""
-    order = np.argsort(codes)
-    codes = codes[order]
+    """Sorted distinct codes, and the place of each code among them; codes and places that fit into one long are sorted as such."""
+    bits = max(len(codes) - 1, 0).bit_length()
+    if len(codes) and int(codes.min()) >= 0 and int(codes.max()).bit_length() + bits < 64:
+        packed = codes << bits
+        packed |= np.arange(len(codes))
+        packed.sort()
+        order, codes = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(codes)
+        codes = codes[order]
     new = np.ones(len(codes), bool)
     new[1:] = codes[1:] != codes[:-1]
     place = np.empty(len(codes), np.int32)
@@ -149,12 +162,19 @@ def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[new], place
 
 
-class Numbers(dict):
-    """Numbers of words from 1 on, in the order in which they came."""
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 on, 16 bits at a time: numpy sorts those by counting."""
+    order, most = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable"), int(x.max(initial=0)) >> 16
+    while most:
+        x = x >> 16
+        order = order[np.argsort((x[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+        most >>= 16
+    return order
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        return n
+
+def numbers() -> dict[bytes, int]:
+    """Numbers of words from 1 on, in the order in which they come."""
+    return collections.defaultdict(itertools.count(1).__next__)
 
 
 class Chunk:
@@ -165,14 +185,24 @@ class Chunk:
         self.none = int(np.searchsorted(keys, 0))
         # Places of words, without the two before each piece.
         self.places = np.arange(sizes.sum()) + np.repeat(2 * np.arange(1, len(sizes) + 1), sizes)
-        u, v, w = seq[self.places - 2], seq[self.places - 1], seq[self.places]
-        self.has_pair, self.has_triple = v != self.none, u != self.none
-        pair_at = (v << BITS | w)[self.has_pair]
-        #: Sorted codes of distinct triples, and of distinct pairs, contexts of triples among them; numbers of those at each place.
-        self.triples, self.triple_of = numbered((u << 2 * BITS | v << BITS | w)[self.has_triple])
-        context = self.triples >> BITS
-        self.pairs, number = numbered(np.concatenate([pair_at, context]))
-        self.pair_of, self.context_of = number[:len(pair_at)], number[len(pair_at):].astype(np.int64)
+        self.has_pair, self.has_triple = seq[self.places - 1] != self.none, seq[self.places - 2] != self.none
+        # Pairs behind every word of a piece but the first: a triple's context is the pair one place before, also where a piece goes on.
+        known = np.zeros(len(seq), bool)
+        known[1:] = (seq[1:] != self.none) & (seq[:-1] != self.none)
+        known[np.cumsum(sizes + 2) - sizes - 2] = False
+        at = np.flatnonzero(known)
+        #: Sorted codes of distinct pairs, contexts of triples among them; numbers of those at each place.
+        self.pairs, number = numbered(seq[at - 1] << BITS | seq[at])
+        pair_at = np.zeros(len(seq), np.int64)
+        pair_at[at] = number
+        self.pair_of = pair_at[self.places[self.has_pair]]
+        three = self.places[self.has_triple]
+        #: Sorted codes of distinct triples, by the number of their context and their last word.
+        self.triples, self.triple_of = numbered(pair_at[three - 1] << BITS | seq[three])
+        self.context_of = self.triples >> BITS
+        #: The number of the pair that a triple ends with.
+        self.shorter_of = np.zeros(len(self.triples), np.int64)
+        self.shorter_of[self.triple_of] = pair_at[three]
 
     def deal(self, vocabulary: Vocabulary, owners: int, owned: int) -> None:
         """Entries, that is pairs or splits of them, and triples in the order of their owners."""
@@ -183,13 +213,13 @@ class Chunk:
         pair = np.repeat(np.arange(len(self.pairs)), splits)
         split = np.arange(len(pair)) - begin[pair]
         owner = (spread(first[pair], second[pair], split) % np.uint64(owners)).astype(np.int64)
-        order = np.argsort(owner, kind="stable")
+        order = in_order(owner)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         third = spread(self.keys[self.triples & LOW]) % splits[self.context_of].astype(np.uint64)
         entry = rank[begin[self.context_of] + third.astype(np.int64)]
         self.entry_owner, self.entry_pair, self.entry_split = owner[order], pair[order], split[order]
-        self.triple_order = np.argsort(entry, kind="stable")
+        self.triple_order = in_order(entry)
         self.triples_of = np.bincount(entry, minlength=len(order))
 
     def requests(self, weight: np.ndarray):
@@ -218,12 +248,12 @@ def chunks(texts: DataFrame, model: Model, chunk: int, owners: int = 0, owned: i
     def run(batches):
         vocabulary = shared.value
         name = row = None
-        local, seq = Numbers(), array.array("q")
+        local, seq = numbers(), array.array("q")
         pieces: list[tuple] = []
         size = 0
 
         def flush():
-            keys, place = np.unique(np.array([0, *vocabulary.keys(local)], np.int64), return_inverse=True)
+            keys, place = np.unique(np.append(0, vocabulary.keys(local)), return_inverse=True)
             rows, ids, known, trained, sizes = (np.array(c, np.int64) for c in zip(*pieces))
             place = place[np.frombuffer(seq, np.int64)]
             if owners:
@@ -252,7 +282,7 @@ def chunks(texts: DataFrame, model: Model, chunk: int, owners: int = 0, owned: i
                     at += len(piece)
                     if size == chunk:
                         yield flush()
-                        local, seq, pieces, size = Numbers(), array.array("q"), [], 0
+                        local, seq, pieces, size = numbers(), array.array("q"), [], 0
                         name += 1
                 row += 1
         if pieces:
@@ -313,7 +343,7 @@ class Automaton:
         p2 = np.where(places[v] > 0, np.maximum(n2 - DISCOUNT, 0) / np.maximum(places[v], 1) + left2[v] * base[w], base[w])
         left3 = DISCOUNT * follow3 / np.maximum(n2, 1)
         at = chunk.context_of
-        shorter = np.searchsorted(chunk.pairs, chunk.triples & ((1 << 2 * BITS) - 1))
+        shorter = chunk.shorter_of
         p3 = np.maximum(n3 - DISCOUNT, 0) / np.maximum(n2[at], 1) + left3[at] * p2[shorter]
         start = np.where(places > 0, 1 + np.arange(m), 0)
         #: Where a word leads that was read behind the word before it.
@@ -354,10 +384,12 @@ class Automaton:
         return total
 
     def walk_all(self, chunk: Chunk) -> np.ndarray:
-        """Log-probability of the word at every place of the chunk."""
-        state = self.start[chunk.seq[chunk.places - 1]]
-        state[chunk.has_triple] = self.after[chunk.context_of[chunk.triple_of]]
-        return self.read(state, chunk.seq[chunk.places])[0]
+        """Log-probability of the word at every place of the chunk; equal triples are read once, in their order."""
+        first = ~chunk.has_triple
+        out = np.empty(len(first))
+        out[first] = self.read(self.start[chunk.seq[chunk.places[first] - 1]], chunk.seq[chunk.places[first]])[0]
+        out[chunk.has_triple] = self.read(self.after[chunk.context_of], chunk.triples & LOW)[0][chunk.triple_of]
+        return out
 
 
 SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -162,3 +162,39 @@ def test_an_owner_keeps_its_memory_small():
     tracemalloc.stop()
     assert len(got) == 21 and sum(int(unpack(b, 3)[0].sum() > 0) for b in got.column("body").to_pylist()) == 21
     assert most < 150 * 20 * n, most / (20 * n)
+
+
+def test_codes_and_orders():
+    """Codes are numbered alike whether they are sorted with their places in one long or not; orders are stable."""
+    from pagemill.llm.lm_automaton import in_order, numbered
+    rng = np.random.default_rng(9)
+    for codes in (rng.integers(0, 50, 400), rng.integers(0, 1 << 40, 400), rng.integers(-9, 9, 400), rng.integers(0, 1 << 62, 400), np.zeros(0, np.int64), np.array([7])):
+        got, place = numbered(codes)
+        assert got.tolist() == sorted(set(codes.tolist())) and (got[place] == codes).all()
+    for most in (1, 9, 1 << 17, 1 << 40):
+        x = rng.integers(0, most, 500)
+        assert in_order(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_words_have_keys_of_their_own():
+    from pagemill.llm.lm_automaton import Vocabulary
+    keys = Vocabulary([b"the", END], [9, 5], 14, 2).keys([b"x%d" % i for i in range(50_000)] + [b"the", END, "é".encode()])
+    assert len(set(keys.tolist())) == 50_003 and (keys < 0).sum() == 50_001 and keys[-3:-1].tolist() == [1, 2]
+
+
+def test_shuffles_go_when_their_rows_are_stored(spark):
+    """The files of the shuffles behind a stored table do not wait for the driver's garbage collection."""
+    import pathlib
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pagemill.session import durable
+    tops = [pathlib.Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f.name for top in tops for f in top.rglob("shuffle_*.data")}
+    before = files()
+    stored = durable(spark.range(1_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    ends = time.time() + 20
+    while files() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not files() - before and stored.count() == 7
