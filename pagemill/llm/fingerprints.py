@@ -11,6 +11,7 @@ empty texts have an empty sketch. Two empty sketches resemble each other fully,
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ K, WIDTH = 128, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Range buckets for each shuffle partition, so that a bucket is a small part of a task.
 BUCKETS_PER_PARTITION = 4
+HEADS = pa.schema([("b", pa.int32()), ("head", pa.int64()), ("before", pa.int32())])
 
 
 def with_sketch(df: DataFrame, text: str, name: str, width: int = WIDTH, k: int = K) -> DataFrame:
@@ -73,7 +75,8 @@ def with_next(df: DataFrame, doc_id: str, columns: list[str]) -> DataFrame:
     bucket = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("id"))), F.lit(0))
     # One row for each range, at most ``buckets``.
     firsts = ids.withColumn("b", bucket).groupBy("b").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("least")).orderBy("b").collect()
-    rows = [(r.b, r.least.id, firsts[k - 1].b) for k, r in enumerate(firsts)]
+    # From an Arrow table Spark takes rows without starting Python workers in the executors.
+    rows = pa.table([[r.b for r in firsts], [r.least.id for r in firsts], [firsts[k - 1].b for k in range(len(firsts))]], HEADS)
     heads = spark.createDataFrame(rows, "b int, head long, before int")
     dealt = df.withColumn("id", F.col(doc_id)).withColumn("b", bucket).join(F.broadcast(heads), "b")
     own = F.struct(F.col("b").alias("b"), F.lit(False).alias("lent"))

@@ -65,6 +65,14 @@ def test_repeated_ids_one_row_and_none(spark):
     assert fingerprints(df.limit(0)).count() == 0
 
 
+def test_no_python_workers(spark):
+    docs = spark.sql("SELECT IF(id = 20, NULL, id) AS doc_id, concat('text ', id) AS text FROM range(21)")
+    got = fingerprints(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan  # an RDD made of Python rows starts workers in the executors
+    assert got.count() == 21
+
+
 def test_estimates(spark):
     words = [f"w{k}" for k in range(4000)]
     df = spark.createDataFrame([(" ".join(words[:3000]), " ".join(words[1000:]))], "a string, b string")
