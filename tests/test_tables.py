@@ -195,6 +195,16 @@ def test_page_job_paths(rows):
     assert not got[7].success and "empty" in got[7].error
 
 
+def test_articles_join_back_to_their_pages(rows):
+    """The stored articles meet their own pages again, with the columns that the page job takes."""
+    md = '<script>window._ROUTER_DATA = {"loaderData":{"p":{"curDoc":{"Title":"R","MDContent":"text"}}}}</script>'
+    tree = '<script id="__NEXT_DATA__">{"props":{"pageProps":{"fallback":{"article/detail":{"articleInfo":{"content":{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"t"}]}]}}}}}}}</script>'
+    pages = rows("page_id long, html string", (1, md), (2, "<p>no</p>"), (3, tree), (4, md + tree), (5, None))
+    found = embedded.articles(pages).select("page_id", F.struct("title", "body", "is_markdown").alias("e"))
+    got = {r.page_id: r.e and (r.e.title, r.e.is_markdown) for r in pages.join(found, "page_id", "left").collect()}
+    assert got == {1: ("R", True), 2: None, 3: ("", False), 4: ("", False), 5: None}
+
+
 def test_asset_names_with_other_characters(rows):
     files = rows("file_name string", ("a b.png",), ("plain.png",), ("x(1).png",), ("gone one.png",), ("é.png",), ("gone.png",))
     docs = rows("md string", ("![](img/a%20b.png) and ![t](<img/x(1).png>)",), ("see theplain.png. é.png",))
