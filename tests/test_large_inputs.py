@@ -1,5 +1,7 @@
 """Work per page: what is one token, what is looked at once."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import markdown_text as mt
@@ -19,6 +21,30 @@ def test_plain_tables_are_one_token(rows):
     assert 4 not in md
 
 
+def test_table_tags_are_read_at_once_as_one_by_one(rows):
+    """A bracket in an attribute makes the table go token by token."""
+    cells = ["a  b\r\nc", "x<br/><BR>y<br>", "<p>one</p> <div>two</div>", "&am<b>p;</b> &amp &lt;br&gt;z&#13;q &noti<i/>n;", "<a href='/p q?a&amp;b' title=\"x\">l|k</a>", "<A>n</A><a href='../u'></a>",
+             "<img src=i.png alt='[c]'/><img src='data:x'>", "\xa0 t \u2028", "<span/>s<area/><td>in", "<ul><li>1<li>2</ul>", "<a href='/c'>over</td><td>two</a>", "\t", "<input value='&amp;'>v;"]
+    html = "{}<caption>c &amp;</caption><TR class=r>" + "</tr><tr>".join(f"<td>{c}</td><TH colspan=1>{n}</th >" for n, c in enumerate(cells)) + "</tr><tr><td/><td> </td></table >"
+    pages = rows("page_id long, html string, url string", *[(n, html.format(t), "http://h.org/d/p?q#f") for n, t in enumerate(["<table>", "<table title='<'>"])])
+    assert markdown._cut(pages, "html", "url", "page_id", False, [], True).where("kind = 'table'").count() == 2
+    at_once, one_by_one = (r.md for r in markdown.html_to_markdown(pages).orderBy("page_id").collect())
+    assert at_once == one_by_one and at_once.startswith("| a b<br>c | 0 |  |\n| --- | --- | --- |\n| x<br>y | 1 |  |\n") and "| [l\\|k](http://h.org/p%20q?a&b) | 4 |" in at_once
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark, rows):
+    """The JVM only interprets methods of more than 8,000 bytes."""
+    pages = rows("page_id long, html string, url string", (1, "<p>t</p>", "http://h.org/d/p"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(markdown.html_to_markdown(pages)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert len(sizes) > 10 and max(sizes) <= 8000
+
+
 def test_text_without_anything_to_rewrite_is_not_rewritten(value):
     texts = ["a\n \nb", "\n\n\n\n\na", "a\n\n\n\n\nb", " \t\nx", "a\r\n \r\nb", "# \nx", "#\t \nx", "x\n##", "### T [#](#t)", "a   b", "#  \nq"]
     old = {"blank": lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?m)^[ \t\x0b\f\r]+$", ""), r"\n{4,}", "\n\n\n"), r"\A\n{3,}", "\n\n"),
